@@ -5,15 +5,26 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from threadloom.llm import chat, decontam, exact_dedup, urlfilter
+from threadloom.llm import chat, decontam, exact_dedup, langid, licenses, urlfilter
 from threadloom.llm.common import table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    found = langid.identified(documents.select("doc_id", "text"), langid.fit(documents))
+    return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "mixture")
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(licenses.licensed(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digests(decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -27,7 +38,9 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_license_scan": op3_license_scan,
     "op4_decontamination": op4_decontamination,
     "op9_chat_format": op9_chat_format,
     "op10_url_filter": op10_url_filter,
@@ -35,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op3_license_scan": licenses.oracle_sql(),
     "op4_decontamination": decontam.ORACLE_SQL,
     "op9_chat_format": chat.ORACLE_SQL,
     "op10_url_filter": urlfilter.ORACLE_SQL,
