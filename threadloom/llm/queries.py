@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import chat, decontam, exact_dedup, langid, licenses, sentencepiece_codec, urlfilter
+from threadloom.llm import chat, decontam, exact_dedup, langid, licenses, minhash, sentencepiece_codec, urlfilter
 from threadloom.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digests(decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_ids", "ids", "decoded_sha256", "exact")
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_license_scan": op3_license_scan,
     "op4_decontamination": op4_decontamination,
+    "op5_near_dedup": op5_near_dedup,
     "op7_sentencepiece": op7_sentencepiece,
     "op9_chat_format": op9_chat_format,
     "op10_url_filter": op10_url_filter,
