@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import chat, decontam, exact_dedup, langid, licenses, minhash, sentencepiece_codec, urlfilter
+from threadloom.llm import chat, decontam, exact_dedup, langid, licenses, minhash, sentencepiece_codec, suffix_dedup, urlfilter
 from threadloom.llm.common import table
 
 
@@ -33,6 +33,10 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), size=2, percent=80)
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(suffix_dedup.without_repeats(table(spark, sf_dir, "documents")))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_ids", "ids", "decoded_sha256", "exact")
 
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_license_scan": op3_license_scan,
     "op4_decontamination": op4_decontamination,
     "op5_near_dedup": op5_near_dedup,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_sentencepiece": op7_sentencepiece,
     "op9_chat_format": op9_chat_format,
     "op10_url_filter": op10_url_filter,
