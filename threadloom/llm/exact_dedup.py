@@ -79,11 +79,15 @@ def exact_groups(documents: DataFrame, text: str = "text", key: str = "doc_id",
 
 
 def deduplicated(documents: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of documents that stay, all columns as they were. Rows that repeat a whole (doc_id, text) stay once."""
-    dropped = exact_groups(documents, text, key).where(~F.col("kept")).select("doc_id", F.col("text_sha256").alias("digest"), (F.col("doc_id") == F.col("keep_id")).alias("again"))
-    gone = dropped.where("not again").select("doc_id").distinct().withColumnRenamed("doc_id", "gone_id")
-    left = documents.join(gone, documents[key] == gone["gone_id"], "left_anti")
-    return left.dropDuplicates([key, text]) if not dropped.where("again").isEmpty() else left
+    """The rows of documents that stay, all columns as they were. Rows that repeat a doc_id and a text stay once."""
+    found = exact_groups(documents, text, key).where(~F.col("kept"))
+    gone = staged(found.select("doc_id", F.col("text_sha256").alias("digest"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("again")).distinct(), "exact-gone")
+    digest = F.sha2(normalised(F.col(text)).cast("binary"), 256)
+    others = gone.where("not again").select(F.col("doc_id").alias("gone_id"), "digest")
+    left = documents.join(others, documents[key].cast("long").eqNullSafe(others["gone_id"]) & (digest == others["digest"]), "left_anti")
+    if gone.where("again").isEmpty():
+        return left
+    return left.withColumn("_digest", digest).dropDuplicates([key, "_digest"]).drop("_digest")
 
 
 ORACLE_SQL = r"""

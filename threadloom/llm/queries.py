@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import chat, decontam, exact_dedup, langid, licenses, minhash, sentencepiece_codec, suffix_dedup, urlfilter
+from threadloom.llm import chat, decontam, exact_dedup, langid, licenses, minhash, pii, sentencepiece_codec, suffix_dedup, urlfilter
 from threadloom.llm.common import table
 
 
@@ -41,6 +41,11 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_ids", "ids", "decoded_sha256", "exact")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return pii.detected(documents.select("doc_id", "text"), pii.fit(documents)).drop("text")
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.formatted(chat.with_probe(table(spark, sf_dir, "conversations"))))
 
@@ -57,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_near_dedup": op5_near_dedup,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_sentencepiece": op7_sentencepiece,
+    "op8_pii": op8_pii,
     "op9_chat_format": op9_chat_format,
     "op10_url_filter": op10_url_filter,
 }
