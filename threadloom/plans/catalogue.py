@@ -1,6 +1,6 @@
 """All queries of the library."""
 
-from threadloom.plans import catalogue_search  # noqa: F401
+from threadloom.plans import catalogue_search, catalogue_threads  # noqa: F401
 from threadloom.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
