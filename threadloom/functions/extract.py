@@ -80,7 +80,7 @@ def symbols(documents: DataFrame, text: Column, *keep: str) -> DataFrame:
 def links(documents: DataFrame, text: Column, *keep: str) -> DataFrame:
     """(keep, target_number): closing keywords in the bodies of pull requests; a thread never closes itself."""
     bodies = documents.where((F.col("thread_type") == "pr") & (F.col("source_type") == "body"))
-    found = bodies.select(*keep, F.explode(_all(text, CLOSES)).cast("long").alias("target_number"))
+    found = bodies.select(*keep, F.explode(F.transform(_all(text, CLOSES), lambda n: n.cast("long"))).alias("target_number"))
     return found.where("target_number <> number").distinct()
 
 

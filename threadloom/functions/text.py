@@ -131,7 +131,7 @@ def content_hash(text: Column, metadata: Column, version: Column) -> Column:
 
 
 def age(then: Column, now: Column) -> Column:
-    s = (F.unix_micros(now) - F.unix_micros(then)) / 1e6
+    s = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(then.cast("timestamp"))) / 1e6
     days = s / 86400
     years = F.bround(days / 365.25, 0).cast("long")
     shown = (

@@ -31,7 +31,7 @@ def rationale_pairs(comments: DataFrame, parent: Column, shortest: int = 60, lon
 
 def precedent_references(documents: DataFrame, text: Column, threads: DataFrame) -> DataFrame:
     """Numbers that a text refers to as precedents, if they are indexed and not its own."""
-    found = documents.select("repo", "number", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(PRECEDENT), F.lit(1)))).cast("long").alias("precedent")).where("precedent <> number")
+    found = documents.select("repo", "number", F.explode(F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(PRECEDENT), F.lit(1))), lambda n: n.cast("long"))).alias("precedent")).where("precedent <> number")
     return found.join(threads.select("repo", F.col("number").alias("precedent")), ["repo", "precedent"], "left_semi")
 
 

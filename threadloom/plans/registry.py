@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from threadloom.plans.views import with_views
+from threadloom.plans.views import VIEWS, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -19,7 +19,7 @@ def query(sql: str | None = None, name: str | None = None):
     def put(f: Query) -> Query:
         QUERIES[name or f.__name__] = f
         if sql:
-            ORACLE[name or f.__name__] = with_views(sql) if "h_" in sql else sql
+            ORACLE[name or f.__name__] = with_views(sql) if any(v in sql for v in VIEWS) else sql
         return f
 
     return put

@@ -40,7 +40,7 @@ def committed_mark(results: DataFrame, key: Sequence[str], bound: Column | None
 
 def over_rate(calls: DataFrame, who: str = "user_id", ts: str = "ts", per_minute: int = PER_MINUTE) -> DataFrame:
     """Each call with the number of calls in the 60 seconds up to it, and whether it is within the rate."""
-    trailing = Window.partitionBy(who).orderBy(F.unix_micros(ts)).rangeBetween(-60_000_000 + 1, 0)
+    trailing = Window.partitionBy(who).orderBy(F.unix_micros(F.col(ts).cast("timestamp"))).rangeBetween(-60_000_000 + 1, 0)
     return calls.withColumn("in_minute", F.count("*").over(trailing)).withColumn("allowed", F.col("in_minute") <= per_minute)
 
 
@@ -50,7 +50,7 @@ def daily_quota(calls: DataFrame, who: str = "user_id", ts: str = "ts", per_day:
 
 def deduplicated(stream: DataFrame, key: Sequence[str], ts: str = "ts", late: str = f"{OVERLAP_SECONDS} seconds") -> DataFrame:
     """Each key once, within the watermark."""
-    return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark(list(key))
+    return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).dropDuplicatesWithinWatermark(list(key))
 
 
 def ingest(stream: DataFrame, checkpoint: str, work: Callable[[DataFrame, int], None], once: bool = False, every: str = "5 minutes") -> StreamingQuery:
