@@ -2,13 +2,13 @@
 
 1. Each text's set of word shingles gives a signature of COORDINATES minima. Texts with equal sets form a class and go on
    as one representative.
-2. A representative is posted under its coordinate-value pairs. Two sets that agree in at least MATCHES coordinates agree
-   in one of the COORDINATES - MATCHES + 1 rarest of either, so only that prefix is posted; pairs that one representative
-   alone has take up places of the prefix without a posting.
-3. Posting lists are worked off in rounds. First each member is paired with one centre of the list only; verified links
-   join components, and lists that lie within one component are skipped. What is left is merged in blocks of a bounded
-   size: collisions of signatures are counted there, and only pairs of different components at or above the threshold
-   come out.
+2. A representative is posted under its first POSTED coordinate-value pairs. Two sets that agree in at least MATCHES of
+   them agree in one of the POSTED - MATCHES + 1 rarest of either, so only that prefix is posted; pairs that one
+   representative alone has take up places of the prefix without a posting.
+3. Posting lists are worked off in rounds. In each, every list has one centre, and each member is paired with the centre
+   that it meets in most lists; verified links join components, and lists that lie within one component are skipped. What
+   is left is merged in blocks of a bounded size: collisions of whole signatures are counted there, and only pairs of
+   different components at or above the threshold come out, each from the first list that has both.
 4. Every pair is confirmed on the full sets of both texts.
 """
 
@@ -23,11 +23,13 @@ from pyspark.sql import functions as F
 
 from threadloom.llm.common import components, staged
 
-COORDINATES = 48
+#: A signature has COORDINATES minima, the first POSTED of which are posted.
+COORDINATES, POSTED = 96, 48
 #: At a similarity of 0.8 a pair agrees in 38 of 48 coordinates on average; fewer than 26 has a chance of about 1 in 50,000.
-MATCHES = 26
+#: Of 96 it agrees in 77; fewer than 58 has a chance of about 1 in 500,000.
+MATCHES, MATCHES_ALL = 26, 58
 BLOCK = 256
-STAR_ROUNDS = 3
+STAR_ROUNDS = 4
 _SLICE = 1 << 20
 
 _random = np.random.default_rng(20240229)
@@ -167,19 +169,29 @@ def _confirm(size: int, percent: int):
     return run
 
 
-def _merge_blocks(matches: int):
-    """Pairs of different components with enough equal coordinates, within a block or between two."""
+def _merge_blocks(matches: int, percent: int):
+    """Pairs of different components whose sizes allow the similarity and whose signatures agree often enough, within a
+    block or between two. A pair comes out of the list of its smallest common token only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a_out, b_out = [], []
-            for across, members in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for across, token, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 m = members.values
-                rep, comp, side = (m.field(k).to_numpy(zero_copy_only=False) for k in ("rep", "component", "side"))
+                rep, comp, side, n = (m.field(k).to_numpy(zero_copy_only=False) for k in ("rep", "component", "side", "n_shingles"))
                 sig = m.field("signature").flatten().to_numpy().reshape(len(rep), -1)
+                prefix = m.field("prefix")
+                sets: dict[int, frozenset] = {}
+
+                def tokens(i: int) -> frozenset:
+                    if i not in sets:  # noqa: B023
+                        sets[i] = frozenset(prefix[i].as_py())  # noqa: B023
+                    return sets[i]  # noqa: B023
+
                 for i in range(len(rep)):
-                    other = np.flatnonzero((comp != comp[i]) & (side > side[i] if across else rep > rep[i]))
+                    other = np.flatnonzero((comp != comp[i]) & (side > side[i] if across else rep > rep[i]) & (100 * n >= percent * n[i]) & (100 * n[i] >= percent * n))
                     other = other[(sig[other] == sig[i]).sum(1) >= matches] if len(other) else other
+                    other = [j for j in other.tolist() if min(tokens(i) & tokens(j)) == token]
                     a_out.append(np.minimum(rep[i], rep[other]))
                     b_out.append(np.maximum(rep[i], rep[other]))
             a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a_out, b_out))
@@ -203,9 +215,10 @@ class _Links:
             pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
         if not counted:
             s = self.signatures
-            pairs = pairs.join(s.select(F.col("rep").alias("a"), F.col("signature").alias("sa")), "a").join(s.select(F.col("rep").alias("b"), F.col("signature").alias("sb")), "b")
+            pairs = pairs.join(s.select(F.col("rep").alias("a"), F.col("signature").alias("sa"), F.col("n_shingles").alias("na")), "a").join(s.select(F.col("rep").alias("b"), F.col("signature").alias("sb"), F.col("n_shingles").alias("nb")), "b")
             equal = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda e: e))
-            pairs = pairs.where(equal >= self.matches).select("a", "b")
+            sizes = (100 * F.col("na") >= self.percent * F.col("nb")) & (100 * F.col("nb") >= self.percent * F.col("na"))
+            pairs = pairs.where(sizes & (equal >= self.matches)).select("a", "b")
         t = self.texts
         side = pairs.join(t.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a").join(t.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b")
         found = staged(side.select("a", "b", "ta", "tb").mapInArrow(_confirm(self.size, self.percent), "a long, b long, good boolean"), "minhash-tried")
@@ -217,7 +230,7 @@ class _Links:
 
 
 def near_duplicates(
-    documents: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, percent: int = 80, matches: int = MATCHES, block: int = BLOCK, star_rounds: int = STAR_ROUNDS
+    documents: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, percent: int = 80, matches: int = MATCHES, matches_all: int = MATCHES_ALL, block: int = BLOCK, star_rounds: int = STAR_ROUNDS
 ) -> DataFrame:
     """One row for each row of documents: doc_id, n_shingles, component_id, kept.
 
@@ -232,31 +245,33 @@ def near_duplicates(
     linked = features.where("n_shingles > 0 and doc_id is not null")
     classes = staged(linked.groupBy("low", "high", "n_shingles").agg(F.min(F.struct("doc_id", "signature")).alias("first")).select("low", "high", "n_shingles", F.col("first.doc_id").alias("rep"), F.col("first.signature").alias("signature")), "minhash-classes")
 
-    tokens = classes.select("rep", F.posexplode("signature").alias("coordinate", "value")).select("rep", F.shiftleft(F.col("coordinate").cast("long"), 32).bitwiseOR(F.col("value").cast("long").bitwiseAND(0xFFFFFFFF)).alias("token"))
+    tokens = classes.select("rep", F.posexplode(F.slice("signature", 1, POSTED)).alias("coordinate", "value")).select("rep", F.shiftleft(F.col("coordinate").cast("long"), 32).bitwiseOR(F.col("value").cast("long").bitwiseAND(0xFFFFFFFF)).alias("token"))
     shared = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
     by_rep = tokens.join(shared, "token").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("have"))
-    prefix = F.greatest(F.lit(COORDINATES - matches + 1) - (COORDINATES - F.size("have")), F.lit(0))
-    postings = by_rep.withColumn("weight", F.aggregate("have", F.lit(0).cast("long"), lambda s, x: s + x["n"])).select("rep", "weight", F.explode(F.slice("have", 1, prefix)).alias("at")).select("rep", "weight", F.col("at.token").alias("token"))
+    places = F.greatest(F.lit(POSTED - matches + 1) - (POSTED - F.size("have")), F.lit(0))
+    by_rep = by_rep.select("rep", F.aggregate("have", F.lit(0).cast("long"), lambda s, x: s + x["n"]).alias("weight"), F.transform(F.slice("have", 1, places), lambda x: x["token"]).alias("prefix")).where("size(prefix) > 0")
+    signatures = staged(classes.select("rep", "n_shingles", "signature").join(by_rep, "rep"), "minhash-signatures")
+    postings = signatures.select("rep", "weight", F.explode("prefix").alias("token"))
     postings = staged(postings.join(postings.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token"), "token", "left_semi"), "minhash-postings")
     posted = postings.select("rep").distinct()
-    signatures = staged(classes.join(posted, "rep", "left_semi").select("rep", "signature"), "minhash-signatures")
     texts = source.select(F.col("doc_id").alias("rep"), "text").join(posted, "rep", "left_semi").select("rep", F.col("text").cast("binary").alias("text"))
     texts = staged(texts.groupBy("rep").agg(F.max("text").alias("text")), "minhash-texts")
 
-    links, state = _Links(texts, signatures, size, percent, matches), postings.withColumn("component", F.col("rep"))
+    links, state = _Links(texts, signatures, size, percent, matches_all), postings.withColumn("component", F.col("rep"))
     for n in range(star_rounds):
-        centre = F.max_by(F.struct("rep", "component"), F.struct("weight", -F.col("rep")) if n == 0 else F.xxhash64("rep", F.lit(n)))
-        lists = state.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), centre.alias("centre")).where("low < high").select("token", "centre")
-        star = state.join(lists, "token").where("component <> centre.component").select(F.least("rep", "centre.rep").alias("a"), F.greatest("rep", "centre.rep").alias("b"))
-        if not links.confirm(star, counted=False):
-            break
-        state = _relabelled(postings, links)
+        order = F.struct("weight", -F.col("rep")) if n == 0 else F.struct(F.xxhash64("rep", F.lit(n)), F.col("rep"))
+        lists = state.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max_by(F.struct("rep", "component"), order).alias("centre")).where("low < high")
+        met = state.join(lists.select("token", "centre"), "token").where("component <> centre.component")
+        met = met.groupBy("rep", F.col("centre.rep").alias("centre")).agg(F.count("*").alias("lists"))
+        star = met.groupBy("rep").agg(F.max_by("centre", F.struct("lists", "centre")).alias("centre")).select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"))
+        if links.confirm(star, counted=False):
+            state = _relabelled(postings, links)
     left = state.join(state.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high"), "token")
     blocks = F.ceil(F.col("n") / block).cast("int")
-    left = left.select("token", "rep", "component", blocks.alias("blocks"), F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("side")).join(signatures, "rep")
+    left = left.select("token", "rep", "component", blocks.alias("blocks"), F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("side")).join(signatures.drop("weight"), "rep")
     cells = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.groupBy("token", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j")).agg(F.collect_list(F.struct("rep", "component", "side", "signature")).alias("members"))
-    rest = cells.select((F.col("i") < F.col("j")).alias("across"), "members").mapInArrow(_merge_blocks(matches), "a long, b long")
+    cells = cells.groupBy("token", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j")).agg(F.collect_list(F.struct("rep", "component", "side", "n_shingles", "signature", "prefix")).alias("members"))
+    rest = cells.select((F.col("i") < F.col("j")).alias("across"), "token", "members").mapInArrow(_merge_blocks(matches_all, percent), "a long, b long")
     links.confirm(rest, counted=True)
 
     label = links.labels().select(F.col("node").alias("rep"), F.col("component").alias("component_id"))

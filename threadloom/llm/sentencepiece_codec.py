@@ -19,6 +19,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -28,9 +29,13 @@ from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Entries that a worker remembers for each kind, in each of two generations.
-REMEMBERED = 100_000
+REMEMBERED = 250_000
 #: Positions after which a long stretch is searched for a boundary where all paths meet.
 COMMIT_EVERY = 256
+#: Characters of text that are cut into stretches at once.
+GROUP = 8_000_000
+#: Rows that are encoded before their ids are handed on.
+ROWS = 2500
 _STRETCH = re.compile(r" +[^ ]*|[^ ]+")
 
 
@@ -64,7 +69,14 @@ class Codec:
         self.out = [p.encode() for p, _ in pieces]
         for b, i in enumerate(byte_ids):
             self.out[i] = bytes([b])
-        self.stretches, self.pairs = Recent(remembered), Recent(remembered)
+        tails: dict[str, set[int]] = {}
+        for p in self.ids:
+            tails.setdefault(p[-3:], set()).add(len(p))
+        #: Sizes of the pieces that end in three characters, the largest first, with those of the shorter ends; any
+        #: character may stand alone.
+        self.sizes = {k: tuple(sorted(v.union(tails.get(k[1:], ()) if len(k) == 3 else (), [1]), reverse=True)) for k, v in tails.items()}
+        self.edges: dict[str, tuple | None] = {}
+        self.stretches, self.pairs = Recent(remembered), {}
 
     @staticmethod
     @lru_cache(maxsize=2)
@@ -78,96 +90,171 @@ class Codec:
         by_byte = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(n) if sp.is_byte(i)}
         return Codec(pieces, [by_byte[b] for b in range(256)] if len(by_byte) == 256 else [], sp.unk_id(), kind)
 
-    def merged(self, text: str) -> list[str]:
-        """What merging gives for a short text: always the best-scored pair, the leftmost of equals."""
-        parts = list(text)
+    def _tree(self, text: str):
+        """How merging builds a text of one piece, as (text, left, right), always the best-scored pair, the leftmost of
+        equals; None if it builds several pieces."""
+        parts = [(c, None, None) for c in text]
         while len(parts) > 1:
             best, at = None, -1
             for i in range(len(parts) - 1):
-                s = self.score.get(parts[i] + parts[i + 1])
+                s = self.score.get(parts[i][0] + parts[i + 1][0])
                 if s is not None and (best is None or s > best):
                     best, at = s, i
             if best is None:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
-
-    def _neighbours(self, left: str, right: str) -> bool:
-        key = (left, right)
-        found = self.pairs.get(key)
-        if found is None:
-            found = self.merged(left + right) == [left, right] if left else self.merged(right) == [right]
-            self.pairs.put(key, found)
+                return None
+            parts[at : at + 2] = [(parts[at][0] + parts[at + 1][0], parts[at], parts[at + 1])]
+        return parts[0]
+
+    def _edges(self, piece: str):
+        """(right edges, left edges) of a piece: what stands at its border while it is being merged, from the single
+        character up to the piece, each with the score of the merge that ends it (None for the piece itself)."""
+        found = self.edges.get(piece, False)
+        if found is False:
+            found, tree = None, self._tree(piece)
+            if tree is not None:
+                sides = []
+                for side in (2, 1):
+                    node, ends, chain = tree, None, []
+                    while node is not None:
+                        chain.append((node[0], ends))
+                        ends, node = self.score.get(node[0]), node[side]
+                    sides.append(tuple(reversed(chain)))
+                found = tuple(sides)
+            if len(piece) > 1 or len(self.edges) < 1 << 17:
+                self.edges[piece] = found
         return found
 
-    def _last_bpe(self, text: str, end: int, last: dict[int, str], base: int) -> str:
-        for size in range(min(self.longest, end - base), 0, -1):
+    def _apart(self, left: str, right: str) -> bool:
+        """Whether merging leaves two neighbouring pieces apart: no pair of border parts that stand at the same time has a
+        merge that comes before the merges which end them. Of equal scores the leftmost merge comes first."""
+        mine, other = self._edges(left), self._edges(right)
+        if mine is None or other is None:
+            return False
+        mine, other, score, i, j = mine[0], other[1], self.score, 0, 0
+        while True:
+            x, ends_x = mine[i]
+            y, ends_y = other[j]
+            s = score.get(x + y)
+            if s is not None and (ends_x is None or s > ends_x) and (ends_y is None or s >= ends_y):
+                return False
+            if ends_x is None:
+                if ends_y is None:
+                    return True
+                j += 1
+            elif ends_y is None or ends_x >= ends_y:
+                i += 1
+            else:
+                j += 1
+
+    def _last_bpe(self, text: str, end: int, last: list[str], base: int) -> str:
+        ids, pairs, most = self.ids, self.pairs, end - base
+        sizes = self.sizes.get(text[end - 3 : end]) if end > 2 else None
+        for size in sizes or self.sizes.get(text[end - 2 : end] if end > 1 else text[:1], (1,)):
+            if size > most:
+                continue
             piece = text[end - size : end]
-            if (size == 1 or piece in self.ids) and self._neighbours(last[end - size], piece):
+            if size > 1 and piece not in ids:
+                continue
+            pair = (last[most - size], piece)
+            apart = pairs.get(pair)
+            if apart is None:
+                apart = self._apart(*pair) if pair[0] else self._edges(piece) is not None
+                if len(pairs) >= self.stretches.most:
+                    pairs.clear()
+                pairs[pair] = apart
+            if apart:
                 return piece
         raise AssertionError(f"no path to {end} in {text[max(0, end - 40) : end]!r}")
 
-    def _last_unigram(self, text: str, end: int, best: dict[int, float], base: int) -> str:
-        top, found = None, ""
-        for size in range(min(self.longest, end - base), 0, -1):
+    def _last_unigram(self, text: str, end: int, best: list[float], base: int) -> str:
+        top, found, most = None, "", end - base
+        for size in range(min(self.longest, most), 0, -1):
             piece = text[end - size : end]
             s = self.score.get(piece, self.missing if size == 1 else None)
-            if s is not None and (top is None or best[end - size] + s > top):
-                top, found = best[end - size] + s, piece
-        best[end] = top
+            if s is not None and (top is None or best[most - size] + s > top):
+                top, found = best[most - size] + s, piece
+        best.append(top)
         return found
 
     def pieces_of(self, stretch: str) -> Iterator[str]:
-        """The pieces of one stretch, yielded as soon as they are final."""
-        last, best, base, n = {0: ""}, {0: 0.0}, 0, len(stretch)
+        """The pieces of one stretch, yielded as soon as they are final. last[k] ends k characters after base."""
+        last, best, base, n, bpe = [""], [0.0], 0, len(stretch), self.kind == "bpe"
         for end in range(1, n + 1):
-            last[end] = self._last_bpe(stretch, end, last, base) if self.kind == "bpe" else self._last_unigram(stretch, end, best, base)
+            last.append(self._last_bpe(stretch, end, last, base) if bpe else self._last_unigram(stretch, end, best, base))
             if end < n and (end - base) % COMMIT_EVERY == 0:
-                paths = set(range(max(base, end - self.longest + 1), end + 1))
-                while len(paths) > 1 and (far := max(paths)) > base:
+                here = end - base
+                paths = set(range(max(0, here - self.longest + 1), here + 1))
+                while len(paths) > 1 and (far := max(paths)) > 0:
                     paths.discard(far)
                     paths.add(far - len(last[far]))
                 meet = paths.pop()
-                if meet > base:
-                    yield from self._path(last, base, meet)
-                    last = {k: v for k, v in last.items() if k >= meet}
-                    best = {k: v - best[meet] for k, v in best.items() if k >= meet}
-                    base = meet
-        yield from self._path(last, base, n)
+                if meet > 0:
+                    yield from self._path(last, meet)
+                    # what was committed still borders on the next piece
+                    last, best, base = last[meet:], [x - best[meet] for x in best[meet:]], base + meet
+        yield from self._path(last, n - base)
 
     @staticmethod
-    def _path(last: dict[int, str], base: int, end: int) -> list[str]:
+    def _path(last: list[str], end: int) -> list[str]:
         found = []
-        while end > base:
+        while end > 0:
             found.append(last[end])
             end -= len(last[end])
         return found[::-1]
 
-    def _ids_of(self, stretch: str) -> tuple[int, ...]:
+    def _numbers(self, pieces) -> tuple[int, ...]:
         found: list[int] = []
-        for piece in self.pieces_of(stretch):
+        for piece in pieces:
             i = self.ids.get(piece)
             found += [i] if i is not None else [self.byte_ids[b] for b in piece.encode()] if self.byte_ids else [self.unknown]
         return tuple(found)
 
-    def encode(self, text: str) -> array:
-        out, young, get, put = array("i"), self.stretches.young, self.stretches.get, self.stretches.put
-        for stretch in _STRETCH.findall(f" {text}") if text else ():
-            found = young.get(stretch)
-            if found is None:
-                found = get(stretch)
-                if found is None:
-                    found = self._ids_of(stretch)
-                    if len(stretch) <= 4 * self.longest:
-                        put(stretch, found)
-                young = self.stretches.young
-            out.extend(found)
+    def _learn(self, stretches: list[str]) -> dict[str, tuple[int, ...]]:
+        """The ids of each short stretch. Backpointers look back only, so sorted neighbours share those of their prefix."""
+        found, before, last, best, bpe = {}, "", [""], [0.0], self.kind == "bpe"
+        for stretch in sorted(stretches):
+            same, most = 0, min(len(before), len(stretch))
+            while same < most and before[same] == stretch[same]:
+                same += 1
+            del last[same + 1 :], best[same + 1 :]
+            for end in range(same + 1, len(stretch) + 1):
+                last.append(self._last_bpe(stretch, end, last, 0) if bpe else self._last_unigram(stretch, end, best, 0))
+            found[stretch] = self._numbers(self._path(last, len(stretch)))
+            before = stretch
+        return found
+
+    def encode_all(self, texts: list[str]) -> list[array]:
+        """The ids of each text. Texts go in groups of about GROUP characters, so what is held at once is bounded."""
+        out: list[array] = []
+        at = 0
+        while at < len(texts):
+            group, held = [], 0
+            while at < len(texts) and (not group or held + len(texts[at]) <= GROUP):
+                group.append(_STRETCH.findall(f" {texts[at]}") if texts[at] else [])
+                held += len(texts[at])
+                at += 1
+            get, short = self.stretches.get, 4 * self.longest
+            known = {x: get(x) for x in set().union(*group)}
+            new = [x for x, ids in known.items() if ids is None]
+            fresh = self._learn([x for x in new if len(x) <= short])
+            known.update(fresh)
+            known.update((x, self._numbers(self.pieces_of(x))) for x in new if len(x) > short)
+            out += [array("i", chain.from_iterable(map(known.__getitem__, stretches))) for stretches in group]
+            for x, ids in fresh.items():
+                self.stretches.put(x, ids)
         return out
 
+    def encode(self, text: str) -> array:
+        return self.encode_all([text])[0]
+
     def decode(self, ids) -> str:
         return b"".join(map(self.out.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
 
+def _as_numpy(ids: array) -> np.ndarray:
+    return np.frombuffer(ids, np.int32) if len(ids) else np.empty(0, np.int32)
+
+
 def _model(path: str) -> bytes:
     return Path(path).read_bytes()  # on the driver; half a megabyte travels to the tasks
 
@@ -184,7 +271,10 @@ def encoded(text: Column, model: str = MODEL, kind: str = "bpe") -> Column:
     def encode(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         codec = Codec.load(proto, kind)
         for series in texts:
-            yield pd.Series([np.frombuffer(codec.encode(x), np.int32) if isinstance(x, str) and x else None if x is None else np.empty(0, np.int32) for x in series], dtype=object)
+            for at in range(0, len(series), ROWS):
+                some = series.iloc[at : at + ROWS]
+                found = codec.encode_all([x if isinstance(x, str) else "" for x in some])
+                yield pd.Series([_as_numpy(ids) if isinstance(x, str) else None for x, ids in zip(some, found, strict=True)], dtype=object)
 
     return encode(text)
 
@@ -214,14 +304,15 @@ def round_trip(documents: DataFrame, text: str = "text", model: str = MODEL, kin
     def there_and_back(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         codec = Codec.load(proto, kind)
         for series in texts:
-            ids, digests, exact = [], [], []
-            for x in series:
-                found = codec.encode(x) if isinstance(x, str) else array("i")
-                back = codec.decode(found)
-                ids.append(np.frombuffer(found, np.int32) if len(found) else np.empty(0, np.int32))
-                digests.append(hashlib.sha256(back.encode()).hexdigest())
-                exact.append(back == (x if isinstance(x, str) else ""))
-            yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded_sha256": digests, "exact": exact})
+            for at in range(0, len(series), ROWS):
+                ids, digests, exact = [], [], []
+                some = [x if isinstance(x, str) else "" for x in series.iloc[at : at + ROWS]]
+                for x, found in zip(some, codec.encode_all(some), strict=True):
+                    back = codec.decode(found)
+                    ids.append(_as_numpy(found))
+                    digests.append(hashlib.sha256(back.encode()).hexdigest())
+                    exact.append(back == x)
+                yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded_sha256": digests, "exact": exact})
 
     out = documents.withColumn("_r", there_and_back(F.col(text)))
     columns = {"ids": F.when(F.col(text).isNotNull(), F.col("_r.ids")), "n_ids": F.size("_r.ids").cast("long"), "decoded_sha256": F.col("_r.decoded_sha256"), "exact": F.col("_r.exact")}

@@ -31,7 +31,7 @@ from threadloom.llm.common import staged
 
 LENGTH, GRAM = 50, 24
 #: Bytes of text in a block and, on average, behind a bucket. Larger inputs get more of them.
-BLOCK_BYTES, BUCKET_BYTES, LEAST_BUCKETS = 1 << 20, 12 << 20, 16
+BLOCK_BYTES, BUCKET_BYTES, LEAST_BUCKETS = 1 << 20, 6 << 20, 16
 #: Shallow depth, in characters of eight bytes.
 SHALLOW = 2
 #: Ranges of fewer suffixes are sorted directly.

@@ -33,7 +33,8 @@ def payloads(raw: DataFrame, kind: str, schema: StructType) -> DataFrame:
 
 def numbered_by_url(comments: DataFrame) -> DataFrame:
     """The thread that a comment belongs to, from its urls."""
-    return comments.withColumn("thread_number", F.coalesce("thread_number", thread_number(F.col("p.issue_url"), F.col("p.pull_request_url"), F.col("p.html_url"))))
+    urls = [F.col(f"p.{c}") for c in ("issue_url", "pull_request_url", "html_url") if c in comments.schema["p"].dataType.names]
+    return comments.withColumn("thread_number", F.coalesce("thread_number", thread_number(*urls)))
 
 
 def source_tree(spark: SparkSession, root: str) -> DataFrame:
