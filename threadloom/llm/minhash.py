@@ -163,8 +163,8 @@ def _confirm(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, frozenset] = {}
         for batch in batches:
-            good = [similar(x.as_buffer().to_pybytes(), y.as_buffer().to_pybytes(), size, percent, seen) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(good, pa.bool_())], ["a", "b", "good"])
+            good = [similar(x.as_buffer().to_pybytes(), y.as_buffer().to_pybytes(), size, percent, seen) for x, y in zip(batch.column(4), batch.column(5), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(good, pa.bool_())], ["a", "b", "ca", "cb", "good"])
 
     return run
 
@@ -175,7 +175,7 @@ def _merge_blocks(matches: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a_out, b_out = [], []
+            out: list[list[np.ndarray]] = [[], [], [], []]
             for across, token, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 m = members.values
                 rep, comp, side, n = (m.field(k).to_numpy(zero_copy_only=False) for k in ("rep", "component", "side", "n_shingles"))
@@ -192,41 +192,46 @@ def _merge_blocks(matches: int, percent: int):
                     other = np.flatnonzero((comp != comp[i]) & (side > side[i] if across else rep > rep[i]) & (100 * n >= percent * n[i]) & (100 * n[i] >= percent * n))
                     other = other[(sig[other] == sig[i]).sum(1) >= matches] if len(other) else other
                     other = [j for j in other.tolist() if min(tokens(i) & tokens(j)) == token]
-                    a_out.append(np.minimum(rep[i], rep[other]))
-                    b_out.append(np.maximum(rep[i], rep[other]))
-            a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (a_out, b_out))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                    for column, of in ((0, rep), (2, comp)):
+                        out[column].append(np.minimum(of[i], of[other]))
+                        out[column + 1].append(np.maximum(of[i], of[other]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else [], pa.int64()) for x in out], ["a", "b", "ca", "cb"])
 
     return run
 
 
 class _Links:
-    """The links found so far and the components that they make."""
+    """The component of each representative so far, and the pairs that turned out not to be links."""
 
     def __init__(self, texts: DataFrame, signatures: DataFrame, size: int, percent: int, matches: int):
         self.texts, self.signatures, self.size, self.percent, self.matches = texts, signatures, size, percent, matches
         self.spark = texts.sparkSession
-        self.tried: DataFrame | None = None
+        self.label = signatures.select("rep", F.col("rep").alias("component"))
+        self.apart: DataFrame | None = None
 
     def confirm(self, pairs: DataFrame, counted: bool) -> bool:
-        """Try the pairs (a, b) that were not tried before; whether there was any link."""
+        """Try the pairs (a, b) of the components ca < cb, and join the components of those that are links; whether there
+        was any. Only components that this round's links join are searched, so a link is looked at once."""
         pairs = pairs.distinct()
-        if self.tried is not None:
-            pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
+        if self.apart is not None:
+            pairs = pairs.join(self.apart, ["a", "b"], "left_anti")
         if not counted:
             s = self.signatures
             pairs = pairs.join(s.select(F.col("rep").alias("a"), F.col("signature").alias("sa"), F.col("n_shingles").alias("na")), "a").join(s.select(F.col("rep").alias("b"), F.col("signature").alias("sb"), F.col("n_shingles").alias("nb")), "b")
             equal = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda e: e))
             sizes = (100 * F.col("na") >= self.percent * F.col("nb")) & (100 * F.col("nb") >= self.percent * F.col("na"))
-            pairs = pairs.where(sizes & (equal >= self.matches)).select("a", "b")
+            pairs = pairs.where(sizes & (equal >= self.matches)).select("a", "b", "ca", "cb")
         t = self.texts
         side = pairs.join(t.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a").join(t.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b")
-        found = staged(side.select("a", "b", "ta", "tb").mapInArrow(_confirm(self.size, self.percent), "a long, b long, good boolean"), "minhash-tried")
-        self.tried = found if self.tried is None else self.tried.select("a", "b", "good").unionByName(found)
-        return not found.where("good").isEmpty()
-
-    def labels(self) -> DataFrame:
-        return components(self.spark, self.tried.where("good").select("a", "b"), "minhash")
+        found = staged(side.select("a", "b", "ca", "cb", "ta", "tb").mapInArrow(_confirm(self.size, self.percent), "a long, b long, ca long, cb long, good boolean"), "minhash-tried")
+        apart = found.where("not good").select("a", "b")
+        self.apart = apart if self.apart is None else self.apart.unionByName(apart)
+        links = found.where("good").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+        if links.isEmpty():
+            return False
+        joined = components(self.spark, links, "minhash").select(F.col("node").alias("component"), F.col("component").alias("into"))
+        self.label = staged(self.label.join(joined, "component", "left").select("rep", F.coalesce("into", "component").alias("component")), "minhash-label")
+        return True
 
 
 def near_duplicates(
@@ -262,25 +267,32 @@ def near_duplicates(
         order = F.struct("weight", -F.col("rep")) if n == 0 else F.struct(F.xxhash64("rep", F.lit(n)), F.col("rep"))
         lists = state.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max_by(F.struct("rep", "component"), order).alias("centre")).where("low < high")
         met = state.join(lists.select("token", "centre"), "token").where("component <> centre.component")
-        met = met.groupBy("rep", F.col("centre.rep").alias("centre")).agg(F.count("*").alias("lists"))
-        star = met.groupBy("rep").agg(F.max_by("centre", F.struct("lists", "centre")).alias("centre")).select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b"))
-        if links.confirm(star, counted=False):
-            state = _relabelled(postings, links)
+        met = met.groupBy("rep", "component", "centre").agg(F.count("*").alias("lists"))
+        star = met.groupBy("rep", "component").agg(F.max_by("centre", F.struct("lists", "centre")).alias("centre"))
+        if links.confirm(_ordered(star), counted=False):
+            state = staged(_open_lists(state.select("token", "rep").join(links.label, "rep")), "minhash-state")
     left = state.join(state.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high"), "token")
     blocks = F.ceil(F.col("n") / block).cast("int")
     left = left.select("token", "rep", "component", blocks.alias("blocks"), F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("side")).join(signatures.drop("weight"), "rep")
     cells = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.groupBy("token", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j")).agg(F.collect_list(F.struct("rep", "component", "side", "n_shingles", "signature", "prefix")).alias("members"))
-    rest = cells.select((F.col("i") < F.col("j")).alias("across"), "token", "members").mapInArrow(_merge_blocks(matches_all, percent), "a long, b long")
+    rest = cells.select((F.col("i") < F.col("j")).alias("across"), "token", "members").mapInArrow(_merge_blocks(matches_all, percent), "a long, b long, ca long, cb long")
     links.confirm(rest, counted=True)
 
-    label = links.labels().select(F.col("node").alias("rep"), F.col("component").alias("component_id"))
+    label = links.label.select("rep", F.col("component").alias("component_id"))
     classes = classes.select("low", "high", "n_shingles", "rep").join(label, "rep", "left").select("low", "high", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
     own = features.select("doc_id", "n_shingles", "low", "high").join(classes, ["low", "high", "n_shingles"], "left")
     own = own.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
     return own.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
-def _relabelled(postings: DataFrame, links: _Links) -> DataFrame:
-    label = links.labels().select(F.col("node").alias("rep"), "component")
-    return staged(postings.join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep")), "minhash-state")
+def _ordered(star: DataFrame) -> DataFrame:
+    """(rep, component, centre) as pairs a < b of components ca < cb."""
+    c = F.col("centre")
+    return star.select(F.least("rep", c["rep"]).alias("a"), F.greatest("rep", c["rep"]).alias("b"), F.least("component", c["component"]).alias("ca"), F.greatest("component", c["component"]).alias("cb"))
+
+
+def _open_lists(state: DataFrame) -> DataFrame:
+    """The postings of lists that hold several components; lists within one component are done with."""
+    several = state.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    return state.join(several.select("token"), "token", "left_semi")
