@@ -35,6 +35,27 @@ def precedent_references(documents: DataFrame, text: Column, threads: DataFrame)
     return found.join(threads.select("repo", F.col("number").alias("precedent")), ["repo", "precedent"], "left_semi")
 
 
+def holders(documents: DataFrame, items: DataFrame, window: int = 13) -> DataFrame:
+    """(question, item), distinct: the documents (item, words) that hold a passage of an item (question, words).
+
+    A passage is `window` consecutive words, or the whole item if it is shorter. Windows meet by hash and are then compared.
+    """
+    size = F.least(F.size("words"), F.lit(window))
+    cut = items.where("size(words) > 0").select("question", "words", size.alias("size"))
+    cut = cut.select("question", "size", F.explode(F.transform(F.sequence(F.lit(1), F.size("words") - F.col("size") + 1), lambda i: F.slice("words", i, F.col("size")))).alias("window"))
+    cut = cut.select("question", "size", "window", F.xxhash64("window").alias("h")).distinct()
+    sizes = sorted(r["size"] for r in cut.select("size").distinct().collect())  # `window` values at most
+    none = F.array().cast("array<bigint>")
+
+    def hashes(n: int) -> Column:
+        return F.when(F.size("words") >= n, F.transform(F.sequence(F.lit(1), F.size("words") - n + 1), lambda i: F.xxhash64(F.slice("words", i, n)))).otherwise(none)
+
+    held = documents.select("item", F.explode(F.array_distinct(F.concat(none, *map(hashes, sizes)))).alias("h"))
+    met = held.join(cut, "h").select("item", "question", "window").distinct()
+    spaced = lambda words: F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+    return met.join(documents, "item").where(F.contains(spaced("words"), spaced("window"))).select("question", "item").distinct()
+
+
 def question_key(kind: Column, query: Column, filters: Column) -> Column:
     return F.struct(kind.alias("kind"), F.lower(F.trim(F.regexp_replace(query, r"\s+", " "))).alias("query"), filters.alias("filters"))
 

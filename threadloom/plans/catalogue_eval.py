@@ -29,7 +29,7 @@ select a.number, a.comment, {_CUE_SQL} as score from p a join p b on a.number =
 def mine_rationale_pairs(spark: SparkSession, d: str) -> DataFrame:
     posts = view(spark, d, "h_posts").select(
         F.lit("r").alias("repo"), "number", F.col("comment").alias("source_id"), F.when(F.col("comment") % 2 == 1, "authoritative").otherwise("reported").alias("trust"),
-        F.concat(F.lit("u"), (F.col("comment") % 5).cast("string")).alias("author"), F.substring("body", 1, 400).alias("body_text"),
+        F.concat(F.lit("u"), (F.col("comment") % 5).cast("string")).alias("author"), F.col("body").alias("body_text"),
     )
     return evaluation.rationale_pairs(posts, F.col("source_id") - 1).select("number", F.col("source_id").alias("comment"), "score")
 
@@ -74,17 +74,14 @@ def bench_recall_mrr(spark: SparkSession, d: str) -> DataFrame:
     """A whole set of questions at once: their terms meet the postings in one join, and the ranks in one window."""
     docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
     found = fulltext.postings(docs, analyzer=ascii_words)
-    asked = items.select(F.col("item_id").alias("question"), F.explode(F.array_distinct(F.slice(ascii_words(F.col("text")), 1, 4))).alias("term"))
+    asked = items.select(F.col("item_id").alias("question"), F.explode(F.array_distinct(ascii_words(F.col("text")))).alias("term")).distinct()
     df, total = found.groupBy("term").agg(F.count("*").alias("df")), F.broadcast(fulltext.totals(found))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("doc_len") / F.col("mean_len")))
     scored = found.join(asked, "term").join(df, "term").join(total).groupBy("question", F.col("doc_id").alias("item")).agg(F.round(F.sum(part), 6).alias("score"))
     results = evaluation.ranked(scored, ["question"], [F.col("score").desc(), F.col("item")])
-    # what a question should find: documents that hold its first 60 characters, met on their first words and then compared
-    first = F.element_at(ascii_words(F.col("text")), 2)
-    heads = items.select(F.col("item_id").alias("question"), F.substring("text", 1, 60).alias("head"), first.alias("term"))
-    holders = found.select("doc_id", "term").join(F.broadcast(heads), "term").join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("head")))
-    relevant = holders.select("question", F.col("doc_id").alias("item"))
+    # what a question should find: documents that hold any passage of it
+    relevant = evaluation.holders(docs.select(F.col("doc_id").alias("item"), ascii_words(F.col("text")).alias("words")), items.select(F.col("item_id").alias("question"), ascii_words(F.col("text")).alias("words")))
     scores = evaluation.retrieval_scores(results, relevant, [])
     return scores.select("questions", *(F.round(c, 6).alias(c) for c in ("recall_5", "recall_10", "mrr")))
 
