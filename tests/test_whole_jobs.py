@@ -54,3 +54,11 @@ def test_bench_asks_all_words_and_wants_later_passages(spark, tmp_path):
     got = QUERIES["bench_recall_mrr"](spark, d).first()
     assert (got["questions"], got["recall_5"], got["mrr"]) == brute_scores(docs, list(enumerate(item)))
     assert got["questions"] == 3
+
+
+def test_paths_are_read_from_all_lines(spark, tmp_path):
+    text = 'Look at lib/deep/core.py first.\nThen tests/unit/test_x.py::test_y fails:\n  File "pkg/run.py", line 3, in go\nsrc/a/b.rs:12 is not it, https://host.org/no/way.py neither'
+    d = put(spark, tmp_path, "conversations", [(1, 0, "user", text), (2, 0, "user", "plain")], CONVERSATIONS)
+    got = {(r["number"], r["path"]) for r in QUERIES["extract_paths"](spark, d).collect()}
+    heads = {(n, f"src/m{n}.py") for n in (1, 2)} | {(n, f"tests/test_m{n}.py") for n in (1, 2)}
+    assert got == heads | {(1, p) for p in ("lib/deep/core.py", "tests/unit/test_x.py", "pkg/run.py", "src/a/b.rs")}

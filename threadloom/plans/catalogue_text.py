@@ -96,7 +96,7 @@ def extract_tests(spark: SparkSession, d: str) -> DataFrame:
 
 @query(r"select distinct number, unnest(['src/m' || cast(number % 50 as varchar(20)) || '.py', 'tests/test_m' || cast(number % 7 as varchar(20)) || '.py']) as path from h_posts")
 def extract_paths(spark: SparkSession, d: str) -> DataFrame:
-    return extract.paths(view(spark, d, "h_posts"), F.substring_index("body", "\n", 1), "number")
+    return extract.paths(view(spark, d, "h_posts"), F.col("body"), "number")
 
 
 @query(
