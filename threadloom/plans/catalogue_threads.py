@@ -170,8 +170,7 @@ r as (select s.*, repo, row_number() over (partition by asked order by shared de
 select asked, number, repo, shared, position from r where position <= 5"""
 )
 def brief_file_history(spark: SparkSession, d: str) -> DataFrame:
-    files = view(spark, d, "h_files")
-    rows = provenance.file_history(files, view(spark, d, "h_threads"), files.where("number < 200"))
+    rows = provenance.file_histories(view(spark, d, "h_files"), view(spark, d, "h_threads"))
     return rows.select("asked", "number", "repo", "shared", F.col("position").cast("long").alias("position"))
 
 
