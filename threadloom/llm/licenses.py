@@ -107,38 +107,55 @@ def normal_sentence(sentence: str) -> str:
     return re.sub(r"[^a-z0-9]+", " ", sentence.lower()).strip()
 
 
+#: Stands for a line break within a paragraph, where a sentence may or may not end.
+_SOFT = "\x01"
+
+
 def _sentences(text: Column) -> Column:
-    marked = F.regexp_replace(text, _ENDS, "$1\n")
-    return F.filter(F.split(F.regexp_replace(marked, r"[^a-z0-9\n]+", " "), r" ?\n[ \n]*"), lambda s: F.trim(s) != "")
+    """The sentences of the paragraphs, with _SOFT where lines break inside them."""
+    joined = F.regexp_replace(F.translate(text, _SOFT, "-"), r"\n[\x20\x09-\x0D]*\n", ".\n")
+    joined = F.regexp_replace(joined, r"([^.;:!?])\n", "$1" + _SOFT)
+    marked = F.regexp_replace(joined, _ENDS, "$1\n")
+    return F.split(F.regexp_replace(marked, r"[^a-z0-9\n\x01]+", " "), r" ?\n[ \n]*")
+
+
+def _parts(sentence: Column) -> Column:
+    return F.filter(F.transform(F.split(sentence, _SOFT), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def _known(sentences: Column, known: dict[str, str]) -> Column:
+    """The identifiers of each sentence: of its lines if all are known, else of the whole if it is, else of the known lines."""
     ids = F.create_map(*(F.lit(x) for i, s in known.items() for x in (normal_sentence(s), i)))
-    return F.filter(F.transform(sentences, lambda s: F.element_at(ids, F.trim(s))), lambda i: i.isNotNull())
+
+    def read(sentence: Column) -> Column:
+        parts = _parts(sentence)
+        lines = F.filter(F.transform(parts, lambda s: F.element_at(ids, s)), lambda i: i.isNotNull())
+        whole = F.element_at(ids, F.array_join(parts, " "))
+        return F.when(whole.isNotNull() & (F.size(lines) < F.size(parts)), F.array(whole)).otherwise(lines)
+
+    return F.flatten(F.transform(sentences, read))
 
 
 def licensed(documents: DataFrame, text: str = "text", sentences: dict[str, str] | None = None, rules: tuple = RULES) -> DataFrame:
     """documents with n_sentences, n_known, ids, licenses, n_left.
 
-    ids has the identifiers of the known sentences in their order, from the lines of the text or, if that finds more,
-    from its paragraphs with line breaks undone (wrapped license texts). Rules apply in their order; each takes every
+    ids has the identifiers of the known sentences in their order, read as lines of the text and as sentences of its
+    paragraphs with line breaks undone (wrapped license texts); what both readings show enters once. Rules apply in their order; each takes every
     run of identifiers that equals its sequence; licenses has the names found, sorted and distinct; n_left counts the
     identifiers that no rule took. Null and empty texts have no sentences. Every row stays one row; columns with the
     names of the result are replaced.
     """
     known = SENTENCES if sentences is None else sentences
     lower = ascii_lower(F.coalesce(F.col(text), F.lit("")))
-    joined = F.regexp_replace(F.regexp_replace(lower, r"\n[\x20\x09-\x0D]*\n", ".\n"), r"([^.;:!?])\n", "$1 ")
-    out = documents.withColumns({"_lines": _sentences(lower), "_paragraphs": _known(_sentences(joined), known)})
-    out = out.withColumns({"n_sentences": F.size("_lines").cast("long"), "_known": _known(F.col("_lines"), known)})
-    out = out.withColumn("ids", F.when(F.size("_paragraphs") > F.size("_known"), F.col("_paragraphs")).otherwise(F.col("_known")))
+    out = documents.withColumn("_sentences", _sentences(lower))
+    out = out.withColumns({"n_sentences": F.aggregate("_sentences", F.lit(0).cast("long"), lambda n, s: n + F.size(_parts(s))), "ids": _known(F.col("_sentences"), known)})
     left = F.concat(F.lit(","), F.array_join("ids", ",,"), F.lit(","))
     for name, sequence in rules:
         left = F.replace(left, F.lit("," + ",,".join(sequence) + ","), F.lit(f",<{name}>,"))
     out = out.withColumn("_left", F.filter(F.split(left, ",+"), lambda x: x != ""))
     names = F.array_sort(F.array_distinct(F.transform(F.filter("_left", lambda x: F.startswith(x, F.lit("<"))), lambda x: F.substring(x, F.lit(2), F.char_length(x) - 2))))
     out = out.withColumns({"n_known": F.size("ids").cast("long"), "licenses": names, "n_left": F.size(F.filter("_left", lambda x: ~F.startswith(x, F.lit("<")))).cast("long")})
-    return out.drop("_lines", "_paragraphs", "_known", "_left")
+    return out.drop("_sentences", "_left")
 
 
 def report(found: DataFrame, key: str = "doc_id") -> DataFrame:
