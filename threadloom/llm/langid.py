@@ -1,7 +1,7 @@
 """Language identification as mixture inference.
 
 Each language has a distribution over hashed byte trigrams. Expectation-maximisation estimates a text's proportions of
-the languages from its trigrams' likelihoods; among the leading one, two, three ... languages the set with the best
+the languages from its trigrams' likelihoods; among the leading one, two, three ... up to all languages the set with the best
 penalised likelihood (BIC) is selected.
 """
 
@@ -21,7 +21,6 @@ BUCKETS = 4096
 SAMPLE_PER_LANGUAGE = 4000
 SMOOTHING = 0.05
 ROUNDS, ROUNDS_EACH = 8, 4
-MOST_LANGUAGES = 3
 #: Trigrams overlap, so a text of n of them has about n / 3 independent ones.
 EFFECTIVE = 1 / 3
 UNDETERMINED = "und"
@@ -63,7 +62,7 @@ class Model:
         rank = np.empty_like(order)
         np.put_along_axis(rank, order, np.arange(found)[None, :].repeat(len(counts), 0), 1)
         best, best_cost = np.zeros_like(full), np.full(len(counts), np.inf)
-        for k in range(1, min(MOST_LANGUAGES, found) + 1):
+        for k in range(1, found + 1):
             pi = np.where(rank < k, np.maximum(full, np.float32(1e-3)), np.float32(0))
             pi /= pi.sum(1, keepdims=True)
             pi = fitted(pi, ROUNDS_EACH) if k > 1 else pi
