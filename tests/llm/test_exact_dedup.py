@@ -4,7 +4,7 @@ from collections import defaultdict
 
 import pytest
 
-from threadloom.llm import exact_dedup
+from threadloom.llm import common, exact_dedup
 
 SCHEMA = "doc_id long, text string, keep_id string, kept string"
 
@@ -37,7 +37,7 @@ def test_groups_against_brute_force(spark):
 def test_a_full_filter_changes_nothing_but_the_shuffle(spark):
     rows = [(i, f"text {i % 700}") for i in range(2000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    small = exact_dedup.exact_groups(docs, most_filter_bits=exact_dedup.BLOCK_BITS)
+    small = exact_dedup.exact_groups(docs, most_filter_bits=common.BLOCK_BITS)
     assert sorted(map(tuple, small.collect())) == sorted(map(tuple, exact_dedup.exact_groups(docs).collect()))
 
 
@@ -56,4 +56,4 @@ def test_empty_table(spark):
 
 @pytest.mark.parametrize("rows", [0, 1, 10**6, 10**12])
 def test_the_filter_is_bounded(rows):
-    assert exact_dedup.BLOCK_BITS <= exact_dedup.filter_bits(rows) <= exact_dedup.MOST_FILTER_BITS
+    assert common.BLOCK_BITS <= exact_dedup.filter_bits(rows) <= exact_dedup.MOST_FILTER_BITS

@@ -59,7 +59,7 @@ def test_one_large_group_of_near_copies(spark):
     r = random.Random(9)
     base = [f"w{i}" for i in range(150)]
     rows = [(i, edited(r, base, 0.02)) for i in range(300)] + [(1000 + i, edited(r, base, 0.25)) for i in range(40)]
-    got = run(spark, rows, size=2, block=64)
+    got = run(spark, rows, size=2, cell=5000)
     assert {r.doc_id: r.component_id for r in got} == brute(rows, 2)
 
 
@@ -70,9 +70,25 @@ def test_repeated_ids_and_empty_table(spark):
     assert run(spark, []) == []
 
 
-def test_word_hashes_do_not_depend_on_how_texts_are_put_together():
-    texts = [b"Ab cD  e", b"", b" ", b"ab", b"cd e "]
-    joined, ends = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([len(t) for t in texts])
-    h, starts = minhash.word_hashes(joined, ends)
-    alone = np.concatenate([minhash.word_hashes(np.frombuffer(t, np.uint8), np.empty(0, int))[0] for t in texts])
-    assert (h == alone).all() and h[0] == h[3] and len(starts) == 6
+def test_a_repeated_id_links_its_texts_and_near_copies_of_any_of_them(spark):
+    a, b = [f"a{i}" for i in range(60)], [f"b{i}" for i in range(60)]
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join([*a[:59], "x"])), (3, " ".join([*b[:59], "y"]))]
+    got = run(spark, rows, size=2)
+    assert len(got) == 4 and {r.component_id for r in got} == {1}
+
+
+def test_words_of_long_texts_are_those_of_the_whole(monkeypatch):
+    texts = [b"Ab cD  e", b"", b" ", b"ab\x0b\x0cCD", b"x" * 50 + b" tail", b" lead and  trail "]
+    whole = [minhash.words_of(t) for t in texts]
+    for n in (1, 2, 3, 7):
+        monkeypatch.setattr(minhash, "_SLICE", n)
+        for t, (hashes, _) in zip(texts, whole, strict=True):
+            assert [w for part in minhash._slices(t) for w in part] == t.lower().split()
+            assert (minhash.words_of(t)[0] == hashes).all()
+
+
+def test_digests_of_long_texts_do_not_depend_on_the_slices(monkeypatch):
+    text = b"one  two\tthree " * 50
+    want = minhash.words_of(text)[1]
+    monkeypatch.setattr(minhash, "_SLICE", 11)
+    assert minhash.words_of(text)[1] == want

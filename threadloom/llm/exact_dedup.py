@@ -11,11 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import numbered, staged
-
-BLOCK_BITS = 32768
-#: 2**27 bits are 16 MiB of blocks.
-MOST_FILTER_BITS = 1 << 27
+from threadloom.llm.common import MOST_FILTER_BITS, bit_blocks, bit_set, cell_of, filter_bits, numbered, spare_name, staged
 
 
 def normalised(text: Column) -> Column:
@@ -23,33 +19,16 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
-def filter_bits(rows: int, most: int = MOST_FILTER_BITS) -> int:
-    bits = BLOCK_BITS
-    while bits < min(most, 32 * rows):
-        bits *= 2
-    return min(bits, most)
-
-
 def _cells(bits: int) -> list[tuple[Column, Column]]:
     """(block, bit within it) of a digest's two cells."""
-    blocks = bits // BLOCK_BITS
-    found = []
-    for seed in (1, 2):
-        h = F.xxhash64("text_sha256", F.lit(seed))
-        found.append((F.pmod(F.shiftrightunsigned(h, 15), F.lit(blocks)).cast("int"), F.pmod(h, F.lit(BLOCK_BITS)).cast("int")))
-    return found
+    return [cell_of(F.xxhash64("text_sha256", F.lit(seed)), bits) for seed in (1, 2)]
 
 
 def repeat_filter(digests: DataFrame, bits: int) -> DataFrame:
-    """(block, bitmap): the cells that at least two rows hit. Counts combine before the shuffle, so a hot text costs one row a task."""
+    """(block, longs): the cells that at least two rows hit. Counts combine before the shuffle, so a hot text costs one row a task."""
     cells = F.array(*(F.struct(block.alias("block"), bit.alias("bit")) for block, bit in _cells(bits)))
     hit = digests.select(F.explode(cells).alias("cell")).groupBy("cell.block", "cell.bit").agg(F.count("*").alias("hits")).where("hits > 1")
-    return hit.groupBy("block").agg(F.bitmap_construct_agg(F.col("bit").cast("long")).alias("bitmap"))
-
-
-def _bit_set(bitmap: Column, bit: Column) -> Column:
-    byte = F.conv(F.hex(F.substring(bitmap, (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.coalesce(F.getbit(byte, bit % 8) == 1, F.lit(False))
+    return bit_blocks(hit.select("block", "bit"))
 
 
 def exact_groups(documents: DataFrame, text: str = "text", key: str = "doc_id", salts: int = 64, most_filter_bits: int = MOST_FILTER_BITS) -> DataFrame:
@@ -65,7 +44,7 @@ def exact_groups(documents: DataFrame, text: str = "text", key: str = "doc_id",
     blocks = F.broadcast(repeat_filter(digests, bits))
     probed = digests
     for n, (block, bit) in enumerate(_cells(bits)):
-        probed = probed.withColumn("block", block).join(blocks, "block", "left").withColumn(f"hit{n}", F.col("bitmap").isNotNull() & _bit_set(F.col("bitmap"), bit)).drop("block", "bitmap")
+        probed = probed.withColumn("block", block).join(blocks, "block", "left").withColumn(f"hit{n}", F.coalesce(bit_set(F.col("longs"), bit), F.lit(False))).drop("block", "longs")
     probed = staged(probed.select("doc_id", "uid", "text_sha256", (F.col("hit0") & F.col("hit1")).alias("maybe")), "exact-probed")
 
     alone = probed.where(~F.col("maybe")).select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
@@ -87,7 +66,8 @@ def deduplicated(documents: DataFrame, text: str = "text", key: str = "doc_id")
     left = documents.join(others, documents[key].cast("long").eqNullSafe(others["gone_id"]) & (digest == others["digest"]), "left_anti")
     if gone.where("again").isEmpty():
         return left
-    return left.withColumn("_digest", digest).dropDuplicates([key, "_digest"]).drop("_digest")
+    d = spare_name(left)
+    return left.withColumn(d, digest).dropDuplicates([key, d]).drop(d)
 
 
 ORACLE_SQL = r"""

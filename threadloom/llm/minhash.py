@@ -1,45 +1,45 @@
 """MinHash near-duplicates by an inverted join over signature coordinates.
 
-1. Each text's set of word shingles gives a signature of COORDINATES minima. Texts with equal sets form a class and go on
-   as one representative.
-2. A representative is posted under its first POSTED coordinate-value pairs. Two sets that agree in at least MATCHES of
-   them agree in one of the POSTED - MATCHES + 1 rarest of either, so only that prefix is posted; pairs that one
-   representative alone has take up places of the prefix without a posting.
-3. Posting lists are worked off in rounds. In each, every list has one centre, and each member is paired with the centre
-   that it meets in most lists; verified links join components, and lists that lie within one component are skipped. What
-   is left is merged in blocks of a bounded size: collisions of whole signatures are counted there, and only pairs of
-   different components at or above the threshold come out, each from the first list that has both.
-4. Every pair is confirmed on the full sets of both texts.
+1. Texts that are equal but for case and white space are one class, a node from here on. The set of word shingles of each
+   gives a signature of COORDINATES coordinates, each of which is a pair of minima: two sets agree in it with a chance of
+   their similarity squared, so unlike texts hardly ever meet and posting lists do not grow with the square of the corpus.
+2. A node is posted under its coordinate-value pairs (tokens). Two sets that agree in at least MATCHES coordinates share
+   one of the COORDINATES - MATCHES + 1 rarest of either, so only that prefix is posted; pairs that one node alone has
+   take up places of the prefix without a posting.
+3. Every posting list names its heaviest node, and every node is at home with the one that most of its lists name. Two
+   nodes that share a posting have one home, or the one visits the other's: so each pair that can reach the threshold
+   meets in a home, and a group of g near-copies is g rows, not g * g pairs.
+4. A home is dealt into cells of a bounded number of shingles. In a cell a probe merges the posting lists of its own
+   tokens: the shortest lists give the candidates, the longest are skipped and only looked up, and collisions below the
+   threshold end there. What is left is compared on the full sets, in the cell, and only links come out, one for each
+   component that the probe meets. First the home's centre probes all members, then those that it did not link and the
+   visitors probe the members.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import components, staged
+from threadloom.llm.common import components, maybe_in, numbered, staged
 
-#: A signature has COORDINATES minima, the first POSTED of which are posted.
-COORDINATES, POSTED = 96, 48
-#: At a similarity of 0.8 a pair agrees in 38 of 48 coordinates on average; fewer than 26 has a chance of about 1 in 50,000.
-#: Of 96 it agrees in 77; fewer than 58 has a chance of about 1 in 500,000.
-MATCHES, MATCHES_ALL = 26, 58
-BLOCK = 256
-STAR_ROUNDS = 4
+#: Coordinates of a signature, all of which are posted, and those that must agree. At a similarity of 0.8 two sets agree in
+#: 15 of 24 on average; fewer than 6 has a chance of about 1 in 51,000.
+COORDINATES, MATCHES = 24, 6
+#: Shingles of the members of a cell, and of its probes: 8 bytes each.
+CELL = 1 << 20
 _SLICE = 1 << 20
 
 _random = np.random.default_rng(20240229)
-_BYTE = _random.integers(0, 2**64, 256, np.uint64)
-_BYTE[65:91] = _BYTE[97:123]  # A-Z as a-z
-_POWER = np.cumprod(np.full(1 << 16, 0x9E3779B97F4A7C15, np.uint64))
-_XOR = _random.integers(0, 2**64, COORDINATES, np.uint64)
-_MULTIPLY = _random.integers(0, 2**64, COORDINATES, np.uint64) | np.uint64(1)
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
+_XOR = _random.integers(0, 2**64, 2 * COORDINATES, np.uint64)
+_MULTIPLY = _random.integers(0, 2**64, 2 * COORDINATES, np.uint64) | np.uint64(1)
+_PLACE = _random.integers(0, 2**64, COORDINATES, np.uint64)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -48,30 +48,24 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def word_hashes(b: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, start) of every word of the bytes b; a word never runs across one of the breaks."""
-    inside = ~_SPACE[b]
-    first = inside.copy()
-    first[1:] &= ~inside[:-1]
-    breaks = breaks[breaks < len(b)]
-    first[breaks] = inside[breaks]
-    starts = np.flatnonzero(first)
-    if not len(starts):
-        return np.empty(0, np.uint64), starts
-    place = np.arange(len(b)) - starts[np.maximum(np.cumsum(first) - 1, 0)]
-    return _mixed(np.add.reduceat(np.where(inside, _BYTE[b] * _POWER[place & 0xFFFF], np.uint64(0)), starts)), starts
-
-
-def _slices(b: np.ndarray) -> Iterator[np.ndarray]:
-    """b in parts of about _SLICE bytes, cut before white space."""
-    at = 0
-    while at < len(b):
-        end = at + _SLICE
-        if end < len(b):
-            space = np.flatnonzero(_SPACE[b[end : end + _SLICE]])
-            end = end + int(space[0]) if len(space) else len(b)
-        yield b[at:end]
-        at = end
+def _slices(text: bytes) -> Iterator[list[bytes]]:
+    """The words of the text, A-Z lower-cased, in parts of about _SLICE bytes."""
+    rest = b""
+    for at in range(0, len(text), _SLICE):
+        part = rest + text[at : at + _SLICE].lower()
+        words = part.split()
+        rest = b"" if not words or part[-1:].isspace() or at + _SLICE >= len(text) else words.pop()
+        yield words
+
+
+def words_of(text: bytes) -> tuple[np.ndarray, bytes]:
+    """(a hash of each word, a digest of the sequence of words)."""
+    parts, digest = [], hashlib.blake2b(digest_size=16)
+    for words in _slices(text):
+        if words:
+            parts.append(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)))
+            digest.update(b" ".join(words) + b" ")
+    return np.concatenate(parts) if parts else np.empty(0, np.uint64), digest.digest()
 
 
 def shingles(words: np.ndarray, size: int) -> np.ndarray:
@@ -86,213 +80,208 @@ def shingles(words: np.ndarray, size: int) -> np.ndarray:
 
 
 def signature(s: np.ndarray) -> np.ndarray:
-    low = np.full(COORDINATES, 2**32 - 1, np.uint64)
+    """The tokens of a set: a hash of each coordinate and its value."""
+    low = np.full(2 * COORDINATES, 2**32 - 1, np.uint64)
     for at in range(0, len(s), 4096):
         low = np.minimum(low, (((s[at : at + 4096, None] ^ _XOR) * _MULTIPLY) >> np.uint64(32)).min(0))
-    return low.astype(np.uint32).view(np.int32)
+    return _mixed((low[::2] << np.uint64(32) | low[1::2]) ^ _PLACE)
+
+
+def _bytes_of(column: pa.Array) -> Iterator[bytes]:
+    for value in column:
+        raw = value.as_buffer()
+        yield raw.to_pybytes() if raw is not None else b""
 
 
 def _features(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            n, low, high, signatures = [], [], [], []
-
-            def add(words: np.ndarray) -> None:
+            n, high, low, signatures = [], [], [], []
+            for text in _bytes_of(batch.column(2)):
+                words, digest = words_of(text)
                 s = shingles(words, size)
                 n.append(len(s))
-                low.append(int(s.sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
-                high.append(int(np.bitwise_xor.reduce(_mixed(s)).view(np.int64)) if len(s) else 0)
-                signatures.append(signature(s) if len(s) else np.empty(0, np.int32))  # noqa: B023
-
-            group: list[np.ndarray] = []
-
-            def flush() -> None:
-                if group:  # noqa: B023
-                    ends = np.cumsum([len(x) for x in group])  # noqa: B023
-                    h, starts = word_hashes(np.concatenate(group), ends)  # noqa: B023
-                    cuts = np.searchsorted(starts, ends)
-                    for a, z in zip([0, *cuts[:-1]], cuts, strict=True):
-                        add(h[a:z])
-                    group.clear()  # noqa: B023
-
-            held = 0
-            for value in texts:
-                raw = value.as_buffer()
-                b = np.frombuffer(raw, np.uint8) if raw is not None else np.empty(0, np.uint8)
-                if len(b) > _SLICE:
-                    flush()
-                    add(np.concatenate([word_hashes(x, np.empty(0, np.int64))[0] for x in _slices(b)]))
-                    held = 0
-                    continue
-                group.append(b)
-                held += len(b)
-                if held > _SLICE:
-                    flush()
-                    held = 0
-            flush()
-            flat = np.concatenate(signatures) if signatures else np.empty(0, np.int32)
-            offsets = np.cumsum([0, *(len(x) for x in signatures)]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int32()))], ["doc_id", "n_shingles", "low", "high", "signature"])
+                high.append(int.from_bytes(digest[:8], "big", signed=True))
+                low.append(int.from_bytes(digest[8:], "big", signed=True))
+                signatures.append(signature(s).view(np.int64) if len(s) else np.empty(0, np.int64))
+            offsets = np.cumsum([0, *map(len, signatures)]).astype(np.int32)
+            flat = np.concatenate(signatures) if signatures else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int64()))], ["doc_id", "of", "n_shingles", "high", "low", "signature"])
 
     return run
 
 
-def similar(a: bytes, b: bytes, size: int, percent: int, seen: dict | None = None) -> bool:
-    """Whether 100 * intersection >= percent * union of the two shingle sets."""
-
-    def of(text: bytes) -> frozenset:
-        words = text.lower().split()
-        return frozenset(zip(*(words[i:] for i in range(size)), strict=False)) if len(words) >= size else frozenset([tuple(words)] if words else [])
-
-    def kept(text: bytes) -> frozenset:
-        if seen is None:
-            return of(text)
-        if text not in seen:
-            if len(seen) > 1:
-                seen.clear()
-            seen[text] = of(text)
-        return seen[text]
-
-    x, y = kept(a), kept(b)
-    both = len(x & y)
-    return 100 * both >= percent * (len(x) + len(y) - both) > 0
-
-
-def _confirm(size: int, percent: int):
+def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, frozenset] = {}
         for batch in batches:
-            good = [similar(x.as_buffer().to_pybytes(), y.as_buffer().to_pybytes(), size, percent, seen) for x, y in zip(batch.column(4), batch.column(5), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(good, pa.bool_())], ["a", "b", "ca", "cb", "good"])
+            sets = [shingles(words_of(text)[0], size).tobytes() for text in _bytes_of(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("node", "home", "cells", "leads")), pa.array(sets, pa.binary())], ["node", "home", "cells", "leads", "shingles"])
 
     return run
 
 
-def _merge_blocks(matches: int, percent: int):
-    """Pairs of different components whose sizes allow the similarity and whose signatures agree often enough, within a
-    block or between two. A pair comes out of the list of its smallest common token only."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list[np.ndarray]] = [[], [], [], []]
-            for across, token, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                m = members.values
-                rep, comp, side, n = (m.field(k).to_numpy(zero_copy_only=False) for k in ("rep", "component", "side", "n_shingles"))
-                sig = m.field("signature").flatten().to_numpy().reshape(len(rep), -1)
-                prefix = m.field("prefix")
-                sets: dict[int, frozenset] = {}
-
-                def tokens(i: int) -> frozenset:
-                    if i not in sets:  # noqa: B023
-                        sets[i] = frozenset(prefix[i].as_py())  # noqa: B023
-                    return sets[i]  # noqa: B023
-
-                for i in range(len(rep)):
-                    other = np.flatnonzero((comp != comp[i]) & (side > side[i] if across else rep > rep[i]) & (100 * n >= percent * n[i]) & (100 * n[i] >= percent * n))
-                    other = other[(sig[other] == sig[i]).sum(1) >= matches] if len(other) else other
-                    other = [j for j in other.tolist() if min(tokens(i) & tokens(j)) == token]
-                    for column, of in ((0, rep), (2, comp)):
-                        out[column].append(np.minimum(of[i], of[other]))
-                        out[column + 1].append(np.maximum(of[i], of[other]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else [], pa.int64()) for x in out], ["a", "b", "ca", "cb"])
+class Cell:
+    """The members of a cell, the posting lists of their tokens, and which of them are known to be linked."""
+
+    def __init__(self, nodes: np.ndarray, sets: list[np.ndarray], percent: int, matches: int):
+        self.nodes, self.sets, self.percent, self.matches = nodes, sets, percent, matches
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        self.ends = np.cumsum(self.sizes)
+        self.signatures = np.stack([signature(s) for s in sets])
+        tokens = self.signatures.ravel()
+        order = np.argsort(tokens, kind="stable")
+        self.tokens, self.posted = tokens[order], order // COORDINATES
+        self.distinct, self.flat = np.unique(np.concatenate(sets), return_inverse=True)
+        self.component = np.arange(len(sets))
+
+    def _collisions(self, own: np.ndarray, open_: np.ndarray) -> np.ndarray:
+        """The open members that agree with a signature in enough coordinates, by prefix and skip merging."""
+        first, last = np.searchsorted(self.tokens, own), np.searchsorted(self.tokens, own, "right")
+        shortest = np.argsort(last - first, kind="stable")[: COORDINATES - self.matches + 1]
+        met = np.zeros(len(self.nodes), bool)
+        for k in shortest.tolist():
+            met[self.posted[first[k] : last[k]]] = True
+        found = np.flatnonzero(met & open_)
+        return found[(self.signatures[found] == own).sum(1) >= self.matches]
+
+    def linked(self, s: np.ndarray, open_: np.ndarray) -> np.ndarray:
+        """The open members whose sets are similar enough to s."""
+        fits = (100 * self.sizes >= self.percent * len(s)) & (100 * len(s) >= self.percent * self.sizes)
+        found = self._collisions(signature(s), open_ & fits)
+        if not len(found):
+            return found
+        at = np.minimum(np.searchsorted(self.distinct, s), len(self.distinct) - 1)
+        in_s = np.zeros(len(self.distinct), bool)
+        in_s[at[self.distinct[at] == s]] = True
+        both = np.array([np.count_nonzero(in_s[self.flat[self.ends[i] - self.sizes[i] : self.ends[i]]]) for i in found.tolist()])
+        return found[100 * both >= self.percent * (len(s) + self.sizes[found] - both)]
+
+    def probe(self, node: int, s: np.ndarray, component: int) -> Iterator[tuple[int, int]]:
+        """The links of a node to the components that it meets; they are one with it from then on."""
+        found = self.linked(s, (self.component != component) & (self.nodes != node))
+        if len(found):
+            met, first = np.unique(self.component[found], return_index=True)
+            yield from ((node, int(self.nodes[i])) for i in found[first])
+            self.component[np.isin(self.component, met)] = component
+
+
+def _in_cell(percent: int, matches: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Rows of a cell -> (a, b): links, and (a, null) for members that probe the other cells of their home."""
+        nodes, kinds, alone = (table.column(k).to_pylist() for k in ("node", "kind", "alone"))
+        sets = [np.frombuffer(s, np.uint64) for s in _bytes_of(table.column("shingles"))]
+        members = [i for i, k in enumerate(kinds) if k == "member"]
+        out: list[tuple[int, int | None]] = []
+        if members:
+            cell = Cell(np.array([nodes[i] for i in members], np.int64), [sets[i] for i in members], percent, matches)
+            for i in sorted((i for i, k in enumerate(kinds) if k != "member"), key=lambda i: nodes[i]):
+                out += cell.probe(nodes[i], sets[i], -1 - i)
+            if "centre" in kinds:
+                centre = kinds.index("centre")
+                loose = np.flatnonzero((cell.component != -1 - centre) & (cell.nodes != nodes[centre]))
+                if not alone[0]:
+                    out += [(int(cell.nodes[i]), None) for i in loose]
+                else:
+                    for i in loose.tolist():
+                        out += cell.probe(int(cell.nodes[i]), cell.sets[i], int(cell.component[i]))
+        return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
 
     return run
 
 
-class _Links:
-    """The component of each representative so far, and the pairs that turned out not to be links."""
-
-    def __init__(self, texts: DataFrame, signatures: DataFrame, size: int, percent: int, matches: int):
-        self.texts, self.signatures, self.size, self.percent, self.matches = texts, signatures, size, percent, matches
-        self.spark = texts.sparkSession
-        self.label = signatures.select("rep", F.col("rep").alias("component"))
-        self.apart: DataFrame | None = None
-
-    def confirm(self, pairs: DataFrame, counted: bool) -> bool:
-        """Try the pairs (a, b) of the components ca < cb, and join the components of those that are links; whether there
-        was any. Only components that this round's links join are searched, so a link is looked at once."""
-        pairs = pairs.distinct()
-        if self.apart is not None:
-            pairs = pairs.join(self.apart, ["a", "b"], "left_anti")
-        if not counted:
-            s = self.signatures
-            pairs = pairs.join(s.select(F.col("rep").alias("a"), F.col("signature").alias("sa"), F.col("n_shingles").alias("na")), "a").join(s.select(F.col("rep").alias("b"), F.col("signature").alias("sb"), F.col("n_shingles").alias("nb")), "b")
-            equal = F.size(F.filter(F.zip_with("sa", "sb", lambda x, y: x == y), lambda e: e))
-            sizes = (100 * F.col("na") >= self.percent * F.col("nb")) & (100 * F.col("nb") >= self.percent * F.col("na"))
-            pairs = pairs.where(sizes & (equal >= self.matches)).select("a", "b", "ca", "cb")
-        t = self.texts
-        side = pairs.join(t.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a").join(t.select(F.col("rep").alias("b"), F.col("text").alias("tb")), "b")
-        found = staged(side.select("a", "b", "ca", "cb", "ta", "tb").mapInArrow(_confirm(self.size, self.percent), "a long, b long, ca long, cb long, good boolean"), "minhash-tried")
-        apart = found.where("not good").select("a", "b")
-        self.apart = apart if self.apart is None else self.apart.unionByName(apart)
-        links = found.where("good").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
-        if links.isEmpty():
-            return False
-        joined = components(self.spark, links, "minhash").select(F.col("node").alias("component"), F.col("component").alias("into"))
-        self.label = staged(self.label.join(joined, "component", "left").select("rep", F.coalesce("into", "component").alias("component")), "minhash-label")
-        return True
-
-
-def near_duplicates(
-    documents: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, percent: int = 80, matches: int = MATCHES, matches_all: int = MATCHES_ALL, block: int = BLOCK, star_rounds: int = STAR_ROUNDS
-) -> DataFrame:
+def _most(value: str, rank: Column) -> Column:
+    """The value of the largest rank, a bounded count; a hash decides between equals."""
+    return F.max_by(value, rank * (1 << 20) + F.pmod(F.xxhash64(value), F.lit(1 << 20)))
+
+
+def _postings(classes: DataFrame, matches: int) -> DataFrame:
+    """(token, node, weight): the prefix of each node, in lists of two nodes or more. weight sums the node's list lengths."""
+    tokens = classes.select("node", F.explode("signature").alias("token"))
+    lists = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
+    by_node = tokens.join(lists, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("have"))
+    places = F.greatest(F.size("have") - (matches - 1), F.lit(0))
+    weight = F.aggregate("have", F.lit(0).cast("long"), lambda s, x: s + x["n"])
+    posted = staged(by_node.select("node", weight.alias("weight"), F.explode(F.slice("have", 1, places)).alias("p")).select("node", "weight", "p.token"), "minhash-posted")
+    several = posted.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
+    return staged(posted.join(several, "token"), "minhash-postings")
+
+
+def _roster(classes: DataFrame, postings: DataFrame, cell: int) -> DataFrame:
+    """(node, home, cells, leads, n_shingles, doc_id, of): the home of each posted node, the cells of the home, and the
+    cells of the home that the node is the centre of, if there is one."""
+    centres = postings.groupBy("token").agg(_most("node", F.col("weight")).alias("centre"))
+    met = postings.join(centres, "token").groupBy("node", "centre").agg(F.count("*").alias("lists"))
+    homes = met.groupBy("node").agg(_most("centre", F.col("lists")).alias("home"))
+    homes = staged(homes.join(classes.select("node", "n_shingles", "doc_id", "of"), "node"), "minhash-homes")
+    cells = homes.groupBy("home").agg(F.ceil(F.sum("n_shingles") / cell).cast("int").alias("cells"))
+    led = cells.select(F.col("home").alias("node"), F.col("cells").alias("leads"))
+    return staged(homes.join(cells, "home").join(led, "node", "left"), "minhash-roster")
+
+
+def _visits(postings: DataFrame, roster: DataFrame) -> DataFrame:
+    """(node, home, cells): the homes that a node has to visit. Of two homes that share a list, the members of the one
+    with fewer cells and the smaller id visit the other."""
+    at_home = postings.select("token", "node").join(roster.select("node", "home", "cells"), "node")
+    homes = at_home.groupBy("token", "home", "cells").agg(F.count("*").alias("n")).drop("n")
+    mixed = homes.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token")
+    hosts = homes.join(mixed, "token").select("token", F.col("home").alias("host"), F.col("cells").alias("host_cells"))
+    order = F.struct("host_cells", "host") > F.struct("cells", "home")
+    return at_home.join(hosts, "token").where(order).select("node", F.col("host").alias("home"), F.col("host_cells").alias("cells")).distinct()
+
+
+def _first_round(members: DataFrame, percent: int, matches: int) -> DataFrame:
+    """Each home's centre meets all its members; in homes of one cell, those that it did not link meet the others."""
+    dealt = F.pmod(F.xxhash64("node"), F.col("cells")).cast("int")
+    own = members.select("home", dealt.alias("cell"), "node", F.lit("member").alias("kind"), (F.col("cells") == 1).alias("alone"), "shingles")
+    led = members.where("leads is not null").select(F.col("node").alias("home"), F.explode(F.sequence(F.lit(0), F.col("leads") - 1)).alias("cell"), "node", F.lit("centre").alias("kind"), (F.col("leads") == 1).alias("alone"), "shingles")
+    return own.unionByName(led).groupBy("home", "cell").applyInArrow(_in_cell(percent, matches), "a long, b long")
+
+
+def _second_round(members: DataFrame, roster: DataFrame, probes: DataFrame, cell: int, percent: int, matches: int) -> DataFrame:
+    """Each probe (node, home, cells) meets all members of the home. Where probes have more than `cell` shingles, they are
+    dealt into lanes, each with its own copy of the members."""
+    probes = probes.join(roster.select("node", "n_shingles"), "node")
+    lanes = probes.groupBy("home").agg(F.ceil(F.sum("n_shingles") / cell).cast("int").alias("lanes"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    lane, at = F.pmod(F.xxhash64("node", F.lit(1)), F.col("lanes")).cast("int"), F.pmod(F.xxhash64("node"), F.col("cells")).cast("int")
+    going = probes.join(lanes, "home").select("node", "home", lane.alias("lane"), every("cells").alias("cell"), F.lit("probe").alias("kind"))
+    staying = roster.join(lanes, "home").select("node", "home", every("lanes").alias("lane"), at.alias("cell"), F.lit("member").alias("kind"))
+    rows = going.unionByName(staying).join(members.select("node", "shingles"), "node").withColumn("alone", F.lit(False))
+    return rows.groupBy("home", "cell", "lane").applyInArrow(_in_cell(percent, matches), "a long, b long")
+
+
+def near_duplicates(documents: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, percent: int = 80, matches: int = MATCHES, cell: int = CELL) -> DataFrame:
     """One row for each row of documents: doc_id, n_shingles, component_id, kept.
 
     Documents are linked when 100 * intersection >= percent * union of their sets of word shingles; a text of fewer than
     `size` words is one shingle. Null, empty and blank texts have no shingles and are linked with nothing. component_id is
     the smallest doc_id that can be reached over links. Rows with a null doc_id stay, linked with nothing. Rows that
     repeat a doc_id count as one document: its texts are linked, and each row is returned. An empty table gives none.
+    doc_id is a long; keys that are not numbers are an error. Other columns are not read.
     """
-    source = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    schema = "doc_id long, n_shingles long, low long, high long, signature array<int>"
-    features = staged(source.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_features(size), schema), "minhash-features")
+    source = documents.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("of"), F.col(text).cast("binary").alias("text"))
+    features = staged(source.mapInArrow(_features(size), "doc_id long, of long, n_shingles long, high long, low long, signature array<long>"), "minhash-features")
     linked = features.where("n_shingles > 0 and doc_id is not null")
-    classes = staged(linked.groupBy("low", "high", "n_shingles").agg(F.min(F.struct("doc_id", "signature")).alias("first")).select("low", "high", "n_shingles", F.col("first.doc_id").alias("rep"), F.col("first.signature").alias("signature")), "minhash-classes")
-
-    tokens = classes.select("rep", F.posexplode(F.slice("signature", 1, POSTED)).alias("coordinate", "value")).select("rep", F.shiftleft(F.col("coordinate").cast("long"), 32).bitwiseOR(F.col("value").cast("long").bitwiseAND(0xFFFFFFFF)).alias("token"))
-    shared = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
-    by_rep = tokens.join(shared, "token").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("have"))
-    places = F.greatest(F.lit(POSTED - matches + 1) - (POSTED - F.size("have")), F.lit(0))
-    by_rep = by_rep.select("rep", F.aggregate("have", F.lit(0).cast("long"), lambda s, x: s + x["n"]).alias("weight"), F.transform(F.slice("have", 1, places), lambda x: x["token"]).alias("prefix")).where("size(prefix) > 0")
-    signatures = staged(classes.select("rep", "n_shingles", "signature").join(by_rep, "rep"), "minhash-signatures")
-    postings = signatures.select("rep", "weight", F.explode("prefix").alias("token"))
-    postings = staged(postings.join(postings.groupBy("token").agg(F.count("*").alias("n")).where("n > 1").select("token"), "token", "left_semi"), "minhash-postings")
-    posted = postings.select("rep").distinct()
-    texts = source.select(F.col("doc_id").alias("rep"), "text").join(posted, "rep", "left_semi").select("rep", F.col("text").cast("binary").alias("text"))
-    texts = staged(texts.groupBy("rep").agg(F.max("text").alias("text")), "minhash-texts")
-
-    links, state = _Links(texts, signatures, size, percent, matches_all), postings.withColumn("component", F.col("rep"))
-    for n in range(star_rounds):
-        order = F.struct("weight", -F.col("rep")) if n == 0 else F.struct(F.xxhash64("rep", F.lit(n)), F.col("rep"))
-        lists = state.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max_by(F.struct("rep", "component"), order).alias("centre")).where("low < high")
-        met = state.join(lists.select("token", "centre"), "token").where("component <> centre.component")
-        met = met.groupBy("rep", "component", "centre").agg(F.count("*").alias("lists"))
-        star = met.groupBy("rep", "component").agg(F.max_by("centre", F.struct("lists", "centre")).alias("centre"))
-        if links.confirm(_ordered(star), counted=False):
-            state = staged(_open_lists(state.select("token", "rep").join(links.label, "rep")), "minhash-state")
-    left = state.join(state.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high"), "token")
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    left = left.select("token", "rep", "component", blocks.alias("blocks"), F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("side")).join(signatures.drop("weight"), "rep")
-    cells = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.groupBy("token", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j")).agg(F.collect_list(F.struct("rep", "component", "side", "n_shingles", "signature", "prefix")).alias("members"))
-    rest = cells.select((F.col("i") < F.col("j")).alias("across"), "token", "members").mapInArrow(_merge_blocks(matches_all, percent), "a long, b long, ca long, cb long")
-    links.confirm(rest, counted=True)
-
-    label = links.label.select("rep", F.col("component").alias("component_id"))
-    classes = classes.select("low", "high", "n_shingles", "rep").join(label, "rep", "left").select("low", "high", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
-    own = features.select("doc_id", "n_shingles", "low", "high").join(classes, ["low", "high", "n_shingles"], "left")
-    own = own.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))
-    return own.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
-
-
-def _ordered(star: DataFrame) -> DataFrame:
-    """(rep, component, centre) as pairs a < b of components ca < cb."""
-    c = F.col("centre")
-    return star.select(F.least("rep", c["rep"]).alias("a"), F.greatest("rep", c["rep"]).alias("b"), F.least("component", c["component"]).alias("ca"), F.greatest("component", c["component"]).alias("cb"))
-
-
-def _open_lists(state: DataFrame) -> DataFrame:
-    """The postings of lists that hold several components; lists within one component are done with."""
-    several = state.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    return state.join(several.select("token"), "token", "left_semi")
+    first = F.min(F.struct("doc_id", "of", "n_shingles", "signature")).alias("first")
+    classes = staged(numbered(linked.groupBy("high", "low").agg(first).select("high", "low", "first.*"), "node"), "minhash-classes")
+
+    postings = _postings(classes, matches)
+    roster = _roster(classes, postings, cell)
+    texts = maybe_in(source, ["doc_id", "of"], roster).join(roster.drop("n_shingles"), ["doc_id", "of"])
+    texts = texts.groupBy("doc_id", "of").agg(*(F.first(k).alias(k) for k in ("node", "home", "cells", "leads", "text"))).drop("doc_id", "of")
+    members = staged(texts.mapInArrow(_sets(size), "node long, home long, cells int, leads int, shingles binary"), "minhash-members")
+
+    met = staged(_first_round(members, percent, matches), "minhash-first")
+    loose = met.where("b is null").select(F.col("a").alias("node")).join(roster.select("node", "home", "cells"), "node")
+    visits = staged(_visits(postings, roster).unionByName(loose), "minhash-probes")
+    links = staged(_second_round(members, roster, visits, cell, percent, matches), "minhash-second").unionByName(met.where("b is not null"))
+
+    ids = staged(features.select("doc_id", "n_shingles", "high", "low").join(classes.select("high", "low", "node"), ["high", "low"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")), "minhash-ids")
+    again = ids.where("node is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").select("doc_id", "a")
+    again = again.join(ids, "doc_id").where("a < node").select("a", F.col("node").alias("b"))
+    label = components(documents.sparkSession, links.unionByName(again), "minhash").select("node", "component")
+    joined = ids.where("node is not null").join(label, "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = staged(label.join(joined, "component").select("node", "component_id"), "minhash-named")
+    copies = classes.select("node", F.col("doc_id").alias("first_id")).join(named, "node", "left").select("node", F.coalesce("component_id", "first_id").alias("component_id"))
+    out = ids.join(copies, "node", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
