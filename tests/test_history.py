@@ -163,6 +163,32 @@ def test_engine_reads_threads_and_work_in_flight(engine):
     assert engine.status().first().threads == 4
 
 
+def test_question_and_index_are_analysed_alike(engine):
+    page, widened = engine.search("get_mask", kind=None)
+    assert not widened and {r.number for r in page.collect()} >= {10, 11}
+    page, widened = engine.search("touching the caches", kind=None)
+    assert not widened and 5 in {r.number for r in page.collect()}
+
+
+def test_a_file_leg_is_ranked_by_the_words_of_the_caller(engine):
+    from threadloom.operators import fulltext
+
+    q = SearchQuery(text="mend nothing_like_it", files=("src/cache.py",), match="any")
+    page, _ = ranking.search(engine.corpus, q, engine.postings, terms_of=fulltext.asked_english)
+    assert page.first().number == 10
+
+
+def test_brief_and_claims_stay_in_their_repository(spark):
+    from threadloom.operators import provenance
+
+    threads_ = spark.createDataFrame([(r, n, "open", None, None) for r in "ab" for n in (1, 2)], "repo string, number long, state string, created_at timestamp, merged_at timestamp")
+    links = spark.createDataFrame([("a", 2, 1)], "repo string, number long, target_number long")
+    assert [(r.repo, r.number) for r in threads.claims(links, threads_).collect()] == [("a", 2)]
+    files = spark.createDataFrame([("a", 1, "x.py", "changed"), ("b", 2, "x.py", "changed")], "repo string, number long, path string, source string")
+    merged = threads_.withColumn("merged_at", F.current_timestamp())
+    assert provenance.file_history(files, merged, files).count() == 0 and provenance.file_histories(files, merged).count() == 0
+
+
 def test_caps_of_a_page(spark):
     rows = [(1, "issue_comment", i, 1.0, None) for i in range(50)] + [(1, s, 99, 0.5, None) for s in ("title", "body", "review", "review_comment")] + [(n, "body", 1, 0.1, None) for n in range(2, 30)]
     df = spark.createDataFrame(rows, "number long, source_type string, source_id long, score double, created_at timestamp")
@@ -220,4 +246,8 @@ def test_scores_of_retrieval(spark):
 
 def test_export_is_in_order_and_its_digest_stable(spark, tmp_path):
     df = spark.createDataFrame([("r", 2, "body", 1, 0, "b"), ("r", 1, "body", 1, 0, "a")], "repo string, number long, source_type string, source_id long, chunk_index int, text string")
-    assert evaluation.export(df, f"{tmp_path}/x") == evaluation.export(df.orderBy("text"), f"{tmp_path}/x")
+    digest = evaluation.export(df, f"{tmp_path}/x")
+    assert digest == evaluation.export(df.repartition(3, "text"), f"{tmp_path}/x")
+    lines = [json.loads(r.value) for r in spark.read.text(f"{tmp_path}/x").collect()]
+    assert lines[0] == {"dataset": "corpus", "rows": 2, "digest": digest} and [x["number"] for x in lines[1:]] == [1, 2]
+    assert evaluation.export(df.limit(1), f"{tmp_path}/x") != digest

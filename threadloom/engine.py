@@ -27,11 +27,11 @@ class Engine:
         signals = derive.signals(texts, raw)
         docs = derive.documents(texts, authority).withColumn("doc_key", F.concat_ws(":", "repo", "number", "source_type", "source_id", "chunk_index"))
         corpus = Corpus(heads, docs, signals["files"], signals["symbols"], signals["errors"], signals["tests"], heads.select("repo", "number", F.explode("labels").alias("label")), signals["links"])
-        return Engine(spark, corpus, fulltext.postings(docs, "doc_key", "body_text"), signals["commits"])
+        return Engine(spark, corpus, fulltext.postings(docs, "doc_key", "body_text", stemming=True, analyzer=fulltext.english), signals["commits"])
 
     def search(self, text: str = "", **filters_: object) -> tuple[DataFrame, bool]:
         q = SearchQuery(text=text, **filters_)
-        page, widened = ranking.search(self.corpus, q, self.postings)
+        page, widened = ranking.search(self.corpus, q, self.postings, terms_of=fulltext.asked_english)
         return ranking.with_snippets(page, q), widened
 
     def thread(self, repo: str, number: int, focus: str = "") -> dict[str, DataFrame]:
@@ -49,13 +49,12 @@ class Engine:
         }
 
     def inflight(self, repo: str, number: int) -> DataFrame:
-        target = self.spark.createDataFrame([(number,)], "target_number long")
-        return threads.claims(self.corpus.links.where(F.col("repo") == repo).drop("repo"), self.corpus.threads.where(F.col("repo") == repo), target)
+        target = self.spark.createDataFrame([(repo, number)], "repo string, target_number long")
+        return threads.claims(self.corpus.links, self.corpus.threads, target)
 
     def brief(self, repo: str, number: int) -> dict[str, DataFrame]:
-        one = lambda df: df.where(F.col("repo") == repo)
         c = self.corpus
-        return provenance.brief(number, one(c.threads), one(c.links).drop("repo"), one(c.files).drop("repo"), one(c.errors).drop("repo"))
+        return provenance.brief(repo, number, c.threads, c.links, c.files, c.errors)
 
     def why(self, blamed: DataFrame) -> DataFrame:
         """blamed: (repo, sha, summary) rows, as a clone gives them."""

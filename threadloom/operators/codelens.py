@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions.python_code import DEFINITIONS, REFERENCES, provider
+from threadloom.operators.filters import KEY
 from threadloom.schemas import MAX_COPIES, MAX_GREP, MAX_GREP_LINE
 
 
@@ -19,10 +20,10 @@ def grep(files: DataFrame, pattern: str, path: str = "path", content: str = "con
     return found if most is None else found.orderBy(path, "line").limit(most + 1)
 
 
-def thread_weights(hits: DataFrame, files: DataFrame, top: int = 10) -> DataFrame:
+def thread_weights(hits: DataFrame, files: DataFrame, top: int = 10, key: Sequence[str] = KEY) -> DataFrame:
     """Threads by how many matched lines the files that they touch have."""
     weights = hits.groupBy("path").agg(F.count("*").alias("n"))
-    return files.select("number", "path").distinct().join(weights, "path").groupBy("number").agg(F.sum("n").alias("weight")).orderBy(F.col("weight").desc(), "number").limit(top)
+    return files.select(*key, "path").distinct().join(weights, "path").groupBy(*key).agg(F.sum("n").alias("weight")).orderBy(F.col("weight").desc(), *key).limit(top)
 
 
 def _rows(which: int):

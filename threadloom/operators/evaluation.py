@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions.text import cue_score
+from threadloom.operators.filters import KEY
 
 #: Fixed value: what a reference to a precedent looks like; group 1 is the number.
 PRECEDENT = (
@@ -16,9 +17,9 @@ PRECEDENT = (
 )
 
 
-def failure_groups(signals: DataFrame, value: str, least: int = 2, most: int = 8) -> DataFrame:
+def failure_groups(signals: DataFrame, value: str, least: int = 2, most: int = 8, key: Sequence[str] = KEY) -> DataFrame:
     """Signal values that a few threads share, so that finding one should find the others."""
-    return signals.groupBy(value).agg(F.countDistinct("number").alias("threads")).where(F.col("threads").between(least, most))
+    return signals.groupBy(value).agg(F.countDistinct(*key).alias("threads")).where(F.col("threads").between(least, most))
 
 
 def rationale_pairs(comments: DataFrame, parent: Column, shortest: int = 60, longest: int = 2000) -> DataFrame:
@@ -85,33 +86,39 @@ def retrieval_scores(results: DataFrame, relevant: DataFrame, groups: Sequence[s
     return rows.groupBy(*groups).agg(F.count("*").alias("questions"), *recall, F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))).alias("mrr"))
 
 
-def keep_before(hits: DataFrame, signals: DataFrame, cutoff, threads: DataFrame) -> DataFrame:
+def keep_before(hits: DataFrame, signals: DataFrame, cutoff, threads: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     """Hits that stay when every signal is read as of the cutoff: prose signals from documents before it, the diff of a
     pull request only if it was merged before it."""
-    merged = threads.where(F.col("merged_at") < F.lit(cutoff)).select("number").distinct()
-    by_diff = signals.where(F.col("source") == "changed").join(merged, "number", "left_semi")
+    merged = threads.where(F.col("merged_at") < F.lit(cutoff)).select(*key).distinct()
+    by_diff = signals.where(F.col("source") == "changed").join(merged, list(key), "left_semi")
     by_prose = signals.where((F.col("source") != "changed") & (F.col("first_seen_at") < F.lit(cutoff)))
-    known = by_diff.select("number", "path").union(by_prose.select("number", "path")).distinct()
-    return hits.join(known, ["number", "path"], "left_semi")
+    known = by_diff.select(*key, "path").union(by_prose.select(*key, "path")).distinct()
+    return hits.join(known, [*key, "path"], "left_semi")
 
 
-def corpus_rows(documents: DataFrame) -> DataFrame:
-    """What is exported of a corpus, in the order of its identity."""
-    return documents.orderBy("repo", "number", "source_type", "source_id", "chunk_index")
+def corpus_lines(documents: DataFrame) -> DataFrame:
+    """(place, value): the JSON line of each row, with its columns by name; place orders the lines of an export."""
+    place = F.struct("repo", "number", "source_type", "source_id", "chunk_index")
+    return documents.select(place.alias("place"), F.to_json(F.struct(*sorted(documents.columns))).alias("value"))
 
 
-def export(documents: DataFrame, path: str) -> str:
-    """Write the rows as JSON lines, in order, and return the digest over all lines' digests, in order.
+def corpus_digest(lines: DataFrame) -> DataFrame:
+    """One row: how many lines there are, and a digest that does not depend on their order or partitions.
 
-    Lines are hashed where they are; partitions are in order, and the driver sees one digest a partition.
+    The digests of the lines are summed in four parts, which combine before any shuffle, and the sums are hashed.
     """
-    from hashlib import sha256
-
-    lines = corpus_rows(documents).select(F.to_json(F.struct(*sorted(documents.columns))).alias("value"))
-    lines.write.mode("overwrite").text(path)
-    digests = lines.select(F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("i"), F.sha2("value", 256).alias("d"))
-    parts = digests.groupBy("p").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "d"))), lambda x: x["d"]), ""), 256).alias("d")).orderBy("p").collect()
-    return sha256("".join(r["d"] for r in parts).encode()).hexdigest()
+    d = F.sha2("value", 256)
+    parts = [F.sum(F.conv(F.substring(d, 1 + 16 * i, 15), 16, 10).cast("decimal(38,0)")).alias(f"s{i}") for i in range(4)]
+    sums = [F.coalesce(F.col(f"s{i}").cast("string"), F.lit("0")) for i in range(4)]
+    return lines.agg(F.count("*").alias("rows"), *parts).select("rows", F.sha2(F.concat_ws(":", F.col("rows").cast("string"), *sums), 256).alias("digest"))
+
+
+def export(documents: DataFrame, path: str, dataset: str = "corpus") -> str:
+    """Write a header line, then the rows as JSON lines in the order of their identity; return the digest of the rows."""
+    lines = corpus_lines(documents)
+    head = corpus_digest(lines).select(F.lit(0).alias("part"), F.lit(None).cast(lines.schema["place"].dataType).alias("place"), F.to_json(F.struct(F.lit(dataset).alias("dataset"), "rows", "digest")).alias("value"))
+    head.unionByName(lines.withColumn("part", F.lit(1))).orderBy("part", "place").select("value").write.mode("overwrite").text(path)
+    return corpus_digest(lines).first()["digest"]
 
 
 def repeat_share(pages: DataFrame, key: str, text: str) -> DataFrame:

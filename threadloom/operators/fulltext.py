@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -10,13 +11,28 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from threadloom.functions.porter import stem
-from threadloom.schemas import BM25_B, BM25_K1, MAX_ANY_TERMS
+from threadloom.schemas import BM25_B, BM25_K1, ENGLISH_STOPWORDS, MAX_ANY_TERMS
 
 
 def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def english(text: Column) -> Column:
+    """The words that the English analysis keeps; postings stem them."""
+    return F.filter(words(text), lambda w: ~w.isin(*ENGLISH_STOPWORDS))
+
+
+def asked_words(question: str) -> list[str]:
+    """The terms of a question, cut as `words` cuts texts."""
+    return re.findall(r"[^\W_]+", question.lower())
+
+
+def asked_english(question: str) -> list[str]:
+    """The terms of a question for postings of `english` words with stemming."""
+    return [stem(w) for w in asked_words(question) if w not in ENGLISH_STOPWORDS]
+
+
 @F.pandas_udf(StringType())
 def stemmed(terms: Iterator[pd.Series]) -> Iterator[pd.Series]:
     known: dict[str, str] = {}

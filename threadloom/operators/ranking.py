@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
@@ -132,13 +132,19 @@ def fused(ranked: DataFrame, key: Sequence[str], limit: int = MAX_HITS, per_thre
     return one.orderBy(*order).limit(limit)
 
 
-def search(corpus: Corpus, q: SearchQuery, postings: DataFrame | None = None, doc_key: str = "doc_key", expand: bool = True, now=None) -> tuple[DataFrame, bool]:
-    """(page, widened). Legs are ranked apart and fused in one plan; a page that would be empty is asked for any term."""
+def search(
+    corpus: Corpus, q: SearchQuery, postings: DataFrame | None = None, doc_key: str = "doc_key", expand: bool = True, now=None, terms_of: Callable[[str], list[str]] = fulltext.asked_words
+) -> tuple[DataFrame, bool]:
+    """(page, widened). Legs are ranked apart and fused in one plan; a page that would be empty is asked for any term.
+
+    terms_of cuts the question as the postings were cut. A leg without text of its own is still ranked by what the caller
+    asked for: by the caller's words, any of them, and by the signals that the caller named.
+    """
     q = q.checked()
     key, ties = list(corpus.key), [F.col(doc_key).desc()]
 
-    def page(one: SearchQuery, limit: int) -> DataFrame:
-        terms = re.findall(r"[a-z0-9_]+", one.text.lower())
+    def page(one: SearchQuery, limit: int, asked: SearchQuery) -> DataFrame:
+        terms = terms_of(one.text)
         lexical = None
         if one.text:
             if not terms or postings is None:
@@ -146,21 +152,24 @@ def search(corpus: Corpus, q: SearchQuery, postings: DataFrame | None = None, do
             lexical = fulltext.bm25(postings, terms, one.match, doc_key)
             if one.match == "any":
                 lexical = fulltext.coverage(lexical, len(set(terms)))
-        return select_page(scored(admissible(corpus, one), corpus, one, lexical, doc_key, now), key, ties, limit)
+        elif postings is not None and (terms := terms_of(asked.text)):
+            lexical = fulltext.coverage(fulltext.bm25(postings, terms, "any", doc_key), len(set(terms)))
+        kinds = {k: tuple(dict.fromkeys((*getattr(asked, k), *getattr(one, k)))) for k in ("files", "symbols", "errors", "tests")}
+        return select_page(scored(admissible(corpus, one), corpus, replace(one, **kinds), lexical, doc_key, now), key, ties, limit)
 
     def best(asked: SearchQuery) -> DataFrame:
         legs = expanded(asked) if expand else [Leg("text", asked)]
         if len(legs) == 1:
-            return presented(page(legs[0].query, asked.limit), asked.sort, ties)
+            return presented(page(legs[0].query, asked.limit, asked), asked.sort, ties)
         rank = Window.partitionBy("leg_order").orderBy(F.col("score").desc_nulls_last(), F.col("created_at").desc_nulls_last(), *ties)
-        parts = [page(leg.query, MAX_HITS * MAX_HITS_PER_THREAD).withColumns({"leg": F.lit(leg.name), "leg_order": F.lit(i)}) for i, leg in enumerate(legs)]
+        parts = [page(leg.query, MAX_HITS * MAX_HITS_PER_THREAD, asked).withColumns({"leg": F.lit(leg.name), "leg_order": F.lit(i)}) for i, leg in enumerate(legs)]
         together = parts[0]
         for p in parts[1:]:
             together = together.unionByName(p, allowMissingColumns=True)
         return presented(fused(together.withColumn("rank", F.row_number().over(rank)), key, asked.limit), asked.sort, ties)
 
     first = best(q)
-    if len(re.findall(r"[A-Za-z0-9_]+", q.text)) >= 2 and q.match == "all" and first.isEmpty():
+    if len(terms_of(q.text)) >= 2 and q.match == "all" and first.isEmpty():
         return best(replace(q, match="any")), True
     return first, False
 

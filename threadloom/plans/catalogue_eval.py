@@ -16,14 +16,14 @@ from threadloom.plans.views import table, view
 
 @query("select test_id, count(distinct number) as threads from h_tests group by 1 having count(distinct number) between 2 and 800")
 def mine_failure_groups(spark: SparkSession, d: str) -> DataFrame:
-    return evaluation.failure_groups(view(spark, d, "h_tests"), "test_id", 2, 800)
+    return evaluation.failure_groups(view(spark, d, "h_tests"), "test_id", 2, 800, ["number"])
 
 
 _CUE_SQL = " + ".join(f"case when regexp_matches(a.body_text, '(?i){p.replace(chr(39), chr(39) * 2)}') then {w} else 0 end" for p, w in CUES)
 
 
 @query(
-    f"""p as (select number, comment, case when comment % 2 = 1 then 'authoritative' else 'reported' end as trust, 'u' || cast(comment % 5 as varchar(20)) as author, substr(body, 1, 400) as body_text from h_posts)
+    f"""p as (select number, comment, case when comment % 2 = 1 then 'authoritative' else 'reported' end as trust, 'u' || cast(comment % 5 as varchar(20)) as author, body as body_text from h_posts)
 select a.number, a.comment, {_CUE_SQL} as score from p a join p b on a.number = b.number and b.comment = a.comment - 1 where a.trust = 'authoritative' and length(a.body_text) between 60 and 2000 and a.author <> b.author"""
 )
 def mine_rationale_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -60,10 +60,13 @@ def judge_last_verdict(spark: SparkSession, d: str) -> DataFrame:
 
 _BENCH = """with t as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) as term from documents), c as (select doc_id, term, count(*) as tf from t group by all),
 l as (select doc_id, sum(tf) as doc_len from c group by 1), s as (select count(*) as n, avg(doc_len) as m from l),
-q as (select distinct item_id as question, unnest(list_slice(regexp_extract_all(lower(text), '[a-z0-9_]+'), 1, 4)) as term from benchmark), f as (select term, count(*) as df from c group by 1),
+q as (select distinct item_id as question, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) as term from benchmark), f as (select term, count(*) as df from c group by 1),
 b as (select question, doc_id as item, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * doc_len / m))), 6) as score from q join c using (term) join f using (term) join l using (doc_id), s group by 1, 2),
 r as (select *, row_number() over (partition by question order by score desc, item) as rank from b),
-w as (select item_id as question, doc_id as item from benchmark, documents where contains(documents.text, substr(benchmark.text, 1, 60))),
+qw as (select item_id as question, regexp_extract_all(lower(text), '[a-z0-9_]+') as words from benchmark), dw as (select doc_id as item, regexp_extract_all(lower(text), '[a-z0-9_]+') as words from documents),
+qs as (select distinct question, least(len(words), 13) as size, array_to_string(words[k : k + least(len(words), 13) - 1], ' ') as passage from qw, unnest(range(1, len(words) - least(len(words), 13) + 2)) t(k) where len(words) > 0),
+ds as (select distinct item, size, array_to_string(words[k : k + size - 1], ' ') as passage from dw, (select distinct size from qs), unnest(range(1, greatest(len(words) - size + 2, 1))) t(k)),
+w as (select distinct question, item from qs join ds using (size, passage)),
 h as (select question, count(distinct item) as wanted from w group by 1),
 z as (select w.question, count(*) filter (rank <= 5) as h5, count(*) filter (rank <= 10) as h10, min(rank) as first from w join r using (question, item) group by 1)
 select count(*) as questions, round(avg(coalesce(h5, 0) / wanted), 6) as recall_5, round(avg(coalesce(h10, 0) / wanted), 6) as recall_10, round(avg(coalesce(1.0 / first, 0)), 6) as mrr from h left join z using (question)"""
@@ -96,7 +99,7 @@ def post_filter_temporal(spark: SparkSession, d: str) -> DataFrame:
     heads = view(spark, d, "h_threads")
     signals = view(spark, d, "h_files").join(heads.select("number", F.col("created_at").alias("first_seen_at")), "number")
     hits = view(spark, d, "h_documents").select("number", "path").distinct()
-    return evaluation.keep_before(hits, signals, datetime(1999, 1, 1, tzinfo=UTC), heads)
+    return evaluation.keep_before(hits, signals, datetime(1999, 1, 1, tzinfo=UTC), heads, ["number"])
 
 
 _LINES = "l as (select doc_id, unnest(string_split(text, chr(10))) as x, generate_subscripts(string_split(text, chr(10)), 1) as line from documents)"
@@ -114,7 +117,7 @@ select number, cast(sum(n) as bigint) as weight from (select distinct number, pa
 )
 def grep_thread_weights(spark: SparkSession, d: str) -> DataFrame:
     files = table(spark, d, "documents").select(F.concat(F.lit("src/m"), (F.col("doc_id") % 50).cast("string"), F.lit(".py")).alias("path"), F.col("text").alias("content"))
-    return codelens.thread_weights(codelens.grep(files, "[Ll]icen[sc]e", most=None), view(spark, d, "h_files"))
+    return codelens.thread_weights(codelens.grep(files, "[Ll]icen[sc]e", most=None), view(spark, d, "h_files"), key=["number"])
 
 
 @query("with l as (select page_id, unnest(string_split(replace(html, chr(10), ' '), '>')) as x from pages), c as (select page_id, x, count(*) as n from l where trim(x) <> '' group by all) select page_id, cast(sum(n) as bigint) as lines, cast(sum(case when n > 1 then n - 1 else 0 end) as bigint) as repeated from c group by 1")

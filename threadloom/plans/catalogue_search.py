@@ -186,6 +186,17 @@ def widened_search(spark: SparkSession, d: str) -> DataFrame:
     return fulltext.coverage(fulltext.bm25(found, terms, "any"), 3).select("doc_id", F.round("score", 6).alias("score"), F.lit(True).alias("widened"))
 
 
+@query(
+    """w as (select number, comment, list_filter(string_split(regexp_replace(lower(body), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '') as words from h_posts)
+select number, comment from w where list_contains(words, 'config') and list_contains(words, '4')""".replace("\\\\", "\\")
+)
+def search_identifier(spark: SparkSession, d: str) -> DataFrame:
+    """A question for an identifier meets the postings as the same analysis cuts both."""
+    posts = view(spark, d, "h_posts").withColumn("doc_key", F.struct("number", "comment"))
+    found = fulltext.postings(posts, "doc_key", "body")
+    return fulltext.bm25(found, fulltext.asked_words("Config_4"), "all", "doc_key").select("doc_key.*")
+
+
 @query(
     f"""x as (select d.*, 'file' as leg, 0 as leg_order, row_number() over (order by {SQL_ORDER}) as rank from h_documents d where exists (select 1 from h_files f where f.number = d.number and path = 'src/m5.py' and source = 'changed')),
 y as (select d.*, 'symbol' as leg, 1 as leg_order, row_number() over (order by {SQL_ORDER}) as rank from h_documents d where exists (select 1 from h_symbols f where f.number = d.number and symbol = 'mod_8.run')),

@@ -141,10 +141,28 @@ def index_sample_floor(spark: SparkSession, d: str) -> DataFrame:
     return store.sample_floor(floors, new, ["user_id"]).withColumn("indexed_from", F.date_format("indexed_from", "yyyy-MM-dd HH:mm:ss"))
 
 
-@query("select number, source_type, source_id, chunk_index, author, trust from h_documents where created_at < timestamp '1998-01-01'")
+_LINE = """json_object('author', author, 'chunk_index', chunk_index, 'number', number, 'repo', 'org/r', 'source_id', source_id, 'source_type', source_type, 'trust', trust)"""
+
+
+def _exported(spark: SparkSession, d: str) -> DataFrame:
+    docs = view(spark, d, "h_documents").select("number", "source_type", "source_id", "chunk_index", "author", "trust", F.lit("org/r").alias("repo"))
+    return evaluation.corpus_lines(docs)
+
+
+@query(f"select cast({_LINE} as varchar) as value from h_documents")
 def corpus_export_rows(spark: SparkSession, d: str) -> DataFrame:
-    docs = view(spark, d, "h_documents").where("created_at < timestamp '1998-01-01'").withColumn("repo", F.lit("org/r"))
-    return evaluation.corpus_rows(docs).select("number", "source_type", "source_id", "chunk_index", "author", "trust")
+    return _exported(spark, d).select("value")
+
+
+@query(
+    f"""l as (select sha256(cast({_LINE} as varchar)) as h from h_documents),
+s as (select count(*) as n, """
+    + ", ".join(f"sum(cast(cast('0x' || substr(h, {1 + 16 * i}, 15) as bigint) as hugeint)) as s{i}" for i in range(4))
+    + """ from l)
+select n as rows, sha256(concat_ws(':', cast(n as varchar), cast(s0 as varchar), cast(s1 as varchar), cast(s2 as varchar), cast(s3 as varchar))) as digest from s"""
+)
+def export_digest(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.corpus_digest(_exported(spark, d).repartition(7))
 
 
 @query("select user_id, min(event_id) as event_id, bool_or(event_type = 'click') as commented from events group by 1")

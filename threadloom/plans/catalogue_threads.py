@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from threadloom.operators import filters, provenance, threads
 from threadloom.plans.catalogue_search import SQL_ORDER
 from threadloom.plans.registry import query
-from threadloom.plans.views import table, view
+from threadloom.plans.views import in_repo, table, view
 
 _CLAIMS = """l as (select k.*, t.repo, t.state, t.created_at, t.author from h_links k join h_threads t using (number)),
 c as (select *, row_number() over (partition by repo, target_number order by case when state = 'open' then 0 else 1 end, created_at desc nulls last, number) as position, count(*) over (partition by repo, target_number) as total from l)"""
@@ -18,10 +18,24 @@ c as (select *, row_number() over (partition by repo, target_number order by cas
 
 @query(_CLAIMS + " select repo, target_number, number, state, position, total from c where position <= 10")
 def inflight_claims(spark: SparkSession, d: str) -> DataFrame:
-    rows = threads.claims(view(spark, d, "h_links"), view(spark, d, "h_threads"))
+    rows = threads.claims(in_repo(spark, d, "h_links"), view(spark, d, "h_threads"))
     return rows.select("repo", "target_number", "number", "state", F.col("position").cast("long").alias("position"), "total")
 
 
+@query(
+    """c as (select *, row_number() over (partition by repo, target_number order by case when state = 'open' then 0 else 1 end, created_at desc nulls last, number) as position, count(*) over (partition by repo, target_number) as total
+  from h_twice where thread_type = 'pr' and target_number % 5 = 0)
+select repo, target_number, number, state, position, total from c where position <= 10"""
+)
+def claims_two_repos(spark: SparkSession, d: str) -> DataFrame:
+    """Claims on some numbers where two repositories have the same numbers."""
+    rows = view(spark, d, "h_twice")
+    links = rows.where("thread_type = 'pr'").select("repo", "number", "target_number")
+    targets = rows.where("target_number % 5 = 0").select("repo", "target_number").distinct()
+    found = threads.claims(links, rows.drop("target_number"), targets)
+    return found.select("repo", "target_number", "number", "state", F.col("position").cast("long").alias("position"), "total")
+
+
 @query("select repo, count(*) as links from h_links join h_threads using (number) group by repo")
 def links_indexed(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d, "h_links").join(view(spark, d, "h_threads"), "number").groupBy("repo").agg(F.count("*").alias("links"))
@@ -151,7 +165,7 @@ def why_argument_levels(spark: SparkSession, d: str) -> DataFrame:
 @query(
     """k as (select repo, number, sha256('c' || cast(number as varchar(20))) as sha from h_threads where number % 3 <> 0),
 q as (select repo, number as n, case when number % 2 = 0 then sha256('c' || cast(number as varchar(20))) else sha256('x' || cast(number as varchar(20))) end as sha, case when number % 5 = 0 then 'fix it (#' || cast(number as varchar(20)) || ')' else 'fix it' end as summary from h_threads),
-j as (select q.repo, q.sha, k.number, case when regexp_matches(summary, '\\(#(\\d+)\\)\\s*$') then cast(regexp_extract(summary, '\\(#(\\d+)\\)\\s*$', 1) as bigint) end as guess from q left join k on q.repo = k.repo and substr(q.sha, 1, 12) = substr(k.sha, 1, 12))
+j as (select q.repo, q.sha, k.number, case when regexp_matches(summary, '\\(#(\\d+)\\)\\s*$') then cast(regexp_extract(summary, '\\(#(\\d+)\\)\\s*$', 1) as bigint) end as guess from q left join k on q.repo = k.repo and q.sha = k.sha)
 select repo, sha, coalesce(number, guess) as number, number is null and guess is not null as guessed from j where coalesce(number, guess) is not null""".replace("\\\\", "\\")
 )
 def sha_prefix_join(spark: SparkSession, d: str) -> DataFrame:
@@ -164,13 +178,26 @@ def sha_prefix_join(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    """w as (select distinct number as asked, path from h_files where number < 200),
-s as (select asked, f.number, count(distinct path) as shared from h_files f join w using (path) where source = 'changed' and f.number <> asked group by 1, 2),
-r as (select s.*, repo, row_number() over (partition by asked order by shared desc, merged_at desc, number) as position from s join h_threads using (number) where merged_at is not null)
+    """k as (select repo, number, lpad(cast(number as varchar(20)), 40, '0') as sha from h_twice where thread_type = 'pr'),
+q as (select distinct repo, lpad(cast(number as varchar(20)), 40, '0') as sha, 'merge (#' || cast(number + 1 as varchar(20)) || ')' as summary, number + 1 as guess from h_twice)
+select q.repo, q.sha, coalesce(k.number, guess) as number, k.number is null as guessed from q left join k on q.repo = k.repo and q.sha = k.sha"""
+)
+def why_threads(spark: SparkSession, d: str) -> DataFrame:
+    """Blamed commits whose shas have their first 12 characters in common, in two repositories."""
+    rows = view(spark, d, "h_twice").withColumn("sha", F.lpad(F.col("number").cast("string"), 40, "0"))
+    asked = rows.select("repo", "sha", F.concat(F.lit("merge (#"), (F.col("number") + 1).cast("string"), F.lit(")")).alias("summary")).distinct()
+    return provenance.threads_of_commits(asked, rows.where("thread_type = 'pr'").select("repo", "number", "sha"), rows)
+
+
+@query(
+    """f as (select repo, number, path, source, merged_at from h_files join h_threads using (number)),
+w as (select distinct repo, number as asked, path from f), m as (select distinct repo, number, path, merged_at from f where source = 'changed' and merged_at is not null),
+s as (select repo, asked, number, merged_at, count(*) as shared from m join w using (repo, path) where number <> asked group by all),
+r as (select *, row_number() over (partition by repo, asked order by shared desc, merged_at desc, number) as position from s)
 select asked, number, repo, shared, position from r where position <= 5"""
 )
 def brief_file_history(spark: SparkSession, d: str) -> DataFrame:
-    rows = provenance.file_histories(view(spark, d, "h_files"), view(spark, d, "h_threads"))
+    rows = provenance.file_histories(in_repo(spark, d, "h_files"), view(spark, d, "h_threads"))
     return rows.select("asked", "number", "repo", "shared", F.col("position").cast("long").alias("position"))
 
 

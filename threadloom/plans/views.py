@@ -34,6 +34,13 @@ VIEWS = {
         """select distinct l_orderkey as number, 'tests/test_m.py::test_' || cast(l_partkey % 30 as varchar(20)) || '[p' || cast(l_linenumber % 3 as varchar(20)) || ']' as test_id from {lineitem}""",
     ),
     "h_links": ("orders", """select o_orderkey as number, 'closes' as relationship, o_orderkey - (o_orderkey % 7) - 1 as target_number from {orders} where o_orderkey % 3 <> 0"""),
+    # the same numbers in two repositories
+    "h_twice": (
+        "orders",
+        """select o_orderkey as number, 'org/one' as repo, case when o_orderkey % 3 = 0 then 'issue' else 'pr' end as thread_type, case when o_orderstatus = 'O' then 'open' else 'closed' end as state,
+  o_orderdate as created_at, o_orderkey - (o_orderkey % 7) - 1 as target_number from {orders}
+union all select o_orderkey, 'org/two', case when o_orderkey % 3 = 1 then 'issue' else 'pr' end, case when o_orderstatus = 'O' then 'closed' else 'open' end, o_orderdate, o_orderkey - (o_orderkey % 11) - 1 from {orders} where o_orderkey % 2 = 0""",
+    ),
     "h_conv": (
         "conversations",
         """select conv_id as number, turn as comment, role as author, case role when 'system' then 'machine' when 'assistant' then 'authoritative' else 'reported' end as trust, text as body_text from {conversations}""",
@@ -56,6 +63,11 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(sql, **{source: table(spark, sf_dir, source)})
 
 
+def in_repo(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A view with the repository of each number."""
+    return view(spark, sf_dir, name).join(view(spark, sf_dir, "h_threads").select("repo", "number"), "number")
+
+
 def with_views(sql: str, *names: str) -> str:
     """The SQL with the views that it names in front, for an engine that has the raw tables only."""
     used = names or [n for n in VIEWS if n in sql]
