@@ -137,6 +137,40 @@ def engine(spark):
     return Engine.over(spark, raw, authority)
 
 
+def test_batches_are_indexed_once_and_forget_what_is_gone(spark):
+    from threadloom.plans import index
+
+    schema = "repo string, object_type string, object_id string, thread_number long, payload string"
+    at = lambda rows, when: spark.createDataFrame(rows, schema).withColumns({c: F.lit(when).cast("timestamp") for c in ("fetched_at", "updated_at")})
+    authority = spark.createDataFrame([("org/r", "ann", "write")], "repo string, login string, permission string")
+    rows = [r for r in raw_rows() if json.loads(r[4]).get("number") == 1 or r[1].endswith("comment")]
+    first = at(rows, "2025-02-01 00:00:00")
+    marks = spark.createDataFrame([], "repo string, high_water timestamp")
+    none = first.limit(0)
+    one = index.indexed(none, first, index.derive.documents(index.derive.sources(none), authority), authority, marks)
+    keys = {(r.source_type, r.source_id) for r in one.documents.collect()}
+    assert keys == {("title", 1), ("body", 1), ("issue_comment", 100), ("issue_comment", 101), ("review_comment", 102)}
+    assert {r.action for r in one.changes.collect()} == {"insert"} and one.history.count() == 0
+    again = index.indexed(one.staged, first, one.documents, authority, one.marks)
+    assert {r.action for r in again.changes.collect()} == {"unchanged"} and again.history.count() == 0
+    changed = [(*r[:4], r[4].replace("KeyError", "TypeError\\u0000")) if r[1] == "issue" else r for r in rows if r[2] != "101"]
+    failed = spark.createDataFrame([("org/r", "2025-02-02 00:00:00", True), ("org/r", "2025-02-03 00:00:00", False), ("org/r", "2025-02-04 00:00:00", True)], "repo string, ts string, ok boolean").withColumn("ts", F.to_timestamp("ts"))
+    two = index.indexed(one.staged, at(changed, "2025-02-02 00:00:00"), one.documents, authority, one.marks, failed)
+    assert {(r.source_type, r.source_id, r.action) for r in two.changes.collect() if r.action != "unchanged"} == {("body", 1, "update"), ("issue_comment", 101, "delete")}
+    assert {(r.source_id, r.reason) for r in two.history.collect()} == {(1, "edited"), (101, "deleted")}
+    assert "TypeError:" in {r.source_type: r.body_text for r in two.documents.collect()}["body"] and two.staged.count() == len(changed)
+    assert str(two.marks.first().high_water) == "2025-02-02 00:00:00"
+
+
+def test_closing_references_of_the_forge_are_links(spark):
+    from threadloom.plans import derive
+
+    node = lambda n, repo: {"number": n, "repository": {"nameWithOwner": repo}}
+    rows = [("org/r", "pr_details", "7", 7, json.dumps({"number": 7, "closingIssuesReferences": {"nodes": [node(3, "Org/R"), node(4, "other/r"), node(7, "org/r")]}}))]
+    raw = spark.createDataFrame(rows, "repo string, object_type string, object_id string, thread_number long, payload string").withColumns({"fetched_at": F.current_timestamp(), "updated_at": F.current_timestamp()})
+    assert [(r.number, r.target_number) for r in derive.signals(derive.sources(raw), raw)["links"].collect()] == [(7, 3)]
+
+
 def test_engine_searches_and_widens(engine):
     page, widened = engine.search("cache mask", kind="failure")
     found = [(r.number, r.source_type) for r in page.collect()]

@@ -84,6 +84,13 @@ def links(documents: DataFrame, text: Column, *keep: str) -> DataFrame:
     return found.where("target_number <> number").distinct()
 
 
+def closing_references(details: DataFrame, *keep: str) -> DataFrame:
+    """(keep, target_number): the issues of its own repository that the forge says a pull request closes."""
+    found = details.select(*keep, F.explode("detail.closingIssuesReferences.nodes").alias("n"))
+    mine = F.coalesce(F.lower("n.repository.nameWithOwner") == F.lower("repo"), F.lit(True))
+    return found.where(mine & F.col("n.number").isNotNull()).select(*keep, F.col("n.number").alias("target_number")).where("target_number <> number").distinct()
+
+
 def changed_files(details: DataFrame, *keep: str) -> DataFrame:
     """(keep, path, change_type) of the pull request's own file list."""
     found = details.select(*keep, F.explode("detail.files.nodes").alias("f"))

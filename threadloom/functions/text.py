@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -219,18 +220,30 @@ def is_symbol(c: Column) -> Column:
     return (F.char_length(c) >= 3) & ~F.lower(c).isin(*SYMBOL_STOPWORDS) & c.rlike(r"(?U)^[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)*$") & ~last.isin(*SOURCE_EXTENSIONS) & marked
 
 
+def named(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with the value worked out once however often `then` uses it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def repo_path(candidate: Column) -> Column:
     """A path within the repository, read out of text, or null."""
-    p = F.regexp_replace(F.trim(candidate), r"^[\"'`,;:()\[\]<>]+|[\"'`,;:()\[\]<>]+$", "")
-    at = F.locate("site-packages/", p)
-    p = F.when(at > 0, F.substring(p, at + 14, F.char_length(p))).otherwise(p)
-    foreign = (p == "") | p.rlike(r"^[/~\\]") | F.contains(p, F.lit("://"))
-    q = F.regexp_replace(p, r"^\./", "")
-    q = F.when(q.rlike("^[ab]/") & q.rlike("/.*/"), F.substring(q, 3, 1 << 20)).otherwise(q)
-    extension = F.substring_index(q, ".", -1)
-    good = ~F.concat(F.lit("/"), q, F.lit("/")).contains("/../") & q.rlike(r"(?U)^[\w.+/-]+$") & q.rlike(r"(?U)^.+\.[a-zA-Z]\w*$") & ~F.contains(extension, F.lit("_"))
-    known = F.contains(q, F.lit("/")) | F.lower(extension).isin(*SOURCE_EXTENSIONS)
-    return F.when(~foreign & good & known, q)
+
+    def installed(p: Column) -> Column:
+        at = F.locate("site-packages/", p)
+        return F.when(at > 0, F.substring(p, at + 14, F.char_length(p))).otherwise(p)
+
+    def relative(p: Column) -> Column:
+        q = F.regexp_replace(p, r"^\./", "")
+        q = F.when(q.rlike("^[ab]/") & q.rlike("/.*/"), F.substring(q, 3, 1 << 20)).otherwise(q)
+        return F.when((p != "") & ~p.rlike(r"^[/~\\]") & ~F.contains(p, F.lit("://")), q)
+
+    def checked(q: Column) -> Column:
+        extension = F.substring_index(q, ".", -1)
+        good = ~F.concat(F.lit("/"), q, F.lit("/")).contains("/../") & q.rlike(r"(?U)^[\w.+/-]+$") & q.rlike(r"(?U)^.+\.[a-zA-Z]\w*$") & ~F.contains(extension, F.lit("_"))
+        return F.when(good & (F.contains(q, F.lit("/")) | F.lower(extension).isin(*SOURCE_EXTENSIONS)), q)
+
+    bare = F.regexp_replace(F.trim(candidate), r"^[\"'`,;:()\[\]<>]+|[\"'`,;:()\[\]<>]+$", "")
+    return named(bare, lambda b: named(installed(b), lambda p: named(relative(p), checked)))
 
 
 def definitive_path(candidate: Column) -> Column:

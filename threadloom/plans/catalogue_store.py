@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.operators import evaluation
+from threadloom.plans import derive, index
 from threadloom.plans.registry import query
 from threadloom.plans.views import table, view
+from threadloom.schemas import RAW
 from threadloom.sources import store
 from threadloom.streaming import ingest
 
@@ -170,3 +172,35 @@ def poll_candidates(spark: SparkSession, d: str) -> DataFrame:
     events = table(spark, d, "events").select("user_id", F.col("event_id").alias("ts"), "event_type")
     both = ingest.candidates(events, events.where("event_type = 'click'"), ["user_id"])
     return both.select("user_id", F.col("ts").alias("event_id"), "commented")
+
+
+def landed_batch(spark: SparkSession, d: str, batch: int) -> DataFrame:
+    """Payloads of the orders as threads and their lines as comments. The second batch has every fifth thread again, with
+    another body and without the comments of even lines."""
+    at = F.lit(f"2025-01-0{batch}T00:00:00Z")
+    who = [F.struct(F.lit("ann").alias("login"), F.lit("User").alias("type")).alias("user"), F.lit("NONE").alias("author_association"), at.alias("created_at"), at.alias("updated_at")]
+    n = F.col("number").cast("string")
+    heads = table(spark, d, "orders").select(F.col("o_orderkey").alias("number"))
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("number"), F.col("l_linenumber").alias("line"), F.col("l_quantity").cast("int").alias("quantity"))
+    if batch == 2:
+        heads, lines = heads.where("number % 5 = 0"), lines.where("number % 5 = 0 and line % 2 = 1")
+    thread = F.struct("number", F.concat(F.lit("thread "), n).alias("title"), F.lit(f"body {batch}").alias("body"), *who)
+    comment = F.struct((F.col("number") * 10 + F.col("line")).alias("id"), F.concat(F.lit("note "), F.col("quantity").cast("string")).alias("body"), F.concat(F.lit("https://h/repos/org/r/issues/"), n).alias("issue_url"), *who)
+    rows = heads.select(F.lit("issue").alias("object_type"), n.alias("object_id"), F.to_json(thread).alias("payload"))
+    rows = rows.unionByName(lines.select(F.lit("issue_comment").alias("object_type"), (F.col("number") * 10 + F.col("line")).cast("string").alias("object_id"), F.to_json(comment).alias("payload")))
+    return rows.select(F.lit("org/r").alias("repo"), "object_type", "object_id", F.lit(None).cast("long").alias("thread_number"), "payload", at.cast("timestamp").alias("fetched_at"), at.cast("timestamp").alias("updated_at"))
+
+
+@query(
+    """select o_orderkey as number, 'title' as source_type, o_orderkey as source_id, 'thread ' || cast(o_orderkey as varchar(20)) as body_text from orders
+union all select o_orderkey, 'body', o_orderkey, case when o_orderkey % 5 = 0 then 'body 2' else 'body 1' end from orders
+union all select l_orderkey, 'issue_comment', l_orderkey * 10 + l_linenumber, 'note ' || cast(cast(trunc(l_quantity) as int) as varchar(20)) from lineitem where l_orderkey % 5 <> 0 or l_linenumber % 2 = 1"""
+)
+def ingest_two_batches(spark: SparkSession, d: str) -> DataFrame:
+    """The documents after two batches, the second of which edits some threads and lost some of their comments."""
+    none = spark.createDataFrame([], RAW)
+    authority = spark.createDataFrame([("org/r", "ann", "write")], "repo string, login string, permission string")
+    marks = spark.createDataFrame([], "repo string, high_water timestamp")
+    first = index.indexed(none, landed_batch(spark, d, 1), derive.documents(derive.sources(none), authority), authority, marks)
+    second = index.indexed(first.staged, landed_batch(spark, d, 2), first.documents, authority, first.marks)
+    return second.documents.select("number", "source_type", "source_id", "body_text")

@@ -95,5 +95,5 @@ def signals(texts: DataFrame, raw: DataFrame) -> dict[str, DataFrame]:
         "tests": extract.tests(texts, text, *key),
         "symbols": extract.symbols(texts, text, *key),
         "commits": extract.commits(details, *key),
-        "links": extract.links(texts.join(heads, list(key)), F.col("markdown"), *key).withColumn("relationship", F.lit("closes")),
+        "links": extract.links(texts.join(heads, list(key)), F.col("markdown"), *key).union(extract.closing_references(details, *key)).distinct().withColumn("relationship", F.lit("closes")),
     }

@@ -15,7 +15,8 @@ def latest(raw: DataFrame, key: Sequence[str], at: Column) -> DataFrame:
 
 
 def without_nul(payload: Column) -> Column:
-    return F.regexp_replace(payload, r"\\u0000", "")
+    """A payload without NUL characters, escaped or not; an escaped backslash before u0000 is no escape of NUL."""
+    return F.regexp_replace(F.replace(payload, F.lit("\0"), F.lit("")), r"(?<!\\)((?:\\\\)*)\\u0000", "$1")
 
 
 def pruned(raw: DataFrame, fetched: DataFrame, key: Sequence[str], types: Sequence[str], unread: Sequence[str] = ()) -> DataFrame:
