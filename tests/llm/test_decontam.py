@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from threadloom.llm import decontam
+from threadloom.llm import common, decontam
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -49,9 +49,10 @@ def test_against_brute_force(spark):
     assert run(spark, docs, items) == brute(docs, items)
 
 
-@pytest.mark.parametrize("limit", [0, 10**6])
-def test_with_and_without_broadcast(spark, monkeypatch, limit):
-    monkeypatch.setattr(decontam, "BROADCAST_ROWS", limit)
+@pytest.mark.parametrize("full", [True, False])
+def test_with_a_full_and_an_empty_bit_filter(spark, monkeypatch, full):
+    if full:
+        monkeypatch.setattr(common, "bit_set", lambda longs, bit: longs.isNotNull())
     items = [(1, " ".join(f"a{i}" for i in range(20))), (2, "one two three")]
     docs = [(1, "x " * 10 + items[0][1]), (2, "one two three four"), (3, "one three two")]
     assert run(spark, docs, items) == brute(docs, items)

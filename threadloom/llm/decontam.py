@@ -4,6 +4,9 @@ A window of an item is a set of five-word shingles. A text that holds the window
 containment one shingle, the rarest over all documents, is the necessary prefix. Documents are joined on that shingle's
 hash alone; the shingle's place in the window fixes where the window would start (positional bound) and end (length
 bound); the words there are then compared one by one. A window with a shingle that no document has is never joined.
+
+Texts are cut into words once; from there on a word is its 64-bit hash, and two windows are equal when all their words'
+hashes are. A bit filter of bounded size keeps positions without an item's shingle from being shuffled.
 """
 
 from __future__ import annotations
@@ -13,33 +16,40 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import ascii_lower, staged
+from threadloom.llm.common import ascii_lower, maybe_in, staged
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SHINGLE = 5
-#: Rows of the item side that may be broadcast: a hash, a window of 13 words and its numbers, some 300 bytes each.
-BROADCAST_ROWS = 100_000
 
 
 def words_of(text: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
-def _hashed(words: Column, at: Column, k: int) -> Column:
+def _hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def _shingle(hashes: Column, at: Column, k: int) -> Column:
     """The hash of the k words from 0-based `at` on; null if there are fewer."""
-    return F.when(at + k <= F.size(words), F.xxhash64(F.lit(k), *(F.get(words, at + i) for i in range(k))))
+    return F.when(at + k <= F.size(hashes), F.xxhash64(F.lit(k), *(F.get(hashes, at + i) for i in range(k))))
 
 
 def item_windows(items: DataFrame, window: int, text: str, key: str) -> DataFrame:
-    """(item_id, wid, size, words): the windows of every item with words."""
+    """(item_id, wid, size, hashes): the windows of every item with words."""
     one = items.select(F.col(key).cast("string").alias("item_id"), words_of(F.col(text)).alias("all")).where("size(all) > 0")
     one = one.withColumn("size", F.least(F.size("all"), F.lit(window)))
     one = one.select("item_id", "size", "all", F.explode(F.sequence(F.lit(1), F.size("all") - F.col("size") + 1)).alias("first"))
-    return one.select("item_id", "size", F.slice("all", F.col("first"), F.col("size")).alias("words")).withColumn("wid", F.sha2(F.array_join("words", " ").cast("binary"), 256)).distinct()
+    one = one.select("item_id", "size", F.slice("all", F.col("first"), F.col("size")).alias("words"))
+    return one.select("item_id", F.sha2(F.array_join("words", " ").cast("binary"), 256).alias("wid"), "size", _hashes(F.col("words")).alias("hashes")).distinct()
 
 
-def _broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _positions(texts: DataFrame, lengths: list[int]) -> DataFrame:
+    """(doc_id, of, n_words, hashes, at, h): the shingles of each length at every word of the texts."""
+    placed = texts.select("doc_id", "of", "n_words", "hashes", F.posexplode("hashes").alias("at", "word"))
+    found = [_shingle(F.col("hashes"), F.col("at"), k) for k in lengths] or [F.lit(None).cast("long")]
+    one = found[0] if len(found) == 1 else F.explode(F.array(*found))
+    return placed.select("doc_id", "of", "n_words", "hashes", "at", one.alias("h")).where("h is not null")
 
 
 def contamination(documents: DataFrame, items: DataFrame, window: int = 13, text: str = "text", key: str = "doc_id", item_text: str = "text", item_key: str = "item_id") -> DataFrame:
@@ -51,34 +61,32 @@ def contamination(documents: DataFrame, items: DataFrame, window: int = 13, text
     kept. Repeated items count once, null item ids not at all. Empty tables give empty results or clean documents.
     """
     windows = staged(item_windows(items.where(F.col(item_key).isNotNull()), window, item_text, item_key), "decontam-windows")
-    distinct = windows.select("wid", "size", "words").distinct()
+    distinct = windows.select("wid", "size", "hashes").distinct()
     k = F.least(F.lit(SHINGLE), F.col("size"))
-    shingled = distinct.select("wid", "size", "words", k.alias("k"), F.explode(F.sequence(F.lit(0), F.col("size") - k)).alias("offset"))
-    hash_of = reduce(lambda rest, n: F.when(F.col("k") == n, _hashed(F.col("words"), F.col("offset"), n)).otherwise(rest), range(1, SHINGLE + 1), F.lit(None).cast("long"))
+    shingled = distinct.select("wid", "size", "hashes", k.alias("k"), F.explode(F.sequence(F.lit(0), F.col("size") - k)).alias("offset"))
+    hash_of = reduce(lambda rest, n: F.when(F.col("k") == n, _shingle(F.col("hashes"), F.col("offset"), n)).otherwise(rest), range(1, SHINGLE + 1), F.lit(None).cast("long"))
     shingled = staged(shingled.withColumn("h", hash_of), "decontam-shingles")
     lengths = sorted(r["k"] for r in shingled.select("k").distinct().collect())  # SHINGLE values at most
-    rows = shingled.count()
-
-    texts = documents.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("of"), words_of(F.col(text)).alias("words"))
-    placed = texts.select("doc_id", "of", "words", F.posexplode_outer("words").alias("at", "word"))
-    hashes = [_hashed(F.col("words"), F.col("at"), n) for n in lengths] or [F.lit(None).cast("long")]
-    if len(hashes) == 1:
-        placed = placed.select("doc_id", "of", "words", "at", hashes[0].alias("h"))
-    else:
-        placed = placed.select("doc_id", "of", "words", "at", F.explode(F.array(*hashes)).alias("h"))
-
-    seen = placed.where("h is not null").select("h").join(_broadcast_if_small(shingled.select("h").distinct(), rows), "h", "left_semi")
-    counts = seen.groupBy("h").agg(F.count("*").alias("count"))
-    ranked = shingled.join(counts, "h", "left").groupBy("wid").agg(F.min(F.coalesce("count", F.lit(0))).alias("least"), F.min_by(F.struct("h", "offset", "size", "words"), F.struct(F.coalesce("count", F.lit(0)), "offset")).alias("rarest"))
-    prefixes = staged(ranked.where("least > 0").select("wid", F.col("rarest.h").alias("h"), F.col("rarest.offset").alias("offset"), F.col("rarest.size").alias("size"), F.col("rarest.words").alias("window")), "decontam-prefixes")
-
-    met = placed.join(_broadcast_if_small(prefixes, prefixes.count()), "h", "left")
+
+    texts = documents.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("of"), _hashes(words_of(F.col(text))).alias("hashes"))
+    texts = staged(texts.select("doc_id", "of", F.size("hashes").cast("long").alias("n_words"), "hashes"), "decontam-words")
+    placed = _positions(texts, lengths)
+
+    counts = maybe_in(placed.select("h"), ["h"], shingled.select("h").distinct()).groupBy("h").agg(F.count("*").alias("count"))
+    ranked = shingled.join(counts, "h").groupBy("wid").agg(F.count("*").alias("present"), F.min_by(F.struct("h", "offset", "size", "k", "hashes"), F.struct("count", "offset")).alias("rarest"))
+    ranked = ranked.where(F.col("present") == F.col("rarest.size") - F.col("rarest.k") + 1)
+    prefixes = staged(ranked.select("wid", "rarest.h", "rarest.offset", "rarest.size", F.col("rarest.hashes").alias("window")), "decontam-prefixes")
+
+    # the words around a shingle hold every window that it may be the prefix of
+    before = F.least(F.col("at"), F.lit(window))
+    near = F.slice("hashes", F.col("at") - before + 1, before + window)
+    met = maybe_in(placed, ["h"], prefixes.select("h").distinct()).select("doc_id", "of", "n_words", "at", "h", before.alias("before"), near.alias("near")).join(prefixes, "h")
     start = F.col("at") - F.col("offset")
-    holds = (start >= 0) & (start + F.col("size") <= F.size("words")) & (F.slice("words", F.greatest(start, F.lit(0)) + 1, F.col("size")) == F.col("window"))
-    met = met.withColumn("hit", F.when(holds, F.struct(start.alias("start"), (start + F.col("size")).alias("end"), "wid")))
-    met = met.where("hit is not null or at = 0 or at is null")
-    by_text = met.groupBy("doc_id", "of").agg(F.max(F.size("words")).cast("long").alias("n_words"), F.collect_set("hit").alias("hits"))
-    by_text = staged(by_text, "decontam-hits")
+    holds = (start >= 0) & (start + F.col("size") <= F.col("n_words")) & (F.slice("near", F.greatest(F.col("before") - F.col("offset"), F.lit(0)) + 1, F.col("size")) == F.col("window"))
+    hits = met.where(holds).groupBy("doc_id", "of").agg(F.collect_set(F.struct(start.alias("start"), (start + F.col("size")).alias("end"), "wid")).alias("hits"))
+    hits = hits.select(F.col("doc_id").alias("hit_id"), F.col("of").alias("hit_of"), "hits")
+    by_text = texts.groupBy("doc_id", "of").agg(F.max("n_words").alias("n_words")).join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("of") == F.col("hit_of")), "left")
+    by_text = staged(by_text.select("doc_id", "of", "n_words", F.coalesce("hits", F.array().cast("array<struct<start:int,end:int,wid:string>>")).alias("hits")), "decontam-hits")
 
     spans = F.array_sort(F.array_distinct(F.transform("hits", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))))
     nothing = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).alias("upto"))
