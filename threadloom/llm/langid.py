@@ -16,11 +16,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.llm.common import draw_limit, spare_name
+
 BUCKETS = 4096
 #: Labelled texts of each language that the distributions are fitted on: the expected size of a sample by hash.
 SAMPLE_PER_LANGUAGE = 4000
 SMOOTHING = 0.05
-ROUNDS, ROUNDS_EACH = 8, 4
+#: Expectation-maximisation ends where no proportion moves by more than this.
+TOLERANCE = 1e-3
 #: Trigrams overlap, so a text of n of them has about n / 3 independent ones.
 EFFECTIVE = 1 / 3
 UNDETERMINED = "und"
@@ -51,13 +54,17 @@ class Model:
         """texts x languages: proportions over the selected set; a row of zeros for a text without trigrams."""
         p, n, found = self.likelihood, counts.sum(1, keepdims=True), len(self.languages)
 
-        def fitted(pi: np.ndarray, rounds: int) -> np.ndarray:
-            for _ in range(rounds):
-                pi = pi * ((counts / (pi @ p + np.float32(1e-30))) @ p.T) / np.maximum(n, 1)
-                pi /= np.maximum(pi.sum(1, keepdims=True), np.float32(1e-30))
+        def fitted(pi: np.ndarray) -> np.ndarray:
+            pi, moving = pi.copy(), np.flatnonzero(n[:, 0] > 0)
+            while len(moving):
+                c, was = counts[moving], pi[moving]
+                now = was * ((c / (was @ p + np.float32(1e-30))) @ p.T) / n[moving]
+                now /= np.maximum(now.sum(1, keepdims=True), np.float32(1e-30))
+                pi[moving] = now
+                moving = moving[np.abs(now - was).max(1) > TOLERANCE]
             return pi
 
-        full = fitted(np.full((len(counts), found), 1 / found, np.float32), ROUNDS)
+        full = fitted(np.full((len(counts), found), 1 / found, np.float32))
         order, rank = np.argsort(-full, axis=1, kind="stable"), None
         rank = np.empty_like(order)
         np.put_along_axis(rank, order, np.arange(found)[None, :].repeat(len(counts), 0), 1)
@@ -65,7 +72,7 @@ class Model:
         for k in range(1, found + 1):
             pi = np.where(rank < k, np.maximum(full, np.float32(1e-3)), np.float32(0))
             pi /= pi.sum(1, keepdims=True)
-            pi = fitted(pi, ROUNDS_EACH) if k > 1 else pi
+            pi = fitted(pi) if k > 1 else pi
             fit = (counts * np.log(pi @ p + np.float32(1e-30))).sum(1)
             cost = -2 * EFFECTIVE * fit + (k - 1) * np.log(np.maximum(n[:, 0] * EFFECTIVE, 2))
             better = cost < best_cost
@@ -81,14 +88,14 @@ def labelled(documents: DataFrame, text: str, lang: str, key: str) -> DataFrame:
 def fit(documents: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", sample_per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
     """The model of all languages that labelled rows show, from about sample_per_language whole texts of each.
 
-    Rows are drawn by the hash of their key, so the sample is the same on every run. Null labels, texts and keys are left
-    out. What reaches the driver is one count for each language and bucket.
+    Rows are drawn by the hash of their key and text, so the sample is the same on every run. Null labels, texts and keys
+    are left out. What reaches the driver is one count for each language and bucket; languages are few, as labels are.
     """
-    rows = labelled(documents, text, lang, key).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.pmod(F.xxhash64(key), F.lit(1 << 20)).alias("draw"))
+    rows = labelled(documents, text, lang, key).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.shiftrightunsigned(F.xxhash64(key, text), 1).alias("draw"))
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return Model((), np.zeros((0, BUCKETS), np.float32))
-    limits = F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, int(min(1, sample_per_language / n) * (1 << 20)))))
+    limits = F.create_map(*(F.lit(x) for k, n in sizes.items() for x in (k, draw_limit(sample_per_language, n))))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
@@ -99,7 +106,7 @@ def fit(documents: DataFrame, text: str = "text", lang: str = "lang", key: str =
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], ["lang", "bucket", "n"])
 
-    counts = rows.where(F.col("draw") < limits[F.col("lang")]).select("lang", "text").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    counts = rows.where(F.col("draw") <= limits[F.col("lang")]).select("lang", "text").mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = tuple(sorted(sizes))
     table = np.full((len(languages), BUCKETS), SMOOTHING)
     np.add.at(table, ([languages.index(x) for x in counts["lang"]], counts["bucket"].to_numpy(np.int64)), counts["n"].to_numpy(float))
@@ -133,13 +140,14 @@ def identified(documents: DataFrame, model: Model, text: str = "text") -> DataFr
     gets the first language by name with score 0. With no learnt language all is "und". Every row stays one row, equal
     texts get equal answers, and columns with the names of the result are replaced.
     """
-    found = documents.withColumn("_p", predicted(F.col(text), model))
+    p = spare_name(documents)
+    found = documents.withColumn(p, predicted(F.col(text), model))
     lettered = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     return found.withColumns({
-        "lang_pred": F.when(lettered, F.col("_p.lang_pred")).otherwise(UNDETERMINED),
-        "score": F.when(lettered, F.col("_p.score")).otherwise(F.lit(0.0)),
-        "mixture": F.when(lettered, F.col("_p.mixture")).otherwise(""),
-    }).drop("_p")
+        "lang_pred": F.when(lettered, F.col(f"{p}.lang_pred")).otherwise(UNDETERMINED),
+        "score": F.when(lettered, F.col(f"{p}.score")).otherwise(F.lit(0.0)),
+        "mixture": F.when(lettered, F.col(f"{p}.mixture")).otherwise(""),
+    }).drop(p)
 
 
 def held_out(key: Column) -> Column:
