@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -28,6 +29,7 @@ def test_against_brute_force(spark):
     rows = make(1)
     assert run(spark, rows, block_bytes=700, bucket_bytes=5000) == brute(rows)
     assert run(spark, rows) == brute(rows)
+    assert run(spark, rows, block_bytes=700, heavy=3) == brute(rows)
 
 
 def test_repeated_and_null_ids_and_empty_table(spark):
@@ -47,9 +49,11 @@ def test_the_blind_trie_sorts(strings):
     assert all((common == 32) == (strings[ranked[k][0]] == strings[ranked[k - 1][0]]) for k, (_, common) in enumerate(ranked) if k)
 
 
-def test_deep_groups_are_sorted_like_plain_suffixes():
+@pytest.mark.parametrize("trie", [0, 40, 10**6])
+def test_deep_groups_are_sorted_like_plain_suffixes(monkeypatch, trie):
+    monkeypatch.setattr(suffix_dedup, "TRIE", trie)
     r = random.Random(4)
-    text = bytes(r.choice(b"ab") for _ in range(2500)) * 3 + b"a" * 300
+    text = bytes(r.choice(b"ab") for _ in range(2500)) * 3 + b"a" * 300 + b"".join(b"common part of all" + bytes(r.choice(b"abc") for _ in range(12)) for _ in range(300))
     import numpy as np
 
     at = np.arange(len(text) - suffix_dedup.LENGTH + 1)

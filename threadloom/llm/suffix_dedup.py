@@ -6,12 +6,13 @@ can repeat are sorted:
 1. Texts go into blocks (staged, compressed). Each start has an anchor, the least hash of the GRAM-byte strings inside its
    LENGTH bytes; equal passages have equal anchors. A stretch of starts with one anchor, and the bytes they cover, is a
    segment.
-2. Anchors meet in buckets by their hash; those seen in one document only go no further.
+2. Anchors meet in buckets by their hash; those seen in one document only go no further. Those seen in more than HEAVY
+   blocks are cut again with anchors of FINE bytes, so that no bucket holds the varied surroundings of a common passage.
 3. Each block sends its distinct segments of the others to their buckets, once for each block with the smallest doc_id
    there, so copies combine before the shuffle.
 4. In a bucket the suffixes of the segments are sorted: multikey quicksort on eight-byte characters to a shallow depth,
-   then a blind trie for each group that is still equal there. Neighbours with a common prefix of LENGTH bytes are one
-   passage; its smallest doc_id says which starts go.
+   then a blind trie for each group that is still equal there; groups too large for a trie go on by quicksort. Neighbours
+   with a common prefix of LENGTH bytes are one passage; its smallest doc_id says which starts go.
 5. Blocks get the answers back and drop the covered bytes.
 """
 
@@ -32,10 +33,12 @@ from threadloom.llm.common import staged
 LENGTH, GRAM = 50, 24
 #: Bytes of text in a block and, on average, behind a bucket. Larger inputs get more of them.
 BLOCK_BYTES, BUCKET_BYTES, LEAST_BUCKETS = 1 << 20, 6 << 20, 16
-#: Shallow depth, in characters of eight bytes.
-SHALLOW = 2
+#: An anchor in more blocks than HEAVY is cut again, with grams of FINE bytes. Fine anchors have the bit _FINE.
+HEAVY, FINE, _FINE = 48, 46, np.uint64(1 << 62)
+#: Shallow depth, in characters of eight bytes, and the largest group that a blind trie orders.
+SHALLOW, TRIE = 2, 1024
 #: Ranges of fewer suffixes are sorted directly.
-SMALL = 4096
+SMALL = 128
 
 _BYTE = np.random.default_rng(19990331).integers(0, 2**64, 256, np.uint64)
 _BASE = 0x9E3779B97F4A7C15
@@ -50,24 +53,41 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _UP[0][:n], _UP[1][:n]
 
 
-def stretches(b: np.ndarray, first: int = 0, part: int = 1 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, from, to): the starts from..to (exclusive) of b have this 48-bit anchor. Long texts go in parts."""
+def _anchors(total: np.ndarray, down: np.ndarray, gram: int) -> np.ndarray:
+    """For each start the least 48-bit hash of the grams inside its LENGTH bytes, from the running hash of the text."""
+    h = (total[gram:] - total[:-gram]) * down[: len(total) - gram]
+    h = ((h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(16)
+    low, width, window = h, 1, LENGTH - gram + 1
+    while width * 2 <= window:
+        low, width = np.minimum(low[:-width], low[width:]), width * 2
+    return np.minimum(low[: len(h) - window + 1], low[window - width :])
+
+
+_NONE = np.empty(0, np.uint64)
+
+
+def _is_in(values: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Whether each value is among the sorted ones."""
+    return among[np.minimum(np.searchsorted(among, values), len(among) - 1)] == values if len(among) else np.zeros(len(values), bool)
+
+
+def stretches(b: np.ndarray, first: int = 0, part: int = 1 << 20, heavy: np.ndarray = _NONE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, from, to): the starts from..to (exclusive) of b have this anchor. Long texts go in parts."""
     last = len(b) - LENGTH + 1
     if last - first > part:
-        found = [stretches(b[at : min(at + part, last) + LENGTH - 1], 0, part) for at in range(first, last, part)]
+        found = [stretches(b[at : min(at + part, last) + LENGTH - 1], 0, part, heavy) for at in range(first, last, part)]
         at = np.arange(first, last, part)
         return tuple(np.concatenate([x[i] + (np.int64(at[j]) if i else np.uint64(0)) for j, x in enumerate(found)]) for i in range(3))
     if last <= 0:
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     up, down = _powers(len(b))
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[b] * up)])
-    h = (total[GRAM:] - total[:-GRAM]) * down[: len(b) - GRAM + 1]
-    h = ((h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(16)
-    low, width, window = h, 1, LENGTH - GRAM + 1
-    while width * 2 <= window:
-        low, width = np.minimum(low[:-width], low[width:]), width * 2
-    low = np.minimum(low[: len(h) - window + 1], low[window - width :])
+    low = _anchors(total, down, GRAM)
     at = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
+    again = _is_in(low[at], heavy)
+    if again.any():
+        low = np.where(np.repeat(again, np.diff(np.append(at, len(low)))), _anchors(total, down, FINE) | _FINE, low)
+        at = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
     return low[at], at, np.append(at[1:], len(low))
 
 
@@ -99,13 +119,13 @@ def _blocks(block_bytes: int):
 class _Block:
     """A block's texts and all stretches of its documents."""
 
-    def __init__(self, ids, lengths, texts: bytes):
+    def __init__(self, ids, lengths, texts: bytes, heavy: np.ndarray = _NONE):
         self.ids, self.raw = ids, zstandard.ZstdDecompressor().decompress(texts) if sum(lengths) else b""
         self.ends = np.cumsum(lengths, dtype=np.int64)
         b, parts = np.frombuffer(self.raw, np.uint8), []
         for k, (end, n) in enumerate(zip(self.ends, lengths, strict=True)):
             if n >= LENGTH and ids[k] is not None:
-                anchor, start, stop = stretches(b[end - n : end])
+                anchor, start, stop = stretches(b[end - n : end], heavy=heavy)
                 parts.append((anchor, start + (end - n), stop + (end - n), np.full(len(anchor), k, np.int64)))
         self.anchor, self.start, self.stop, self.doc = (np.concatenate([p[i] for p in parts]) if parts else np.empty(0, np.uint64 if i == 0 else np.int64) for i in range(4))
 
@@ -121,10 +141,9 @@ class _Block:
         return a[order], bucket[order], several[order]
 
     def segments(self, repeated: np.ndarray):
-        """The distinct segments with a repeated anchor, as {bytes: (number, anchor, smallest doc_id)}, and for each stretch
+        """The distinct segments with a repeated or a fine anchor, as {bytes: (number, anchor, smallest doc_id)}, and for each stretch
         the number of its segment, or -1."""
-        at = np.searchsorted(repeated, self.anchor)
-        use = np.flatnonzero(repeated[np.minimum(at, len(repeated) - 1)] == self.anchor) if len(repeated) else np.empty(0, np.int64)
+        use = np.flatnonzero(_is_in(self.anchor, repeated) | (self.anchor >= _FINE))
         number, found = np.full(len(self.anchor), -1, np.int64), {}
         anchors, owner = [], []
         for i, s, e, a, k in zip(use.tolist(), self.start[use].tolist(), self.stop[use].tolist(), self.anchor[use].tolist(), self.doc[use].tolist(), strict=True):
@@ -166,27 +185,33 @@ def _send_anchors(buckets: int):
     return run
 
 
-def _meet_anchors(table: pa.Table) -> pa.Table:
-    """For each block, which of its anchors are in several documents, in its own order."""
-    parts = [_from_six(x) for x in table.column("anchors").to_pylist()]
-    flags = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(p)).astype(bool) for x, p in zip(table.column("several").to_pylist(), parts, strict=True)]
-    _, place, count = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
-    several = count > 1
-    several[place[np.concatenate(flags)]] = True
-    ends = np.cumsum([len(p) for p in parts])
-    again = several[place]
-    return pa.table({"block": table.column("block"), "repeated": pa.array([_six(p[again[e - len(p) : e]]) for p, e in zip(parts, ends, strict=True)], pa.binary())})
+def _meet_anchors(heavy: int):
+    def run(table: pa.Table) -> pa.Table:
+        """For each block, which of its anchors are in several documents, and which of these are heavy."""
+        parts = [_from_six(x) for x in table.column("anchors").to_pylist()]
+        flags = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(p)).astype(bool) for x, p in zip(table.column("several").to_pylist(), parts, strict=True)]
+        _, place, count = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+        several = count > 1
+        several[place[np.concatenate(flags)]] = True
+        ends = np.cumsum([len(p) for p in parts])
+        found = {"block": table.column("block")}
+        for name, which in (("repeated", several & (count <= heavy)), ("heavy", several & (count > heavy))):
+            mine = which[place]
+            found[name] = pa.array([_six(p[mine[e - len(p) : e]]) for p, e in zip(parts, ends, strict=True)], pa.binary())
+        return pa.table(found)
+
+    return run
 
 
-def _repeated(parts: list[bytes] | None) -> np.ndarray:
+def _sorted(parts: list[bytes] | None) -> np.ndarray:
     return np.sort(np.concatenate([_from_six(x) for x in parts])) if parts else np.empty(0, np.uint64)
 
 
 def _send_segments(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
-        for block, ids, lengths, texts, repeated in _rows(batches):
-            segments, anchors, owner, _ = _Block(ids, lengths, texts).segments(_repeated(repeated))
+        for block, ids, lengths, texts, repeated, heavy in _rows(batches):
+            segments, anchors, owner, _ = _Block(ids, lengths, texts, _sorted(heavy)).segments(_sorted(repeated))
             to: dict[int, list[int]] = {}
             for n, a in enumerate(anchors):
                 to.setdefault(a % buckets, []).append(n)
@@ -241,20 +266,23 @@ def sorted_suffixes(text: bytes, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """The suffixes of LENGTH bytes that start at `at`, sorted: (order, whether equal to the one before)."""
     padded = np.frombuffer(text + bytes(8), np.uint8)
     character = np.ndarray((len(padded) - 7,), ">u8", padded, 0, (1,))
-    done, todo = [], [(np.arange(len(at)), 0)]
+    places = [*range(0, LENGTH - 7, 8), LENGTH - 8]  # the last character overlaps the one before
+    done, todo = [], [(np.arange(len(at)), 0, False)]
     while todo:
-        some, depth = todo.pop()
-        if depth == SHALLOW or len(some) <= 1:
-            done.append(some)
+        some, depth, large = todo.pop()
+        large |= depth == SHALLOW and len(some) > TRIE
+        if len(some) <= 1 or depth == len(places) or depth == SHALLOW and not large:
+            done.append((some, large))
             continue
-        key = character[at[some] + 8 * depth].astype(np.uint64)
+        key = character[at[some] + places[depth]].astype(np.uint64)
         if len(some) < SMALL:
-            rest = [character[at[some] + 8 * d].astype(np.uint64) for d in range(SHALLOW - 1, depth, -1)]
-            done.append(some[np.lexsort((*rest, key))])
+            rest = [character[at[some] + places[d]].astype(np.uint64) for d in range((len(places) if large else SHALLOW) - 1, depth, -1)]
+            done.append((some[np.lexsort((*rest, key))], large))
             continue
         pivot = np.sort(key[[0, len(key) // 2, -1]])[1]
-        todo += [(some[key > pivot], depth), (some[key == pivot], depth + 1), (some[key < pivot], depth)]
-    order = np.concatenate(done) if done else np.empty(0, np.int64)
+        todo += [(some[key > pivot], depth, large), (some[key == pivot], depth + 1, large), (some[key < pivot], depth, large)]
+    order = np.concatenate([some for some, _ in done]) if done else np.empty(0, np.int64)
+    sorted_ = np.repeat([large for _, large in done], [len(some) for some, _ in done])
     if not len(order):
         return order, np.empty(0, bool)
 
@@ -269,7 +297,7 @@ def sorted_suffixes(text: bytes, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     shallow = same([8 * d for d in range(SHALLOW)])
     deep = shallow & same([*range(8 * SHALLOW, LENGTH - 8, 8), LENGTH - 8])
     group = np.cumsum(~shallow) - 1
-    mixed = np.unique(group[shallow & ~deep])
+    mixed = np.unique(group[shallow & ~deep & ~sorted_])  # what quicksort has ordered to the end needs no trie
     edges = np.append(np.flatnonzero(~shallow), len(order))
     bits = 8 * (LENGTH - 8 * SHALLOW)
     for g in mixed.tolist():
@@ -334,9 +362,9 @@ def _sort_bucket(table: pa.Table) -> pa.Table:
 
 def _drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unpack = zstandard.ZstdDecompressor()
-    for _, ids, lengths, texts, repeated, answers in _rows(batches):
-        block = _Block(ids, lengths, texts)
-        _, _, owner, number = block.segments(_repeated(repeated))
+    for _, ids, lengths, texts, repeated, heavy, answers in _rows(batches):
+        block = _Block(ids, lengths, texts, _sorted(heavy))
+        _, _, owner, number = block.segments(_sorted(repeated))
         use = np.flatnonzero(number >= 0)
         runs = np.concatenate([np.frombuffer(unpack.decompress(x), np.uint32).reshape(-1, 3) for x in answers]).astype(np.int64) if answers else np.empty((0, 3), np.int64)
         runs = runs[np.argsort(runs[:, 0], kind="stable")]
@@ -361,7 +389,7 @@ def _drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def without_repeats(documents: DataFrame, text: str = "text", key: str = "doc_id", block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+def without_repeats(documents: DataFrame, text: str = "text", key: str = "doc_id", block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES, heavy: int = HEAVY) -> DataFrame:
     """One row for each row of documents: doc_id, n_bytes, n_removed, n_spans, kept (binary: the remaining bytes).
 
     Texts are UTF-8 bytes; null is empty. Passages never cross documents. Rows with a null doc_id are returned whole and
@@ -374,8 +402,8 @@ def without_repeats(documents: DataFrame, text: str = "text", key: str = "doc_id
     buckets = max(LEAST_BUCKETS, total // bucket_bytes + 1)
     body = blocks.select("block", "ids", "lengths", "texts")
     anchors = body.mapInArrow(_send_anchors(buckets), "bucket int, block long, anchors binary, several binary")
-    repeated = anchors.groupBy("bucket").applyInArrow(_meet_anchors, "block long, repeated binary")
-    repeated = staged(repeated.groupBy("block").agg(F.collect_list("repeated").alias("repeated")), "suffix-repeated")
+    repeated = anchors.groupBy("bucket").applyInArrow(_meet_anchors(heavy), "block long, repeated binary, heavy binary")
+    repeated = staged(repeated.groupBy("block").agg(F.collect_list("repeated").alias("repeated"), F.collect_list("heavy").alias("heavy")), "suffix-repeated")
     body = body.join(repeated, "block", "left")
     segments = body.mapInArrow(_send_segments(buckets), "bucket int, block long, n int, packed binary")
     answers = segments.groupBy("bucket").applyInArrow(_sort_bucket, "block long, answer binary")
