@@ -204,6 +204,16 @@ def test_question_and_index_are_analysed_alike(engine):
     assert not widened and 5 in {r.number for r in page.collect()}
 
 
+def test_a_saved_engine_answers_from_its_tables(engine, tmp_path):
+    saved = engine.saved(f"{tmp_path}/engine")
+    for words in ("get_mask", "touching the caches", "cache nowhere_to_be_found", "the of"):
+        mine, theirs = engine.search(words), saved.search(words)
+        key = lambda page: [(r.number, r.source_type, r.source_id, round(r.score, 9)) for r in page.collect()]
+        assert key(mine[0]) == key(theirs[0]) and mine[1] == theirs[1]
+    plan = saved.postings.postings(["cach"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(term_bucket" in plan or "PartitionFilters: [term_bucket" in plan
+
+
 def test_a_file_leg_is_ranked_by_the_words_of_the_caller(engine):
     from threadloom.operators import fulltext
 

@@ -13,11 +13,14 @@ from threadloom.operators.filters import Corpus, SearchQuery
 from threadloom.plans import derive
 
 
+_RELATIONS = ("threads", "documents", "files", "symbols", "errors", "tests", "labels", "links")
+
+
 @dataclass(frozen=True)
 class Engine:
     spark: SparkSession
     corpus: Corpus
-    postings: DataFrame
+    postings: DataFrame | fulltext.Index
     commits: DataFrame | None = None
 
     @staticmethod
@@ -29,6 +32,23 @@ class Engine:
         corpus = Corpus(heads, docs, signals["files"], signals["symbols"], signals["errors"], signals["tests"], heads.select("repo", "number", F.explode("labels").alias("label")), signals["links"])
         return Engine(spark, corpus, fulltext.postings(docs, "doc_key", "body_text", stemming=True, analyzer=fulltext.english), signals["commits"])
 
+    def saved(self, path: str) -> Engine:
+        """Write the relations and the full-text index to a folder, and open them from there: verbs read tables then."""
+        path = path.rstrip("/")
+        for name in _RELATIONS:
+            getattr(self.corpus, name).write.mode("overwrite").parquet(f"{path}/{name}")
+        self.commits.write.mode("overwrite").parquet(f"{path}/commits")
+        opened = Engine.opened(self.spark, path)
+        fulltext.Index.build(fulltext.postings(opened.corpus.documents, "doc_key", "body_text", stemming=True, analyzer=fulltext.english), f"{path}/index", "doc_key")
+        return opened
+
+    @staticmethod
+    def opened(spark: SparkSession, path: str) -> Engine:
+        """An engine over a folder that `saved` wrote."""
+        path = path.rstrip("/")
+        read = lambda name: spark.read.parquet(f"{path}/{name}")
+        return Engine(spark, Corpus(**{name: read(name) for name in _RELATIONS}), fulltext.Index(spark, f"{path}/index"), read("commits"))
+
     def search(self, text: str = "", **filters_: object) -> tuple[DataFrame, bool]:
         q = SearchQuery(text=text, **filters_)
         page, widened = ranking.search(self.corpus, q, self.postings, terms_of=fulltext.asked_english)

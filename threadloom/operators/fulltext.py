@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+from zlib import crc32
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -55,16 +57,32 @@ def postings(documents: DataFrame, key: str = "doc_id", text: str = "text", stem
     return counted.join(lengths, key)
 
 
-def write_index(found: DataFrame, path: str, buckets: int = 64) -> None:
-    """The postings by bucket of the term, sorted by term, so that a search reads the row groups of its own terms."""
-    by = F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
-    found.withColumn("term_bucket", by).repartition("term_bucket").sortWithinPartitions("term").write.partitionBy("term_bucket").mode("overwrite").parquet(path)
+@dataclass(frozen=True)
+class Index:
+    """Postings that were written once, by bucket of the term and sorted by term, with their totals next to them.
 
+    A question reads the row groups of its own terms in their buckets, and a one-row table of totals.
+    """
+
+    spark: SparkSession
+    path: str
+    buckets: int = 64
+
+    @staticmethod
+    def build(found: DataFrame, path: str, key: str = "doc_id", buckets: int = 64) -> Index:
+        path, spark = path.rstrip("/"), found.sparkSession
+        by = (F.crc32(F.col("term").cast("binary")) % buckets).cast("int")
+        found.withColumn("term_bucket", by).repartition("term_bucket").sortWithinPartitions("term_bucket", "term").write.partitionBy("term_bucket").mode("overwrite").parquet(f"{path}/postings")
+        totals(spark.read.parquet(f"{path}/postings"), key).coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
+        return Index(spark, path, buckets)
+
+    def postings(self, terms: Sequence[str]) -> DataFrame:
+        found = self.spark.read.parquet(f"{self.path}/postings")
+        buckets = sorted({crc32(t.encode()) % self.buckets for t in terms})
+        return found.where(F.col("term_bucket").isin(buckets) & F.col("term").isin(list(terms))) if terms else found.where(F.lit(False))
 
-def read_index(spark, path: str, terms: Sequence[str], buckets: int = 64) -> DataFrame:
-    """The postings of the terms; their buckets are pruned by the partition filter."""
-    wanted = spark.createDataFrame([(t,) for t in terms], "term string").select(F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("b")).distinct()
-    return spark.read.parquet(path).where(F.col("term_bucket").isin(*(r["b"] for r in wanted.collect())) & F.col("term").isin(*terms))
+    def total(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/totals")
 
 
 def totals(found: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -72,12 +90,15 @@ def totals(found: DataFrame, key: str = "doc_id") -> DataFrame:
     return found.groupBy(key).agg(F.max("doc_len").alias("doc_len")).agg(F.count("*").alias("n"), F.avg("doc_len").alias("mean_len"))
 
 
-def bm25(found: DataFrame, terms: Sequence[str], match: str = "all", key: str = "doc_id", total: DataFrame | None = None) -> DataFrame:
-    """(key, matched, score) of the documents with all the terms, or any of the first MAX_ANY_TERMS.
+def bm25(found: DataFrame | Index, terms: Sequence[str], match: str = "all", key: str = "doc_id", total: DataFrame | None = None) -> DataFrame:
+    """(key, matched, score) of the documents with all the terms, or any of the first MAX_ANY_TERMS. found: postings, or an
+    index of them.
 
     score is BM25 with idf = ln(1 + (N - df + 0.5) / (df + 0.5)). A question without terms matches nothing.
     """
     asked = list(dict.fromkeys(terms))[: None if match == "all" else MAX_ANY_TERMS]
+    if isinstance(found, Index):
+        total, found = total if total is not None else found.total(), found.postings(asked)
     mine = found.where(F.col("term").isin(*asked) if asked else F.lit(False))
     df = F.broadcast(mine.groupBy("term").agg(F.count("*").alias("df")))  # a row a term asked
     one = F.broadcast(total if total is not None else totals(found, key))  # one row

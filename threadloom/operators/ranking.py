@@ -133,7 +133,7 @@ def fused(ranked: DataFrame, key: Sequence[str], limit: int = MAX_HITS, per_thre
 
 
 def search(
-    corpus: Corpus, q: SearchQuery, postings: DataFrame | None = None, doc_key: str = "doc_key", expand: bool = True, now=None, terms_of: Callable[[str], list[str]] = fulltext.asked_words
+    corpus: Corpus, q: SearchQuery, postings: DataFrame | fulltext.Index | None = None, doc_key: str = "doc_key", expand: bool = True, now=None, terms_of: Callable[[str], list[str]] = fulltext.asked_words
 ) -> tuple[DataFrame, bool]:
     """(page, widened). Legs are ranked apart and fused in one plan; a page that would be empty is asked for any term.
 

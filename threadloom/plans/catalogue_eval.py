@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.functions.text import CUES
-from threadloom.operators import codelens, evaluation, fulltext
-from threadloom.plans.catalogue_search import ascii_words
+from threadloom.operators import codelens, evaluation
+from threadloom.plans.catalogue_search import ascii_words, index_of
 from threadloom.plans.registry import query
 from threadloom.plans.views import table, view
 
@@ -76,9 +76,10 @@ select count(*) as questions, round(avg(coalesce(h5, 0) / wanted), 6) as recall_
 def bench_recall_mrr(spark: SparkSession, d: str) -> DataFrame:
     """A whole set of questions at once: their terms meet the postings in one join, and the ranks in one window."""
     docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
-    found = fulltext.postings(docs, analyzer=ascii_words)
+    index = index_of(spark, d)
+    found = spark.read.parquet(f"{index.path}/postings")
     asked = items.select(F.col("item_id").alias("question"), F.explode(F.array_distinct(ascii_words(F.col("text")))).alias("term")).distinct()
-    df, total = found.groupBy("term").agg(F.count("*").alias("df")), F.broadcast(fulltext.totals(found))  # one row
+    df, total = found.groupBy("term").agg(F.count("*").alias("df")), F.broadcast(index.total())  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("doc_len") / F.col("mean_len")))
     scored = found.join(asked, "term").join(df, "term").join(total).groupBy("question", F.col("doc_id").alias("item")).agg(F.round(F.sum(part), 6).alias("score"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from threadloom.operators import filters, fulltext, ranking
 from threadloom.operators.filters import Corpus, SearchQuery
 from threadloom.plans.registry import query
 from threadloom.plans.views import table, view
+from threadloom.sources.store import shared_folder
 
 NEW_YEAR_2000 = datetime(2000, 1, 1, tzinfo=UTC)
 
@@ -143,6 +145,23 @@ def _postings(spark: SparkSession, d: str) -> DataFrame:
     return fulltext.postings(table(spark, d, "documents"), analyzer=ascii_words)
 
 
+_INDEXES: dict[tuple[str, str], fulltext.Index] = {}
+
+
+def index_of(spark: SparkSession, d: str) -> fulltext.Index:
+    """The index of a folder's documents, written once a session: what ingest leaves, which searches read."""
+    known = (spark.sparkContext.applicationId, d)
+    if known not in _INDEXES:
+        _INDEXES[known] = fulltext.Index.build(_postings(spark, d), f"{shared_folder(spark)}/indexes/{uuid.uuid4().hex}")
+    return _INDEXES[known]
+
+
+@query(f"with {_COUNTS} select n, cast(round(m * 1000) as bigint) as mean_len_1000 from s")
+def fts_build_index(spark: SparkSession, d: str) -> DataFrame:
+    """Writes the index of the documents (at most once a session) and gives its totals."""
+    return index_of(spark, d).total().select("n", F.round(F.col("mean_len") * 1000).cast("long").alias("mean_len_1000"))
+
+
 @query(f"with {_TOKENS} select doc_id, term, count(*) as tf from t group by all")
 def fts_tokens(spark: SparkSession, d: str) -> DataFrame:
     return _postings(spark, d).select("doc_id", "term", "tf")
@@ -155,22 +174,22 @@ def fts_df(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_bm25_sql(_ASKED) + "select doc_id, matched, round(score, 6) as score from b")
 def fts_bm25(spark: SparkSession, d: str) -> DataFrame:
-    return fulltext.bm25(_postings(spark, d), _ASKED, "any").select("doc_id", "matched", F.round("score", 6).alias("score"))
+    return fulltext.bm25(index_of(spark, d), _ASKED, "any").select("doc_id", "matched", F.round("score", 6).alias("score"))
 
 
 @query(_bm25_sql(("the", "and")) + "select doc_id, matched, round(score, 6) as score from b where matched = 2")
 def fts_match_all(spark: SparkSession, d: str) -> DataFrame:
-    return fulltext.bm25(_postings(spark, d), ("the", "and"), "all").select("doc_id", "matched", F.round("score", 6).alias("score"))
+    return fulltext.bm25(index_of(spark, d), ("the", "and"), "all").select("doc_id", "matched", F.round("score", 6).alias("score"))
 
 
 @query(f"with {_TOKENS} select distinct doc_id from t where term in ('then', 'thand', 'within', 'ofand')")
 def fts_match_any(spark: SparkSession, d: str) -> DataFrame:
-    return fulltext.bm25(_postings(spark, d), _ASKED, "any").select("doc_id")
+    return fulltext.bm25(index_of(spark, d), _ASKED, "any").select("doc_id")
 
 
 @query(_bm25_sql(_ASKED) + "select doc_id, round(matched / 4.0 + (score / (score + 1)) / 5, 6) as score from b")
 def fts_coverage(spark: SparkSession, d: str) -> DataFrame:
-    return fulltext.coverage(fulltext.bm25(_postings(spark, d), _ASKED, "any"), 4).select("doc_id", F.round("score", 6).alias("score"))
+    return fulltext.coverage(fulltext.bm25(index_of(spark, d), _ASKED, "any"), 4).select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query(
@@ -179,7 +198,7 @@ def fts_coverage(spark: SparkSession, d: str) -> DataFrame:
     "union all select doc_id, round(score, 6), false from strict) select * from w"
 )
 def widened_search(spark: SparkSession, d: str) -> DataFrame:
-    terms, found = ("zzyzx", "then", "thand"), _postings(spark, d)
+    terms, found = ("zzyzx", "then", "thand"), index_of(spark, d)
     strict = fulltext.bm25(found, terms, "all")
     if not strict.isEmpty():
         return strict.select("doc_id", F.round("score", 6).alias("score"), F.lit(False).alias("widened"))

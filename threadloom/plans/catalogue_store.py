@@ -124,8 +124,8 @@ def stream_dedup_watermark(spark: SparkSession, d: str) -> DataFrame:
     stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet" if _is_folder(spark, d) else f"{d}/")
     if not _is_folder(spark, d):
         stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    folder = f"{spark.sparkContext.getConf().get('spark.checkpoint.dir') or 'file:///tmp/threadloom'}/streams/{uuid.uuid4().hex}"
-    once = ingest.deduplicated(stream, ["event_id"], late="3650 days")
+    folder = f"{store.shared_folder(spark)}/streams/{uuid.uuid4().hex}"
+    once = ingest.deduplicated(stream, ["event_id"], late="1 day")
     run = once.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.parquet(f"{folder}/out").groupBy("event_type", "user_id").agg(F.count("*").alias("events"), F.round(F.sum("value"), 2).alias("total"))
@@ -181,20 +181,20 @@ def landed_batch(spark: SparkSession, d: str, batch: int) -> DataFrame:
     who = [F.struct(F.lit("ann").alias("login"), F.lit("User").alias("type")).alias("user"), F.lit("NONE").alias("author_association"), at.alias("created_at"), at.alias("updated_at")]
     n = F.col("number").cast("string")
     heads = table(spark, d, "orders").select(F.col("o_orderkey").alias("number"))
-    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("number"), F.col("l_linenumber").alias("line"), F.col("l_quantity").cast("int").alias("quantity"))
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("number"), F.col("l_linenumber").alias("line"), F.col("l_quantity").cast("int").alias("quantity"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long") * 10_000_000 + F.col("l_partkey") * 100 + F.col("l_quantity").cast("int")).alias("id"))
     if batch == 2:
         heads, lines = heads.where("number % 5 = 0"), lines.where("number % 5 = 0 and line % 2 = 1")
     thread = F.struct("number", F.concat(F.lit("thread "), n).alias("title"), F.lit(f"body {batch}").alias("body"), *who)
-    comment = F.struct((F.col("number") * 10 + F.col("line")).alias("id"), F.concat(F.lit("note "), F.col("quantity").cast("string")).alias("body"), F.concat(F.lit("https://h/repos/org/r/issues/"), n).alias("issue_url"), *who)
+    comment = F.struct("id", F.concat(F.lit("note "), F.col("quantity").cast("string")).alias("body"), F.concat(F.lit("https://h/repos/org/r/issues/"), n).alias("issue_url"), *who)
     rows = heads.select(F.lit("issue").alias("object_type"), n.alias("object_id"), F.to_json(thread).alias("payload"))
-    rows = rows.unionByName(lines.select(F.lit("issue_comment").alias("object_type"), (F.col("number") * 10 + F.col("line")).cast("string").alias("object_id"), F.to_json(comment).alias("payload")))
+    rows = rows.unionByName(lines.select(F.lit("issue_comment").alias("object_type"), F.col("id").cast("string").alias("object_id"), F.to_json(comment).alias("payload")))
     return rows.select(F.lit("org/r").alias("repo"), "object_type", "object_id", F.lit(None).cast("long").alias("thread_number"), "payload", at.cast("timestamp").alias("fetched_at"), at.cast("timestamp").alias("updated_at"))
 
 
 @query(
     """select o_orderkey as number, 'title' as source_type, o_orderkey as source_id, 'thread ' || cast(o_orderkey as varchar(20)) as body_text from orders
 union all select o_orderkey, 'body', o_orderkey, case when o_orderkey % 5 = 0 then 'body 2' else 'body 1' end from orders
-union all select l_orderkey, 'issue_comment', l_orderkey * 10 + l_linenumber, 'note ' || cast(cast(trunc(l_quantity) as int) as varchar(20)) from lineitem where l_orderkey % 5 <> 0 or l_linenumber % 2 = 1"""
+union all select distinct l_orderkey, 'issue_comment', cast(l_orderkey * 10 + l_linenumber as bigint) * 10000000 + l_partkey * 100 + cast(trunc(l_quantity) as int), 'note ' || cast(cast(trunc(l_quantity) as int) as varchar(20)) from lineitem where l_orderkey % 5 <> 0 or l_linenumber % 2 = 1"""
 )
 def ingest_two_batches(spark: SparkSession, d: str) -> DataFrame:
     """The documents after two batches, the second of which edits some threads and lost some of their comments."""
@@ -202,5 +202,9 @@ def ingest_two_batches(spark: SparkSession, d: str) -> DataFrame:
     authority = spark.createDataFrame([("org/r", "ann", "write")], "repo string, login string, permission string")
     marks = spark.createDataFrame([], "repo string, high_water timestamp")
     first = index.indexed(none, landed_batch(spark, d, 1), derive.documents(derive.sources(none), authority), authority, marks)
-    second = index.indexed(first.staged, landed_batch(spark, d, 2), first.documents, authority, first.marks)
+    folder = f"{store.shared_folder(spark)}/batches/{uuid.uuid4().hex}"
+    for name in ("staged", "documents", "marks"):  # what a batch leaves is written before the next one reads it
+        getattr(first, name).write.parquet(f"{folder}/{name}")
+    left = {name: spark.read.parquet(f"{folder}/{name}") for name in ("staged", "documents", "marks")}
+    second = index.indexed(left["staged"], landed_batch(spark, d, 2), left["documents"], authority, left["marks"])
     return second.documents.select("number", "source_type", "source_id", "body_text")

@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir, or a local one where a single machine runs everything."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    spark.conf.set("spark.checkpoint.dir", f"file://{tempfile.mkdtemp(prefix='threadloom-')}")
+    return spark.conf.get("spark.checkpoint.dir")
+
+
 def latest(raw: DataFrame, key: Sequence[str], at: Column) -> DataFrame:
     """The last version of each key (an upsert of everything staged)."""
     rest = [c for c in raw.columns if c not in key]
