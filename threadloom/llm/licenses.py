@@ -11,7 +11,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import ascii_lower
+from threadloom.llm.common import ascii_lower, spare_name
 
 #: Identifier -> sentence, as published with the licenses.
 SENTENCES = {
@@ -33,6 +33,7 @@ SENTENCES = {
     "bsd-source": "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
     "bsd-binary": "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution",
     "bsd-names": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd-disclaimer": 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED',
     "gpl3-work": "This work is licensed under the GNU General Public License, version 3",
     "gpl-free": "This program is free software",
     "gpl3-terms": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
@@ -43,6 +44,12 @@ SENTENCES = {
     "gpl-no-warranty-2": "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE",
     "gpl-see": "See the GNU General Public License for more details",
     "lgpl21-terms": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version",
+    "lgpl3-terms": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "agpl3-terms": "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
+    "epl2-terms": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+    "bsl-under": "Distributed under the Boost Software License, Version 1.0",
+    "zlib-as-is": "This software is provided 'as-is', without any express or implied warranty",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
     "mpl2-subject": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
     "cc-by-nc": "Licensed under CC BY-NC 4.0",
     "cc-by": "Licensed under CC BY 4.0",
@@ -77,8 +84,10 @@ RULES = (
     ("MIT", ("mit-under",)),
     ("MIT", ("mit-title",)),
     ("MIT", ("mit-short-title",)),
+    ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names", "bsd-disclaimer")),
     ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-names")),
     ("BSD-3-Clause", ("spdx", "id-bsd3")),
+    ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-disclaimer")),
     ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
     ("BSD-2-Clause", ("spdx", "id-bsd2")),
     ("GPL-3.0-or-later", ("gpl-free", "gpl3-terms", "gpl-no-warranty", "gpl-no-warranty-2", "gpl-see")),
@@ -90,6 +99,11 @@ RULES = (
     ("GPL-2.0-or-later", ("gpl-free", "gpl-published", "gpl2-either")),
     ("GPL-2.0-or-later", ("gpl-free", "gpl2-terms")),
     ("LGPL-2.1-or-later", ("gpl-free", "lgpl21-terms")),
+    ("LGPL-3.0-or-later", ("gpl-free", "lgpl3-terms")),
+    ("AGPL-3.0-or-later", ("gpl-free", "agpl3-terms")),
+    ("EPL-2.0", ("epl2-terms",)),
+    ("BSL-1.0", ("bsl-under",)),
+    ("Zlib", ("zlib-as-is", "zlib-grant")),
     ("MPL-2.0", ("mpl2-subject",)),
     ("CC-BY-NC-4.0", ("cc-by-nc",)),
     ("CC-BY-SA-4.0", ("cc-by-sa",)),
@@ -112,26 +126,23 @@ _SOFT = "\x01"
 
 
 def _sentences(text: Column) -> Column:
-    """The sentences of the paragraphs, with _SOFT where lines break inside them."""
+    """The sentences of the paragraphs, each as the lines that it is on."""
     joined = F.regexp_replace(F.translate(text, _SOFT, "-"), r"\n[\x20\x09-\x0D]*\n", ".\n")
     joined = F.regexp_replace(joined, r"([^.;:!?])\n", "$1" + _SOFT)
     marked = F.regexp_replace(joined, _ENDS, "$1\n")
-    return F.split(F.regexp_replace(marked, r"[^a-z0-9\n\x01]+", " "), r" ?\n[ \n]*")
-
-
-def _parts(sentence: Column) -> Column:
-    return F.filter(F.transform(F.split(sentence, _SOFT), lambda s: F.trim(s)), lambda s: s != "")
+    sentences = F.split(F.regexp_replace(marked, r"[^a-z0-9\n\x01]+", " "), r" ?\n[ \n]*")
+    return F.transform(sentences, lambda s: F.filter(F.transform(F.split(s, _SOFT), lambda p: F.trim(p)), lambda p: p != ""))
 
 
 def _known(sentences: Column, known: dict[str, str]) -> Column:
     """The identifiers of each sentence: of its lines if all are known, else of the whole if it is, else of the known lines."""
     ids = F.create_map(*(F.lit(x) for i, s in known.items() for x in (normal_sentence(s), i)))
+    named = lambda s: F.when(s.isin([normal_sentence(x) for x in known.values()]), F.element_at(ids, s))  # noqa: E731  a hash set answers first
 
-    def read(sentence: Column) -> Column:
-        parts = _parts(sentence)
-        lines = F.filter(F.transform(parts, lambda s: F.element_at(ids, s)), lambda i: i.isNotNull())
-        whole = F.element_at(ids, F.array_join(parts, " "))
-        return F.when(whole.isNotNull() & (F.size(lines) < F.size(parts)), F.array(whole)).otherwise(lines)
+    def read(parts: Column) -> Column:
+        lines = F.filter(F.transform(parts, named), lambda i: i.isNotNull())
+        whole = named(F.array_join(parts, " "))
+        return F.when((F.size(parts) > 1) & whole.isNotNull() & (F.size(lines) < F.size(parts)), F.array(whole)).otherwise(lines)
 
     return F.flatten(F.transform(sentences, read))
 
@@ -147,15 +158,17 @@ def licensed(documents: DataFrame, text: str = "text", sentences: dict[str, str]
     """
     known = SENTENCES if sentences is None else sentences
     lower = ascii_lower(F.coalesce(F.col(text), F.lit("")))
-    out = documents.withColumn("_sentences", _sentences(lower))
-    out = out.withColumns({"n_sentences": F.aggregate("_sentences", F.lit(0).cast("long"), lambda n, s: n + F.size(_parts(s))), "ids": _known(F.col("_sentences"), known)})
+    cut = spare_name(documents, "sentences")
+    out = documents.withColumn(cut, _sentences(lower))
+    out = out.withColumns({"n_sentences": F.aggregate(cut, F.lit(0).cast("long"), lambda n, s: n + F.size(s)), "ids": _known(F.col(cut), known)}).drop(cut)
     left = F.concat(F.lit(","), F.array_join("ids", ",,"), F.lit(","))
     for name, sequence in rules:
         left = F.replace(left, F.lit("," + ",,".join(sequence) + ","), F.lit(f",<{name}>,"))
-    out = out.withColumn("_left", F.filter(F.split(left, ",+"), lambda x: x != ""))
-    names = F.array_sort(F.array_distinct(F.transform(F.filter("_left", lambda x: F.startswith(x, F.lit("<"))), lambda x: F.substring(x, F.lit(2), F.char_length(x) - 2))))
-    out = out.withColumns({"n_known": F.size("ids").cast("long"), "licenses": names, "n_left": F.size(F.filter("_left", lambda x: ~F.startswith(x, F.lit("<")))).cast("long")})
-    return out.drop("_sentences", "_left")
+    rest = spare_name(out, "rest")
+    out = out.withColumn(rest, F.filter(F.split(left, ",+"), lambda x: x != ""))
+    names = F.array_sort(F.array_distinct(F.transform(F.filter(rest, lambda x: F.startswith(x, F.lit("<"))), lambda x: F.substring(x, F.lit(2), F.char_length(x) - 2))))
+    out = out.withColumns({"n_known": F.size("ids").cast("long"), "licenses": names, "n_left": F.size(F.filter(rest, lambda x: ~F.startswith(x, F.lit("<")))).cast("long")})
+    return out.drop(rest)
 
 
 def report(found: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -167,24 +180,24 @@ def oracle_sql() -> str:
         return "'" + s.replace("'", "''") + "'"
 
     known = ", ".join(f"({quoted(normal_sentence(s))}, {quoted(i)})" for i, s in SENTENCES.items())
-    left = "',' || coalesce(ids, '') || ','"
+    left = "',' || array_to_string(ids, ',,') || ','"
     for name, sequence in RULES:
         left = f"replace({left}, {quoted(',' + ',,'.join(sequence) + ',')}, {quoted(f',<{name}>,')})"
-    cut = r"string_split(regexp_replace(regexp_replace({}, '([.;:!?])[\x20\x09-\x0D]+', '\1' || chr(10), 'g'), '[^a-z0-9\n]+', ' ', 'g'), chr(10))"
     return rf"""
-with t as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as x from documents),
-p as (select doc_id, x, regexp_replace(regexp_replace(x, '\n[\x20\x09-\x0D]*\n', '.' || chr(10), 'g'), '([^.;:!?])\n', '\1 ', 'g') as y from t),
+with t as (select doc_id, translate(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(1), '-') as x from documents),
 known(sentence, id) as (values {known}),
-l as (select doc_id, trim(s) as s, n from (select doc_id, unnest({cut.format("x")}) as s, generate_subscripts({cut.format("x")}, 1) as n from p) where trim(s) <> ''),
-q as (select doc_id, trim(s) as s, n from (select doc_id, unnest({cut.format("y")}) as s, generate_subscripts({cut.format("y")}, 1) as n from p) where trim(s) <> ''),
-c as (select doc_id, count(*) as n_sentences from l group by 1),
-kl as (select doc_id, string_agg(id, ',,' order by n) as ids, count(*) as n from l join known on s = sentence group by 1),
-kq as (select doc_id, string_agg(id, ',,' order by n) as ids, count(*) as n from q join known on s = sentence group by 1),
-k as (select doc_id, case when coalesce(kq.n, 0) > coalesce(kl.n, 0) then kq.ids else kl.ids end as ids, greatest(coalesce(kl.n, 0), coalesce(kq.n, 0)) as n_known
-  from t left join kl using (doc_id) left join kq using (doc_id)),
-r as (select doc_id, ids, n_known, list_filter(string_split({left}, ','), lambda z: z <> '') as x from k)
-select r.doc_id, coalesce(n_sentences, 0) as n_sentences, n_known, coalesce(replace(ids, ',,', ' '), '') as ids,
+y as (select doc_id, regexp_replace(regexp_replace(x, '\n[\x20\x09-\x0D]*\n', '.' || chr(10), 'g'), '([^.;:!?])\n', '\1' || chr(1), 'g') as y from t),
+c as (select doc_id, string_split_regex(regexp_replace(regexp_replace(y, '([.;:!?])[\x20\x09-\x0D]+', '\1' || chr(10), 'g'), '[^a-z0-9\n\x01]+', ' ', 'g'), ' ?\n[ \n]*') as ss from y),
+s as (select doc_id, unnest(ss) as s, generate_subscripts(ss, 1) as n from c),
+w as (select doc_id, n, list_filter(list_transform(string_split(s, chr(1)), lambda z: trim(z)), lambda z: z <> '') as parts from s),
+p as (select doc_id, n, unnest(parts) as part, generate_subscripts(parts, 1) as m from w),
+kp as (select doc_id, n, count(*) as k, list(id order by m) as ids from p join known on part = sentence group by 1, 2),
+kw as (select doc_id, n, id from w join known on array_to_string(parts, ' ') = sentence),
+r as (select doc_id, n, len(parts) as k, case when kw.id is not null and coalesce(kp.k, 0) < len(parts) then [kw.id] else coalesce(kp.ids, []) end as ids from w left join kp using (doc_id, n) left join kw using (doc_id, n)),
+a as (select doc_id, cast(sum(k) as bigint) as n_sentences, flatten(list(ids order by n)) as ids from r group by 1),
+f as (select doc_id, n_sentences, ids, list_filter(string_split({left}, ','), lambda z: z <> '') as x from a)
+select doc_id, n_sentences, cast(len(ids) as bigint) as n_known, array_to_string(ids, ' ') as ids,
   array_to_string(list_sort(list_distinct(list_transform(list_filter(x, lambda z: starts_with(z, '<')), lambda z: substr(z, 2, length(z) - 2)))), ',') as licenses,
   cast(len(list_filter(x, lambda z: not starts_with(z, '<'))) as bigint) as n_left
-from r left join c using (doc_id)
+from f
 """
