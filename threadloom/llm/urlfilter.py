@@ -20,7 +20,7 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm.common import ascii_lower
+from threadloom.llm.common import ascii_lower, spare_name
 
 #: The rules of the production query, (rule, verdict).
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
@@ -128,7 +128,8 @@ def judged(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, listed_ho
                 out_rule[i], out_verdict[i] = (s if "/" in s else None), ("block" if index.blocks[found[j]] else "allow")
         return pd.DataFrame({"rule": out_rule, "verdict": out_verdict})
 
-    return parsed.withColumn("_judged", judge("host", "path")).withColumns({"rule": F.col("_judged.rule"), "verdict": F.col("_judged.verdict")}).drop("_judged")
+    j = spare_name(parsed)
+    return parsed.withColumn(j, judge("host", "path")).withColumns({"rule": F.col(f"{j}.rule"), "verdict": F.col(f"{j}.verdict")}).drop(j)
 
 
 def _joined(parsed: DataFrame, rules: tuple, listed_hosts: tuple) -> DataFrame:
