@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -71,11 +72,17 @@ def _is_in(values: np.ndarray, among: np.ndarray) -> np.ndarray:
     return among[np.minimum(np.searchsorted(among, values), len(among) - 1)] == values if len(among) else np.zeros(len(values), bool)
 
 
-def stretches(b: np.ndarray, first: int = 0, part: int = 1 << 20, heavy: np.ndarray = _NONE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, from, to): the starts from..to (exclusive) of b have this anchor. Long texts go in parts."""
+def _keys(anchors: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each anchor, then 32 bits of the rest: few anchors of a bucket share them, and sharing only adds work."""
+    return (anchors % np.uint64(buckets)) << np.uint64(32) | (anchors // np.uint64(buckets)) & np.uint64(0xFFFFFFFF)
+
+
+def stretches(b: np.ndarray, first: int = 0, part: int = 1 << 20, heavy: np.ndarray = _NONE, buckets: int = 1) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, from, to): the starts from..to (exclusive) of b have this anchor; heavy has the keys of those that are cut
+    again. Long texts go in parts."""
     last = len(b) - LENGTH + 1
     if last - first > part:
-        found = [stretches(b[at : min(at + part, last) + LENGTH - 1], 0, part, heavy) for at in range(first, last, part)]
+        found = [stretches(b[at : min(at + part, last) + LENGTH - 1], 0, part, heavy, buckets) for at in range(first, last, part)]
         at = np.arange(first, last, part)
         return tuple(np.concatenate([x[i] + (np.int64(at[j]) if i else np.uint64(0)) for j, x in enumerate(found)]) for i in range(3))
     if last <= 0:
@@ -84,7 +91,7 @@ def stretches(b: np.ndarray, first: int = 0, part: int = 1 << 20, heavy: np.ndar
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[b] * up)])
     low = _anchors(total, down, GRAM)
     at = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
-    again = _is_in(low[at], heavy)
+    again = _is_in(_keys(low[at], buckets), heavy)
     if again.any():
         low = np.where(np.repeat(again, np.diff(np.append(at, len(low)))), _anchors(total, down, FINE) | _FINE, low)
         at = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
@@ -119,31 +126,29 @@ def _blocks(block_bytes: int):
 class _Block:
     """A block's texts and all stretches of its documents."""
 
-    def __init__(self, ids, lengths, texts: bytes, heavy: np.ndarray = _NONE):
+    def __init__(self, ids, lengths, texts: bytes, buckets: int, heavy: np.ndarray = _NONE):
         self.ids, self.raw = ids, zstandard.ZstdDecompressor().decompress(texts) if sum(lengths) else b""
         self.ends = np.cumsum(lengths, dtype=np.int64)
         b, parts = np.frombuffer(self.raw, np.uint8), []
         for k, (end, n) in enumerate(zip(self.ends, lengths, strict=True)):
             if n >= LENGTH and ids[k] is not None:
-                anchor, start, stop = stretches(b[end - n : end], heavy=heavy)
+                anchor, start, stop = stretches(b[end - n : end], heavy=heavy, buckets=buckets)
                 parts.append((anchor, start + (end - n), stop + (end - n), np.full(len(anchor), k, np.int64)))
         self.anchor, self.start, self.stop, self.doc = (np.concatenate([p[i] for p in parts]) if parts else np.empty(0, np.uint64 if i == 0 else np.int64) for i in range(4))
+        self.key = _keys(self.anchor, buckets)
 
-    def anchors(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(anchor, bucket, in several documents), distinct, by bucket and anchor."""
-        order = np.lexsort((self.doc, self.anchor))
-        a, d = self.anchor[order], self.doc[order]
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """(key, in several documents), distinct, in order: by bucket."""
+        order = np.lexsort((self.doc, self.key))
+        a, d = self.key[order], self.doc[order]
         first = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else np.empty(0, np.int64)
         last = np.append(first[1:], len(a)) - 1 if len(a) else first
-        several, a = d[first] != d[last], a[first]
-        bucket = (a % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((a, bucket))
-        return a[order], bucket[order], several[order]
+        return a[first], d[first] != d[last]
 
     def segments(self, repeated: np.ndarray):
         """The distinct segments with a repeated or a fine anchor, as {bytes: (number, anchor, smallest doc_id)}, and for each stretch
         the number of its segment, or -1."""
-        use = np.flatnonzero(_is_in(self.anchor, repeated) | (self.anchor >= _FINE))
+        use = np.flatnonzero(_is_in(self.key, repeated) | (self.anchor >= _FINE))
         number, found = np.full(len(self.anchor), -1, np.int64), {}
         anchors, owner = [], []
         for i, s, e, a, k in zip(use.tolist(), self.start[use].tolist(), self.stop[use].tolist(), self.anchor[use].tolist(), self.doc[use].tolist(), strict=True):
@@ -158,16 +163,6 @@ class _Block:
         return list(found), anchors, owner, number
 
 
-def _six(a: np.ndarray) -> bytes:
-    return a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-
-
-def _from_six(raw: bytes) -> np.ndarray:
-    wide = np.zeros((len(raw) // 6, 8), np.uint8)
-    wide[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return wide.view("<u8").ravel()
-
-
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for batch in batches:
         for i in range(batch.num_rows):
@@ -177,10 +172,11 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 def _send_anchors(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, ids, lengths, texts in _rows(batches):
-            anchor, bucket, several = _Block(ids, lengths, texts).anchors(buckets)
+            key, several = _Block(ids, lengths, texts, buckets).anchors()
+            bucket = (key >> np.uint64(32)).astype(np.int64)
             cut = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else []
             parts = [slice(a, z) for a, z in zip(cut, [*cut[1:], len(bucket)], strict=True)] if len(cut) else []
-            yield pa.RecordBatch.from_arrays([pa.array([int(bucket[p.start]) for p in parts], pa.int32()), pa.array([block] * len(parts), pa.int64()), pa.array([_six(anchor[p]) for p in parts], pa.binary()), pa.array([np.packbits(several[p]).tobytes() for p in parts], pa.binary())], ["bucket", "block", "anchors", "several"])
+            yield pa.RecordBatch.from_arrays([pa.array([int(bucket[p.start]) for p in parts], pa.int32()), pa.array([block] * len(parts), pa.int64()), pa.array([key[p].astype("<u4").tobytes() for p in parts], pa.binary()), pa.array([np.packbits(several[p]).tobytes() for p in parts], pa.binary())], ["bucket", "block", "anchors", "several"])
 
     return run
 
@@ -188,36 +184,39 @@ def _send_anchors(buckets: int):
 def _meet_anchors(heavy: int):
     def run(table: pa.Table) -> pa.Table:
         """For each block, which of its anchors are in several documents, and which of these are heavy."""
-        parts = [_from_six(x) for x in table.column("anchors").to_pylist()]
+        parts = [np.frombuffer(x, "<u4") for x in table.column("anchors").to_pylist()]
         flags = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(p)).astype(bool) for x, p in zip(table.column("several").to_pylist(), parts, strict=True)]
         _, place, count = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
         several = count > 1
         several[place[np.concatenate(flags)]] = True
         ends = np.cumsum([len(p) for p in parts])
-        found = {"block": table.column("block")}
+        found = {"block": table.column("block"), "bucket": table.column("bucket")}
         for name, which in (("repeated", several & (count <= heavy)), ("heavy", several & (count > heavy))):
             mine = which[place]
-            found[name] = pa.array([_six(p[mine[e - len(p) : e]]) for p, e in zip(parts, ends, strict=True)], pa.binary())
+            found[name] = pa.array([p[mine[e - len(p) : e]].tobytes() for p, e in zip(parts, ends, strict=True)], pa.binary())
         return pa.table(found)
 
     return run
 
 
-def _sorted(parts: list[bytes] | None) -> np.ndarray:
-    return np.sort(np.concatenate([_from_six(x) for x in parts])) if parts else np.empty(0, np.uint64)
+def _met(buckets: list[dict] | None, name: str) -> np.ndarray:
+    """The keys, in order, that the buckets say are repeated or heavy."""
+    parts = [np.uint64(m["bucket"]) << np.uint64(32) | np.frombuffer(m[name], "<u4").astype(np.uint64) for m in buckets or ()]
+    return np.sort(np.concatenate(parts)) if parts else _NONE
 
 
 def _send_segments(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
-        for block, ids, lengths, texts, repeated, heavy in _rows(batches):
-            segments, anchors, owner, _ = _Block(ids, lengths, texts, _sorted(heavy)).segments(_sorted(repeated))
+        for block, ids, lengths, texts, met in _rows(batches):
+            segments, anchors, owner, _ = _Block(ids, lengths, texts, buckets, _met(met, "heavy")).segments(_met(met, "repeated"))
             to: dict[int, list[int]] = {}
             for n, a in enumerate(anchors):
                 to.setdefault(a % buckets, []).append(n)
             out = [[], [], [], []]
             for bucket, mine in to.items():
-                head = np.array([[n, len(segments[n])] for n in mine], np.uint32).tobytes() + np.array([[owner[n], anchors[n]] for n in mine], np.int64).tobytes()
+                mine.sort(key=anchors.__getitem__)  # like segments next to each other
+                head = np.array([[n, len(segments[n]), anchors[n] // buckets & 0xFFFFFFFF] for n in mine], np.uint32).T.tobytes() + np.array([owner[n] for n in mine], np.int64).tobytes()
                 for column, value in zip(out, (bucket, block, len(mine), pack.compress(head + b"".join(segments[n] for n in mine))), strict=True):
                     column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.binary())], ["bucket", "block", "n", "packed"])
@@ -316,13 +315,12 @@ def _sort_bucket(table: pa.Table) -> pa.Table:
     known: dict[bytes, int] = {}
     for row, (n, packed) in enumerate(zip(table.column("n").to_pylist(), table.column("packed").to_pylist(), strict=True)):
         raw = unpack.decompress(packed)
-        head = np.frombuffer(raw, np.uint32, 2 * n).reshape(n, 2)
-        pair = np.frombuffer(raw, np.int64, 2 * n, 8 * n).reshape(n, 2)
-        ends = 24 * n + np.cumsum(head[:, 1], dtype=np.int64)
-        kinds += [known.setdefault(raw[e - size : e], len(known)) for e, size in zip(ends.tolist(), head[:, 1].tolist(), strict=True)]
-        numbers.append(head[:, 0])
-        owners.append(pair[:, 0])
-        anchors.append(pair[:, 1])
+        number, size, anchor = np.frombuffer(raw, np.uint32, 3 * n).reshape(3, n)
+        ends = 20 * n + np.cumsum(size, dtype=np.int64)
+        kinds += [known.setdefault(raw[e - s : e], len(known)) for e, s in zip(ends.tolist(), size.tolist(), strict=True)]
+        numbers.append(number)
+        owners.append(np.frombuffer(raw[12 * n : 20 * n], np.int64))
+        anchors.append(anchor)
         block_of.append(np.full(n, row))
     kind, number, owner, anchor, row_of = np.array(kinds, np.int64), *(np.concatenate(x) for x in (numbers, owners, anchors, block_of))
     least = np.full(len(known), np.iinfo(np.int64).max)
@@ -360,11 +358,11 @@ def _sort_bucket(table: pa.Table) -> pa.Table:
     return pa.table({"block": pa.array([blocks[r] for r in out], pa.int64()), "answer": pa.array([pack.compress(np.array(x, np.uint32).tobytes()) for x in out.values()], pa.binary())})
 
 
-def _drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _drop(buckets: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     unpack = zstandard.ZstdDecompressor()
-    for _, ids, lengths, texts, repeated, heavy, answers in _rows(batches):
-        block = _Block(ids, lengths, texts, _sorted(heavy))
-        _, _, owner, number = block.segments(_sorted(repeated))
+    for _, ids, lengths, texts, met, answers in _rows(batches):
+        block = _Block(ids, lengths, texts, buckets, _met(met, "heavy"))
+        _, _, owner, number = block.segments(_met(met, "repeated"))
         use = np.flatnonzero(number >= 0)
         runs = np.concatenate([np.frombuffer(unpack.decompress(x), np.uint32).reshape(-1, 3) for x in answers]).astype(np.int64) if answers else np.empty((0, 3), np.int64)
         runs = runs[np.argsort(runs[:, 0], kind="stable")]
@@ -402,13 +400,13 @@ def without_repeats(documents: DataFrame, text: str = "text", key: str = "doc_id
     buckets = max(LEAST_BUCKETS, total // bucket_bytes + 1)
     body = blocks.select("block", "ids", "lengths", "texts")
     anchors = body.mapInArrow(_send_anchors(buckets), "bucket int, block long, anchors binary, several binary")
-    repeated = anchors.groupBy("bucket").applyInArrow(_meet_anchors(heavy), "block long, repeated binary, heavy binary")
-    repeated = staged(repeated.groupBy("block").agg(F.collect_list("repeated").alias("repeated"), F.collect_list("heavy").alias("heavy")), "suffix-repeated")
-    body = body.join(repeated, "block", "left")
+    repeated = anchors.groupBy("bucket").applyInArrow(_meet_anchors(heavy), "block long, bucket int, repeated binary, heavy binary")
+    met = repeated.groupBy("block").agg(F.collect_list(F.struct("bucket", "repeated", "heavy")).alias("met"))
+    body = body.join(staged(met, "suffix-met"), "block", "left")
     segments = body.mapInArrow(_send_segments(buckets), "bucket int, block long, n int, packed binary")
     answers = segments.groupBy("bucket").applyInArrow(_sort_bucket, "block long, answer binary")
     answers = answers.groupBy("block").agg(F.collect_list("answer").alias("answers"))
-    return body.join(answers, "block", "left").mapInArrow(_drop, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return body.join(answers, "block", "left").mapInArrow(partial(_drop, buckets), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def digests(found: DataFrame) -> DataFrame:
