@@ -27,13 +27,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from threadloom.llm.common import spare_name
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Entries that a worker remembers for each kind, in each of two generations.
-REMEMBERED = 250_000
-#: Positions after which a long stretch is searched for a boundary where all paths meet.
+REMEMBERED = 150_000
+#: Positions after which a stretch is searched for a boundary where all paths meet.
 COMMIT_EVERY = 256
 #: Characters of text that are cut into stretches at once.
-GROUP = 8_000_000
+GROUP = 3_000_000
+#: A character without a piece of its own is this and its code point; before the first piece stands _START.
+_CHARACTER, _START = 1 << 20, -1
 #: Rows that are encoded before their ids are handed on.
 ROWS = 2500
 _STRETCH = re.compile(r" +[^ ]*|[^ ]+")
@@ -66,6 +70,8 @@ class Codec:
         self.longest = max(map(len, self.ids), default=1)
         self.missing = min(self.score.values(), default=0.0) - 10.0
         self.byte_ids = byte_ids
+        self.texts = [p for p, _ in pieces]
+        self.lengths = [len(p) for p, _ in pieces]
         self.out = [p.encode() for p, _ in pieces]
         for b, i in enumerate(byte_ids):
             self.out[i] = bytes([b])
@@ -146,47 +152,68 @@ class Codec:
             else:
                 j += 1
 
-    def _last_bpe(self, text: str, end: int, last: list[str], base: int) -> str:
-        ids, pairs, most = self.ids, self.pairs, end - base
-        sizes = self.sizes.get(text[end - 3 : end]) if end > 2 else None
-        for size in sizes or self.sizes.get(text[end - 2 : end] if end > 1 else text[:1], (1,)):
-            if size > most:
-                continue
-            piece = text[end - size : end]
-            if size > 1 and piece not in ids:
-                continue
-            pair = (last[most - size], piece)
-            apart = pairs.get(pair)
-            if apart is None:
-                apart = self._apart(*pair) if pair[0] else self._edges(piece) is not None
-                if len(pairs) >= self.stretches.most:
-                    pairs.clear()
-                pairs[pair] = apart
-            if apart:
-                return piece
-        raise AssertionError(f"no path to {end} in {text[max(0, end - 40) : end]!r}")
-
-    def _last_unigram(self, text: str, end: int, best: list[float], base: int) -> str:
-        top, found, most = None, "", end - base
-        for size in range(min(self.longest, most), 0, -1):
-            piece = text[end - size : end]
-            s = self.score.get(piece, self.missing if size == 1 else None)
-            if s is not None and (top is None or best[most - size] + s > top):
-                top, found = best[most - size] + s, piece
-        best.append(top)
-        return found
-
-    def pieces_of(self, stretch: str) -> Iterator[str]:
-        """The pieces of one stretch, yielded as soon as they are final. last[k] ends k characters after base."""
-        last, best, base, n, bpe = [""], [0.0], 0, len(stretch), self.kind == "bpe"
-        for end in range(1, n + 1):
-            last.append(self._last_bpe(stretch, end, last, base) if bpe else self._last_unigram(stretch, end, best, base))
-            if end < n and (end - base) % COMMIT_EVERY == 0:
-                here = end - base
+    def _text(self, piece: int) -> str:
+        return self.texts[piece] if piece < _CHARACTER else chr(piece - _CHARACTER)
+
+    def _length(self, piece: int) -> int:
+        return self.lengths[piece] if piece < _CHARACTER else 1
+
+    def _may_follow(self, piece: int, before: int) -> bool:
+        if before == _START:
+            return self._edges(self._text(piece)) is not None
+        return self._apart(self._text(before), self._text(piece))
+
+    def _extend(self, text: str, last: list[int], best: list[float], base: int, upto: int) -> None:
+        """The pass: one backpointer for each position after base + len(last) - 1 up to `upto`. last[k] is the last piece of
+        the admitted path that ends k characters after base, best[k] its score."""
+        if self.kind == "bpe":
+            return self._extend_bpe(text, last, base, upto)
+        for end in range(base + len(last), upto + 1):
+            top, found, most = None, _CHARACTER, end - base
+            for size in range(min(self.longest, most), 0, -1):
+                piece = text[end - size : end]
+                s = self.score.get(piece, self.missing if size == 1 else None)
+                if s is not None and (top is None or best[most - size] + s > top):
+                    top, found = best[most - size] + s, self.ids.get(piece, _CHARACTER + ord(piece[0]))
+            last.append(found)
+            best.append(top)
+
+    def _extend_bpe(self, text: str, last: list[int], base: int, upto: int) -> None:
+        ids, pairs, sizes, most, one = self.ids.get, self.pairs, self.sizes.get, 4 * self.stretches.most, (1,)
+        if len(pairs) > most:
+            pairs.clear()
+        for end in range(base + len(last), upto + 1):
+            room = end - base
+            for size in (end > 2 and sizes(text[end - 3 : end])) or sizes(text[end - 2 : end] if end > 1 else text[:1], one):
+                if size > room:
+                    continue
+                piece = ids(text[end - size : end])
+                if piece is None:
+                    if size > 1:
+                        continue
+                    piece = _CHARACTER + ord(text[end - 1])
+                before = last[room - size]
+                pair = before << 22 | piece
+                apart = pairs.get(pair)
+                if apart is None:
+                    apart = pairs[pair] = self._may_follow(piece, before)
+                if apart:
+                    last.append(piece)
+                    break
+            else:
+                raise AssertionError(f"no path to {end} in {text[max(0, end - 40) : end]!r}")
+
+    def pieces_of(self, stretch: str) -> Iterator[int]:
+        """The pieces of one stretch, yielded as soon as they are final."""
+        last, best, base, n = [_START], [0.0], 0, len(stretch)
+        while base + len(last) - 1 < n:
+            self._extend(stretch, last, best, base, min(n, base + len(last) - 1 + COMMIT_EVERY))
+            here = len(last) - 1
+            if base + here < n:
                 paths = set(range(max(0, here - self.longest + 1), here + 1))
                 while len(paths) > 1 and (far := max(paths)) > 0:
                     paths.discard(far)
-                    paths.add(far - len(last[far]))
+                    paths.add(far - self._length(last[far]))
                 meet = paths.pop()
                 if meet > 0:
                     yield from self._path(last, meet)
@@ -194,32 +221,40 @@ class Codec:
                     last, best, base = last[meet:], [x - best[meet] for x in best[meet:]], base + meet
         yield from self._path(last, n - base)
 
-    @staticmethod
-    def _path(last: list[str], end: int) -> list[str]:
+    def _path(self, last: list[int], end: int) -> list[int]:
         found = []
         while end > 0:
             found.append(last[end])
-            end -= len(last[end])
+            end -= self._length(last[end])
         return found[::-1]
 
     def _numbers(self, pieces) -> tuple[int, ...]:
         found: list[int] = []
         for piece in pieces:
-            i = self.ids.get(piece)
-            found += [i] if i is not None else [self.byte_ids[b] for b in piece.encode()] if self.byte_ids else [self.unknown]
+            if piece < _CHARACTER:
+                found.append(piece)
+            else:
+                found += [self.byte_ids[b] for b in chr(piece - _CHARACTER).encode()] if self.byte_ids else [self.unknown]
         return tuple(found)
 
     def _learn(self, stretches: list[str]) -> dict[str, tuple[int, ...]]:
-        """The ids of each short stretch. Backpointers look back only, so sorted neighbours share those of their prefix."""
-        found, before, last, best, bpe = {}, "", [""], [0.0], self.kind == "bpe"
+        """The ids of each stretch. Backpointers look back only, so of sorted neighbours the later one goes on from what both
+        have in common; long ones commit on their way."""
+        found, before, last, best, lengths = {}, "", [_START], [0.0], self.lengths
         for stretch in sorted(stretches):
+            if len(stretch) > COMMIT_EVERY:
+                found[stretch] = self._numbers(self.pieces_of(stretch))
+                continue
             same, most = 0, min(len(before), len(stretch))
             while same < most and before[same] == stretch[same]:
                 same += 1
             del last[same + 1 :], best[same + 1 :]
-            for end in range(same + 1, len(stretch) + 1):
-                last.append(self._last_bpe(stretch, end, last, 0) if bpe else self._last_unigram(stretch, end, best, 0))
-            found[stretch] = self._numbers(self._path(last, len(stretch)))
+            self._extend(stretch, last, best, 0, len(stretch))
+            path, end = [], len(stretch)
+            while end > 0 and last[end] < _CHARACTER:
+                path.append(last[end])
+                end -= lengths[last[end]]
+            found[stretch] = self._numbers(self._path(last, len(stretch))) if end else tuple(path[::-1])
             before = stretch
         return found
 
@@ -233,15 +268,14 @@ class Codec:
                 group.append(_STRETCH.findall(f" {texts[at]}") if texts[at] else [])
                 held += len(texts[at])
                 at += 1
-            get, short = self.stretches.get, 4 * self.longest
+            get = self.stretches.get
             known = {x: get(x) for x in set().union(*group)}
-            new = [x for x, ids in known.items() if ids is None]
-            fresh = self._learn([x for x in new if len(x) <= short])
+            fresh = self._learn([x for x, ids in known.items() if ids is None])
             known.update(fresh)
-            known.update((x, self._numbers(self.pieces_of(x))) for x in new if len(x) > short)
             out += [array("i", chain.from_iterable(map(known.__getitem__, stretches))) for stretches in group]
             for x, ids in fresh.items():
-                self.stretches.put(x, ids)
+                if len(x) <= COMMIT_EVERY:  # longer ones seldom come again
+                    self.stretches.put(x, ids)
         return out
 
     def encode(self, text: str) -> array:
@@ -314,6 +348,7 @@ def round_trip(documents: DataFrame, text: str = "text", model: str = MODEL, kin
                     exact.append(back == x)
                 yield pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded_sha256": digests, "exact": exact})
 
-    out = documents.withColumn("_r", there_and_back(F.col(text)))
-    columns = {"ids": F.when(F.col(text).isNotNull(), F.col("_r.ids")), "n_ids": F.size("_r.ids").cast("long"), "decoded_sha256": F.col("_r.decoded_sha256"), "exact": F.col("_r.exact")}
-    return out.withColumns(columns).drop("_r")
+    r = spare_name(documents)
+    out = documents.withColumn(r, there_and_back(F.col(text)))
+    columns = {"ids": F.when(F.col(text).isNotNull(), F.col(f"{r}.ids")), "n_ids": F.size(f"{r}.ids").cast("long"), "decoded_sha256": F.col(f"{r}.decoded_sha256"), "exact": F.col(f"{r}.exact")}
+    return out.withColumns(columns).drop(r)
