@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.llm import chat, decontam, exact_dedup, langid, licenses, minhash, pii, sentencepiece_codec, suffix_dedup, urlfilter
+from threadloom.llm import centroids, chat, collocation, decontam, exact_dedup, langid, licenses, minhash, neighbours, pii, sentencepiece_codec, suffix_dedup, urlfilter
 from threadloom.llm.common import table
 
 
@@ -54,6 +54,18 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judged(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(table(spark, sf_dir, "embeddings"))
+
+
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.neighbours(table(spark, sf_dir, "embeddings"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocation.mined(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_exact_dedup": op2_exact_dedup,
@@ -65,6 +77,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_chat_format": op9_chat_format,
     "op10_url_filter": op10_url_filter,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_nearest_neighbours": op12_nearest_neighbours,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -73,4 +88,6 @@ ORACLE_SQL: dict[str, str] = {
     "op4_decontamination": decontam.ORACLE_SQL,
     "op9_chat_format": chat.ORACLE_SQL,
     "op10_url_filter": urlfilter.ORACLE_SQL,
+    "op11_centroid_clustering": centroids.oracle_sql(),
+    "op13_collocations": collocation.ORACLE_SQL,
 }
