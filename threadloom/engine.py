@@ -8,11 +8,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.operators import codelens, filters, fulltext, provenance, ranking, threads
+from threadloom.operators import codelens, filters, fulltext, provenance, ranking, segments, threads
 from threadloom.operators.filters import Corpus, SearchQuery
 from threadloom.plans import derive
+from threadloom.schemas import ENGLISH_STOPWORDS
 
-
+#: How documents become postings: all words, positions with the stopwords, stems.
+ENGLISH = {"analyzer": fulltext.words, "stopwords": ENGLISH_STOPWORDS, "stemming": True}
 _RELATIONS = ("threads", "documents", "files", "symbols", "errors", "tests", "labels", "links")
 
 
@@ -20,7 +22,7 @@ _RELATIONS = ("threads", "documents", "files", "symbols", "errors", "tests", "la
 class Engine:
     spark: SparkSession
     corpus: Corpus
-    postings: DataFrame | fulltext.Index
+    postings: DataFrame | segments.Segments
     commits: DataFrame | None = None
 
     @staticmethod
@@ -35,11 +37,18 @@ class Engine:
     def saved(self, path: str) -> Engine:
         """Write the relations and the full-text index to a folder, and open them from there: verbs read tables then."""
         path = path.rstrip("/")
+        if segments.Segments(self.spark, f"{path}/index", "doc_key").segments():
+            raise ValueError(f"{path} holds an engine already")
         for name in _RELATIONS:
-            getattr(self.corpus, name).write.mode("overwrite").parquet(f"{path}/{name}")
+            rows = getattr(self.corpus, name)
+            if name == "documents":  # in folders of threads, so that a thread or a page reads its own
+                rows = rows.withColumn("doc_bucket", ranking.doc_bucket(F.col("repo"), F.col("number"))).repartitionByRange("doc_bucket", "repo", "number")
+                rows.sortWithinPartitions("doc_bucket", "repo", "number").write.mode("overwrite").partitionBy("doc_bucket").parquet(f"{path}/{name}")
+            else:
+                rows.write.mode("overwrite").parquet(f"{path}/{name}")
         self.commits.write.mode("overwrite").parquet(f"{path}/commits")
         opened = Engine.opened(self.spark, path)
-        fulltext.Index.build(fulltext.postings(opened.corpus.documents, "doc_key", "body_text", stemming=True, analyzer=fulltext.english), f"{path}/index", "doc_key")
+        opened.postings.append(opened.corpus.documents, "body_text", ranking.FACETS, **ENGLISH)
         return opened
 
     @staticmethod
@@ -47,15 +56,20 @@ class Engine:
         """An engine over a folder that `saved` wrote."""
         path = path.rstrip("/")
         read = lambda name: spark.read.parquet(f"{path}/{name}")
-        return Engine(spark, Corpus(**{name: read(name) for name in _RELATIONS}), fulltext.Index(spark, f"{path}/index"), read("commits"))
+        return Engine(spark, Corpus(**{name: read(name) for name in _RELATIONS}), segments.Segments(spark, f"{path}/index", "doc_key"), read("commits"))
+
+    def _of(self, rows: DataFrame, repo: str, number: int) -> DataFrame:
+        """A thread's own rows; a table in folders is read in one of them."""
+        mine = rows.where((F.col("repo") == repo) & (F.col("number") == number))
+        return mine.where(F.col("doc_bucket") == ranking.doc_bucket(F.lit(repo), F.lit(number))) if "doc_bucket" in rows.columns else mine
 
-    def search(self, text: str = "", **filters_: object) -> tuple[DataFrame, bool]:
+    def search(self, text: str = "", how: str = "bm25", **filters_: object) -> tuple[DataFrame, bool]:
         q = SearchQuery(text=text, **filters_)
-        page, widened = ranking.search(self.corpus, q, self.postings, terms_of=fulltext.asked_english)
+        page, widened = ranking.search(self.corpus, q, self.postings, terms_of=fulltext.asked_english, how=how)
         return ranking.with_snippets(page, q), widened
 
     def thread(self, repo: str, number: int, focus: str = "") -> dict[str, DataFrame]:
-        mine = self.corpus.documents.where((F.col("repo") == repo) & (F.col("number") == number))
+        mine = self._of(self.corpus.documents, repo, number)
         order = [F.col("created_at").asc_nulls_last(), F.col("source_type"), F.col("source_id")]
         talk = threads.first_chunks(filters.commentary(mine).where("trust <> 'machine'"), ["repo", "number"], [F.col("chunk_index")])
         talk = threads.focused(talk, re.findall(r"[A-Za-z0-9_]+", focus)) if focus else talk

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 from zlib import crc32
 
 import pandas as pd
@@ -15,6 +16,9 @@ from pyspark.sql.types import StringType
 from threadloom.functions.porter import stem
 from threadloom.schemas import BM25_B, BM25_K1, ENGLISH_STOPWORDS, MAX_ANY_TERMS
 
+if TYPE_CHECKING:
+    from threadloom.operators.segments import Segments
+
 
 def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
@@ -49,12 +53,12 @@ def stemmed(terms: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def postings(documents: DataFrame, key: str = "doc_id", text: str = "text", stemming: bool = False, analyzer=words) -> DataFrame:
     """(key, term, tf, doc_len). With stemming, terms are stemmed once each, after counting."""
-    tokens = documents.select(key, F.explode(analyzer(F.coalesce(F.col(text), F.lit("")))).alias("term"))
-    counted = tokens.groupBy(key, "term").agg(F.count("*").alias("tf"))
+    cut = documents.select(key, analyzer(F.coalesce(F.col(text), F.lit(""))).alias("words_"))
+    tokens = cut.select(key, F.size("words_").cast("long").alias("doc_len"), F.explode("words_").alias("term"))
+    counted = tokens.groupBy(key, "term").agg(F.count("*").alias("tf"), F.any_value("doc_len").alias("doc_len"))
     if stemming:
-        counted = counted.withColumn("term", stemmed("term")).groupBy(key, "term").agg(F.sum("tf").alias("tf"))
-    lengths = counted.groupBy(key).agg(F.sum("tf").alias("doc_len"))
-    return counted.join(lengths, key)
+        counted = counted.withColumn("term", stemmed("term")).groupBy(key, "term").agg(F.sum("tf").alias("tf"), F.any_value("doc_len").alias("doc_len"))
+    return counted
 
 
 @dataclass(frozen=True)
@@ -72,7 +76,7 @@ class Index:
     def build(found: DataFrame, path: str, key: str = "doc_id", buckets: int = 64) -> Index:
         path, spark = path.rstrip("/"), found.sparkSession
         by = (F.crc32(F.col("term").cast("binary")) % buckets).cast("int")
-        found.withColumn("term_bucket", by).repartition("term_bucket").sortWithinPartitions("term_bucket", "term").write.partitionBy("term_bucket").mode("overwrite").parquet(f"{path}/postings")
+        found.withColumn("term_bucket", by).repartitionByRange("term_bucket", "term", key).sortWithinPartitions("term_bucket", "term").write.partitionBy("term_bucket").mode("overwrite").parquet(f"{path}/postings")
         totals(spark.read.parquet(f"{path}/postings"), key).coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
         return Index(spark, path, buckets)
 
@@ -90,21 +94,23 @@ def totals(found: DataFrame, key: str = "doc_id") -> DataFrame:
     return found.groupBy(key).agg(F.max("doc_len").alias("doc_len")).agg(F.count("*").alias("n"), F.avg("doc_len").alias("mean_len"))
 
 
-def bm25(found: DataFrame | Index, terms: Sequence[str], match: str = "all", key: str = "doc_id", total: DataFrame | None = None) -> DataFrame:
+def bm25(found: DataFrame | Index | Segments, terms: Sequence[str], match: str = "all", key: str = "doc_id", total: DataFrame | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """(key, matched, score) of the documents with all the terms, or any of the first MAX_ANY_TERMS. found: postings, or an
-    index of them.
+    index of them. keep: columns of the postings that tell of the document.
 
     score is BM25 with idf = ln(1 + (N - df + 0.5) / (df + 0.5)). A question without terms matches nothing.
     """
     asked = list(dict.fromkeys(terms))[: None if match == "all" else MAX_ANY_TERMS]
-    if isinstance(found, Index):
+    df = None
+    if not isinstance(found, DataFrame):
+        df = None if isinstance(found, Index) else found.frequencies(asked)
         total, found = total if total is not None else found.total(), found.postings(asked)
     mine = found.where(F.col("term").isin(*asked) if asked else F.lit(False))
-    df = F.broadcast(mine.groupBy("term").agg(F.count("*").alias("df")))  # a row a term asked
+    df = F.broadcast(df if df is not None else mine.groupBy("term").agg(F.count("*").alias("df")))  # a row a term asked
     one = F.broadcast(total if total is not None else totals(found, key))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("doc_len") / F.col("mean_len")))
-    scored = mine.join(df, "term").join(one).groupBy(key).agg(F.count("*").alias("matched"), F.sum(part).alias("score"))
+    scored = mine.join(df, "term").join(one).groupBy(key).agg(F.count("*").alias("matched"), F.sum(part).alias("score"), *(F.any_value(F.col(c)).alias(c) for c in keep))
     return scored.where(F.col("matched") == len(asked)) if match == "all" else scored
 
 

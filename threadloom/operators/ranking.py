@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from threadloom.functions.text import ERROR_LINE, SOURCE_EXTENSIONS, SYMBOL_STOPWORDS, decay, snippet
 from threadloom.operators import fulltext
+from threadloom.operators.segments import Segments, cover_density, widened_density
 from threadloom.operators.filters import Corpus, SearchQuery, admissible, error_matches, file_matches
 from threadloom.schemas import DECAY_ENABLED, MAX_HITS, MAX_HITS_PER_THREAD, MAX_LEGS, MAX_PER_KIND, RRF_K, WEIGHTS
 
@@ -29,8 +30,17 @@ def overlap(signals: DataFrame, key: Sequence[str], value: Column, wanted: Seque
     return signals.where(anything).groupBy(*key).agg((total / len(wanted)).alias("overlap"))
 
 
-def scored(rows: DataFrame, corpus: Corpus, q: SearchQuery, lexical: DataFrame | None = None, doc_key: str = "doc_key", now=None) -> DataFrame:
-    """rows with score and breakdown (a map of the terms that were asked for)."""
+#: What only a page shows: fetched for its rows, after the limit.
+BODIES = ("body_text", "body_markdown", "metadata")
+#: What an index with facets keeps of a document, so that a page is chosen without reading documents.
+FACETS = ("repo", "number", "source_type", "source_id", "chunk_index", "author", "author_is_bot", "trust", "created_at")
+
+
+def scored(rows: DataFrame, corpus: Corpus, q: SearchQuery, lexical: DataFrame | None = None, doc_key: str = "doc_key", now=None, required: Sequence[str] = ()) -> DataFrame:
+    """rows with score and breakdown (a map of the terms that were asked for).
+
+    Rows may bring their text score as _lexical. required: the kinds of signal that a row must have, which saves their semi-joins.
+    """
     key = list(corpus.key)
     asked: dict[str, Column] = {}
     kinds = (
@@ -42,9 +52,11 @@ def scored(rows: DataFrame, corpus: Corpus, q: SearchQuery, lexical: DataFrame |
     for name, values, signals, predicate, column in kinds:
         if values and signals is not None:
             share = overlap(signals, key, F.col(column), values, predicate).withColumnRenamed("overlap", f"_{name}")
-            rows = rows.join(share, key, "left")
+            rows = rows.join(share, key, "inner" if name in required else "left")
             asked[name] = F.coalesce(f"_{name}", F.lit(0.0))
-    if lexical is not None:
+    if "_lexical" in rows.columns:
+        asked["lexical"] = F.coalesce("_lexical", F.lit(0.0))
+    elif lexical is not None:
         rows = rows.join(lexical.select(doc_key, F.col("score").alias("_lexical")), doc_key, "inner" if q.text else "left")
         asked["lexical"] = F.coalesce("_lexical", F.lit(0.0))
     if not asked:
@@ -132,46 +144,82 @@ def fused(ranked: DataFrame, key: Sequence[str], limit: int = MAX_HITS, per_thre
     return one.orderBy(*order).limit(limit)
 
 
+def relevance(index: DataFrame | fulltext.Index | Segments, terms: Sequence[str], match: str, doc_key: str, how: str = "bm25", keep: Sequence[str] = ()) -> DataFrame:
+    """(doc_key, score, keep...) of the documents with all the terms or any of them, by BM25 or by the density of covers."""
+    if how == "density":
+        found = index if isinstance(index, DataFrame) else index.postings(terms)
+        return cover_density(found, terms, "all", doc_key, keep) if match == "all" else widened_density(found, terms, doc_key, keep)
+    found = fulltext.bm25(index, terms, match, doc_key, keep=keep)
+    return found if match == "all" else fulltext.coverage(found, len(set(terms)))
+
+
+def with_bodies(page: DataFrame, documents: DataFrame, doc_key: str = "doc_key") -> DataFrame:
+    """A page with the long columns of its rows. The page is what is sent: at most MAX_HITS rows, so tables that are partitioned by
+    doc_bucket are read in the folders of these rows only."""
+    more = [c for c in BODIES if c in documents.columns and c not in page.columns]
+    if not more:
+        return page
+    on = [c for c in (doc_key, "doc_bucket", "repo", "number") if c in documents.columns and c in page.columns]
+    return documents.select(*on, *more).join(F.broadcast(page), on)
+
+
 def search(
-    corpus: Corpus, q: SearchQuery, postings: DataFrame | fulltext.Index | None = None, doc_key: str = "doc_key", expand: bool = True, now=None, terms_of: Callable[[str], list[str]] = fulltext.asked_words
-) -> tuple[DataFrame, bool]:
+    corpus: Corpus, q: SearchQuery, postings: DataFrame | fulltext.Index | Segments | None = None, doc_key: str = "doc_key", expand: bool = True, now=None, terms_of: Callable[[str], list[str]] = fulltext.asked_words,
+    how: str = "bm25",
+) -> tuple[DataFrame, bool]:
     """(page, widened). Legs are ranked apart and fused in one plan; a page that would be empty is asked for any term.
 
     terms_of cuts the question as the postings were cut. A leg without text of its own is still ranked by what the caller
-    asked for: by the caller's words, any of them, and by the signals that the caller named.
+    asked for: by the caller's words, any of them, and by the signals that the caller named. Pages are chosen on short columns; bodies are
+    read for the rows of the last one. With an index that has facets, a leg with text reads no documents at all.
     """
     q = q.checked()
-    key, ties = list(corpus.key), [F.col(doc_key).desc()]
+    key, ties, wide = list(corpus.key), [F.col(doc_key).desc()], corpus.documents
+    if "doc_bucket" in wide.columns:  # a stored table: its bodies are read later, by folder
+        corpus = replace(corpus, documents=wide.drop(*BODIES))
 
     def page(one: SearchQuery, limit: int, asked: SearchQuery) -> DataFrame:
         terms = terms_of(one.text)
-        lexical = None
+        lexical, from_ = None, corpus
         if one.text:
             if not terms or postings is None:
                 return admissible(corpus, one).where(F.lit(False)).withColumns({"score": F.lit(0.0), "breakdown": F.create_map().cast("map<string,double>")})
-            lexical = fulltext.bm25(postings, terms, one.match, doc_key)
-            if one.match == "any":
-                lexical = fulltext.coverage(lexical, len(set(terms)))
+            if isinstance(postings, Segments):
+                facets = [c for c in FACETS if c in wide.columns]
+                rows = relevance(postings, terms, one.match, doc_key, how, facets).withColumnRenamed("score", "_lexical").drop("matched")
+                if "doc_bucket" in wide.columns:
+                    rows = rows.withColumn("doc_bucket", doc_bucket(F.col("repo"), F.col("number")))
+                from_ = replace(corpus, documents=rows)
+            else:
+                lexical = relevance(postings, terms, one.match, doc_key, how)
         elif postings is not None and (terms := terms_of(asked.text)):
-            lexical = fulltext.coverage(fulltext.bm25(postings, terms, "any", doc_key), len(set(terms)))
+            lexical = relevance(postings, terms, "any", doc_key, how)
         kinds = {k: tuple(dict.fromkeys((*getattr(asked, k), *getattr(one, k)))) for k in ("files", "symbols", "errors", "tests")}
-        return select_page(scored(admissible(corpus, one), corpus, replace(one, **kinds), lexical, doc_key, now), key, ties, limit)
+        # a kind that filters and scores by the same values is joined once
+        same = [k for k, values in kinds.items() if values and values == getattr(one, k) and getattr(corpus, k) is not None]
+        rows = admissible(from_, replace(one, **{k: () for k in same}))
+        return select_page(scored(rows, corpus, replace(one, **kinds), lexical, doc_key, now, [k.removesuffix("s") for k in same]), key, ties, limit)
 
     def best(asked: SearchQuery) -> DataFrame:
         legs = expanded(asked) if expand else [Leg("text", asked)]
         if len(legs) == 1:
-            return presented(page(legs[0].query, asked.limit, asked), asked.sort, ties)
+            return page(legs[0].query, asked.limit, asked)
         rank = Window.partitionBy("leg_order").orderBy(F.col("score").desc_nulls_last(), F.col("created_at").desc_nulls_last(), *ties)
         parts = [page(leg.query, MAX_HITS * MAX_HITS_PER_THREAD, asked).withColumns({"leg": F.lit(leg.name), "leg_order": F.lit(i)}) for i, leg in enumerate(legs)]
         together = parts[0]
         for p in parts[1:]:
             together = together.unionByName(p, allowMissingColumns=True)
-        return presented(fused(together.withColumn("rank", F.row_number().over(rank)), key, asked.limit), asked.sort, ties)
+        return fused(together.withColumn("rank", F.row_number().over(rank)), key, asked.limit)
 
-    first = best(q)
+    first, widened = best(q), False
     if len(terms_of(q.text)) >= 2 and q.match == "all" and first.isEmpty():
-        return best(replace(q, match="any")), True
-    return first, False
+        first, widened = best(replace(q, match="any")), True
+    return presented(with_bodies(first, wide, doc_key), q.sort, ties), widened
+
+
+def doc_bucket(repo: Column, number: Column, buckets: int = 64) -> Column:
+    """The folder of a thread's documents in a table that is partitioned by doc_bucket."""
+    return F.pmod(F.xxhash64(repo, number.cast("long")), F.lit(buckets)).cast("int")
 
 
 def with_snippets(page: DataFrame, q: SearchQuery, text: str = "body_text") -> DataFrame:

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.functions.text import decay, error_norm
-from threadloom.operators import filters, fulltext, ranking
+from threadloom.operators import filters, fulltext, ranking, segments
 from threadloom.operators.filters import Corpus, SearchQuery
 from threadloom.plans.registry import query
 from threadloom.plans.views import table, view
@@ -45,7 +46,8 @@ select number, repo, source_type, source_id, chunk_index, author, round(score, 6
 def search_select_page(spark: SparkSession, d: str) -> DataFrame:
     c = corpus(spark, d)
     q = SearchQuery(repos=("org/r0", "org/r1", "org/r2"), files=("m3.py", "src/m7.py"), symbols=("mod_5.run", "mod_9.run"), before=NEW_YEAR_2000).checked()
-    page = ranking.select_page(ranking.scored(filters.admissible(c, q), c, q), c.key, ties())
+    rows = filters.admissible(c, replace(q, files=(), symbols=()))  # the inner joins of their scores filter by them
+    page = ranking.select_page(ranking.scored(rows, c, q, required=("file", "symbol")), c.key, ties())
     return page.select("number", "repo", "source_type", "source_id", "chunk_index", "author", F.round("score", 6).alias("score"))
 
 
@@ -205,6 +207,71 @@ def widened_search(spark: SparkSession, d: str) -> DataFrame:
     return fulltext.coverage(fulltext.bm25(found, terms, "any"), 3).select("doc_id", F.round("score", 6).alias("score"), F.lit(True).alias("widened"))
 
 
+# -- positions: cover density, and an index that grows by batches ----------------------------------------------------------
+
+_PLACES = (
+    "t as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) as term, generate_subscripts(regexp_extract_all(lower(text), '[a-z0-9_]+'), 1) as p from documents), "
+    "q as (select doc_id, term, p from t where term in ({terms}))"
+)
+_NEAR = ("the", "and", "in")
+
+
+def _positions(spark: SparkSession, d: str) -> DataFrame:
+    return segments.positional(table(spark, d, "documents"), "doc_id", "text", analyzer=ascii_words)
+
+
+@query(
+    "with " + _PLACES.format(terms="'the', 'and', 'in'")
+    + """, seen as (select doc_id, p, row_number() over run as i, max(case when term = 'the' then p end) over run as a, max(case when term = 'and' then p end) over run as b, max(case when term = 'in' then p end) over run as c
+  from q window run as (partition by doc_id order by p rows between unbounded preceding and current row)),
+ends as (select doc_id, p, i, least(a, b, c) as s from seen where a is not null and b is not null and c is not null),
+covers as (select doc_id, p, i, s from ends qualify lag(s) over (partition by doc_id order by p) is null or s <> lag(s) over (partition by doc_id order by p))
+select c.doc_id, cast(3 as bigint) as matched, round(sum(0.1 / (1 + (c.p - c.s) - (c.i - b.i))), 6) as score from covers c join seen b on b.doc_id = c.doc_id and b.p = c.s group by 1"""
+)
+def fts_cover_density_all(spark: SparkSession, d: str) -> DataFrame:
+    return segments.cover_density(_positions(spark, d), _NEAR, "all").select("doc_id", "matched", F.round("score", 6).alias("score"))
+
+
+@query(
+    "with " + _PLACES.format(terms="'then', 'thand', 'within', 'ofand'")
+    + """, o as (select doc_id, count(distinct term) as matched, 0.1 * count(*) as r from q group by 1) select doc_id, matched, round(matched / 4.0 + (r / (r + 1)) / 5, 6) as score from o"""
+)
+def fts_cover_density_any(spark: SparkSession, d: str) -> DataFrame:
+    return segments.widened_density(_positions(spark, d), _ASKED).select("doc_id", "matched", F.round("score", 6).alias("score"))
+
+
+def _batches(spark: SparkSession, d: str) -> list[tuple[DataFrame, object]]:
+    """The documents in three batches: most of them; edits (texts reversed by words) and new ones; deletions and edits again."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    backwards = F.array_join(F.reverse(ascii_words(F.col("text"))), " ")
+    third = F.col("doc_id") % 3
+    return [
+        (docs.where(third < 2), None),
+        (docs.where((third == 2) | (F.col("doc_id") % 5 == 0)).withColumn("text", F.when(third == 2, F.col("text")).otherwise(backwards)), None),
+        (docs.where(F.col("doc_id") % 7 == 0).withColumn("gone", F.col("doc_id") % 2 == 0), F.col("gone")),
+    ]
+
+
+@query(
+    """with v as (select doc_id, text, doc_id % 7 = 0 and doc_id % 2 = 0 as gone, doc_id % 7 <> 0 and doc_id % 5 = 0 and doc_id % 3 < 2 as turned from documents),
+w as (select doc_id, turned, regexp_extract_all(lower(text), '[a-z0-9_]+') as words from v where not gone and text is not null),
+t as (select doc_id, len(words) as doc_len, unnest(words) as term, generate_subscripts(words, 1) as i, turned from w),
+s as (select count(distinct doc_id) as n, count(*) * 1.0 / count(distinct doc_id) as m from t),
+q as (select doc_id, term, count(*) as tf, any_value(doc_len) as doc_len, min(case when turned then doc_len - i else i - 1 end) as first_place from t where term in ('then', 'thand', 'within', 'ofand') group by 1, 2),
+f as (select term, count(*) as df from q group by 1)
+select doc_id, term, tf, df, cast(first_place as bigint) as first_place, n, round(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * doc_len / m)), 6) as score from q join f using (term), s"""
+)
+def fts_incremental(spark: SparkSession, d: str) -> DataFrame:
+    """Postings and scores of an index that three batches with edits and deletes left, the oldest two of its segments merged."""
+    index = segments.Segments(spark, f"{shared_folder(spark)}/indexes/{uuid.uuid4().hex}")
+    for batch, gone in _batches(spark, d):
+        index.append(batch, gone=gone, analyzer=ascii_words)
+    index.merged(index.segments()[:2])
+    found = index.postings(_ASKED).join(F.broadcast(index.frequencies(_ASKED)), "term").join(F.broadcast(index.total()))  # a row a term asked; one row
+    score = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("doc_len") / F.col("mean_len")))
+    return found.select("doc_id", "term", "tf", "df", F.get("positions", F.lit(0)).cast("long").alias("first_place"), "n", F.round(score, 6).alias("score"))
+
+
 @query(
     """w as (select number, comment, list_filter(string_split(regexp_replace(lower(body), '[^\\p{L}\\p{N}]+', ' ', 'g'), ' '), lambda x: x <> '') as words from h_posts)
 select number, comment from w where list_contains(words, 'config') and list_contains(words, '4')""".replace("\\\\", "\\")
