@@ -27,7 +27,7 @@ from threadloom.llm.common import BLOCK_BITS, bit_blocks, cell_of, filter_bits,
 
 LEAST_COUNT, MOST_WORDS, TOP, INSIDE_PERCENT = 10, 3, 2000, 50
 #: Positions in a shard, bytes of a text that are cut at a time, and bitmap entries of the first words that are extended together.
-SHARD, SPAN, PREFIXES = 1 << 22, 1 << 20, 1 << 18
+SHARD, SPAN, PREFIXES = 1 << 21, 1 << 20, 1 << 17
 #: Salts of the first of two rankings, so that no task ranks a language alone.
 SALTS = 16
 _CONTEXT = 8  # the first byte of a shard's line: words before it that phrases may begin with
