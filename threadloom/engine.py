@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from collections.abc import Sequence
+from dataclasses import dataclass, field
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.operators import codelens, filters, fulltext, provenance, ranking, segments, threads
+from threadloom.operators import asof, codelens, filters, fulltext, provenance, ranking, segments, substrings, threads
 from threadloom.operators.filters import Corpus, SearchQuery
+from threadloom.operators.lookups import AsOf
 from threadloom.plans import derive
 from threadloom.schemas import ENGLISH_STOPWORDS
 
@@ -24,6 +27,9 @@ class Engine:
     corpus: Corpus
     postings: DataFrame | segments.Segments
     commits: DataFrame | None = None
+    history: DataFrame | None = None
+    pin: AsOf = field(default_factory=AsOf)
+    unpinned: Engine | None = None
 
     @staticmethod
     def over(spark: SparkSession, raw: DataFrame, authority: DataFrame) -> Engine:
@@ -48,6 +54,8 @@ class Engine:
                 rows.write.mode("overwrite").parquet(f"{path}/{name}")
         self.commits.write.mode("overwrite").parquet(f"{path}/commits")
         opened = Engine.opened(self.spark, path)
+        substrings.Trigrams.build(opened.corpus.errors, f"{path}/error_grams", opened.corpus.key, "message_norm")
+        substrings.PathTails.build(opened.corpus.files, f"{path}/tails")
         opened.postings.append(opened.corpus.documents, "body_text", ranking.FACETS, **ENGLISH)
         return opened
 
@@ -56,7 +64,34 @@ class Engine:
         """An engine over a folder that `saved` wrote."""
         path = path.rstrip("/")
         read = lambda name: spark.read.parquet(f"{path}/{name}")
-        return Engine(spark, Corpus(**{name: read(name) for name in _RELATIONS}), segments.Segments(spark, f"{path}/index", "doc_key"), read("commits"))
+        corpus = Corpus(**{name: read(name) for name in _RELATIONS}, error_grams=substrings.Trigrams(spark, f"{path}/error_grams", filters.KEY), tails=substrings.PathTails(spark, f"{path}/tails"))
+        return Engine(spark, corpus, segments.Segments(spark, f"{path}/index", "doc_key"), read("commits"))
+
+    def pinned(self, before: datetime | None = None, exclude: Sequence[int] = ()) -> Engine:
+        """This engine as of a time: no verb of it can tell what was said, edited or merged later, or anything of the excluded threads.
+
+        A pin can be narrowed by another one and never loosened. Texts are the versions that stood then (history holds the superseded
+        ones), signals are read from them again. `saved` writes the pinned engine with an index of its own. Labels and commit lists carry no
+        times: labels are left out, commits are kept for threads that were merged by then.
+        """
+        if before is not None and before.tzinfo is None:
+            raise ValueError("before needs a time zone")
+        whole, pin = self.unpinned or self, self.pin.narrowed(before, exclude)
+        c, key = whole.corpus, list(filters.KEY)
+        kept = lambda rows: rows.where(~F.col("number").isin(*pin.exclude)) if pin.exclude else rows
+        if pin.before is None:
+            relations = {n: kept(rows) for n in _RELATIONS if (rows := getattr(c, n)) is not None}
+            commits = kept(whole.commits) if whole.commits is not None else None
+        else:
+            at = F.lit(pin.before)
+            heads = asof.threads_at(kept(c.threads), pin.before)
+            stood = asof.versions(c.documents, whole.history).where(asof.stood_at(at) & (F.col("created_at") < at)).drop("valid_from", "valid_to")
+            docs = stood.join(heads.select(*key), key, "left_semi")
+            signals = asof.signals_at(asof.rejoined_texts(docs), heads, c.files, pin.before)
+            relations = {"threads": heads, "documents": docs, "labels": c.labels.where(F.lit(False)) if c.labels is not None else None, **signals}
+            merged = heads.where("merged_at is not null").select(*key)
+            commits = whole.commits.join(merged, key, "left_semi") if whole.commits is not None else None
+        return Engine(self.spark, Corpus(**relations), fulltext.postings(relations["documents"], "doc_key", "body_text", stemming=True, analyzer=fulltext.english), commits, None, pin, whole)
 
     def _of(self, rows: DataFrame, repo: str, number: int) -> DataFrame:
         """A thread's own rows; a table in folders is read in one of them."""

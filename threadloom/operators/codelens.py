@@ -9,12 +9,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions.python_code import DEFINITIONS, REFERENCES, provider
+from threadloom.operators import substrings
 from threadloom.operators.filters import KEY
 from threadloom.schemas import MAX_COPIES, MAX_GREP, MAX_GREP_LINE
 
 
-def grep(files: DataFrame, pattern: str, path: str = "path", content: str = "content", most: int | None = MAX_GREP) -> DataFrame:
-    """(path, line, text) of the lines that match; with a cap, one row more tells that there are more."""
+def grep(files: DataFrame, pattern: str, path: str = "path", content: str = "content", most: int | None = MAX_GREP, index: substrings.Trigrams | None = None) -> DataFrame:
+    """(path, line, text) of the lines that match; with a cap, one row more tells that there are more.
+
+    With a trigram index of the files, only files that hold the pattern's trigrams are read; a pattern without any reads all.
+    """
+    if index is not None:
+        files = index.narrowed(files, substrings.of_pattern(pattern))
     lines = files.where(F.col(content).rlike(pattern)).select(path, F.posexplode(F.split(content, "\n")).alias("at", "text")).where(F.col("text").rlike(pattern))
     found = lines.select(path, (F.col("at") + 1).alias("line"), F.substring(F.trim("text"), 1, MAX_GREP_LINE).alias("text"))
     return found if most is None else found.orderBy(path, "line").limit(most + 1)

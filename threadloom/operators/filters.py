@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 from datetime import datetime
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions.text import error_norm, error_query_form
+from threadloom.operators import substrings
 from threadloom.schemas import ENGAGEMENT, HUMAN, KINDS, MAX_HITS, TRUST
 
 KEY = ("repo", "number")
@@ -59,7 +61,10 @@ class SearchQuery:
 
 @dataclass(frozen=True)
 class Corpus:
-    """The relations that a search reads. Frames that a corpus lacks are None; key says how they join."""
+    """The relations that a search reads. Frames that a corpus lacks are None; key says how they join.
+
+    error_grams and tails are indexes of errors and files; where they are there, they are asked instead of the whole tables.
+    """
 
     threads: DataFrame
     documents: DataFrame
@@ -70,6 +75,14 @@ class Corpus:
     labels: DataFrame | None = None
     links: DataFrame | None = None
     key: tuple[str, ...] = field(default=KEY)
+    error_grams: substrings.Trigrams | None = None
+    tails: substrings.PathTails | None = None
+
+    def errors_with(self, pasted: Sequence[str]) -> DataFrame:
+        return self.errors.where(error_matches(self.errors["message_norm"], pasted)) if self.error_grams is None else substrings.errors_with(self.errors, self.error_grams, pasted)
+
+    def files_at(self, needles: Sequence[str]) -> DataFrame:
+        return self.files.where(file_matches(self.files["path"], needles)) if self.tails is None else self.tails.matching(needles)
 
 
 def in_scope(repos: Sequence[str] | None = None, before=None, exclude: Sequence[int] = (), repo: str = "repo", number: str = "number", created: str = "created_at") -> Column:
@@ -112,15 +125,15 @@ def narrowed(rows: DataFrame, corpus: Corpus, q: SearchQuery) -> DataFrame:
     """Semi-joins for every kind of signal that the query names."""
     key = list(corpus.key)
     kinds = (
-        (q.files, corpus.files, lambda d: file_matches(d["path"], q.files)),
-        (q.symbols, corpus.symbols, lambda d: d["symbol"].isin(*q.symbols)),
-        (q.errors, corpus.errors, lambda d: error_matches(d["message_norm"], q.errors)),
-        (q.tests, corpus.tests, lambda d: d["test_id"].isin(*q.tests)),
-        (q.labels, corpus.labels, lambda d: d["label"].isin(*q.labels)),
+        (q.files, corpus.files, lambda d: corpus.files_at(q.files)),
+        (q.symbols, corpus.symbols, lambda d: d.where(d["symbol"].isin(*q.symbols))),
+        (q.errors, corpus.errors, lambda d: corpus.errors_with(q.errors)),
+        (q.tests, corpus.tests, lambda d: d.where(d["test_id"].isin(*q.tests))),
+        (q.labels, corpus.labels, lambda d: d.where(d["label"].isin(*q.labels))),
     )
-    for values, signals, predicate in kinds:
+    for values, signals, carrying in kinds:
         if values and signals is not None:
-            rows = rows.join(signals.where(predicate(signals)).select(*key).distinct(), key, "left_semi")
+            rows = rows.join(carrying(signals).select(*key).distinct(), key, "left_semi")
     return rows
 
 
@@ -161,8 +174,20 @@ def open_pulls(threads: DataFrame, after: int | None = None) -> DataFrame:
 
 
 def globbed(files: DataFrame, pattern: str, path: str = "path") -> DataFrame:
-    """Shell-style matching of whole paths: * and ? may cross directories."""
-    regex = "".join({"*": ".*", "?": "."}.get(c, "\\" + c if not c.isalnum() and c not in "_/" else c) for c in pattern)
+    """Shell-style matching of whole paths: * and ? may cross directories, [abc], [a-z] and [!abc] name characters.
+
+    A bracket that is not closed stands for itself.
+    """
+    regex, i = "", 0
+    while i < len(pattern):
+        c, i = pattern[i], i + 1
+        end = pattern.find("]", i + 1 + pattern.startswith("!", i)) if c == "[" else -1
+        if end > 0:
+            chosen, i = pattern[i:end], end + 1
+            ranges = re.sub(r"([\\\[\]^&])", r"\\\1", chosen.removeprefix("!"))
+            regex += f"[{'^' * chosen.startswith('!')}{ranges}]"
+        else:
+            regex += {"*": ".*", "?": "."}.get(c, re.sub(r"([^A-Za-z0-9_/])", r"\\\1", c))
     return files.where(F.col(path).rlike(f"(?s)^{regex}$"))
 
 

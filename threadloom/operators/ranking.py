@@ -51,6 +51,10 @@ def scored(rows: DataFrame, corpus: Corpus, q: SearchQuery, lexical: DataFrame |
     )
     for name, values, signals, predicate, column in kinds:
         if values and signals is not None:
+            if name == "error":
+                signals = corpus.errors_with(values)
+            elif name == "file":
+                signals = corpus.files_at(values)
             share = overlap(signals, key, F.col(column), values, predicate).withColumnRenamed("overlap", f"_{name}")
             rows = rows.join(share, key, "inner" if name in required else "left")
             asked[name] = F.coalesce(f"_{name}", F.lit(0.0))

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.functions.text import CUES
-from threadloom.operators import codelens, evaluation
+from threadloom.operators import codelens, evaluation, substrings
 from threadloom.plans.catalogue_search import ascii_words, index_of
 from threadloom.plans.registry import query
 from threadloom.plans.views import table, view
+from threadloom.sources.store import shared_folder
 
 
 @query("select test_id, count(distinct number) as threads from h_tests group by 1 having count(distinct number) between 2 and 800")
@@ -112,6 +114,15 @@ def grep_lines(spark: SparkSession, d: str) -> DataFrame:
     return codelens.grep(files, "[Ll]icen[sc]e|@mail", most=None).withColumn("line", F.col("line").cast("long"))
 
 
+@query(f"with {_LINES} select doc_id, line, substr(trim(x), 1, 300) as text from l where regexp_matches(x, '(?i)mit licen[sc]e|apache.*2\\.0|@mail|BEGIN [A-Z]+ KEY')")
+def grep_lines_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """Lines by way of a trigram index of the documents, which the query builds first."""
+    files = table(spark, d, "documents").select("doc_id", F.col("text").alias("content"))
+    index = substrings.Trigrams.build(files, f"{shared_folder(spark)}/indexes/{uuid.uuid4().hex}", ["doc_id"], "content")
+    found = codelens.grep(files, r"(?i)mit licen[sc]e|apache.*2\.0|@mail|BEGIN [A-Z]+ KEY", path="doc_id", most=None, index=index)
+    return found.withColumn("line", F.col("line").cast("long"))
+
+
 @query(
     f"""{_LINES}, g as (select 'src/m' || cast(doc_id % 50 as varchar(20)) || '.py' as path, count(*) as n from l where regexp_matches(x, '[Ll]icen[sc]e') group by 1)
 select number, cast(sum(n) as bigint) as weight from (select distinct number, path from h_files) join g using (path) group by 1 order by weight desc, number limit 10"""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.functions.text import error_norm
-from threadloom.operators import lookups
+from threadloom.operators import asof, lookups
 from threadloom.plans.registry import query
 from threadloom.plans.views import in_repo, table, view
 
@@ -86,6 +86,61 @@ def as_of_reachable(spark: SparkSession, d: str) -> DataFrame:
     return pin.narrowed(datetime(1999, 1, 1, tzinfo=UTC)).reachable(view(spark, d, "h_threads")).select("number")
 
 
+# -- as of a time: posts of which some were edited or deleted later ---------------------------------------------------------
+
+_POSTS = """p as (select number, comment, timestamp '2020-01-01' + to_days(cast(number % 90 + comment as integer)) as created_at, body from h_posts),
+v as (
+  select number, comment, created_at, case when comment % 3 = 1 then body || ' now `edited_' || cast(number % 9 as varchar) || '.later()`' else body end as body, case when comment % 3 = 1 then created_at + interval 20 day else created_at end as f, null as t from p where comment % 5 <> 4
+  union all select number, comment, created_at, body, created_at, created_at + interval 20 day from p where comment % 3 = 1 and comment % 5 <> 4
+  union all select number, comment, created_at, body, created_at, created_at + interval 15 day from p where comment % 5 = 4),
+c as (select unnest([timestamp '2020-01-20', timestamp '2020-02-25']) as cutoff),
+s as (select cutoff, v.* from v, c where f < cutoff and created_at < cutoff and (t is null or t >= cutoff))"""
+CUTOFFS = (datetime(2020, 1, 20, tzinfo=UTC), datetime(2020, 2, 25, tzinfo=UTC))
+
+
+def _versions(spark: SparkSession, d: str) -> DataFrame:
+    posts = view(spark, d, "h_posts").select("number", "comment", F.lit("2020-01-01").cast("timestamp") + F.make_dt_interval((F.col("number") % 90 + F.col("comment")).cast("int")), "body").toDF("number", "comment", "created_at", "body")
+    edited, gone = F.col("comment") % 3 == 1, F.col("comment") % 5 == 4
+    later = F.concat("body", F.lit(" now `edited_"), (F.col("number") % 9).cast("string"), F.lit(".later()`"))
+    old = posts.where(edited | gone).withColumn("superseded_at", F.col("created_at") + F.when(gone, F.expr("interval 15 days")).otherwise(F.expr("interval 20 days")))
+    return asof.versions(posts.where(~gone).withColumn("body", F.when(edited, later).otherwise(F.col("body"))), old, ["number", "comment"])
+
+
+@query(_POSTS + " select strftime(cutoff, '%Y-%m-%d') as cutoff, number, comment, sha256(body) as digest from s")
+def as_of_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Each text as it stood at two cutoffs: edits after them do not show, texts deleted after them do."""
+    rows = _versions(spark, d)
+    stood = [rows.where(asof.stood_at(F.lit(t)) & (F.col("created_at") < F.lit(t))).withColumn("cutoff", F.lit(t.strftime("%Y-%m-%d"))) for t in CUTOFFS]
+    return stood[0].unionByName(stood[1]).select("cutoff", "number", "comment", F.sha2("body", 256).alias("digest"))
+
+
+@query(
+    _POSTS
+    + r""", x as (select cutoff, number, unnest(regexp_extract_all(body, '`([^`\n]+)`', 1)) as span from s), g as (select cutoff, number, regexp_replace(span, '\(\)$', '') as symbol, case when ends_with(span, '()') then 'call' end as symbol_type from x)
+select strftime(cutoff, '%Y-%m-%d') as cutoff, number, symbol, max(symbol_type) as symbol_type from g group by all"""
+)
+def as_of_symbols(spark: SparkSession, d: str) -> DataFrame:
+    """The symbols that each thread had shown by two cutoffs, read again from the texts of the time."""
+    rows, out = _versions(spark, d), []
+    for t in CUTOFFS:
+        stood = rows.where(asof.stood_at(F.lit(t)) & (F.col("created_at") < F.lit(t))).withColumn("chunk_index", F.lit(0))
+        texts = asof.rejoined_texts(stood, ["number", "comment"], "body")
+        heads = stood.select("number", F.lit(None).cast("timestamp").alias("merged_at")).distinct()
+        found = asof.signals_at(texts, heads, view(spark, d, "h_files"), t, ["number"])["symbols"]
+        out.append(found.select(F.lit(t.strftime("%Y-%m-%d")).alias("cutoff"), "number", "symbol", "symbol_type"))
+    return out[0].unionByName(out[1])
+
+
+@query(
+    """c as (select unnest([timestamp '1995-06-01', timestamp '1998-03-01']) as cutoff)
+select strftime(cutoff, '%Y-%m-%d') as cutoff, number, case when merged_at < cutoff then state else 'open' end as state, merged_at < cutoff and merged_at is not null as merged from h_threads, c where created_at < cutoff"""
+)
+def as_of_threads(spark: SparkSession, d: str) -> DataFrame:
+    """Threads as they were: what was merged later is still open."""
+    out = [asof.threads_at(view(spark, d, "h_threads"), t).withColumn("cutoff", F.lit(t.strftime("%Y-%m-%d"))) for t in (datetime(1995, 6, 1, tzinfo=UTC), datetime(1998, 3, 1, tzinfo=UTC))]
+    return out[0].unionByName(out[1]).select("cutoff", "number", "state", F.col("merged_at").isNotNull().alias("merged"))
+
+
 @query("select distinct repo, number from h_threads where thread_type = 'pr' and (merged_at is not null or state = 'open') and number % 3 <> 1")
 def pulls_to_fetch(spark: SparkSession, d: str) -> DataFrame:
     """Merged and open pull requests whose details are not staged yet."""

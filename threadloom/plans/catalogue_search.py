@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.functions.text import decay, error_norm
-from threadloom.operators import filters, fulltext, ranking, segments
+from threadloom.operators import filters, fulltext, ranking, segments, substrings
 from threadloom.operators.filters import Corpus, SearchQuery
 from threadloom.plans.registry import query
 from threadloom.plans.views import table, view
@@ -99,6 +99,19 @@ _filtered(
 )
 
 
+@query(
+    """select number, source_type, source_id, chunk_index from h_documents d where trust in ('authoritative', 'reported')
+and exists (select 1 from h_error_text e where e.number = d.number and contains(lower(regexp_replace(replace(body, 'ValueError: ', ''), '[0-9]+', '<n>', 'g')), 'expected <n> features, got <n> on cuda'))
+and exists (select 1 from h_files f where f.number = d.number and (path = 'm7.py' or ends_with(path, '/m7.py') or path = 'src/m11.py' or ends_with(path, '/src/m11.py')))"""
+)
+def indexed_filters(spark: SparkSession, d: str) -> DataFrame:
+    """The error and file filters by way of their indexes, which the query builds first."""
+    c, folder = corpus(spark, d), f"{shared_folder(spark)}/indexes/{uuid.uuid4().hex}"
+    c = replace(c, error_grams=substrings.Trigrams.build(c.errors, f"{folder}/error_grams", c.key, "message_norm"), tails=substrings.PathTails.build(c.files, f"{folder}/tails"))
+    q = SearchQuery(errors=("ValueError: expected 768 features, got 1024 on cuda",), files=("./m7.py", "src/m11.py")).checked()
+    return filters.admissible(c, q).select("number", "source_type", "source_id", "chunk_index")
+
+
 @query(
     """select count(distinct d.number) as files_untested from h_documents d join h_threads t using (number) where trust in ('authoritative', 'reported') and thread_type = 'pr'
 and not exists (select 1 from h_files f where f.number = d.number and source = 'changed')"""
