@@ -78,3 +78,25 @@ def test_detection_end_to_end(spark):
 def test_redaction(spark):
     df = spark.createDataFrame([("mail me@host.org now", "email:5:16"), (None, ""), ("x", "")], "text string, spans string")
     assert [r[0] for r in df.select(pii.redacted(df["text"], df["spans"])).collect()] == ["mail [email] now", None, "x"]
+
+
+def test_long_texts_full_of_candidates_take_linear_time():
+    import time
+
+    one = "token=abc123def456ghi789 call 555-123-4567 at 10.0.0.1, bob at mail dot example dot com; "
+    model = pii.Model(pii.Booster(), {})
+    took = []
+    for n in (500, 8000):
+        began = time.process_time()
+        (base, every), = model.spans([one * n])
+        took.append(time.process_time() - began)
+        assert len(base) >= n and len(every) > len(base)
+    assert took[1] < 16 * 3 * max(took[0], 0.05)
+
+
+def test_what_lies_within_a_base_span():
+    spans = [("email", 5, 20), ("ip", 8, 12), ("card", 30, 40)]
+    covered = pii.Covered(spans)
+    for a in range(45):
+        for z in range(a + 1, 46):
+            assert covered(a, z) == any(b <= a and z <= y for _, b, y in spans)

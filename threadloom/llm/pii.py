@@ -10,10 +10,12 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -137,8 +139,16 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
     ]
 
 
-def covered(start: int, end: int, base: list[tuple[str, int, int]]) -> bool:
-    return any(a <= start and end <= z for _, a, z in base)
+class Covered:
+    """Whether a span lies within one of many: starts in order, and the furthest end up to each."""
+
+    def __init__(self, spans: list[tuple[str, int, int]]):
+        order = sorted((a, z) for _, a, z in spans)
+        self.starts, self.ends = [a for a, _ in order], list(accumulate((z for _, z in order), max))
+
+    def __call__(self, start: int, end: int) -> bool:
+        i = bisect_right(self.starts, start)
+        return i > 0 and self.ends[i - 1] >= end
 
 
 def weak_label(text: str, kind: str, start: int, end: int) -> bool:
@@ -217,15 +227,18 @@ class Model:
         base, proposed, rows = [], [], []
         for text in texts:
             base.append(base_spans(text))
-            proposed.append([c for c in candidates(text) if not covered(*c[1:], base[-1]) and (c[0] in self.thresholds or weak_label(text, *c))])
+            covered = Covered(base[-1])
+            proposed.append([c for c in candidates(text) if not covered(*c[1:]) and (c[0] in self.thresholds or weak_label(text, *c))])
             rows += [features(text, *c) for c in proposed[-1]]
         scores, out, at = self.booster.predict(np.array(rows)) if rows else np.empty(0), [], 0
-        for own, more in zip(base, proposed, strict=True):
+        for text, own, more in zip(texts, base, proposed, strict=True):
             ranked = sorted(zip(scores[at : at + len(more)].tolist(), more, strict=True), key=lambda x: (-x[0], x[1][1], x[1][2]))
             at += len(more)
             taken: list[tuple[str, int, int]] = []
+            used = bytearray(len(text) if ranked else 0)
             for score, (kind, a, z) in ranked:  # what crosses a better candidate is left out
-                if score >= self.thresholds.get(kind, 0.0) and all(z <= b or y <= a for _, b, y in taken):
+                if score >= self.thresholds.get(kind, 0.0) and used.find(1, a, z) < 0:
+                    used[a:z] = b"\x01" * (z - a)
                     taken.append((kind, a, z))
             out.append((own, sorted(own + taken, key=lambda x: (KINDS.index(x[0]), x[1]))))
         return out
@@ -259,8 +272,8 @@ def fit(documents: DataFrame, text: str = "text", key: str = "doc_id", sample_te
         for batch in batches:
             x, label, hold = [], [], []
             for value, draw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                base = base_spans(value)
-                open_ = [c for c in candidates(value) if not covered(*c[1:], base)]
+                covered = Covered(base_spans(value))
+                open_ = [c for c in candidates(value) if not covered(*c[1:])]
                 for c in open_[:: 1 + len(open_) // SAMPLE_PER_TEXT]:
                     x.append(features(value, *c))
                     label.append(weak_label(value, *c))
