@@ -1,7 +1,9 @@
 import hashlib
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from threadloom.llm import chat
 
@@ -57,3 +59,22 @@ def test_escaping_is_reversible(text):
     escaped = text.replace("&", "&amp;").replace(t.control, t.escaped)
     assert t.control not in escaped
     assert escaped.replace(t.escaped, t.control).replace("&amp;", "&") == text
+
+
+INST = chat.Template(start="[INST]", after_role=": ", end="[/INST]\n", control="[", escaped="&lb;", loss=("bot",), moves=(("", "me"), ("me", "bot"), ("bot", "me")), final=("bot",))
+PIPES = chat.Template(start="<|$1(a|b)*\\E|>", end="<|.|>")
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.sampled_from(["me", "bot", "r: s", "[x]", "a&lb;b"]), st.text("[]INST/:& lb;<|\\\\Ea\n", max_size=20)), min_size=1, max_size=4), min_size=1, max_size=6), st.sampled_from([INST, PIPES, chat.Template()]))
+def test_any_template_reads_back(spark, conversations, template):
+    rows = [(k, j, r, t) for k, turns in enumerate(conversations) for j, (r, t) in enumerate(turns)]
+    out = chat.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), template)
+    got = {r["conv_id"]: [(x["role"], x["text"]) for x in r["turns"]] for r in out.select("conv_id", chat.read_back(F.col("formatted"), template).alias("turns")).collect()}
+    assert got == dict(enumerate(conversations))
+
+
+@pytest.mark.parametrize("wrong", [{"start": "[INST]"}, {"control": ""}, {"after_role": ""}, {"escaped": "<|"}, {"escaped": "&amp;x"}, {"end": "<|im_start|>x"}, {"control": "<|<", "start": "<|<a", "end": "<|<b"}])
+def test_ambiguous_templates_are_refused(wrong):
+    with pytest.raises(ValueError):
+        chat.Template(**wrong)

@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 class Template:
     """A turn is start + role + after_role + text + end. `loss` names the roles whose text is trained on.
 
-    `moves` has the allowed steps of the machine: from a state, on a role, to the state of that name.
+    `moves` has the allowed steps of the machine: from a state, on a role, to the state of that name. Every occurrence of `control` in
+    a text is written as `escaped`; start and end begin with it, so that only the template opens and closes turns.
     """
 
     start: str = "<|im_start|>"
@@ -29,6 +30,16 @@ class Template:
     moves: tuple[tuple[str, str], ...] = field(default=(("", "system"), ("", "user"), ("system", "user"), ("user", "assistant"), ("assistant", "user")))
     final: tuple[str, ...] = ("assistant",)
 
+    def __post_init__(self) -> None:
+        """ValueError for templates whose output could be read in two ways."""
+        bordered = lambda s: any(s.startswith(s[i:]) for i in range(1, len(s)))
+        if not self.control or not self.start.startswith(self.control) or not self.end.startswith(self.control) or self.start in self.end:
+            raise ValueError("start and end must begin with the control string, and end can't hold start")
+        if bordered(self.control) or not self.after_role or bordered(self.after_role) or "&" in self.control + self.after_role:
+            raise ValueError("the control string and after_role can't overlap themselves or hold &, and after_role can't be empty")
+        if not self.escaped.startswith("&") or self.escaped.startswith("&amp;") or self.escaped == "&#10;" or self.control in self.escaped or self.after_role in self.escaped + "&amp;":
+            raise ValueError("escaped must begin with & and stand for the control string alone")
+
 
 def escape(text: Column, t: Template) -> Column:
     return F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit(t.control), F.lit(t.escaped))
@@ -39,11 +50,11 @@ def unescape(text: Column, t: Template) -> Column:
 
 
 def _escape_role(role: Column, t: Template) -> Column:
-    return F.replace(escape(role, t), F.lit("\n"), F.lit("&#10;"))
+    return F.replace(escape(role, t), F.lit(t.after_role), F.lit("&#10;"))
 
 
 def _unescape_role(role: Column, t: Template) -> Column:
-    return unescape(F.replace(role, F.lit("&#10;"), F.lit("\n")), t)
+    return unescape(F.replace(role, F.lit("&#10;"), F.lit(t.after_role)), t)
 
 
 def formatted(conversations: DataFrame, template: Template = Template()) -> DataFrame:
@@ -80,7 +91,8 @@ def formatted(conversations: DataFrame, template: Template = Template()) -> Data
 def read_back(text: Column, template: Template = Template()) -> Column:
     """The turns (role, text) that a formatted text holds."""
     t = template
-    parts = F.filter(F.split(text, F.lit(t.start.replace("|", "\\|"))), lambda p: p != "")
+    start = "\\Q" + t.start.replace("\\E", "\\E\\\\E\\Q") + "\\E"  # literally
+    parts = F.filter(F.split(text, F.lit(start)), lambda p: p != "")
 
     def turn(part: Column) -> Column:
         body = F.substring(part, F.lit(1), F.char_length(part) - len(t.end))
