@@ -37,13 +37,21 @@ SENTENCES = {
     "gpl3-work": "This work is licensed under the GNU General Public License, version 3",
     "gpl-free": "This program is free software",
     "gpl3-terms": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
-    "gpl2-terms": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version",
     "gpl2-either": "either version 2 of the License, or (at your option) any later version",
     "gpl-published": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
     "gpl-no-warranty": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY",
     "gpl-no-warranty-2": "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE",
     "gpl-see": "See the GNU General Public License for more details",
-    "lgpl21-terms": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version",
+    "gpl3-either": "either version 3 of the License, or (at your option) any later version",
+    "gpl2-only": "you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation",
+    "gpl2-only-terms": "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 2",
+    "lgpl-free": "This library is free software",
+    "lgpl-published": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+    "lgpl21-either": "either version 2.1 of the License, or (at your option) any later version",
+    "lgpl-no-warranty": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY",
+    "lgpl-see": "See the GNU Lesser General Public License for more details",
+    "agpl-published": "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+    "agpl-see": "See the GNU Affero General Public License for more details",
     "lgpl3-terms": "you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
     "agpl3-terms": "you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
     "epl2-terms": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
@@ -56,6 +64,7 @@ SENTENCES = {
     "cc-by-sa": "Licensed under CC BY-SA 4.0",
     "cc-by-work": "This work is licensed under a Creative Commons Attribution 4.0 International License",
     "cc0": "This work is dedicated to the public domain under CC0 1.0",
+    "0bsd-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
     "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
     "unlicense": "This is free and unencumbered software released into the public domain",
     "reserved": "All rights reserved",
@@ -66,6 +75,20 @@ SENTENCES = {
     "id-gpl3-only": "GPL-3.0-only",
     "id-bsd3": "BSD-3-Clause",
     "id-bsd2": "BSD-2-Clause",
+    "id-mpl2": "MPL-2.0",
+    "id-gpl2": "GPL-2.0-or-later",
+    "id-gpl2-only": "GPL-2.0-only",
+    "id-lgpl21": "LGPL-2.1-or-later",
+    "id-lgpl21-only": "LGPL-2.1-only",
+    "id-lgpl3": "LGPL-3.0-or-later",
+    "id-agpl3": "AGPL-3.0-or-later",
+    "id-isc": "ISC",
+    "id-0bsd": "0BSD",
+    "id-epl2": "EPL-2.0",
+    "id-bsl": "BSL-1.0",
+    "id-cc0": "CC0-1.0",
+    "id-unlicense": "Unlicense",
+    "id-zlib": "Zlib",
 }
 #: Fixed values: (license, its sequence of identifiers); longer sequences come before their parts.
 RULES = (
@@ -97,10 +120,36 @@ RULES = (
     ("GPL-3.0-only", ("spdx", "id-gpl3-only")),
     ("GPL-2.0-or-later", ("gpl-free", "gpl-published", "gpl2-either", "gpl-no-warranty", "gpl-no-warranty-2", "gpl-see")),
     ("GPL-2.0-or-later", ("gpl-free", "gpl-published", "gpl2-either")),
-    ("GPL-2.0-or-later", ("gpl-free", "gpl2-terms")),
-    ("LGPL-2.1-or-later", ("gpl-free", "lgpl21-terms")),
+    ("GPL-2.0-or-later", ("spdx", "id-gpl2")),
+    ("GPL-3.0-or-later", ("gpl-free", "gpl-published", "gpl3-either", "gpl-no-warranty", "gpl-no-warranty-2", "gpl-see")),
+    ("GPL-3.0-or-later", ("gpl-free", "gpl-published", "gpl3-either")),
+    ("GPL-2.0-only", ("gpl-free", "gpl2-only", "gpl-no-warranty", "gpl-no-warranty-2", "gpl-see")),
+    ("GPL-2.0-only", ("gpl-free", "gpl2-only")),
+    ("GPL-2.0-only", ("gpl-free", "gpl2-only-terms")),
+    ("GPL-2.0-only", ("spdx", "id-gpl2-only")),
+    ("LGPL-2.1-or-later", ("lgpl-free", "lgpl-published", "lgpl21-either", "lgpl-no-warranty", "gpl-no-warranty-2", "lgpl-see")),
+    ("LGPL-2.1-or-later", ("lgpl-free", "lgpl-published", "lgpl21-either")),
+    ("LGPL-2.1-or-later", ("gpl-free", "lgpl-published", "lgpl21-either")),
+    ("LGPL-2.1-or-later", ("spdx", "id-lgpl21")),
+    ("LGPL-2.1-only", ("spdx", "id-lgpl21-only")),
+    ("LGPL-3.0-or-later", ("lgpl-free", "lgpl-published", "gpl3-either")),
+    ("LGPL-3.0-or-later", ("gpl-free", "lgpl-published", "gpl3-either")),
+    ("LGPL-3.0-or-later", ("lgpl-free", "lgpl3-terms")),
     ("LGPL-3.0-or-later", ("gpl-free", "lgpl3-terms")),
+    ("LGPL-3.0-or-later", ("spdx", "id-lgpl3")),
+    ("AGPL-3.0-or-later", ("gpl-free", "agpl3-terms", "gpl-no-warranty", "gpl-no-warranty-2", "agpl-see")),
     ("AGPL-3.0-or-later", ("gpl-free", "agpl3-terms")),
+    ("AGPL-3.0-or-later", ("gpl-free", "agpl-published", "gpl3-either")),
+    ("AGPL-3.0-or-later", ("spdx", "id-agpl3")),
+    ("MPL-2.0", ("spdx", "id-mpl2")),
+    ("ISC", ("spdx", "id-isc")),
+    ("0BSD", ("spdx", "id-0bsd")),
+    ("0BSD", ("0bsd-grant",)),
+    ("EPL-2.0", ("spdx", "id-epl2")),
+    ("BSL-1.0", ("spdx", "id-bsl")),
+    ("CC0-1.0", ("spdx", "id-cc0")),
+    ("Unlicense", ("spdx", "id-unlicense")),
+    ("Zlib", ("spdx", "id-zlib")),
     ("EPL-2.0", ("epl2-terms",)),
     ("BSL-1.0", ("bsl-under",)),
     ("Zlib", ("zlib-as-is", "zlib-grant")),
@@ -113,7 +162,8 @@ RULES = (
     ("ISC", ("isc-grant",)),
     ("Unlicense", ("unlicense",)),
 )
-#: A sentence ends at . ; : ! or ? before white space; a line or a paragraph ends one as well.
+#: A sentence ends at . ; : ! or ? before white space; a line or a paragraph ends one as well. The point of "v. 2" ends none.
+_VERSION = r"(?<![a-z0-9])(v)\.[\x20\x09\n]+(?=[0-9])"
 _ENDS = r"([.;:!?])[\x20\x09-\x0D]+"
 
 
@@ -134,24 +184,54 @@ def _sentences(text: Column) -> Column:
     return F.transform(sentences, lambda s: F.filter(F.transform(F.split(s, _SOFT), lambda p: F.trim(p)), lambda p: p != ""))
 
 
+#: The sentence that license identifiers follow, and what stands between them ("or later" is part of one).
+_SPDX, _BETWEEN = normal_sentence(SENTENCES["spdx"]), r" (?:or(?! later\b)|and|with) "
+
+
 def _known(sentences: Column, known: dict[str, str]) -> Column:
-    """The identifiers of each sentence: of its lines if all are known, else of the whole if it is, else of the known lines."""
-    ids = F.create_map(*(F.lit(x) for i, s in known.items() for x in (normal_sentence(s), i)))
-    named = lambda s: F.when(s.isin([normal_sentence(x) for x in known.values()]), F.element_at(ids, s))  # noqa: E731  a hash set answers first
+    """The identifiers of each sentence: from the left, the longest run of its lines that is a known sentence, then on behind it.
+
+    A run has as many lines as the longest known sentence has words at most, and is tried only where a line begins like a known
+    sentence. After an SPDX tag, each identifier of an expression counts as tagged. sentences is a column, so that it is cut once.
+    """
+    by_text = {normal_sentence(s): i for i, s in known.items()}
+    ids = F.create_map(*(F.lit(x) for s, i in by_text.items() for x in (s, i)))
+    named = lambda s: F.when(s.isin([*by_text]), F.element_at(ids, s))  # noqa: E731  a hash set answers first
+    beginnings = {" ".join(s.split(" ")[:n]) for s in by_text for n in (1, 2)}
+    longest = max((len(s.split(" ")) for s in by_text), default=1)
+    tagged = any(normal_sentence(s) == _SPDX for s in known.values())
+
+    def run_from(parts: Column, line: Column, i: Column) -> Column:
+        """(lines, id) of the longest known run from a line, else null."""
+        tries = F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size(parts) - i)), lambda n: F.struct(n.alias("lines"), named(F.array_join(F.slice(parts, i + 1, n), " ")).alias("id")))
+        return F.when(F.substring_index(line, " ", 2).isin([*beginnings]), F.array_max(F.filter(tries, lambda t: t["id"].isNotNull())))
+
+    def step(acc: Column, run: Column) -> Column:
+        here = run.isNotNull() & (acc["i"] >= acc["free"])
+        return F.struct((acc["i"] + 1).alias("i"), F.when(here, acc["i"] + run["lines"]).otherwise(acc["free"]).alias("free"), F.when(here, F.concat(acc["ids"], F.array(run["id"]))).otherwise(acc["ids"]).alias("ids"))
+
+    def chosen(runs: Column) -> Column:
+        start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("free"), F.array().cast("array<string>").alias("ids"))
+        return F.when(F.exists(runs, lambda r: r.isNotNull()), F.aggregate(runs, start, step, lambda acc: acc["ids"])).otherwise(F.array().cast("array<string>"))
 
     def read(parts: Column) -> Column:
-        lines = F.filter(F.transform(parts, named), lambda i: i.isNotNull())
-        whole = named(F.array_join(parts, " "))
-        return F.when((F.size(parts) > 1) & whole.isNotNull() & (F.size(lines) < F.size(parts)), F.array(whole)).otherwise(lines)
+        several = chosen(F.transform(parts, lambda line, i: run_from(parts, line, i)))
+        return F.when(F.size(parts) > 1, several).otherwise(F.filter(F.transform(parts, named), lambda i: i.isNotNull()))
+
+    def expression(parts: Column, i: Column) -> Column:
+        """The first line after a tag: its identifiers one by one, a tag before each but the first."""
+        after = F.try_element_at(F.when(i > 0, F.get(sentences, i - 1)), F.lit(-1)) == _SPDX
+        first = F.split(F.regexp_replace(F.get(parts, F.lit(0)), _BETWEEN, _SOFT + _SPDX + _SOFT), _SOFT)
+        return F.when(F.coalesce(after, F.lit(False)), F.concat(first, F.slice(parts, 2, F.size(parts)))).otherwise(parts)
 
-    return F.flatten(F.transform(sentences, read))
+    return F.flatten(F.transform(sentences, (lambda parts, i: read(expression(parts, i))) if tagged else read))
 
 
 def licensed(documents: DataFrame, text: str = "text", sentences: dict[str, str] | None = None, rules: tuple = RULES) -> DataFrame:
     """documents with n_sentences, n_known, ids, licenses, n_left.
 
-    ids has the identifiers of the known sentences in their order, read as lines of the text and as sentences of its
-    paragraphs with line breaks undone (wrapped license texts); what both readings show enters once. Rules apply in their order; each takes every
+    ids has the identifiers of the known sentences in their order. A known sentence may be one line or wrapped over any lines of its
+    paragraph, whatever stands on the lines around it. Rules apply in their order; each takes every
     run of identifiers that equals its sequence; licenses has the names found, sorted and distinct; n_left counts the
     identifiers that no rule took. Null and empty texts have no sentences. Every row stays one row; columns with the
     names of the result are replaced.
@@ -159,7 +239,7 @@ def licensed(documents: DataFrame, text: str = "text", sentences: dict[str, str]
     known = SENTENCES if sentences is None else sentences
     lower = ascii_lower(F.coalesce(F.col(text), F.lit("")))
     cut = spare_name(documents, "sentences")
-    out = documents.withColumn(cut, _sentences(lower))
+    out = documents.withColumn(cut, _sentences(F.regexp_replace(lower, _VERSION, "$1 ")))
     out = out.withColumns({"n_sentences": F.aggregate(cut, F.lit(0).cast("long"), lambda n, s: n + F.size(s)), "ids": _known(F.col(cut), known)}).drop(cut)
     left = F.concat(F.lit(","), F.array_join("ids", ",,"), F.lit(","))
     for name, sequence in rules:
@@ -184,16 +264,25 @@ def oracle_sql() -> str:
     for name, sequence in RULES:
         left = f"replace({left}, {quoted(',' + ',,'.join(sequence) + ',')}, {quoted(f',<{name}>,')})"
     return rf"""
-with t as (select doc_id, translate(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(1), '-') as x from documents),
+with recursive t as (select doc_id, regexp_replace(translate(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), chr(1), '-'), '(^|[^a-z0-9])v\.[\x20\x09\n]+([0-9])', '\1v \2', 'g') as x from documents),
 known(sentence, id) as (values {known}),
 y as (select doc_id, regexp_replace(regexp_replace(x, '\n[\x20\x09-\x0D]*\n', '.' || chr(10), 'g'), '([^.;:!?])\n', '\1' || chr(1), 'g') as y from t),
 c as (select doc_id, string_split_regex(regexp_replace(regexp_replace(y, '([.;:!?])[\x20\x09-\x0D]+', '\1' || chr(10), 'g'), '[^a-z0-9\n\x01]+', ' ', 'g'), ' ?\n[ \n]*') as ss from y),
 s as (select doc_id, unnest(ss) as s, generate_subscripts(ss, 1) as n from c),
 w as (select doc_id, n, list_filter(list_transform(string_split(s, chr(1)), lambda z: trim(z)), lambda z: z <> '') as parts from s),
-p as (select doc_id, n, unnest(parts) as part, generate_subscripts(parts, 1) as m from w),
-kp as (select doc_id, n, count(*) as k, list(id order by m) as ids from p join known on part = sentence group by 1, 2),
-kw as (select doc_id, n, id from w join known on array_to_string(parts, ' ') = sentence),
-r as (select doc_id, n, len(parts) as k, case when kw.id is not null and coalesce(kp.k, 0) < len(parts) then [kw.id] else coalesce(kp.ids, []) end as ids from w left join kp using (doc_id, n) left join kw using (doc_id, n)),
+e as (select doc_id, n, len(parts) as k, case when coalesce(lag(parts[len(parts)]) over (partition by doc_id order by n), '') = '{_SPDX}' and len(parts) > 0
+    then list_concat(string_split(replace(regexp_replace(regexp_replace(parts[1], ' or later\b', ' or_later', 'g'), ' (?:or|and|with) ', chr(1) || '{_SPDX}' || chr(1), 'g'), ' or_later', ' or later'), chr(1)), parts[2:]) else parts end as parts from w),
+p as (select doc_id, n, unnest(parts) as line, generate_subscripts(parts, 1) as m, array_to_string(parts, ' ') as whole from e),
+-- each known sentence is looked for in the sentence without its line breaks, from where a line begins to where one ends
+o as (select *, 1 + coalesce(sum(length(line) + 1) over (partition by doc_id, n order by m rows between unbounded preceding and 1 preceding), 0) as place from p),
+h as (select o.doc_id, o.n, o.m, id, length(sentence) as z, o.place + length(sentence) as stop, length(whole) as whole_z from o join known on split_part(line, ' ', 1) = split_part(sentence, ' ', 1) and substr(whole, cast(place as integer), length(sentence)) = sentence),
+b as (select h.doc_id, h.n, h.m, arg_max(id, z) as id, arg_max(coalesce(q.m, 1000000000), z) as next_m from h left join o q on q.doc_id = h.doc_id and q.n = h.n and q.place = h.stop + 1 where h.stop = whole_z + 1 or q.m is not null group by 1, 2, 3),
+g as (
+  (select distinct on (doc_id, n) doc_id, n, m, id, next_m from b order by doc_id, n, m)
+  union all
+  select doc_id, n, m, id, next_m from (select b.*, row_number() over (partition by b.doc_id, b.n order by b.m) as first from g join b on b.doc_id = g.doc_id and b.n = g.n and b.m >= g.next_m) where first = 1),
+kn as (select doc_id, n, list(id order by m) as ids from g group by 1, 2),
+r as (select doc_id, n, k, coalesce(kn.ids, []) as ids from e left join kn using (doc_id, n)),
 a as (select doc_id, cast(sum(k) as bigint) as n_sentences, flatten(list(ids order by n)) as ids from r group by 1),
 f as (select doc_id, n_sentences, ids, list_filter(string_split({left}, ','), lambda z: z <> '') as x from a)
 select doc_id, n_sentences, cast(len(ids) as bigint) as n_known, array_to_string(ids, ' ') as ids,
