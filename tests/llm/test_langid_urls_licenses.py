@@ -69,14 +69,32 @@ def test_urls_by_index_and_by_join(spark):
     assert {r.verdict for r in urlfilter.judged(df, rules=(), listed_hosts=()).collect()} == {"allow"}
 
 
-def test_colliding_keys_are_told_apart(tmp_path, monkeypatch):
-    monkeypatch.setattr(urlfilter.xxhash, "xxh64_intdigest", lambda s: len(s))
-    path = tmp_path / "x.bin"
-    path.write_bytes(urlfilter.DigestArray.pack([("ab", True), ("cd", False), ("xyz", True)]))
-    index = urlfilter.DigestArray(str(path))
-    found = index.probe([b"cd", b"ab", b"ef", b"xyz", b"zzzz"])
-    assert (found >= 0).tolist() == [True, True, False, True, False]
-    assert [bool(index.blocks[i]) for i in found if i >= 0] == [False, True, True]
+def test_colliding_keys_are_told_apart(spark):
+    index = urlfilter.DigestArray([("ab", True), ("cd", False), ("xyz", True)], key=len)
+    probes = spark.createDataFrame([("cd",), ("ab",), ("ef",), ("xyz",), ("zzzz",), ("",)], "entry string")
+    at = index.place(F.col("entry"), F.char_length("entry").cast("long"))
+    found = probes.select((at >= 0).alias("there"), F.get(index.blocks, at).alias("blocks")).collect()
+    assert [r.there for r in found] == [True, True, False, True, False, False]
+    assert [r.blocks for r in found if r.there] == [False, True, True]
+
+
+def test_binary_search_over_many_rules(spark):
+    rules = [(f"h{i}.example/p{i % 3}", "block" if i % 2 else "allow") for i in range(777)]
+    df = spark.createDataFrame([(f"http://a.h{i}.example/p{i % 3}/x", i) for i in range(0, 900, 7)], "url string, i long")
+    for most in (urlfilter.MOST_INDEX_BYTES, 0):
+        got = urlfilter.judged(df, rules=rules, listed_hosts=(), most_index_bytes=most).collect()
+        assert all((r.rule, r.verdict) == ((f"h{r.i}.example/p{r.i % 3}", "block" if r.i % 2 else "allow") if r.i < 777 else (None, "allow")) for r in got)
+    assert [urlfilter.digest(s) for s in ("", "org/", "é" * 40)] == list(spark.range(1).select(*(F.xxhash64(F.lit(s)) for s in ("", "org/", "é" * 40))).first())
+
+
+def test_long_hosts_and_clashing_columns(spark):
+    host = ".".join("ab" for _ in range(300_000)) + ".example.org"
+    df = spark.createDataFrame([(1, f"http://{host}/es/x", 1, 2, 3), (2, f"http://{host}", 4, 5, 6)], "page_id long, url string, _m int, met int, probes int")
+    for most in (urlfilter.MOST_INDEX_BYTES, 0):
+        got = urlfilter.judged(df, most_index_bytes=most).orderBy("page_id")
+        assert [(r.rule, r.verdict, r._m, r.met, r.probes) for r in got.collect()] == [("example.org/es/", "block", 1, 2, 3), (None, "allow", 4, 5, 6)]
+    plan = urlfilter.judged(df)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
 
 
 def test_licenses(spark):

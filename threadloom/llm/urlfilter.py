@@ -1,23 +1,17 @@
-"""URL filtering with a sorted digest array.
+"""URL filtering with a sorted digest array, in DataFrame functions only.
 
-Rules (host, path prefix) and listed hosts are kept as a sorted array of 64-bit xxhash keys with the full strings behind
-it. The file reaches every executor through SparkContext.addFile; tasks map it into memory, probe it with a vectorised
-binary search, and compare the stored string, so a collision of keys can't give a verdict.
+Rules (host, path prefix) and listed hosts are kept as a sorted array of 64-bit xxhash keys with the full strings beside them. The
+arrays are constants of the plan, as every task needs them whole. A url is probed with the last labels of its host, and only with as many
+labels and path characters as some rule has, so a probe costs a bounded number of binary searches however long the host is. The
+stored string is compared as well, so a collision of keys can't give a verdict. Larger sets are joined.
 """
 
 from __future__ import annotations
 
-import hashlib
-import os
-import tempfile
 from collections.abc import Iterable
-from functools import lru_cache
 
-import numpy as np
-import pandas as pd
 import xxhash
-from pyspark import SparkFiles
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.llm.common import ascii_lower, spare_name
@@ -26,45 +20,43 @@ from threadloom.llm.common import ascii_lower, spare_name
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 #: Hosts that are blocked, with all subdomains, where no rule fits.
 LISTED_HOSTS = ("spam-farm.example.com", "spam-farm.example.net", "spam-farm.example.org")
-#: Larger rule sets are joined instead of mapped.
-MOST_INDEX_BYTES = 256 << 20
+#: Larger rule sets are joined instead of searched: a plan's constants go to every task.
+MOST_INDEX_BYTES = 4 << 20
+#: Spark's seed of xxhash64.
+_SEED = 42
+
+
+def digest(entry: str) -> int:
+    """What Spark's xxhash64 gives for a string."""
+    h = xxhash.xxh64_intdigest(entry.encode(), _SEED)
+    return h - (1 << 64) if h >> 63 else h
 
 
 class DigestArray:
-    """count, then keys (uint64, sorted), ends of the strings (uint64), verdicts (uint8: 1 blocks), then the strings."""
-
-    def __init__(self, path: str):
-        raw = np.memmap(path, np.uint8, "r")
-        n = int(raw[:8].view(np.uint64)[0])
-        self.keys = raw[8 : 8 + 8 * n].view(np.uint64)
-        self.ends = raw[8 + 8 * n : 8 + 16 * n].view(np.uint64)
-        self.blocks = raw[8 + 16 * n : 8 + 17 * n]
-        self.strings = raw[8 + 17 * n :]
-
-    @staticmethod
-    def pack(entries: Iterable[tuple[str, bool]]) -> bytes:
-        found = sorted((xxhash.xxh64_intdigest(s.encode()), s.encode(), b) for s, b in dict(entries).items())
-        ends = np.cumsum([len(s) for _, s, _ in found], dtype=np.uint64) if found else np.empty(0, np.uint64)
-        head = np.array([len(found)], np.uint64).tobytes() + np.array([k for k, _, _ in found], np.uint64).tobytes()
-        return head + ends.tobytes() + bytes(b for _, _, b in found) + b"".join(s for _, s, _ in found)
-
-    def probe(self, strings: list[bytes]) -> np.ndarray:
-        """The entry of each string, -1 where there is none."""
-        wanted = np.fromiter((xxhash.xxh64_intdigest(s) for s in strings), np.uint64, len(strings))
-        at, found = np.searchsorted(self.keys, wanted), np.full(len(strings), -1, np.int64)
-        for i in np.flatnonzero((at < len(self.keys)) & (self.keys[np.minimum(at, max(len(self.keys) - 1, 0))] == wanted) if len(self.keys) else np.zeros(len(strings), bool)):
-            j = int(at[i])
-            while j < len(self.keys) and self.keys[j] == wanted[i]:  # equal keys of different strings
-                if self.strings[int(self.ends[j - 1]) if j else 0 : int(self.ends[j])].tobytes() == strings[i]:
-                    found[i] = j
-                    break
-                j += 1
-        return found
-
-
-@lru_cache(maxsize=8)
-def _mapped(name: str) -> DigestArray:
-    return DigestArray(SparkFiles.get(name))
+    """Keys in ascending order, and the string and verdict (blocks or not) behind each."""
+
+    def __init__(self, entries: Iterable[tuple[str, bool]], key=digest):
+        found = sorted((key(s), s, b) for s, b in dict(entries).items())
+        self.size, runs, last = len(found), 0, None
+        self.longest_run = 1  # of equal keys
+        for k, _, _ in found:
+            runs = runs + 1 if k == last else 1
+            last, self.longest_run = k, max(self.longest_run, runs)
+        # text that the optimizer turns into one constant array each
+        self.keys = F.split(F.lit(" ".join(str(k) for k, _, _ in found)), " ").cast("array<bigint>")
+        self.strings = F.split(F.lit("\0".join(s for _, s, _ in found)), "\0")
+        self.blocks = F.split(F.lit(" ".join(str(b).lower() for _, _, b in found)), " ").cast("array<boolean>")
+        self.bytes = sum(len(s.encode()) + 17 for _, s, _ in found)
+
+    def place(self, entry: Column, key: Column | None = None) -> Column:
+        """Where an entry stands in the array, -1 where it doesn't: a binary search among the keys, then the strings."""
+        if not self.size:
+            return F.lit(-1)
+        key = F.xxhash64(entry) if key is None else key
+        steps = F.array(*(F.lit(1 << i) for i in range(self.size.bit_length() - 1, -1, -1)))
+        below = F.aggregate(steps, F.lit(-1), lambda low, step: F.when((low + step < self.size) & (F.get(self.keys, low + step) < key), low + step).otherwise(low))
+        run = F.transform(F.array(below), lambda low: F.filter(F.sequence(low + 1, F.least(low + self.longest_run, F.lit(self.size - 1))) if self.longest_run > 1 else F.array(low + 1), lambda i: (F.get(self.keys, i) == key) & (F.get(self.strings, i) == entry)))
+        return F.coalesce(F.get(F.get(run, F.lit(0)), F.lit(0)), F.lit(-1))
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -73,25 +65,30 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return ascii_lower(F.coalesce(F.regexp_extract(url, form, 1), F.lit(""))), F.coalesce(F.regexp_extract(url, form, 2), F.lit(""))
 
 
-def suffixes(host: str) -> list[str]:
-    """The host and each parent domain, longest first."""
-    labels = host.split(".")
-    return [".".join(labels[i:]) for i in range(len(labels))]
+def _labels(host: str) -> int:
+    return host.count(".") + 1
+
+
+def _shapes(rules: Iterable[tuple[str, str]], listed_hosts: Iterable[str]) -> list[tuple[int, int]]:
+    """(labels of the host, characters of the path) that entries have; listed hosts have no path."""
+    return sorted({(_labels(r[: r.index("/")]), len(r) - r.index("/")) for r, _ in rules} | {(_labels(h), 0) for h in listed_hosts})
+
+
+def _probes(host: Column, path: Column, shapes: list[tuple[int, int]]) -> Column:
+    """Array of (path_chars, host_chars, entry) for each shape that the url is long enough for."""
 
+    def probe(labels: int, chars: int) -> Column:
+        own = F.substring_index(host, ".", -labels)
+        entry = F.concat(own, F.substring(path, 1, chars)) if chars else own
+        there = (F.char_length(path) >= chars) if chars else (host != "")
+        return F.when(there, F.struct(F.lit(chars).alias("path_chars"), F.char_length(own).alias("host_chars"), entry.alias("entry")))
 
-def _path_lengths(rules: Iterable[tuple[str, str]]) -> list[int]:
-    return sorted({len(r) - r.index("/") for r, _ in rules}, reverse=True)
+    return F.filter(F.array(*(probe(*s) for s in shapes)), lambda p: p.isNotNull())
 
 
-def _ship(spark: SparkSession, packed: bytes) -> str:
-    """Add the index to the session's files; its name holds its digest."""
-    name = f"digests-{hashlib.sha256(packed).hexdigest()[:24]}.bin"
-    path = os.path.join(tempfile.mkdtemp(prefix="threadloom-"), name)  # on the driver only, which serves it to the executors
-    with open(path, "wb") as out:
-        out.write(packed)
-    if not any(x.endswith(name) for x in spark.sparkContext.listFiles):
-        spark.sparkContext.addFile(path)
-    return name
+def _better(path_chars: Column, host_chars: Column) -> Column:
+    """Of two entries that fit, the greater one wins: rules before listed hosts, then the longer, then the one with the longer host."""
+    return F.struct((path_chars > 0).alias("rule"), F.when(path_chars > 0, path_chars + host_chars).otherwise(0).alias("chars"), host_chars.alias("host_chars"))
 
 
 def judged(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, listed_hosts: Iterable[str] = LISTED_HOSTS, url: str = "url", most_index_bytes: int = MOST_INDEX_BYTES) -> DataFrame:
@@ -103,46 +100,32 @@ def judged(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, listed_ho
     only the listed hosts could block: they are allowed. Repeated rows give repeated rows; input columns with the names
     of the result are replaced.
     """
-    rules, listed_hosts, spark = tuple(rules), tuple(listed_hosts), pages.sparkSession
+    rules, listed_hosts = tuple(rules), tuple(listed_hosts)
     host, path = split_url(F.col(url))
     parsed = pages.withColumns({"host": host, "path": path})
-    packed = DigestArray.pack([(r, v == "block") for r, v in rules] + [(h, True) for h in listed_hosts])
-    if len(packed) > most_index_bytes:
-        return _joined(parsed, rules, listed_hosts)
-    name, lengths = _ship(spark, packed), _path_lengths(rules)
-
-    @F.pandas_udf("rule string, verdict string")
-    def judge(hosts: pd.Series, paths: pd.Series) -> pd.DataFrame:
-        index, probes, owner = _mapped(name), [], []
-        for i, (h, p) in enumerate(zip(hosts, paths, strict=True)):
-            own = sorted(((s, s + p[:n]) for s in suffixes(h) for n in lengths if len(p) >= n), key=lambda x: (-len(x[1]), -len(x[0])))
-            own = [x for _, x in own] + (suffixes(h) if h else [])
-            probes += [x.encode() for x in own]
-            owner += [i] * len(own)
-        found, out_rule, out_verdict = index.probe(probes), [None] * len(hosts), ["allow"] * len(hosts)
-        done = set()
-        for j in np.flatnonzero(found >= 0):
-            i, s = owner[j], probes[j].decode()
-            if i not in done:  # probes go from the longest rule to the listed hosts
-                done.add(i)
-                out_rule[i], out_verdict[i] = (s if "/" in s else None), ("block" if index.blocks[found[j]] else "allow")
-        return pd.DataFrame({"rule": out_rule, "verdict": out_verdict})
-
-    j = spare_name(parsed)
-    return parsed.withColumn(j, judge("host", "path")).withColumns({"rule": F.col(f"{j}.rule"), "verdict": F.col(f"{j}.verdict")}).drop(j)
-
-
-def _joined(parsed: DataFrame, rules: tuple, listed_hosts: tuple) -> DataFrame:
-    """The same for rule sets of any size: an equi-join on every (parent domain, path prefix) of a distinct host and path."""
+    shapes = _shapes(rules, listed_hosts)
+    if not shapes:
+        return parsed.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit("allow")})
+    index = DigestArray([(h, True) for h in listed_hosts] + [(r, v == "block") for r, v in rules])
+    if index.bytes > most_index_bytes:
+        return _joined(parsed, rules, listed_hosts, shapes)
+    p, m = spare_name(parsed, "probes"), spare_name(parsed, "met")
+    probed = parsed.withColumn(p, _probes(F.col("host"), F.col("path"), shapes))
+    placed = F.transform(p, lambda x: F.struct(_better(x["path_chars"], x["host_chars"]).alias("better"), x["path_chars"].alias("path_chars"), x["entry"].alias("entry"), index.place(x["entry"]).alias("at")))
+    best = probed.withColumn(m, F.array_max(F.filter(placed, lambda x: x["at"] >= 0)))
+    said = F.when(F.get(index.blocks, F.col(f"{m}.at")), "block").otherwise("allow")
+    return best.withColumns({"rule": F.when(F.col(f"{m}.path_chars") > 0, F.col(f"{m}.entry")), "verdict": F.when(F.col(m).isNull(), "allow").otherwise(said)}).drop(p, m)
+
+
+def _joined(parsed: DataFrame, rules: tuple, listed_hosts: tuple, shapes: list[tuple[int, int]]) -> DataFrame:
+    """The same for rule sets of any size: an equi-join on the probes of each distinct host and path."""
     spark = parsed.sparkSession
-    table = spark.createDataFrame([(r, r.index("/"), v) for r, v in rules] + [(h, -1, "block") for h in listed_hosts], "entry string, host_chars int, said string")
-    distinct = parsed.select("host", "path").distinct()
-    labels = F.split("host", r"\.")
-    distinct = distinct.withColumn("s", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))))
-    entries = F.array(*(F.when(F.char_length("path") >= n, F.concat("s", F.substring("path", 1, n))) for n in _path_lengths(rules)), F.when(F.col("host") != "", F.col("s")))
-    met = distinct.withColumn("entry", F.explode(entries)).join(table, "entry").groupBy("host", "path").agg(F.max_by(F.struct("entry", "host_chars", "said"), F.struct(F.col("host_chars") >= 0, F.when(F.col("host_chars") >= 0, F.char_length("entry")).otherwise(0), "host_chars")).alias("_m"))
+    table = spark.createDataFrame([(r, v) for r, v in rules] + [(h, "block") for h in listed_hosts], "entry string, said string")
+    probes = parsed.select("host", "path").distinct().select("host", "path", F.explode(_probes(F.col("host"), F.col("path"), shapes)).alias("probe")).select("host", "path", "probe.*")
+    m = spare_name(parsed, "met")
+    met = probes.join(table, "entry").groupBy("host", "path").agg(F.max_by(F.struct("entry", "path_chars", "said"), _better(F.col("path_chars"), F.col("host_chars"))).alias(m))
     out = parsed.drop("rule", "verdict").join(met, ["host", "path"], "left")
-    return out.withColumns({"rule": F.when(F.col("_m.host_chars") >= 0, F.col("_m.entry")), "verdict": F.coalesce("_m.said", F.lit("allow"))}).drop("_m")
+    return out.withColumns({"rule": F.when(F.col(f"{m}.path_chars") > 0, F.col(f"{m}.entry")), "verdict": F.coalesce(f"{m}.said", F.lit("allow"))}).drop(m)
 
 
 ORACLE_SQL = r"""
