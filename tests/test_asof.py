@@ -23,7 +23,7 @@ def payload(kind, ident, number, body):
 
 
 @pytest.fixture(scope="module")
-def engine(spark):
+def engine(spark, tmp_path_factory):
     early, late = "2021-01-01T00:00:00Z", "2021-09-01T00:00:00Z"
 
     def head(number, created, **more):
@@ -39,7 +39,7 @@ def engine(spark):
         payload("issue_comment", 12, 1, {"id": 12, "body": "later reply with tests/test_late.py", "user": user("cat"), "author_association": "NONE", "created_at": late, "issue_url": "x/issues/1"}),
     ]
     raw = spark.createDataFrame(rows, RAW)
-    made = Engine.over(spark, raw, spark.createDataFrame([], "repo string, login string, permission string"))
+    made = Engine.over(spark, raw, spark.createDataFrame([], "repo string, login string, permission string")).saved(str(tmp_path_factory.mktemp("engine")))
     was = made.corpus.documents.where("source_id = 11").withColumns({"body_markdown": F.lit("KeyError: first words `early_symbol()`"), "body_text": F.lit("KeyError: first words early_symbol"), "superseded_at": F.lit(datetime(2021, 8, 1, tzinfo=UTC))})
     gone = was.withColumns({"source_id": F.lit(13).cast("long"), "body_markdown": F.lit("deleted remark on src/gone.py"), "body_text": F.lit("deleted remark on src/gone.py"), "doc_key": F.lit("o/r:1:issue_comment:13:0")})
     from dataclasses import replace

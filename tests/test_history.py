@@ -254,14 +254,13 @@ def test_ends_and_middle_prefers_reviews(spark):
     assert sum(i % 7 == 0 for i in got[2:-2]) == 6
 
 
-def test_reconcile_writes_nothing_when_nothing_changed(spark, tmp_path):
+def test_reconcile_writes_nothing_when_nothing_changed(spark):
     rows = spark.createDataFrame([(1, "a", "h1"), (2, "b", "h2")], "id long, body_text string, content_hash string")
-    s, h = store.Snapshots(spark, f"{tmp_path}/s"), store.Snapshots(spark, f"{tmp_path}/h")
-    s.reconcile(rows, ["id"], ["content_hash"], h)
-    assert s.reconcile(rows, ["id"], ["content_hash"], h) == {"unchanged": 2} and s.version() == 1
+    actions = lambda new: {r.action: r["count"] for r in store.change_set(rows, new, ["id"], ["content_hash"]).groupBy("action").count().collect()}
+    assert actions(rows) == {"unchanged": 2}
     edited = spark.createDataFrame([(1, "a2", "h9"), (3, "c", "h3")], rows.schema)
-    assert s.reconcile(edited, ["id"], ["content_hash"], h) == {"update": 1, "insert": 1, "delete": 1}
-    assert {(r.id, r.reason) for r in h.read().collect()} == {(1, "edited"), (2, "deleted")}
+    assert actions(edited) == {"update": 1, "insert": 1, "delete": 1}
+    assert {(r.id, r.reason) for r in store.superseded(rows, edited, ["id"], "content_hash").collect()} == {(1, "edited"), (2, "deleted")}
 
 
 def test_marks_stop_at_the_first_failure(spark):

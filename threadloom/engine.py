@@ -85,7 +85,7 @@ class Engine:
         else:
             at = F.lit(pin.before)
             heads = asof.threads_at(kept(c.threads), pin.before)
-            stood = asof.versions(c.documents, whole.history).where(asof.stood_at(at) & (F.col("created_at") < at)).drop("valid_from", "valid_to")
+            stood = asof.versions(c.documents.drop("doc_bucket"), whole.history).where(asof.stood_at(at) & (F.col("created_at") < at)).drop("valid_from", "valid_to")
             docs = stood.join(heads.select(*key), key, "left_semi")
             signals = asof.signals_at(asof.rejoined_texts(docs), heads, c.files, pin.before)
             relations = {"threads": heads, "documents": docs, "labels": c.labels.where(F.lit(False)) if c.labels is not None else None, **signals}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -45,25 +45,29 @@ def staged(raw: DataFrame, fetched: DataFrame, whole: Sequence[str] = LISTS) ->
     A thread's lists count as read in full when the batch has the thread itself.
     """
     fetched = placed(fetched).withColumn("payload", store.without_nul(F.col("payload")))
-    every = placed(raw).unionByName(fetched)
-    last = store.latest(every, OBJECT, F.struct(F.col("updated_at"), F.col("fetched_at")))
+    stored, touched = placed(raw), fetched.select(*THREAD).where("number is not null").distinct()
+    objects = fetched.select(*OBJECT).distinct()  # a payload that moved to another thread is replaced as well
+    others = stored.join(touched, THREAD, "left_anti").join(objects, OBJECT, "left_anti")
+    again = stored.join(touched, THREAD, "left_semi").unionByName(stored.join(touched, THREAD, "left_anti").join(objects, OBJECT, "left_semi"))
+    last = store.latest(again.unionByName(fetched), OBJECT, F.struct(F.col("updated_at"), F.col("fetched_at")))
     read = fetched.where(F.col("object_type").isin("issue", "pr")).select(*THREAD).distinct()
     gone = store.pruned(last.join(read, THREAD, "left_semi"), fetched, OBJECT, LISTS, [t for t in LISTS if t not in whole])
-    return last.join(gone.select(*OBJECT), OBJECT, "left_anti")
+    return others.unionByName(last.join(gone.select(*OBJECT), OBJECT, "left_anti"))
 
 
-def indexed(raw: DataFrame, fetched: DataFrame, documents: DataFrame, authority: DataFrame, marks: DataFrame, results: DataFrame | None = None, whole: Sequence[str] = LISTS) -> Indexed:
+def indexed(raw: DataFrame, fetched: DataFrame, documents: DataFrame, authority: DataFrame, marks: DataFrame, results: DataFrame | None = None, whole: Sequence[str] = LISTS, stage: Callable[[DataFrame, str], DataFrame] = lambda rows, name: rows) -> Indexed:
     """Index a batch on top of what is staged (raw), derived (documents) and marked (marks: repo, high_water).
 
     Only threads that the batch touches are derived again; their documents replace the stored ones, edited and deleted
     text goes into the history, and indexing a batch twice changes nothing. results (repo, ts, ok) say how the fetches
-    went; the mark of a repository stops before its first failure and never goes back.
+    went; the mark of a repository stops before its first failure and never goes back. stage may write what several results are computed
+    from, and read it back.
     """
-    after = staged(raw, fetched, whole)
+    after = stage(staged(raw, fetched, whole), "raw")
     touched = placed(fetched).select(*THREAD).where("number is not null").distinct()
     mine = after.join(touched, THREAD, "left_semi").drop("number")
-    texts = derive.sources(mine)
-    wanted = derive.documents(texts, authority)
+    texts = stage(derive.sources(mine), "texts")
+    wanted = stage(derive.documents(texts, authority), "wanted")
     stored = documents.join(touched, THREAD, "left_semi")
     changes = store.change_set(stored, wanted, DOCUMENT, ["content_hash", "trust"])
     if results is None:

@@ -1,4 +1,4 @@
-"""Change-sets and versioned snapshots: what an upsert, a prune or a reconcile writes."""
+"""Change-sets: what an upsert, a prune or a reconcile writes."""
 
 from __future__ import annotations
 
@@ -74,47 +74,3 @@ def sample_floor(floors: DataFrame, new: DataFrame, key: Sequence[str]) -> DataF
     """A sample only widens: the earlier floor stands."""
     other = new.select(*key, F.col("indexed_from").alias("_new"))
     return floors.join(other, list(key), "full_outer").withColumn("indexed_from", F.least("indexed_from", "_new")).drop("_new")
-
-
-class Snapshots:
-    """A relation as numbered Parquet snapshots and a pointer table. A reader sees the old snapshot or the new one.
-
-    The pointer is a one-row table per commit, written last; the highest one counts, so a commit that dies leaves nothing
-    that a reader would see.
-    """
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def version(self) -> int:
-        try:
-            top = self.spark.read.parquet(f"{self.path}/_pointer").agg(F.max("version")).first()[0]
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-                return 0
-            raise
-        return top or 0
-
-    def read(self, version: int | None = None) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/v={version or self.version()}")
-
-    def commit(self, rows: DataFrame, partition_by: Sequence[str] = ()) -> int:
-        new = self.version() + 1
-        writer = rows.write.mode("overwrite")
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.path}/v={new}")
-        self.spark.createDataFrame([(new,)], "version int").coalesce(1).write.mode("append").parquet(f"{self.path}/_pointer")
-        return new
-
-    def reconcile(self, wanted: DataFrame, key: Sequence[str], same: Sequence[str], history: Snapshots | None = None, text_hash: str = "content_hash") -> dict[str, int]:
-        """Make the snapshot equal `wanted`; nothing is written when nothing changed."""
-        if not self.version():
-            self.commit(wanted)
-            return {"insert": wanted.count()}
-        stored = self.read()
-        counts = {r["action"]: r["count"] for r in change_set(stored, wanted, key, same).groupBy("action").count().collect()}
-        if set(counts) - {"unchanged"}:
-            if history is not None:
-                gone = superseded(stored, wanted, key, text_hash)
-                history.commit(history.read().unionByName(gone) if history.version() else gone)
-            self.commit(wanted)
-        return counts
