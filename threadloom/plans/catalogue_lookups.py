@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.functions.text import error_norm
-from threadloom.operators import asof, lookups
+from threadloom.operators import asof, datasets, lookups
 from threadloom.plans.registry import query
 from threadloom.plans.views import in_repo, table, view
+from threadloom.sources.store import shared_folder
 
 
 def _raw(spark: SparkSession, d: str) -> DataFrame:
@@ -247,3 +249,59 @@ def interval_seconds(spark: SparkSession, d: str) -> DataFrame:
     k, s = F.col("n_nationkey") % 5, F.col("n_nationkey").cast("string")
     value = F.when(k == 0, F.concat(s, F.lit("s"))).when(k == 1, F.concat(F.lit(" "), s, F.lit("m"))).when(k == 2, F.concat(s, F.lit("h"))).when(k == 3, F.concat(s, F.lit(".5"))).otherwise(F.concat(s, F.lit("x")))
     return table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), lookups.interval_seconds(value).alias("seconds"))
+
+
+# -- evaluation sets: examples and labels made of the test tables -------------------------------------------------------------
+
+
+def _examples(spark: SparkSession, d: str) -> DataFrame:
+    o, none = F.col("o_orderkey"), F.array().cast("array<string>")
+    relevant = F.array(F.struct(F.lit("org/r").alias("repo"), o.cast("long").alias("number"), F.lit("").alias("why")))
+    return table(spark, d, "orders").select(
+        F.concat(F.lit("x"), (F.col("o_custkey") * 7 + o % 3).cast("string")).alias("id"), F.when(o % 11 == 0, "other").otherwise("failure").alias("kind"), F.when(o % 5 == 0, " ").otherwise(F.col("o_orderpriority")).alias("query"),
+        F.when(o % 2 == 0, F.array(F.col("o_orderpriority"))).otherwise(none).alias("files"), none.alias("symbols"), none.alias("errors"), none.alias("tests"),
+        F.when(o % 7 != 0, relevant).alias("relevant"), F.when(o % 3 == 0, "human").when(o % 13 == 0, "nobody").alias("judged_by"), F.lit("").alias("note"),
+    )
+
+
+@query(
+    """with e as (select 'x' || cast(o_custkey * 7 + o_orderkey % 3 as varchar) as id, o_orderkey as o from orders),
+f as (select id, 'unknown slice' as fault from e where o % 11 = 0
+  union all select id, 'unknown judge' from e where o % 3 <> 0 and o % 13 = 0
+  union all select id, 'judged without a relevant thread' from e where (o % 3 = 0 or o % 13 = 0) and o % 7 = 0
+  union all select id, 'asks nothing' from e where o % 5 = 0 and o % 2 <> 0
+  union all select id, 'duplicate id' from e group by 1 having count(*) > 1)
+select id, fault, count(*) as n from f group by all"""
+)
+def dataset_faults(spark: SparkSession, d: str) -> DataFrame:
+    return datasets.faults(_examples(spark, d)).groupBy("id", "fault").agg(F.count("*").alias("n"))
+
+
+@query(
+    """with e as (select distinct 'x' || cast(o_custkey * 7 + o_orderkey % 3 as varchar) as id from orders where o_orderkey % 4 = 0), n as (select distinct 'x' || cast(o_custkey * 7 + o_orderkey % 3 as varchar) as id from orders)
+select id, count(*) as n from (select * from e union all select * from n where id not in (select id from e)) group by 1"""
+)
+def dataset_added(spark: SparkSession, d: str) -> DataFrame:
+    """Ids of a set after examples were added of which it had some."""
+    every = _examples(spark, d)
+    known = every.join(_fourth(spark, d), "id", "left_semi").dropDuplicates(["id"])
+    return datasets.added(known, every).groupBy("id").agg(F.count("*").alias("n"))
+
+
+def _fourth(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").where("o_orderkey % 4 = 0").select(F.concat(F.lit("x"), (F.col("o_custkey") * 7 + F.col("o_orderkey") % 3).cast("string")).alias("id"))
+
+
+@query(
+    """with r as (select event_id, user_id % 4 <> 0 as may, case event_type when 'click' then 'relevant' when 'view' then 'decisive' when 'error' then 'wrong' else 'not_relevant' end as verdict, user_id % 3 as f from events)
+select verdict, count(*) as n, cast(sum(f) as bigint) as filters from r where may and verdict <> 'wrong' group by 1"""
+)
+def labels_appended(spark: SparkSession, d: str) -> DataFrame:
+    """What is stored of a batch of label requests: those of tokens that may label, with a known verdict, without empty filters."""
+    e, path = table(spark, d, "events"), f"{shared_folder(spark)}/labels/{uuid.uuid4().hex}"
+    verdict = F.when(F.col("event_type") == "click", "relevant").when(F.col("event_type") == "view", "decisive").when(F.col("event_type") == "error", "wrong").otherwise("not_relevant")
+    files = F.when(F.col("user_id") % 3 > 0, F.array_repeat(F.lit("a.py"), (F.col("user_id") % 3).cast("int"))).otherwise(F.array().cast("array<string>"))
+    asked = e.select(F.when(F.col("user_id") % 4 == 0, F.array(F.lit("read"))).otherwise(F.array(F.lit("read"), F.lit("label"))).alias("scopes"), verdict.alias("verdict"), F.create_map(F.lit("files"), files, F.lit("tests"), F.array().cast("array<string>")).alias("filters"))
+    datasets.append_labels(asked, path)
+    stored = spark.read.schema("verdict string, filters map<string,array<string>>").json(path)
+    return stored.groupBy("verdict").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.size(F.try_element_at("filters", F.lit("files"))), F.lit(0))).alias("filters"))
