@@ -37,9 +37,9 @@ IMAGE = r"!\[([^\]]*)\]\([^)]*\)"
 LINK_WITH_TEXT = r"\[([^\]]+)\]\(([^)]*)\)"
 LINK_WITHOUT_TEXT = r"\[\]\(([^)]*)\)"
 SOURCE_EXTENSIONS = (
-    "py pyi pyx c h cc cpp cxx cu cuh js jsx ts tsx go rs java kt kts rb php swift m mm scala sh bash zsh sql yaml yml toml cfg ini json md rst txt lock mk make cmake dockerfile gradle proto "
-    "graphql css scss html xml csv tsv ipynb"
-).split()
+    "py", "pyi", "pyx", "c", "h", "cc", "cpp", "cxx", "cu", "cuh", "js", "jsx", "ts", "tsx", "go", "rs", "java", "kt", "kts", "rb", "php", "swift", "m", "mm", "scala", "sh", "bash", "zsh", "sql",
+    "yaml", "yml", "toml", "cfg", "ini", "json", "md", "rst", "txt", "lock", "mk", "make", "cmake", "dockerfile", "gradle", "proto", "graphql", "css", "scss", "html", "xml", "csv", "tsv", "ipynb",
+)
 SYMBOL_STOPWORDS = ("true", "false", "none", "null", "nan", "self", "cls", "todo", "fixme", "n/a")
 CUES = (
     (r"\bon purpose\b", 4),

@@ -48,15 +48,17 @@ def author_records(threads: DataFrame) -> DataFrame:
 
 
 def claims(links: DataFrame, threads: DataFrame, targets: DataFrame | None = None, most: int | None = MAX_CLAIMS) -> DataFrame:
-    """Work in flight: who claims to close a number; open ones first, then the latest, with the total before the cap.
+    """Work in flight: who claims to close a number; open ones first, then those touched last, with the total before the cap.
 
-    Links and threads meet on repo and number; targets have target_number, and repo if they are of several repositories.
+    Links and threads meet on repo and number; targets have target_number, and repo if they are of several repositories. Threads without an
+    updated_at column go by their creation.
     """
     rows = links.join(threads, ["repo", "number"])
     if targets is not None:
         rows = rows.join(targets, [c for c in ("repo", "target_number") if c in targets.columns], "left_semi")
     by = Window.partitionBy("repo", "target_number")
-    order = by.orderBy(F.when(F.col("state") == "open", 0).otherwise(1), F.col("created_at").desc_nulls_last(), F.col("number"))
+    touched = "updated_at" if "updated_at" in rows.columns else "created_at"
+    order = by.orderBy(F.when(F.col("state") == "open", 0).otherwise(1), F.col(touched).desc_nulls_last(), F.col("number"))
     rows = rows.withColumns({"position": F.row_number().over(order), "total": F.count("*").over(by)})
     return rows if most is None else rows.where(F.col("position") <= most)
 
