@@ -13,7 +13,7 @@ from threadloom.plans.registry import query
 from threadloom.plans.views import table, view
 from threadloom.schemas import RAW
 from threadloom.sources import store
-from threadloom.streaming import ingest
+from threadloom.streaming import ingest, limits
 
 _KEY = "number, chunk_index, source_id, l_suppkey, l_extendedprice, created_at"
 _KEYS = _KEY.split(", ")
@@ -120,10 +120,7 @@ def quota_daily(spark: SparkSession, d: str) -> DataFrame:
 @query("select event_type, user_id, count(*) as events, round(sum(value), 2) as total from events group by 1, 2")
 def stream_dedup_watermark(spark: SparkSession, d: str) -> DataFrame:
     """A file stream, deduplicated within a watermark, run until it has read everything, counted as a table."""
-    source = table(spark, d, "events")
-    stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet" if _is_folder(spark, d) else f"{d}/")
-    if not _is_folder(spark, d):
-        stream = spark.readStream.schema(source.schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    stream = _event_stream(spark, d)
     folder = f"{store.shared_folder(spark)}/streams/{uuid.uuid4().hex}"
     once = ingest.deduplicated(stream, ["event_id"], late="1 day")
     run = once.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start()
@@ -131,6 +128,29 @@ def stream_dedup_watermark(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/out").groupBy("event_type", "user_id").agg(F.count("*").alias("events"), F.round(F.sum("value"), 2).alias("total"))
 
 
+@query(
+    """with e as (select event_id, user_id, epoch_us(ts) as us from events)
+select user_id, event_id as call, coalesce(lag(us, 2) over (partition by user_id order by us, event_id) <= us - 60000000, true) as in_rate, row_number() over (partition by user_id, us // 86400000000 order by us, event_id) as of_day,
+  row_number() over (partition by user_id, us // 86400000000 order by us, event_id) <= 3 as in_quota from e"""
+)
+def stream_limits(spark: SparkSession, d: str) -> DataFrame:
+    """Rate and quota of each call as state of a stream, run until it has read everything."""
+    folder, provider = f"{store.shared_folder(spark)}/streams/{uuid.uuid4().hex}", "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    limits.with_rocksdb(spark)
+    try:
+        found = limits.limited(_event_stream(spark, d), per_minute=2, per_day=3)
+        found.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    return spark.read.parquet(f"{folder}/out")
+
+
+def _event_stream(spark: SparkSession, d: str) -> DataFrame:
+    stream = spark.readStream.schema(table(spark, d, "events").schema)
+    return stream.option("pathGlobFilter", "*.parquet").parquet(f"{d}/events.parquet") if _is_folder(spark, d) else stream.option("pathGlobFilter", "events.parquet").parquet(d)
+
+
 def _is_folder(spark: SparkSession, d: str) -> bool:
     return not table(spark, d, "events").inputFiles()[0].rstrip("/").endswith("/events.parquet")
 
