@@ -10,11 +10,11 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.operators import asof, codelens, filters, fulltext, provenance, ranking, segments, substrings, threads
+from threadloom.operators import asof, codelens, datasets, filters, fulltext, lookups, provenance, ranking, segments, substrings, threads
 from threadloom.operators.filters import Corpus, SearchQuery
 from threadloom.operators.lookups import AsOf
 from threadloom.plans import derive
-from threadloom.schemas import ENGLISH_STOPWORDS
+from threadloom.schemas import ENGLISH_STOPWORDS, MAX_COMMENTS, MAX_THREADS
 
 #: How documents become postings: all words, positions with the stopwords, stems.
 ENGLISH = {"analyzer": fulltext.words, "stopwords": ENGLISH_STOPWORDS, "stemming": True}
@@ -103,31 +103,67 @@ class Engine:
         page, widened = ranking.search(self.corpus, q, self.postings, terms_of=fulltext.asked_english, how=how)
         return ranking.with_snippets(page, q), widened
 
-    def thread(self, repo: str, number: int, focus: str = "") -> dict[str, DataFrame]:
+    def thread(self, repo: str, number: int, focus: str = "", comment: int | None = None, after: tuple[datetime | None, str, int] | None = None) -> dict[str, DataFrame]:
+        """A thread's page. after: (created_at, source_type, source_id) of the last comment that was shown; the next ones follow, in order. comment: one
+        comment whole, with a status that tells whether it is served, suppressed or absent."""
         mine = self._of(self.corpus.documents, repo, number)
         order = [F.col("created_at").asc_nulls_last(), F.col("source_type"), F.col("source_id")]
         talk = threads.first_chunks(filters.commentary(mine).where("trust <> 'machine'"), ["repo", "number"], [F.col("chunk_index")])
         talk = threads.focused(talk, re.findall(r"[A-Za-z0-9_]+", focus)) if focus else talk
-        return {
-            "head": self.corpus.threads.where((F.col("repo") == repo) & (F.col("number") == number)),
+        page = threads.ends_and_middle(talk, ["repo", "number"], order, F.col("source_type").startswith("review")) if after is None else threads.after(talk, *after).orderBy(*order).limit(MAX_COMMENTS)
+        here = lambda rows: rows.where((F.col("repo") == repo) & (F.col("number") == number))
+        found = {
+            "head": here(self.corpus.threads),
             "body": threads.rejoined(mine.where("source_type = 'body'"), ["repo", "number"], F.col("body_text"), F.col("chunk_index")),
-            "comments": threads.ends_and_middle(talk, ["repo", "number"], order, F.col("source_type").startswith("review")),
+            "comments": page,
             "outline": threads.outline(talk, ["repo", "number"], order),
             "people": threads.participants(filters.commentary(mine), ["repo", "number"]),
-            "files": self.corpus.files.where((F.col("repo") == repo) & (F.col("number") == number)),
+            "files": here(self.corpus.files),
+            "links": threads.resolved(here(self.corpus.links), self.corpus.threads),
+            "error": here(lookups.first_errors(here(self.corpus.errors))),
         }
+        if self.corpus.labels is not None:
+            found["labels"] = here(self.corpus.labels).select("label").distinct().orderBy("label")
+        if comment is not None:
+            found["comment"] = lookups.one_comment(mine, self.spark.createDataFrame([(repo, number, comment)], "repo string, number long, source_id long"))
+        return found
 
     def inflight(self, repo: str, number: int) -> DataFrame:
         target = self.spark.createDataFrame([(repo, number)], "repo string, target_number long")
         return threads.claims(self.corpus.links, self.corpus.threads, target)
 
     def brief(self, repo: str, number: int) -> dict[str, DataFrame]:
+        """The briefing on one thread: what it closes and who else does, the history of its files, threads with its error, who opened it, who
+        talks in it, and threads like it that no other section shows. The title's words are asked as any words."""
         c = self.corpus
-        return provenance.brief(repo, number, c.threads, c.links, c.files, c.errors)
+        found = provenance.brief(repo, number, c.threads, c.links, c.files, c.errors)
+        mine = self._of(c.documents, repo, number)
+        found["opener"] = threads.author_records(c.threads.where(F.col("repo") == repo).join(found["head"].select("author"), "author", "left_semi"))
+        found["people"] = threads.participants(filters.commentary(mine), ["repo", "number"])
+        title = found["head"].select("title").first()
+        if title and title[0] and fulltext.asked_english(title[0]):
+            shown = [found["competing"].select("number"), found["closes"].select(F.col("target_number").alias("number")), found["file_history"].select("number"), found["same_error"].select("number")]
+            seen = shown[0].union(shown[1]).union(shown[2]).union(shown[3]).distinct()
+            like, _ = self.search(title[0], repos=(repo,), exclude=(number,), match="any")
+            best = like.groupBy("repo", "number").agg(F.max("score").alias("score")).join(seen, "number", "left_anti")
+            found["similar"] = best.orderBy(F.col("score").desc(), "number").limit(MAX_THREADS)
+        return found
 
     def why(self, blamed: DataFrame) -> DataFrame:
-        """blamed: (repo, sha, summary) rows, as a clone gives them."""
-        return provenance.threads_of_commits(blamed, self.commits, self.corpus.threads)
+        """blamed: (repo, sha, summary) rows, as a clone gives them. With path and line as well, each thread brings the review comments
+        nearest the place (level 0 near the line, 1 in the file, 2 anywhere in the thread), where it has any."""
+        found = provenance.threads_of_commits(blamed, self.commits, self.corpus.threads)
+        if not {"path", "line"} <= set(blamed.columns):
+            return found
+        places = found.join(blamed.select("repo", "sha", "path", "line"), ["repo", "sha"]).select("repo", "number", "sha", "guessed", "path", "line").distinct()
+        where = lambda name: F.get_json_object("metadata", f"$.{name}")
+        reviews = self.corpus.documents.where("source_type in ('review', 'review_comment') and trust <> 'machine'").select("repo", "number", "source_type", "source_id", "author", "trust", "body_text", where("path").alias("path"), F.coalesce(where("line"), where("original_line")).cast("int").alias("line"))
+        said = provenance.argument(reviews, places).select("repo", "number", F.col("at_path").alias("path"), F.col("at_line").alias("line"), "level", "source_type", "source_id", "author", "body_text")
+        return places.join(said, ["repo", "number", "path", "line"], "left")
+
+    def label(self, requests: DataFrame, path: str) -> DataFrame:
+        """Store the relevance judgements of callers that may give any; the requests with why they were refused, if they were."""
+        return datasets.append_labels(requests, path)
 
     def status(self) -> DataFrame:
         docs = self.corpus.documents.groupBy("repo").agg(F.count("*").alias("documents"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from threadloom.functions.python_code import DEFINITIONS, REFERENCES, provider
@@ -70,8 +70,9 @@ def enclosing(defs: DataFrame, lines: DataFrame) -> DataFrame:
 def symbol(defs: DataFrame, name: str) -> DataFrame:
     """One definition of a name: its full name first, then the first by path and line; and how many there are."""
     found = defs.where((F.col("qualname") == name) | (F.col("name") == name))
-    order = Window.orderBy(F.when(F.col("qualname") == name, 0).otherwise(1), "path", "start")
-    return found.withColumns({"n": F.row_number().over(order), "total": F.count("*").over(Window.partitionBy())}).where("n = 1").drop("n")
+    order = F.struct(F.when(F.col("qualname") == name, 0).otherwise(1), "path", "start")
+    one = found.agg(F.min_by(F.struct(*defs.columns), order).alias("h"), F.count("*").alias("total"))  # combined in each task first
+    return one.where("total > 0").select("h.*", "total")
 
 
 def copies(defs: DataFrame, by: Column | None = None, most: int | None = MAX_COPIES) -> DataFrame:

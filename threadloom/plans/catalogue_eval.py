@@ -159,6 +159,11 @@ def py_defs(spark: SparkSession, d: str) -> DataFrame:
     return codelens.definitions(source_files(spark, d)).select("path", "qualname", "kind", "start", "end")
 
 
+@query("""select min('src/s' || cast(s_suppkey as varchar(20)) || '.py') as path, 'shared' as qualname, 8 as start, count(*) as total from supplier""")
+def symbol_lookup(spark: SparkSession, d: str) -> DataFrame:
+    return codelens.symbol(codelens.definitions(source_files(spark, d)), "shared").select("path", "qualname", "start", "total")
+
+
 @query("with s as (select cast(s_suppkey as varchar(20)) as s from supplier) select 'src/s' || s || '.py' as path, 'call' as kind, 5 as line from s union all select 'src/s' || s || '.py', 'definition', 8 from s")
 def py_refs(spark: SparkSession, d: str) -> DataFrame:
     return codelens.references(source_files(spark, d), "shared").select("path", "kind", "line")
