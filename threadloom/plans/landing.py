@@ -15,7 +15,6 @@ from threadloom.schemas import RAW
 from threadloom.sources.bucketed import Bucketed
 
 MARKS = T.StructType().add("repo", "string").add("high_water", "timestamp")
-_SIGNALS = ("files", "errors", "tests", "symbols", "commits", "links")
 
 
 @cache
@@ -62,12 +61,13 @@ class Landing:
         touched = raw.touched(keys)
         found = index.indexed(raw.of(keys, touched).drop("number"), fetched.drop("number"), documents.of(keys, touched), authority, at("marks").read(), results, stage=lambda rows, name: written(rows, f"on-the-way/{name}"))
         when = fetched.groupBy("repo", "number").agg(F.max(F.coalesce("updated_at", "fetched_at")).alias("superseded_at"))
-        parts = {"raw": index.placed(found.staged), "documents": found.documents, "threads": found.threads, "history": found.history.join(when, ["repo", "number"]), "changes": found.changes, "marks": found.marks} | found.signals
         keys = written(keys, "keys")
-        new = {name: written(rows, name) for name, rows in parts.items()}
-        actions = {r["action"]: r["count"] for r in new["changes"].groupBy("action").count().collect()}
-        at("history").append(new["history"])  # first: a batch that is run again may add rows twice, which reading undoes, but loses none
-        for name in ("raw", "documents", "threads", *_SIGNALS):
-            at(name).replace(new[name], keys)
-        at("marks").replace(new["marks"], new["marks"])
+        changes, history, marks = written(found.changes, "changes"), written(found.history.join(when, ["repo", "number"]), "history"), written(found.marks, "marks")
+        parts = {"raw": index.placed(found.staged), "documents": found.documents, "threads": found.threads} | found.signals
+        ready = {name: at(name).prepare(rows, keys, touched) for name, rows in parts.items()}
+        actions = {r["action"]: r["count"] for r in changes.groupBy("action").count().collect()}
+        at("history").append(history)  # first: a batch that is run again may add rows twice, which reading undoes, but loses none
+        for name, aside_ in ready.items():
+            at(name).install(aside_)
+        at("marks").replace(marks, marks)
         return actions

@@ -18,8 +18,8 @@ class Bucketed:
     """A relation in `buckets` folders. key: the columns of a thread, which no row has null.
 
     A rewrite goes to a folder of its own first and then replaces whole buckets by dynamic partition overwrite. A batch that dies in
-    between is run again: it finds some buckets already replaced, and its result is the same. A bucket that lost its last row keeps
-    one row with a null key, which readers never see.
+    between is run again: it finds some buckets already replaced, and its result is the same. Each bucket has a row with a null key, which
+    readers never see, so that one that loses its last row is overwritten too.
     """
 
     spark: SparkSession
@@ -51,19 +51,27 @@ class Bucketed:
         mine = self._stored().where(F.col("bucket").isin(list(self.touched(keys) if touched is None else touched)) & F.col(self.key[0]).isNotNull())
         return mine.drop("bucket").join(keys.select(*self.key).distinct(), list(self.key), "left_semi")
 
-    def replace(self, rows: DataFrame, keys: DataFrame) -> None:
-        """Make `rows` all that the threads of `keys` have. Buckets of other threads are not written."""
-        touched = self.touched(keys)
+    def prepare(self, rows: DataFrame, keys: DataFrame, touched: Sequence[int] | None = None) -> str | None:
+        """Write aside what the buckets of `keys` will hold when `rows` are all that these threads have; None where there are none."""
+        touched = list(self.touched(keys) if touched is None else touched)
         if not touched:
-            return
+            return None
         rest = self._stored().where(F.col("bucket").isin(touched) & F.col(self.key[0]).isNotNull()).drop("bucket").join(keys.select(*self.key).distinct(), list(self.key), "left_anti")
         new = rest.select(self.schema.names).unionByName(rows.select(self.schema.names)).withColumn("bucket", self.bucket())
         none = self.spark.createDataFrame([(b,) for b in touched], "bucket int").select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema), "bucket")
         aside = f"{self.path.rstrip('/')}.aside/{uuid.uuid4().hex}"
-        new.repartitionByRange("bucket", *self.key).write.parquet(aside)
-        written = self.spark.read.schema(new.schema).parquet(aside)
-        empty = none.join(written.select("bucket").distinct(), "bucket", "left_anti").select(new.columns)
-        written.unionByName(empty).sortWithinPartitions("bucket", *self.key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
+        new.unionByName(none).repartitionByRange("bucket", *self.key).sortWithinPartitions("bucket", *self.key).write.parquet(aside)
+        return aside
+
+    def install(self, aside: str | None) -> None:
+        """Put the buckets that prepare wrote in place. Doing it again changes nothing."""
+        if aside is not None:
+            rows = self.spark.read.schema(StructType([*self.schema, *_BUCKET])).parquet(aside)
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
+
+    def replace(self, rows: DataFrame, keys: DataFrame) -> None:
+        """Make `rows` all that the threads of `keys` have. Buckets of other threads are not written."""
+        self.install(self.prepare(rows, keys))
 
     def append(self, rows: DataFrame) -> None:
         """Add rows; nothing that is there is read or written again."""
