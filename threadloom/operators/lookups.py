@@ -173,20 +173,20 @@ def _distinct_folded(words: Column) -> Column:
 
 
 def query_terms(primary: Column, secondary: Column, want: int = 2) -> Column:
-    """The identifiers in code spans that one would have typed: their last part, from 4 characters on."""
+    """Up to `want` identifiers from code spans, primary text first: the part behind the last dot, if it has 4 characters or more."""
     spans = lambda text: F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"`{1,3}([^`\n]+)`{1,3}"), F.lit(1)), lambda s: F.trim(s))
     found = F.transform(F.filter(F.concat(spans(primary), spans(secondary)), lambda s: is_symbol(s)), lambda s: F.substring_index(s, ".", -1))
     return _first(_distinct_folded(F.filter(found, lambda t: F.char_length(t) >= 4)), want)
 
 
 def title_terms(title: Column, want: int = 2) -> Column:
-    """Words of a title that look like identifiers, the last part of each."""
+    """Up to `want` words of a title that pass the symbol test, cut to the part behind the last dot; case does not tell words apart."""
     words = F.regexp_extract_all(F.coalesce(title, F.lit("")), F.lit(r"[A-Za-z_][\w.]{3,}"), F.lit(0))
     return _first(F.transform(_distinct_folded(F.filter(words, lambda w: is_symbol(w))), lambda w: F.substring_index(w, ".", -1)), want)
 
 
 def distinctive(message: Column, want: int = 3) -> Column:
-    """The words of an error that one keeps when cutting it down to a question."""
+    """Up to `want` different lower-case words of a message, in order, without those of PLAIN_WORDS and those under 4 letters."""
     words = F.regexp_extract_all(F.lower(message), F.lit("[a-z_][a-z_]{3,}"), F.lit(0))
     return _first(F.array_distinct(F.filter(words, lambda w: ~w.isin(*PLAIN_WORDS))), want)
 
