@@ -221,10 +221,16 @@ def ingest_two_batches(spark: SparkSession, d: str) -> DataFrame:
     none = spark.createDataFrame([], RAW)
     authority = spark.createDataFrame([("org/r", "ann", "write")], "repo string, login string, permission string")
     marks = spark.createDataFrame([], "repo string, high_water timestamp")
-    first = index.indexed(none, landed_batch(spark, d, 1), derive.documents(derive.sources(none), authority), authority, marks)
     folder = f"{store.shared_folder(spark)}/batches/{uuid.uuid4().hex}"
-    for name in ("staged", "documents", "marks"):  # what a batch leaves is written before the next one reads it
-        getattr(first, name).write.parquet(f"{folder}/{name}")
-    left = {name: spark.read.parquet(f"{folder}/{name}") for name in ("staged", "documents", "marks")}
-    second = index.indexed(left["staged"], landed_batch(spark, d, 2), left["documents"], authority, left["marks"])
+
+    def written(batch: str):
+        def stage(rows: DataFrame, name: str) -> DataFrame:
+            rows.write.parquet(f"{folder}/{batch}/{name}")
+            return spark.read.schema(rows.schema).parquet(f"{folder}/{batch}/{name}")
+
+        return stage
+
+    first = index.indexed(none, landed_batch(spark, d, 1), derive.documents(derive.sources(none), authority), authority, marks, stage=written("on-the-way-1"))
+    left = {name: written("left")(getattr(first, name), name) for name in ("staged", "documents", "marks")}  # written before the next batch reads it
+    second = index.indexed(left["staged"], landed_batch(spark, d, 2), left["documents"], authority, left["marks"], stage=written("on-the-way-2"))
     return second.documents.select("number", "source_type", "source_id", "body_text")

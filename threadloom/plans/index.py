@@ -47,8 +47,9 @@ def staged(raw: DataFrame, fetched: DataFrame, whole: Sequence[str] = LISTS) ->
     fetched = placed(fetched).withColumn("payload", store.without_nul(F.col("payload")))
     stored, touched = placed(raw), fetched.select(*THREAD).where("number is not null").distinct()
     objects = fetched.select(*OBJECT).distinct()  # a payload that moved to another thread is replaced as well
-    others = stored.join(touched, THREAD, "left_anti").join(objects, OBJECT, "left_anti")
-    again = stored.join(touched, THREAD, "left_semi").unionByName(stored.join(touched, THREAD, "left_anti").join(objects, OBJECT, "left_semi"))
+    flagged = stored.join(touched.withColumn("t_", F.lit(True)), THREAD, "left").join(objects.withColumn("o_", F.lit(True)), OBJECT, "left")
+    mine = F.coalesce("t_", "o_", F.lit(False))
+    others, again = flagged.where(~mine).select(stored.columns), flagged.where(mine).select(stored.columns)
     last = store.latest(again.unionByName(fetched), OBJECT, F.struct(F.col("updated_at"), F.col("fetched_at")))
     read = fetched.where(F.col("object_type").isin("issue", "pr")).select(*THREAD).distinct()
     gone = store.pruned(last.join(read, THREAD, "left_semi"), fetched, OBJECT, LISTS, [t for t in LISTS if t not in whole])
