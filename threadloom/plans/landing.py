@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import cache
 
@@ -43,11 +44,12 @@ class Landing:
         rows = self.relation(name).read()
         return rows.distinct() if name == "history" else rows
 
-    def apply(self, fetched: DataFrame, authority: DataFrame, results: DataFrame | None = None) -> dict[str, int]:
+    def apply(self, fetched: DataFrame, authority: DataFrame, results: DataFrame | None = None, whole: Sequence[str] = index.LISTS) -> dict[str, int]:
         """Index a batch of payloads on what is stored. Returns the number of document rows by action.
 
         Payloads of no thread are left out. Everything that the batch changes is computed from the stored rows of its own threads and written aside
         before any relation changes, so that an interrupted batch can be run again. Indexing a batch twice changes nothing.
+        whole: the lists of a thread that the batch has in full where it has the thread, so that what is missing there is gone.
         """
         at, aside = self.relation, f"{self.path.rstrip('/')}/batches/{uuid.uuid4().hex}"
 
@@ -59,7 +61,7 @@ class Landing:
         keys = fetched.select("repo", "number").distinct()
         raw, documents = at("raw"), at("documents")
         touched = raw.touched(keys)
-        found = index.indexed(raw.of(keys, touched).drop("number"), fetched.drop("number"), documents.of(keys, touched), authority, at("marks").read(), results, stage=lambda rows, name: written(rows, f"on-the-way/{name}"))
+        found = index.indexed(raw.of(keys, touched).drop("number"), fetched.drop("number"), documents.of(keys, touched), authority, at("marks").read(), results, whole, stage=lambda rows, name: written(rows, f"on-the-way/{name}"))
         when = fetched.groupBy("repo", "number").agg(F.max(F.coalesce("updated_at", "fetched_at")).alias("superseded_at"))
         keys = written(keys, "keys")
         changes, history, marks = written(found.changes, "changes"), written(found.history.join(when, ["repo", "number"]), "history"), written(found.marks, "marks")
