@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadloom.functions.text import CUES
-from threadloom.operators import codelens, evaluation, substrings
+from threadloom.operators import codelens, evaluation, substrings, systems
 from threadloom.plans.catalogue_search import ascii_words, index_of
 from threadloom.plans.registry import query
 from threadloom.plans.views import table, view
@@ -92,6 +92,51 @@ def bench_recall_mrr(spark: SparkSession, d: str) -> DataFrame:
     return scores.select("questions", *(F.round(c, 6).alias(c) for c in ("recall_5", "recall_10", "mrr")))
 
 
+_SYSTEMS = (
+    _BENCH[: _BENCH.index("h as (")]
+    + """gl as (select item_id as question, list_filter(string_split_regex(text, '\\s+'), lambda x: length(x) > 3) as l from benchmark), gt as (select question, list_filter(l, lambda x, i: list_position(l, x) = i) as words from gl),
+g0 as (select question, unnest(words[1:3]) as term from gt), gw as (select question, doc_id as item, count(*) as score from g0 join documents on contains(text, term) group by 1, 2),
+g as (select *, row_number() over (partition by question order by score desc, item) as rank from gw),
+x as (select 'index' as system, question, item, rank from r where rank <= 10 union all select 'grep', question, item, rank from g where rank <= 10),
+e as (select item_id as question, case when item_id % 2 = 0 then 'failure' else 'rationale' end as slice, item_id % 3 = 0 as leaks, unnest(['index', 'grep']) as system from benchmark),
+h as (select question, count(distinct item) as wanted from w group by 1),
+z as (select system, question, count(*) filter (rank <= 5) as h5, count(*) filter (rank <= 10) as h10, min(rank) as first from w join x using (question, item) group by 1, 2),
+y as (select e.*, false as leak_free from e union all select e.*, true from e where slice = 'rationale' and not leaks)
+select y.system, slice, leak_free, count(*) as questions, round(avg(coalesce(h5 / wanted, 0)), 6) as recall_5, round(avg(coalesce(h10 / wanted, 0)), 6) as recall_10, round(avg(coalesce(1.0 / first, 0)), 6) as mrr,
+count(*) filter (not exists (select 1 from x where x.system = y.system and x.question = y.question)) as empty from y left join h using (question) left join z on z.system = y.system and z.question = y.question group by 1, 2, 3"""
+)
+
+
+@query(_SYSTEMS)
+def report_systems(spark: SparkSession, d: str) -> DataFrame:
+    """The index and a grep answer the benchmark's items over all documents; scores by slice, without leaking examples as well."""
+    docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
+    index, question = index_of(spark, d), F.col("item_id").alias("question")
+    asked = items.select(question, F.explode(F.array_distinct(ascii_words(F.col("text")))).alias("term")).distinct()
+    found = systems.index_system(spark.read.parquet(f"{index.path}/postings"), asked, index.total())
+    files = docs.select(F.col("doc_id").alias("path"), F.col("text").alias("content"))
+    grepped = systems.grep_system(files, items.select(question, systems.grep_terms(F.col("text")).alias("terms")), docs.select(F.col("doc_id").alias("path"), F.col("doc_id").alias("item")))
+    results = found.withColumn("system", F.lit("index")).unionByName(grepped.withColumn("system", F.lit("grep")))
+    relevant = evaluation.holders(docs.select(F.col("doc_id").alias("item"), ascii_words(F.col("text")).alias("words")), items.select(question, ascii_words(F.col("text")).alias("words")))
+    examples = items.select(question, F.when(F.col("item_id") % 2 == 0, "failure").otherwise("rationale").alias("slice"), (F.col("item_id") % 3 == 0).alias("leaks"))
+    rows = systems.report(results, relevant, examples, {"index": "bm25", "grep": None}, "bm25")
+    return rows.select("system", "slice", "leak_free", "questions", *(F.round(c, 6).alias(c) for c in ("recall_5", "recall_10", "mrr")), "empty")
+
+
+@query(
+    """s as (select 'org/r0' as repo, 'issue' as thread_type, '1994-01-01' as since, 'updated>=1994-01-01T00:00:00Z' as selector union all select 'org/r0', 'pr', '1995-01-01', 'x' union all select 'org/r1', 'gist', '1996-01-01', 'y'),
+t as (select repo, thread_type, count(*) as threads from h_threads group by all), c as (select repo, thread_type, count(*) as documents from h_documents join h_threads using (number) group by all),
+a as (select t.*, coalesce(documents, 0) as documents from t left join c using (repo, thread_type))
+select s.*, coalesce(threads, 0) as threads, coalesce(documents, 0) as documents from s left join a using (repo, thread_type)
+union all select repo, 'all', null, 'full history', cast(sum(threads) as bigint), cast(sum(documents) as bigint) from a where repo not in (select repo from s) group by 1"""
+)
+def corpus_windows(spark: SparkSession, d: str) -> DataFrame:
+    heads = view(spark, d, "h_threads").select("repo", "number", "thread_type")
+    rows = [("org/r0", "issue", "1994-01-01", "updated>=1994-01-01T00:00:00Z"), ("org/r0", "pr", "1995-01-01", "x"), ("org/r1", "gist", "1996-01-01", "y")]
+    samples = spark.createDataFrame(rows, "repo string, thread_type string, at string, selector string").withColumn("indexed_from", F.to_timestamp("at"))
+    return systems.corpus_windows(heads, view(spark, d, "h_documents").select("number").join(heads, "number"), samples)
+
+
 @query(
     """s as (select number, path, source, created_at from h_files join h_threads using (number)),
 m as (select number from h_threads where merged_at < timestamp '1999-01-01'),
