@@ -1,5 +1,7 @@
 """Work that grows with the input, not with its square: results against brute force, and what the plans may not hold."""
 
+from datetime import datetime
+
 from threadloom.operators import provenance
 
 
@@ -13,3 +15,26 @@ def test_shas_that_begin_alike_meet_by_equality_only(spark):
     assert sorted(map(tuple, found.collect())) == want
     joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
     assert joins and not any("StartsWith" in line for line in joins)
+
+
+def test_threads_without_a_path_have_no_history(spark):
+    files = [("r", 1, None, "changed"), ("r", 2, None, "changed"), ("r", 3, "a", "changed"), ("r", 4, "a", "mentioned")]
+    heads = [("r", n, datetime(2020, 1, n)) for n in (1, 2, 3, 4)]
+    got = provenance.file_histories(spark.createDataFrame(files, "repo string, number long, path string, source string"), spark.createDataFrame(heads, "repo string, number long, merged_at timestamp"))
+    assert [tuple(r) for r in got.select("asked", "number", "shared", "position").collect()] == [(4, 3, 1, 1)]
+
+
+def test_histories_of_threads_with_the_same_files(spark):
+    """Each of many threads with the same files leaves out only itself; sets too large to list give the same rows."""
+    files = [("r", n, p, "changed" if n % 3 else "mentioned") for n in range(40) for p in "abcde"[: 1 + n % 5]]
+    heads = [("r", n, datetime(2020, 1, 1 + n % 28) if n % 4 else None) for n in range(40)]
+    changed = {n: {p for _, m, p, s in files if m == n and s == "changed"} for n in range(40)}
+    own, merged = {n: {p for _, m, p, _ in files if m == n} for n in range(40)}, {n: at for _, n, at in heads if at}
+    want = []
+    for asked in range(40):
+        shared = sorted((-len(own[asked] & changed[n]), -merged[n].toordinal(), n) for n in merged if n != asked and own[asked] & changed[n])
+        want += [(asked, n, -s, i) for i, (s, _, n) in enumerate(shared[:5], 1)]
+    f, t = spark.createDataFrame(files, "repo string, number long, path string, source string"), spark.createDataFrame(heads, "repo string, number long, merged_at timestamp")
+    for listed in (0, 2, provenance.MOST_LISTED):
+        got = provenance.file_histories(f, t, listed=listed).select("asked", "number", "shared", "position")
+        assert sorted(map(tuple, got.collect())) == sorted(want)
