@@ -2,7 +2,12 @@
 
 from datetime import datetime
 
+from pyspark.sql import functions as F
+
+from threadloom.functions.chunking import chunked, chunks_of
 from threadloom.operators import provenance
+from threadloom.plans import derive, index
+from threadloom.schemas import MAX_CHUNK, RAW
 
 
 def test_shas_that_begin_alike_meet_by_equality_only(spark):
@@ -38,3 +43,32 @@ def test_histories_of_threads_with_the_same_files(spark):
     for listed in (0, 2, provenance.MOST_LISTED):
         got = provenance.file_histories(f, t, listed=listed).select("asked", "number", "shared", "position")
         assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_chunks_of_short_texts_are_those_of_long_ones(spark):
+    blank = "\t\n\x0b\x0c\r\x1c\x1f \x85\xa0\u1680\u2000\u200a\u2028\u2029\u202f\u205f\u3000"
+    texts = [None, "", blank, blank + "a" + blank + "b" + blank, "\u200b a \ufeff", "x" * MAX_CHUNK, " " + "x" * MAX_CHUNK + "\n", "# a\n" + "x" * MAX_CHUNK, "\U0001f600" * MAX_CHUNK, "a\n\n" * MAX_CHUNK, " " * 300_000 + "b" + " " * 300_000 + "c"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "n int, text string")
+    for split in (True, False):
+        got = dict(map(tuple, rows.select("n", chunked(F.col("text"), split)).collect()))
+        assert got == {n: chunks_of(t, split) if t is not None else [] for n, t in enumerate(texts)}
+
+
+def test_a_batch_is_read_once_for_its_threads(spark, tmp_path):
+    """What a batch fetched is computed once, and everything else asks what was written of it."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(payload: str) -> str:
+        seen.add(1)
+        return payload
+
+    def stage(rows, name):
+        rows.write.parquet(f"{tmp_path}/{name}")
+        return spark.read.schema(rows.schema).parquet(f"{tmp_path}/{name}")
+
+    none = spark.createDataFrame([], RAW)
+    fetched = spark.createDataFrame([("r", "issue", "1", None, '{"number": 1, "title": "t"}', None, None)], RAW)
+    fetched = fetched.withColumn("payload", F.udf(counted)("payload"))
+    authority, marks = spark.createDataFrame([], "repo string, login string, permission string"), spark.createDataFrame([], "repo string, high_water timestamp")
+    found = index.indexed(none, fetched, derive.documents(derive.sources(none), authority), authority, marks, stage=stage)
+    assert [r["body_text"] for r in found.documents.collect()] == ["t"] and seen.value == 1

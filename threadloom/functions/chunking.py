@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from threadloom.schemas import MAX_CHUNK
 
+#: What `str.strip` takes away, for the JVM.
+_BLANK = "[\\t-\\r\\x1c-\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
+_BLANK_ENDS = rf"^{_BLANK}+|(?<!{_BLANK}){_BLANK}++\z"
 _HEADING = re.compile(r"^#{1,6}[ \t]", re.M)
 
 
@@ -45,10 +48,13 @@ def chunks_of(text: str, split: bool = True, most: int = MAX_CHUNK) -> list[str]
 
 
 def chunked(text: Column, split: bool = True, most: int = MAX_CHUNK) -> Column:
-    """array<string>; null and blank texts have no chunks."""
+    """array<string>; null and blank texts have no chunks. Only texts that are cut go through Python."""
 
     @F.pandas_udf("array<string>")
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: chunks_of(t, split, most) if isinstance(t, str) else [])
 
-    return run(text)
+    body = F.regexp_replace(text, _BLANK_ENDS, "")
+    short = F.char_length(body) <= most if split else F.lit(True)
+    none = F.array().cast("array<string>")
+    return F.when(text.isNull() | (body == ""), none).when(short, F.array(body)).otherwise(run(F.when(~short, text)))

@@ -39,12 +39,17 @@ def placed(raw: DataFrame) -> DataFrame:
     return raw.withColumn("number", F.coalesce("thread_number", own, thread_number(at("issue_url"), at("pull_request_url"), at("html_url"))))
 
 
+def received(fetched: DataFrame) -> DataFrame:
+    """A batch as it is stored, with the numbers of its threads; rows that have them already stay as they are."""
+    return fetched if "number" in fetched.columns else placed(fetched).withColumn("payload", store.without_nul(F.col("payload")))
+
+
 def staged(raw: DataFrame, fetched: DataFrame, whole: Sequence[str] = LISTS) -> DataFrame:
     """raw after a batch: the last version of each object, without the comments that a list read in full no longer has.
 
     A thread's lists count as read in full when the batch has the thread itself.
     """
-    fetched = placed(fetched).withColumn("payload", store.without_nul(F.col("payload")))
+    fetched = received(fetched)
     stored, touched = placed(raw), fetched.select(*THREAD).where("number is not null").distinct()
     objects = fetched.select(*OBJECT).distinct()  # a payload that moved to another thread is replaced as well
     flagged = stored.join(touched.withColumn("t_", F.lit(True)), THREAD, "left").join(objects.withColumn("o_", F.lit(True)), OBJECT, "left")
@@ -64,8 +69,9 @@ def indexed(raw: DataFrame, fetched: DataFrame, documents: DataFrame, authority:
     went; the mark of a repository stops before its first failure and never goes back. stage may write what several results are computed
     from, and read it back.
     """
+    fetched = stage(received(fetched), "fetched")  # payloads are read once for all that asks for their threads
     after = stage(staged(raw, fetched, whole), "raw")
-    touched = placed(fetched).select(*THREAD).where("number is not null").distinct()
+    touched = fetched.select(*THREAD).where("number is not null").distinct()
     mine = after.join(touched, THREAD, "left_semi").drop("number")
     texts = stage(derive.sources(mine), "texts")
     wanted = stage(derive.documents(texts, authority), "wanted")
