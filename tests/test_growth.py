@@ -5,7 +5,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from threadloom.functions.chunking import chunked, chunks_of
-from threadloom.operators import provenance
+from threadloom.operators import provenance, substrings
 from threadloom.plans import derive, index
 from threadloom.schemas import MAX_CHUNK, RAW
 
@@ -72,3 +72,14 @@ def test_a_batch_is_read_once_for_its_threads(spark, tmp_path):
     authority, marks = spark.createDataFrame([], "repo string, login string, permission string"), spark.createDataFrame([], "repo string, high_water timestamp")
     found = index.indexed(none, fetched, derive.documents(derive.sources(none), authority), authority, marks, stage=stage)
     assert [r["body_text"] for r in found.documents.collect()] == ["t"] and seen.value == 1
+
+
+def test_grams_of_a_text_are_written_once(spark, tmp_path):
+    """However many rows have a text, its trigrams are in the index once, and all its rows are found."""
+    rows = spark.createDataFrame([(n, t) for n in range(300) for t in ("expected features", f"only {n % 2}", None)], "number long, message string")
+    index = substrings.Trigrams.build(rows, f"{tmp_path}/grams", ["number"], "message")
+    written = spark.read.parquet(f"{tmp_path}/grams/grams") if (tmp_path / "grams" / "grams").exists() else spark.read.parquet(f"{tmp_path}/grams")
+    assert written.count() == len("expected features") - 2 + 2 * (len("only 0") - 2)
+    assert index.candidates(substrings.of_literal("features")).count() == 300
+    assert index.candidates(substrings.of_pattern("y 1|zzz")).count() == 150
+    assert index.candidates(substrings.of_literal("features only")).count() == 0  # a text must hold all of it, not a key

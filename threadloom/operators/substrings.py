@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from threadloom.functions.text import error_query_form
 
 BUCKETS = 64
+#: Parts of a bucket, so that a frequent gram is no single task and a bucket no more files than this.
+DEALT = 16
 #: Strings that a stretch of a pattern may stand for before the stretch is cut, characters of a class that are tried one by one, and
 #: trigrams that are looked up for one string. Beyond these a condition gets weaker, never wrong.
 MOST_STRINGS, MOST_CLASS, MOST_GRAMS = 16, 4, 24
@@ -141,7 +143,9 @@ def trigrams(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class Trigrams:
-    """(gram, key columns) in a folder: by bucket of the gram, sorted by gram; long lists are dealt over several files."""
+    """(gram, text_id) of each different text in a folder, by bucket of the gram and sorted by gram, long lists dealt over several
+    files; and the keys (text_id, key columns) that have the text. text_id is a hash: texts that share one are candidates together.
+    """
 
     spark: SparkSession
     path: str
@@ -149,20 +153,24 @@ class Trigrams:
 
     @staticmethod
     def build(rows: DataFrame, path: str, key: Sequence[str], text: str) -> Trigrams:
-        found = rows.select(*key, F.explode(trigrams(F.col(text))).alias("gram")).distinct().withColumn("bucket", (F.crc32(F.col("gram").cast("binary")) % BUCKETS).cast("int"))
-        found.repartitionByRange("bucket", "gram", *key).sortWithinPartitions("bucket", "gram", *key).write.mode("overwrite").partitionBy("bucket").parquet(path)
+        known = F.xxhash64(text).alias("text_id")
+        texts = rows.select(F.col(text)).where(F.col(text).isNotNull()).distinct()
+        found = texts.select(known, F.explode(trigrams(F.col(text))).alias("gram")).withColumn("bucket", (F.crc32(F.col("gram").cast("binary")) % BUCKETS).cast("int"))
+        dealt = found.repartition("bucket", F.pmod("text_id", F.lit(DEALT)))
+        dealt.sortWithinPartitions("bucket", "gram").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/grams")
+        rows.select(known, *key).write.mode("overwrite").parquet(f"{path}/texts")
         return Trigrams(rows.sparkSession, path, tuple(key))
 
     def candidates(self, condition: Condition) -> DataFrame | None:
-        """The keys of the texts that meet a condition; None where it says nothing. At most MOST_GRAMS grams a string are gathered for a key."""
+        """The keys of the texts that meet a condition; None where it says nothing. At most MOST_GRAMS grams a string are gathered for a text."""
         grams = grams_of(condition)
         if not grams:
             return None
         buckets = sorted({crc32(g.encode()) % BUCKETS for g in grams})
-        found = self.spark.read.parquet(self.path).where(F.col("bucket").isin(buckets) & F.col("gram").isin(grams))
-        if isinstance(condition, str):
-            return found.select(*self.key)
-        return found.groupBy(*self.key).agg(F.collect_set("gram").alias("have")).where(holds(condition, F.col("have"))).select(*self.key)
+        found = self.spark.read.parquet(f"{self.path}/grams").where(F.col("bucket").isin(buckets) & F.col("gram").isin(grams))
+        if not isinstance(condition, str):
+            found = found.groupBy("text_id").agg(F.collect_set("gram").alias("have")).where(holds(condition, F.col("have")))
+        return self.spark.read.parquet(f"{self.path}/texts").join(found.select("text_id"), "text_id", "left_semi").select(*self.key).distinct()
 
     def narrowed(self, rows: DataFrame, condition: Condition) -> DataFrame:
         """The rows that can match; which of them do is for the caller to verify."""
