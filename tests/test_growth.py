@@ -5,7 +5,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from threadloom.functions.chunking import chunked, chunks_of
-from threadloom.operators import provenance, substrings
+from threadloom.operators import fulltext, provenance, substrings
 from threadloom.plans import derive, index
 from threadloom.schemas import MAX_CHUNK, RAW
 
@@ -83,3 +83,12 @@ def test_grams_of_a_text_are_written_once(spark, tmp_path):
     assert index.candidates(substrings.of_literal("features")).count() == 300
     assert index.candidates(substrings.of_pattern("y 1|zzz")).count() == 150
     assert index.candidates(substrings.of_literal("features only")).count() == 0  # a text must hold all of it, not a key
+
+
+def test_texts_are_dealt_before_they_are_cut_into_words(spark):
+    """Counting words shuffles texts, not a row a word of a text; rows that share a key are counted together."""
+    rows = spark.createDataFrame([(1, "a b a"), (1, "a c"), (2, None), (3, "b")], "doc_id long, text string")
+    found = fulltext.postings(rows)
+    assert sorted(map(tuple, found.select("doc_id", "term", "tf").collect())) == [(1, "a", 3), (1, "b", 1), (1, "c", 1), (3, "b", 1)]
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.index("Generate") < plan.index("Exchange hashpartitioning")

@@ -19,6 +19,9 @@ from threadloom.schemas import BM25_B, BM25_K1, ENGLISH_STOPWORDS, MAX_ANY_TERMS
 if TYPE_CHECKING:
     from threadloom.operators.segments import Segments
 
+#: Parts of a bucket of terms, so that a frequent term is no single task and a bucket no more files than this.
+DEALT = 16
+
 
 def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
@@ -52,8 +55,9 @@ def stemmed(terms: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def postings(documents: DataFrame, key: str = "doc_id", text: str = "text", stemming: bool = False, analyzer=words) -> DataFrame:
-    """(key, term, tf, doc_len). With stemming, terms are stemmed once each, after counting."""
-    cut = documents.select(key, analyzer(F.coalesce(F.col(text), F.lit(""))).alias("words_"))
+    """(key, term, tf, doc_len). With stemming, terms are stemmed once each, after counting. Texts are dealt by their key and not their words after
+    the cut: all counts of a key are in one place then."""
+    cut = documents.select(key, text).repartition(key).select(key, analyzer(F.coalesce(F.col(text), F.lit(""))).alias("words_"))
     tokens = cut.select(key, F.size("words_").cast("long").alias("doc_len"), F.explode("words_").alias("term"))
     counted = tokens.groupBy(key, "term").agg(F.count("*").alias("tf"), F.any_value("doc_len").alias("doc_len"))
     if stemming:
@@ -76,7 +80,7 @@ class Index:
     def build(found: DataFrame, path: str, key: str = "doc_id", buckets: int = 64) -> Index:
         path, spark = path.rstrip("/"), found.sparkSession
         by = (F.crc32(F.col("term").cast("binary")) % buckets).cast("int")
-        found.withColumn("term_bucket", by).repartitionByRange("term_bucket", "term", key).sortWithinPartitions("term_bucket", "term").write.partitionBy("term_bucket").mode("overwrite").parquet(f"{path}/postings")
+        found.withColumn("term_bucket", by).repartition("term_bucket", F.pmod(F.xxhash64(key), F.lit(DEALT))).sortWithinPartitions("term_bucket", "term").write.partitionBy("term_bucket").mode("overwrite").parquet(f"{path}/postings")
         totals(spark.read.parquet(f"{path}/postings"), key).coalesce(1).write.mode("overwrite").parquet(f"{path}/totals")
         return Index(spark, path, buckets)
 
