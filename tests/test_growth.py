@@ -1,11 +1,12 @@
 """Work that grows with the input, not with its square: results against brute force, and what the plans may not hold."""
 
 from datetime import datetime
+from math import log
 
 from pyspark.sql import functions as F
 
 from threadloom.functions.chunking import chunked, chunks_of
-from threadloom.operators import fulltext, provenance, substrings
+from threadloom.operators import evaluation, fulltext, provenance, substrings, systems
 from threadloom.plans import derive, index
 from threadloom.schemas import MAX_CHUNK, RAW
 
@@ -92,3 +93,42 @@ def test_texts_are_dealt_before_they_are_cut_into_words(spark):
     assert sorted(map(tuple, found.select("doc_id", "term", "tf").collect())) == [(1, "a", 3), (1, "b", 1), (1, "c", 1), (3, "b", 1)]
     plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert plan.count("Exchange hashpartitioning") == 1 and plan.index("Generate") < plan.index("Exchange hashpartitioning")
+
+
+def test_scores_from_a_floor_are_those_of_all_pairs(spark):
+    """Rare terms bring the candidates; what is left out lies below the floor, with ties and questions of frequent words only."""
+    texts = {n: [f"w{k}" for k in range(1, 13) for _ in range(1 + n % 3) if n % k == 0] for n in range(1, 200)} | {200: ["w12"] * 300}
+    asked = {"a": {"w1", "w2", "w12"}, "b": {"w1"}, "c": {"w7", "w11", "w1"}, "d": {"none"}}
+    df = {t: sum(t in ws for ws in texts.values()) for t in {t for ws in texts.values() for t in ws}}
+    mean = sum(map(len, texts.values())) / len(texts)
+    part = lambda t, ws: log(1 + (len(texts) - df[t] + 0.5) / (df[t] + 0.5)) * ws.count(t) * 2.2 / (ws.count(t) + 1.2 * (0.25 + 0.75 * len(ws) / mean))
+    every = {q: sorted((-round(sum(part(t, ws) for t in terms if t in ws), 6), n) for n, ws in texts.items() if terms & set(ws)) for q, terms in asked.items()}
+    found = spark.createDataFrame([(n, t, ws.count(t), len(ws)) for n, ws in texts.items() for t in set(ws)], "item long, term string, tf long, doc_len long")
+    questions = spark.createDataFrame([(q, t) for q, terms in asked.items() for t in terms], "question string, term string")
+    total = spark.createDataFrame([(len(texts), mean)], "n long, mean_len double")
+    weights = systems.weights_of(found, questions, total)
+    for place in (0, 9, 60):
+        floors = spark.createDataFrame([(q, -rows[min(place, len(rows) - 1)][0]) for q, rows in every.items() if rows], "question string, floor double")
+        got = systems.scores_from(floors, found, weights)
+        want = sorted((q, n, -s) for q, rows in every.items() for s, n in rows if s <= rows[min(place, len(rows) - 1)][0])
+        assert sorted(map(tuple, got.collect())) == want
+    got = systems.index_system(found.withColumnRenamed("item", "doc_id"), questions, total, most=10)
+    assert sorted(map(tuple, got.collect())) == sorted((q, n, i) for q, rows in every.items() for i, (_, n) in enumerate(rows[:10], 1))
+
+
+def test_passages_meet_the_documents_of_their_rarest_word(spark):
+    """Only documents with the rarest word of a passage are cut into words."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(text: str) -> list[str]:
+        seen.add(1)
+        return text.split()
+
+    items = spark.createDataFrame([(1, "x a b"), (2, "a"), (3, "b a"), (4, ""), (5, "q a")], "question long, text string")
+    texts = [(n, "a b") for n in range(50)] + [(50, "c x a b"), (51, "x a c b"), (52, "x a b x a b")]
+    docs = spark.createDataFrame(texts, "item long, text string")
+    postings = docs.select("item", F.explode(F.split("text", " ")).alias("term")).distinct()
+    of = lambda questions: sorted(map(tuple, evaluation.holders(docs, items.where(F.col("question").isin(questions)), postings, F.udf(counted, "array<string>"), 3).collect()))
+    assert of([1, 4, 5]) == [(1, 50), (1, 52)]
+    assert seen.value < 20
+    assert of([2, 3]) == sorted([(2, n) for n in range(53)])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,25 +36,24 @@ def precedent_references(documents: DataFrame, text: Column, threads: DataFrame)
     return found.join(threads.select("repo", F.col("number").alias("precedent")), ["repo", "precedent"], "left_semi")
 
 
-def holders(documents: DataFrame, items: DataFrame, window: int = 13) -> DataFrame:
-    """(question, item), distinct: the documents (item, words) that hold a passage of an item (question, words).
+def holders(documents: DataFrame, items: DataFrame, postings: DataFrame, words: Callable[[Column], Column], window: int = 13) -> DataFrame:
+    """(question, item), distinct: the documents (item, text) that hold a passage of an item (question, text).
 
-    A passage is `window` consecutive words, or the whole item if it is shorter. Windows meet by hash and are then compared.
+    A passage is `window` consecutive words, or the whole item if it is shorter. postings: (item, term), the words of the documents. A passage
+    meets only the documents that have its rarest word, which are then searched for it; texts of other documents are not cut.
     """
-    size = F.least(F.size("words"), F.lit(window))
-    cut = items.where("size(words) > 0").select("question", "words", size.alias("size"))
-    cut = cut.select("question", "size", F.explode(F.transform(F.sequence(F.lit(1), F.size("words") - F.col("size") + 1), lambda i: F.slice("words", i, F.col("size")))).alias("window"))
-    cut = cut.select("question", "size", "window", F.xxhash64("window").alias("h")).distinct()
-    sizes = sorted(r["size"] for r in cut.select("size").distinct().collect())  # `window` values at most
-    none = F.array().cast("array<bigint>")
-
-    def hashes(n: int) -> Column:
-        return F.when(F.size("words") >= n, F.transform(F.sequence(F.lit(1), F.size("words") - n + 1), lambda i: F.xxhash64(F.slice("words", i, n)))).otherwise(none)
-
-    held = documents.select("item", F.explode(F.array_distinct(F.concat(none, *map(hashes, sizes)))).alias("h"))
-    met = held.join(cut, "h").select("item", "question", "window").distinct()
+    cut = items.select("question", words(F.col("text")).alias("words")).where("size(words) > 0").withColumn("size", F.least(F.size("words"), F.lit(window)))
+    cut = cut.select("question", F.explode(F.transform(F.sequence(F.lit(1), F.size("words") - F.col("size") + 1), lambda i: F.slice("words", i, F.col("size")))).alias("window")).distinct()
+    each = cut.select("question", "window", F.explode(F.array_distinct("window")).alias("term"))
+    found = postings.select("item", "term").join(each.select("term").distinct(), "term", "left_semi")
+    df = found.groupBy("term").agg(F.count("*").alias("df"))
+    known = each.join(df, "term").groupBy("question", "window").agg(F.count("*").alias("n"), F.min_by("term", F.struct("df", "term")).alias("term"))
+    anchors = known.where(F.col("n") == F.size(F.array_distinct("window"))).groupBy("term", "question").agg(F.collect_list("window").alias("windows"))
+    met = found.join(anchors, "term").groupBy("item").agg(F.collect_list(F.struct("question", "windows")).alias("asked"))
     spaced = lambda words: F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
-    return met.join(documents, "item").where(F.contains(spaced("words"), spaced("window"))).select("question", "item").distinct()
+    read = documents.join(met, "item").select("item", spaced(words(F.col("text"))).alias("text"), "asked")
+    held = F.filter("asked", lambda a: F.exists(a["windows"], lambda w: F.contains(F.col("text"), spaced(w))))
+    return read.select("item", F.explode(F.array_distinct(F.transform(held, lambda a: a["question"]))).alias("question")).select("question", "item").distinct()
 
 
 def question_key(kind: Column, query: Column, filters: Column) -> Column:

@@ -17,6 +17,10 @@ GREP_TERMS = 3
 LEAKY = ("rationale",)
 CUTOFFS = (5, 10)
 _GRAM = 3
+#: Sums of terms are compared with rounded scores: more than both may be off.
+_SLACK = 1e-5
+#: Documents of rare terms that are scored for a floor, as a multiple of the places.
+_FIRST = 10
 
 
 def top(scored: DataFrame, most: int = MAX_HITS) -> DataFrame:
@@ -25,16 +29,67 @@ def top(scored: DataFrame, most: int = MAX_HITS) -> DataFrame:
     return scored.withColumn("rank", place).where(F.col("rank") <= most).select("question", "item", "rank")
 
 
+def weights_of(found: DataFrame, asked: DataFrame, total: DataFrame) -> DataFrame:
+    """(question, term, df, idf, mean_len, most): what a term is worth, and at most adds to the score of any document.
+
+    found: (item, term, tf, doc_len), all postings of the asked terms; asked: (question, term), distinct; total: one row (n, mean_len).
+    """
+    rows = found.join(total)
+    by_term = rows.groupBy("term").agg(F.count("*").alias("df"), F.max(_share()).alias("share"), F.any_value("n").alias("n"), F.any_value("mean_len").alias("mean_len"))
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return asked.join(by_term, "term").select("question", "term", "df", idf.alias("idf"), "mean_len", (idf * F.col("share")).alias("most"))
+
+
+def _share() -> Column:
+    return F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("doc_len") / F.col("mean_len")))
+
+
+def scores_of(pairs: DataFrame, found: DataFrame, weights: DataFrame) -> DataFrame:
+    """(question, item, score) of distinct pairs (question, item), by BM25 over any of the question's terms."""
+    every = pairs.select("question", "item").join(weights.select("question", "term", "idf", "mean_len"), "question")
+    return every.join(found, ["item", "term"]).groupBy("question", "item").agg(F.round(F.sum(F.col("idf") * _share()), 6).alias("score"))
+
+
+def scores_from(floors: DataFrame, found: DataFrame, weights: DataFrame) -> DataFrame:
+    """(question, item, score): every document that scores its question's floor or more. floors: (question, floor); other questions get no row.
+
+    Terms that together cannot reach the floor bring no candidates: a document that has only such terms stays below it. Documents with one
+    of the other terms, which are the rare ones, are scored if these and all of the rest can reach it.
+    """
+    least = Window.partitionBy("question").orderBy("most", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    needed = weights.join(floors, "question").withColumn("reach", F.sum("most").over(least)).where(F.col("reach") >= F.col("floor") - _SLACK)
+    needed = needed.withColumn("rest", F.min(F.col("reach") - F.col("most")).over(Window.partitionBy("question")))
+    partly = found.join(needed.select("question", "term", "idf", "mean_len", "rest", "floor"), "term").groupBy("question", "item")
+    pairs = partly.agg(F.sum(F.col("idf") * _share()).alias("part"), F.any_value("rest").alias("rest"), F.any_value("floor").alias("floor")).where(F.col("part") + F.col("rest") >= F.col("floor") - _SLACK)
+    scored = scores_of(pairs, found, weights).join(floors, "question")
+    return scored.where(F.col("score") >= F.col("floor") - _SLACK / 2).select("question", "item", "score")
+
+
+def floors_of(scored: DataFrame, most: int) -> DataFrame:
+    """(question, floor): the score of the last of each question's best `most` of (question, item, score)."""
+    place = F.row_number().over(Window.partitionBy("question").orderBy(F.col("score").desc(), "item"))
+    return scored.withColumn("place", place).where(F.col("place") <= most).groupBy("question").agg(F.min("score").alias("floor"), F.count("*").alias("of"))
+
+
 def index_system(postings: DataFrame, asked: DataFrame, total: DataFrame, key: str = "doc_id", most: int = MAX_HITS) -> DataFrame:
     """(question, item, rank): the postings' best documents for each question by BM25 over any of its terms.
 
     postings: (key, term, tf, doc_len); asked: (question, term), distinct; total: one row (n, mean_len). Only the postings of asked terms are counted.
+    The documents of a question's rarest terms are scored first: what the best of them score is a floor for the rest.
     """
-    found = postings.select(F.col(key).alias("item"), "term", "tf", "doc_len").join(asked.select("term").distinct(), "term", "left_semi")
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
-    weights = asked.join(df, "term").join(total).select("question", "term", "mean_len", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    part = F.col("idf") * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("doc_len") / F.col("mean_len")))
-    return top(found.join(weights, "term").groupBy("question", "item").agg(F.round(F.sum(part), 6).alias("score")), most)
+    found = of_terms(postings, asked, key)
+    weights = weights_of(found, asked, total)
+    rarest = Window.partitionBy("question").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
+    first = weights.withColumn("before", F.coalesce(F.sum("df").over(rarest), F.lit(0))).where(F.col("before") < _FIRST * most)
+    pairs = found.select("item", "term").join(first.select("question", "term"), "term").select("question", "item").distinct()
+    floors = floors_of(scores_of(pairs, found, weights), most)
+    floors = floors.select("question", F.when(F.col("of") >= most, F.col("floor")).otherwise(0.0).alias("floor"))  # too few to know a floor
+    return top(scores_from(floors, found, weights), most)
+
+
+def of_terms(postings: DataFrame, asked: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(item, term, tf, doc_len): the postings of asked terms."""
+    return postings.select(F.col(key).alias("item"), "term", "tf", "doc_len").join(asked.select("term").distinct(), "term", "left_semi").select("item", "term", "tf", "doc_len")
 
 
 def grep_terms(query: Column, errors: Column | None = None, tests: Column | None = None, symbols: Column | None = None, most: int = GREP_TERMS) -> Column:
