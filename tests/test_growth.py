@@ -132,3 +132,13 @@ def test_passages_meet_the_documents_of_their_rarest_word(spark):
     assert of([1, 4, 5]) == [(1, 50), (1, 52)]
     assert seen.value < 20
     assert of([2, 3]) == sorted([(2, n) for n in range(53)])
+
+
+def test_literals_are_searched_in_the_different_pieces_of_files(spark):
+    """Terms with blanks, at the edge of pieces or of blanks alone are found as a plain search finds them, without the characters of whole files."""
+    texts = {1: "a models, b", 2: "xmodels,y\u00a0z", 3: "models ,", 4: "foo  bar", 5: "foo bar\nmodels,", 6: "xfoo barx", 7: "", 8: "\u0442\u0435\u043a\u0441\u0442\tmodels", 9: None}
+    terms = ["models,", "foo bar", "o b", " ", "\n", "\u0442\u0435\u043a", "\u00a0", "a", " b", "none of"]
+    files = spark.createDataFrame(list(texts.items()), "path long, content string")
+    found = systems.files_with(files, spark.createDataFrame([(t,) for t in terms], "term string"))
+    assert sorted(map(tuple, found.select("path", "term").collect())) == sorted((n, t) for n, x in texts.items() for t in terms if x and t in x)
+    assert "regexp_extract_all(content" not in found._jdf.queryExecution().analyzed().toString()

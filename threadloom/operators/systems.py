@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions.text import error_literal
+from threadloom.operators.fulltext import DEALT
 from threadloom.operators.lookups import first_positions
 from threadloom.schemas import MAX_HITS
 
@@ -19,8 +20,6 @@ CUTOFFS = (5, 10)
 _GRAM = 3
 #: Sums of terms are compared with rounded scores: more than both may be off.
 _SLACK = 1e-5
-#: Documents of rare terms that are scored for a floor, as a multiple of the places.
-_FIRST = 10
 
 
 def top(scored: DataFrame, most: int = MAX_HITS) -> DataFrame:
@@ -75,16 +74,15 @@ def index_system(postings: DataFrame, asked: DataFrame, total: DataFrame, key: s
     """(question, item, rank): the postings' best documents for each question by BM25 over any of its terms.
 
     postings: (key, term, tf, doc_len); asked: (question, term), distinct; total: one row (n, mean_len). Only the postings of asked terms are counted.
-    The documents of a question's rarest terms are scored first: what the best of them score is a floor for the rest.
     """
     found = of_terms(postings, asked, key)
-    weights = weights_of(found, asked, total)
-    rarest = Window.partitionBy("question").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, -1)
-    first = weights.withColumn("before", F.coalesce(F.sum("df").over(rarest), F.lit(0))).where(F.col("before") < _FIRST * most)
-    pairs = found.select("item", "term").join(first.select("question", "term"), "term").select("question", "item").distinct()
-    floors = floors_of(scores_of(pairs, found, weights), most)
-    floors = floors.select("question", F.when(F.col("of") >= most, F.col("floor")).otherwise(0.0).alias("floor"))  # too few to know a floor
-    return top(scores_from(floors, found, weights), most)
+    df = found.groupBy("term").agg(F.count("*").alias("df"))
+    weights = asked.join(df, "term").join(total).select("question", "term", "mean_len", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    part = F.col("idf") * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("doc_len") / F.col("mean_len")))
+    # a frequent term is no single task
+    weights = weights.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))))
+    found = found.withColumn("deal", F.pmod(F.xxhash64("item"), F.lit(DEALT)).cast("int"))
+    return top(found.join(weights, ["term", "deal"]).groupBy("question", "item").agg(F.round(F.sum(part), 6).alias("score")), most)
 
 
 def of_terms(postings: DataFrame, asked: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -107,10 +105,8 @@ def _grams(text: Column, size: int) -> Column:
     return F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))), lambda g: F.xxhash64(g))
 
 
-def files_with(files: DataFrame, terms: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
-    """(path, term) for each file that holds a term literally, case and all. terms: (term), neither null nor empty.
-
-    A term meets only the files that have its rarest three characters (or all of a shorter term), which the files are then searched for.
+def _with_grams(files: DataFrame, terms: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """`files_with` for short contents: a term meets only the files that have its rarest three characters (or all of a shorter term), which the files are then searched for.
     """
     asked = terms.select("term").distinct().withColumn("size", F.least(F.char_length("term"), F.lit(_GRAM)))
     sizes = [r["size"] for r in asked.select("size").distinct().collect()]  # three values at most
@@ -128,6 +124,24 @@ def files_with(files: DataFrame, terms: DataFrame, path: str = "path", content:
     return found.distinct()
 
 
+def files_with(files: DataFrame, terms: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """(path, term) for each file that holds a term literally, case and all. terms: (term), neither null nor empty.
+
+    Files are cut at blanks. A term's longest stretch without blanks lies in one such piece of a file, so the different pieces of all files are
+    searched for it once each, and only terms with blanks are looked for in whole files. Terms of blanks alone are looked for in every file.
+    """
+    asked = terms.select("term").distinct()
+    stretch = F.reduce(F.split("term", r"\s+"), F.lit(""), lambda best, s: F.when(F.char_length(s) > F.char_length(best), s).otherwise(best))
+    asked = asked.withColumn("stretch", stretch)
+    pieces = files.select(path, F.explode(F.array_distinct(F.split(content, r"\s+"))).alias("piece"))
+    met = _with_grams(pieces.select("piece").distinct(), asked.where("stretch <> ''").select(F.col("stretch").alias("term")), "piece", "piece").withColumnRenamed("term", "stretch")
+    held = pieces.join(met.join(asked, "stretch").groupBy("piece").agg(F.collect_set("term").alias("terms")), "piece").select(path, F.explode("terms").alias("term")).distinct()
+    blank = F.col("term").rlike(r"\s")
+    spaced = held.where(blank).unionByName(files.select(path).crossJoin(asked.where("stretch = ''").select("term")))
+    spaced = files.join(spaced.groupBy(path).agg(F.collect_set("term").alias("terms")), path).select(path, F.explode(F.filter("terms", lambda t: F.contains(F.col(content), t))).alias("term"))
+    return held.where(~blank).unionByName(spaced).distinct()
+
+
 def grep_system(files: DataFrame, asked: DataFrame, threads_of: DataFrame, most: int = MAX_HITS) -> DataFrame:
     """(question, item, rank): threads by how many matches of a question's terms lie in their files, each term once a file.
 
