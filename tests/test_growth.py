@@ -6,9 +6,11 @@ from math import log
 from pyspark.sql import functions as F
 
 from threadloom.functions.chunking import chunked, chunks_of
-from threadloom.operators import evaluation, fulltext, provenance, substrings, systems
-from threadloom.plans import derive, index
+from threadloom.operators import evaluation, fulltext, provenance, segments, substrings, systems
+from threadloom.plans import derive, index, views
+from threadloom.plans.catalogue import QUERIES
 from threadloom.schemas import MAX_CHUNK, RAW
+from threadloom.sources import store
 
 
 def test_shas_that_begin_alike_meet_by_equality_only(spark):
@@ -142,3 +144,11 @@ def test_literals_are_searched_in_the_different_pieces_of_files(spark):
     found = systems.files_with(files, spark.createDataFrame([(t,) for t in terms], "term string"))
     assert sorted(map(tuple, found.select("path", "term").collect())) == sorted((n, t) for n, x in texts.items() for t in terms if x and t in x)
     assert "regexp_extract_all(content" not in found._jdf.queryExecution().analyzed().toString()
+
+
+def test_signals_of_hits_are_dealt_by_number(spark, monkeypatch):
+    """The parts of a view follow the rows of its table, and what is joined by number is dealt by it once."""
+    monkeypatch.setattr(views, "ROWS_A_TASK", 1000)
+    assert views.dealt(spark, "/root/testdata/sf0.001", "h_files").rdd.getNumPartitions() >= 6
+    plan = QUERIES["post_filter_temporal"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("REPARTITION_BY_NUM") == 2 and "Union" not in plan

@@ -88,11 +88,10 @@ def retrieval_scores(results: DataFrame, relevant: DataFrame, groups: Sequence[s
 def keep_before(hits: DataFrame, signals: DataFrame, cutoff, threads: DataFrame, key: Sequence[str] = KEY) -> DataFrame:
     """Hits that stay when every signal is read as of the cutoff: prose signals from documents before it, the diff of a
     pull request only if it was merged before it."""
-    merged = threads.where(F.col("merged_at") < F.lit(cutoff)).select(*key).distinct()
-    by_diff = signals.where(F.col("source") == "changed").join(merged, list(key), "left_semi")
-    by_prose = signals.where((F.col("source") != "changed") & (F.col("first_seen_at") < F.lit(cutoff)))
-    known = by_diff.select(*key, "path").union(by_prose.select(*key, "path")).distinct()
-    return hits.join(known, [*key, "path"], "left_semi")
+    merged = threads.where(F.col("merged_at") < F.lit(cutoff)).select(*key).distinct().withColumn("_merged", F.lit(True))
+    by_diff, by_prose = F.col("source") == "changed", (F.col("source") != "changed") & (F.col("first_seen_at") < F.lit(cutoff))
+    known = signals.where(by_diff | by_prose).join(merged, list(key), "left").where(by_prose | F.col("_merged"))
+    return hits.join(known.select(*key, "path"), [*key, "path"], "left_semi")
 
 
 def corpus_lines(documents: DataFrame) -> DataFrame:
@@ -127,5 +126,18 @@ def repeat_share(pages: DataFrame, key: str, text: str) -> DataFrame:
     return counted.groupBy(key).agg(F.sum("n").alias("lines"), F.sum(F.when(F.col("n") > 1, F.col("n") - 1).otherwise(0)).alias("repeated"))
 
 
+def ranked_by_day(rows: DataFrame, by: Sequence[str], day: Column, order: Sequence[Column], parts: int) -> DataFrame:
+    """`ranked` for large groups: rows are numbered within each day, on from the rows of the days before it, so that no group is one task.
+
+    day: a date that the order follows, later dates first and null last.
+    """
+    place = F.coalesce(-F.unix_date(day), F.lit(2**31 - 1))  # a row a day and group is counted on
+    rows = rows.withColumn("_day", place)
+    before = Window.partitionBy(*by).orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    days = rows.groupBy(*by, "_day").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    numbered = ranked(rows.repartition(parts, *by, "_day"), [*by, "_day"], order)
+    return numbered.join(days, [*by, "_day"]).withColumn("rank", F.col("rank") + F.col("_before")).drop("_day", "_n", "_before")
+
+
 def ranked(rows: DataFrame, by: Sequence[str], order: Sequence[Column]) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
