@@ -152,3 +152,12 @@ def test_signals_of_hits_are_dealt_by_number(spark, monkeypatch):
     assert views.dealt(spark, "/root/testdata/sf0.001", "h_files").rdd.getNumPartitions() >= 6
     plan = QUERIES["post_filter_temporal"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert plan.count("REPARTITION_BY_NUM") == 2 and "Union" not in plan
+
+
+def test_ranks_by_day_are_those_of_one_window(spark):
+    rows = spark.createDataFrame([(n % 2, datetime(2020, 1, 1 + n % 5, n % 3) if n % 7 else None, n) for n in range(100)], "leg int, at timestamp, n int")
+    order = [F.col("at").desc_nulls_last(), F.col("n").desc()]
+    got = evaluation.ranked_by_day(rows, ["leg"], F.col("at").cast("date"), order, 5)
+    assert sorted(map(tuple, got.select("n", "rank").collect())) == sorted(map(tuple, evaluation.ranked(rows, ["leg"], order).select("n", "rank").collect()))
+    plan = QUERIES["rrf_fusion"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number() windowspecdefinition(leg_order" not in plan or "_day" in plan.split("row_number() windowspecdefinition(leg_order")[1][:20]

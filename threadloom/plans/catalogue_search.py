@@ -13,7 +13,7 @@ from threadloom.functions.text import decay, error_norm
 from threadloom.operators import filters, fulltext, ranking, segments, substrings
 from threadloom.operators.filters import Corpus, SearchQuery
 from threadloom.plans.registry import query
-from threadloom.plans.views import table, view
+from threadloom.plans.views import dealt, parts, table, view
 from threadloom.sources.store import shared_folder
 
 NEW_YEAR_2000 = datetime(2000, 1, 1, tzinfo=UTC)
@@ -305,13 +305,13 @@ r as (select *, row_number() over (partition by number order by score desc, leg_
 select number, source_type, leg, source_id, round(score, 9) as score from r where n <= 3 order by score desc, leg_order, number, source_type limit 10"""
 )
 def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
-    docs = view(spark, d, "h_documents")
-    f = view(spark, d, "h_files").where("path = 'src/m5.py' and source = 'changed'").select("number").distinct()
-    s = view(spark, d, "h_symbols").where("symbol = 'mod_8.run'").select("number").distinct()
+    docs, n = dealt(spark, d, "h_documents"), parts(spark, d, "lineitem")
+    f = dealt(spark, d, "h_files").where("path = 'src/m5.py' and source = 'changed'").select("number").distinct()
+    s = dealt(spark, d, "h_symbols").where("symbol = 'mod_8.run'").select("number").distinct()
     legs = docs.join(f, "number", "left_semi").withColumns({"leg": F.lit("file"), "leg_order": F.lit(0)}).unionByName(docs.join(s, "number", "left_semi").withColumns({"leg": F.lit("symbol"), "leg_order": F.lit(1)}))
-    from threadloom.operators.evaluation import ranked
+    from threadloom.operators.evaluation import ranked_by_day
 
-    rows = ranked(legs, ["leg_order"], [F.col("created_at").desc_nulls_last(), *ties()])
+    rows = ranked_by_day(legs, ["leg_order"], F.col("created_at").cast("date"), [F.col("created_at").desc_nulls_last(), *ties()], n).repartition(n, "number")
     return ranking.fused(rows, ["number"]).select("number", "source_type", "leg", "source_id", F.round("score", 9).alias("score"))
 
 
