@@ -161,3 +161,10 @@ def test_ranks_by_day_are_those_of_one_window(spark):
     assert sorted(map(tuple, got.select("n", "rank").collect())) == sorted(map(tuple, evaluation.ranked(rows, ["leg"], order).select("n", "rank").collect()))
     plan = QUERIES["rrf_fusion"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "row_number() windowspecdefinition(leg_order" not in plan or "_day" in plan.split("row_number() windowspecdefinition(leg_order")[1][:20]
+
+
+def test_sets_are_compared_value_by_value(spark):
+    old, new = [(1, "a"), (1, "b"), (2, "a"), (3, None), (5, "a"), (5, "a"), (6, "a")], [(1, "b"), (1, "a"), (2, "b"), (4, "a"), (5, "a"), (6, "a"), (6, None)]
+    found = store.changed_sets(spark.createDataFrame(old, "k int, v string"), spark.createDataFrame(new, "k int, v string"), ["k"], ["v"])
+    assert sorted(r["k"] for r in found.collect()) == [2, 3, 4, 6]
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from threadloom.operators import evaluation
 from threadloom.plans import derive, index
 from threadloom.plans.registry import query
-from threadloom.plans.views import table, view
+from threadloom.plans.views import dealt, table, view
 from threadloom.schemas import RAW
 from threadloom.sources import store
 from threadloom.streaming import ingest, limits
@@ -56,7 +56,7 @@ a as (select number, string_agg(path, ',' order by path) as p from o group by 1)
 select coalesce(a.number, b.number) as number from a full join b on a.number = b.number where a.p is distinct from b.p"""
 )
 def signal_reconcile(spark: SparkSession, d: str) -> DataFrame:
-    files = view(spark, d, "h_files")
+    files = dealt(spark, d, "h_files")
     return store.changed_sets(files.where("source = 'changed' or number % 3 > 0"), files, ["number"], ["path"])
 
 

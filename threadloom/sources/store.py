@@ -55,13 +55,10 @@ def superseded(stored: DataFrame, wanted: DataFrame, key: Sequence[str], text_ha
 
 
 def changed_sets(stored: DataFrame, wanted: DataFrame, key: Sequence[str], values: Sequence[str]) -> DataFrame:
-    """Keys whose set of values differs; only these are written again. Digests of sorted sets are compared, not the sets."""
-
-    def digest(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy(*key).agg(F.sum(F.xxhash64(*values).cast("decimal(38,0)")).alias(f"{name}_sum"), F.count_distinct(*values).alias(f"{name}_n"))
-
-    both = digest(stored.select(*key, *values).distinct(), "old").join(digest(wanted.select(*key, *values).distinct(), "new"), list(key), "full_outer")
-    return both.where(~(F.col("old_sum").eqNullSafe(F.col("new_sum")) & F.col("old_n").eqNullSafe(F.col("new_n")))).select(*key)
+    """Keys whose set of values differs; only these are written again. A set differs where one of its values is on one side only."""
+    sides = stored.select(*key, *values, F.lit(True).alias("_old")).unionByName(wanted.select(*key, *values, F.lit(False).alias("_old")))
+    one = sides.groupBy(*key, *values).agg(F.bool_or("_old").alias("_old"), F.bool_and("_old").alias("_only"))
+    return one.where(F.col("_old") == F.col("_only")).select(*key).distinct()
 
 
 def advanced(marks: DataFrame, seen: DataFrame, key: Sequence[str]) -> DataFrame:
