@@ -146,6 +146,11 @@ def test_literals_are_searched_in_the_different_pieces_of_files(spark):
     assert "regexp_extract_all(content" not in found._jdf.queryExecution().analyzed().toString()
 
 
+def _dealt_once(spark, name: str, shuffles: int) -> None:
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "REPARTITION_BY_NUM" in plan and plan.count("Exchange hashpartitioning") == shuffles
+
+
 def test_signals_of_hits_are_dealt_by_number(spark, monkeypatch):
     """The parts of a view follow the rows of its table, and what is joined by number is dealt by it once."""
     monkeypatch.setattr(views, "ROWS_A_TASK", 1000)
@@ -168,3 +173,7 @@ def test_sets_are_compared_value_by_value(spark):
     found = store.changed_sets(spark.createDataFrame(old, "k int, v string"), spark.createDataFrame(new, "k int, v string"), ["k"], ["v"])
     assert sorted(r["k"] for r in found.collect()) == [2, 3, 4, 6]
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_words_of_errors_are_distinct_where_they_are(spark):
+    _dealt_once(spark, "distinctive_words", 1)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from threadloom.functions.text import error_norm
 from threadloom.operators import asof, datasets, lookups
 from threadloom.plans.registry import query
-from threadloom.plans.views import in_repo, table, view
+from threadloom.plans.views import dealt, in_repo, table, view
 from threadloom.sources.store import shared_folder
 
 
@@ -238,7 +238,7 @@ def query_terms(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select number, 'valueerror,expected,features' as words, 'repo:org/r' as shortest, 'features expected repo:org/r' as longer from h_error_text group by number")
 def distinctive_words(spark: SparkSession, d: str) -> DataFrame:
-    found = view(spark, d, "h_error_text").select("number", lookups.distinctive(F.col("body")).alias("w"))
+    found = dealt(spark, d, "h_error_text").select("number", lookups.distinctive(F.col("body")).alias("w"))
     scope = F.array(F.lit("repo:org/r"))
     cut = F.slice("w", 2, 2)
     return found.select("number", F.array_join("w", ",").alias("words"), lookups.fitted(cut, scope, 12).alias("shortest"), lookups.fitted(cut, scope, 40).alias("longer")).distinct()
