@@ -177,3 +177,7 @@ def test_sets_are_compared_value_by_value(spark):
 
 def test_words_of_errors_are_distinct_where_they_are(spark):
     _dealt_once(spark, "distinctive_words", 1)
+
+
+def test_errors_are_distinct_where_they_are(spark):
+    _dealt_once(spark, "extract_errors", 1)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from threadloom.functions import extract, text
 from threadloom.functions.chunking import chunked
 from threadloom.plans.registry import query
-from threadloom.plans.views import table, view
+from threadloom.plans.views import dealt, table, view
 
 _NORMAL = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '\r\n?', chr(10), 'g'),
   '[\x{{200b}}-\x{{200f}}\x{{2028}}\x{{2029}}\x{{feff}}]', '', 'g'), '(?s)<!--.*?-->', '', 'g'), '!\[([^\]]*)\]\([^)]*\)', '\1', 'g'), '\[([^\]]+)\]\(([^)]*)\)', '\1', 'g'), '\[\]\(([^)]*)\)', '\1', 'g'),
@@ -81,7 +81,7 @@ def error_normalize(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"select distinct number, 'ValueError' as exception_type, {_ERROR_SQL.format(chr(114) + 'eplace(body, ' + chr(39) + 'ValueError: ' + chr(39) + ', ' + chr(39) + chr(39) + ')')} as message_norm from h_error_text")
 def extract_errors(spark: SparkSession, d: str) -> DataFrame:
-    return extract.errors(view(spark, d, "h_error_text"), F.col("body"), "number")
+    return extract.errors(dealt(spark, d, "h_error_text"), F.col("body"), "number")
 
 
 @query(
