@@ -146,6 +146,21 @@ def test_literals_are_searched_in_the_different_pieces_of_files(spark):
     assert "regexp_extract_all(content" not in found._jdf.queryExecution().analyzed().toString()
 
 
+def test_segments_deal_texts_and_sample_nothing(spark, tmp_path, monkeypatch):
+    """Words with their places are not shuffled to be counted, and no range is sampled for the order of a segment."""
+    rows = spark.createDataFrame([(1, "a b a"), (2, None), (3, "b")], "doc_id long, text string")
+    found = segments.positional(rows, "doc_id", "text")
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.index("Generate") < plan.index("Exchange hashpartitioning")
+    monkeypatch.delattr(type(rows), "repartitionByRange")
+    index = segments.Segments(spark, f"{tmp_path}/index")
+    index.append(rows)
+    index.append(rows.where("doc_id = 3").withColumn("text", F.lit("c a")))
+    index.merged()
+    got = index.postings(["a", "b", "c"]).select("doc_id", "term", "tf", "positions").collect()
+    assert sorted(map(tuple, got)) == [(1, "a", 2, [0, 2]), (1, "b", 1, [1]), (3, "a", 1, [1]), (3, "c", 1, [0])]
+
+
 def _dealt_once(spark, name: str, shuffles: int) -> None:
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert "REPARTITION_BY_NUM" in plan and plan.count("Exchange hashpartitioning") == shuffles

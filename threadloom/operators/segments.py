@@ -15,7 +15,7 @@ from zlib import crc32
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadloom.operators.fulltext import stemmed, words
+from threadloom.operators.fulltext import DEALT, stemmed, words
 
 BUCKETS = 64
 _PARTS = ("postings", "documents", "retired", "frequencies", "totals")
@@ -32,7 +32,8 @@ def positional(documents: DataFrame, key: str, text: str, facets: Sequence[str]
     with and without them. A document without terms has no row. doc_len is the number of words that are kept.
     """
     kept = lambda w: ~w.isin(*stopwords) if stopwords else F.lit(True)
-    cut = documents.select(key, *facets, analyzer(F.coalesce(F.col(text), F.lit(""))).alias("words_"))
+    # texts are dealt and not their words: all places of a word in a document are then together
+    cut = documents.select(key, *facets, text).repartition(key).select(key, *facets, analyzer(F.coalesce(F.col(text), F.lit(""))).alias("words_"))
     cut = cut.withColumn("doc_len", F.size(F.filter("words_", kept)).cast("long"))
     each = cut.select(key, "doc_len", *facets, F.posexplode("words_").alias("at_", "term")).where(kept(F.col("term")))
     every = lambda: (F.any_value(F.col(c)).alias(c) for c in ("doc_len", *facets))
@@ -80,7 +81,7 @@ class Segments:
     def _commit(self, segment: int, postings: DataFrame, retired: DataFrame, replaces: Sequence[int] = ()) -> int:
         """postings have an age: the segment that first wrote this version of the document. retired: (key, age, doc_len, terms) rows that no
         longer count, of other segments."""
-        self._write(segment, "postings", postings.withColumn("term_bucket", bucket_of(F.col("term"))).repartitionByRange("term_bucket", "term", self.key).sortWithinPartitions("term_bucket", "term", self.key), "term_bucket")
+        self._write(segment, "postings", postings.withColumn("term_bucket", bucket_of(F.col("term"))).repartition("term_bucket", F.pmod(F.xxhash64(self.key), F.lit(DEALT))).sortWithinPartitions("term_bucket", "term", self.key), "term_bucket")
         own = self._read(f"postings/segment={segment}")
         self._write(segment, "documents", own.groupBy(self.key).agg(F.any_value("age").alias("age"), F.any_value("doc_len").alias("doc_len"), F.collect_list("term").alias("terms")))
         self._write(segment, "retired", retired.select(self.key, F.lit(segment).alias("by")))
