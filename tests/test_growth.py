@@ -9,8 +9,10 @@ from threadloom.functions.chunking import chunked, chunks_of
 from threadloom.operators import evaluation, fulltext, provenance, segments, substrings, systems
 from threadloom.plans import derive, index, views
 from threadloom.plans.catalogue import QUERIES
+from threadloom.plans.landing import Landing
 from threadloom.schemas import MAX_CHUNK, RAW
 from threadloom.sources import store
+from threadloom.sources.bucketed import Bucketed
 
 
 def test_shas_that_begin_alike_meet_by_equality_only(spark):
@@ -77,6 +79,34 @@ def test_a_batch_is_read_once_for_its_threads(spark, tmp_path):
     assert [r["body_text"] for r in found.documents.collect()] == ["t"] and seen.value == 1
 
 
+def test_a_landed_batch_is_read_once_and_sorted_without_samples(spark, tmp_path, monkeypatch):
+    """A batch into a folder computes each payload once, and what is written aside is dealt by bucket, not by sampled ranges."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(payload: str) -> str:
+        seen.add(1)
+        return payload
+
+    fetched = spark.createDataFrame([("r", "issue", str(n), None, f'{{"number": {n}, "title": "t{n}", "user": {{"login": "ann"}}, "author_association": "MEMBER"}}', None, None) for n in range(1, 4)], RAW)
+    fetched = fetched.withColumn("payload", F.udf(counted)("payload"))
+    monkeypatch.delattr(type(fetched), "repartitionByRange")
+    land = Landing(spark, f"{tmp_path}/index", 4)
+    assert land.apply(fetched, spark.createDataFrame([("r", "ann", "write")], "repo string, login string, permission string")) == {"insert": 3} and seen.value == 3
+    assert sorted((r.number, r.body_text, r.trust) for r in land.read("documents").collect()) == [(n, f"t{n}", "authoritative") for n in range(1, 4)]
+
+
+def test_texts_are_cut_before_an_author_s_texts_meet(spark, tmp_path):
+    """Only rows with their chunks are shuffled by author; nothing stored yet needs no workers and leaves the plan."""
+    texts = derive.sources(spark.createDataFrame([("r", "issue", "1", None, '{"number": 1, "title": " t ", "body": "\\u200b \\u0007"}', None, None)], RAW))
+    found = derive.documents(texts, spark.createDataFrame([], "repo string, login string, permission string"))
+    assert [(r.source_type, r.body_text) for r in found.collect()] == [("title", "t")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Generate")
+    stored = Bucketed(spark, f"{tmp_path}/none", texts.schema)
+    plan = texts.join(stored.of(texts, [0]).select("repo", "number"), ["repo", "number"], "left_anti")._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti, ((repo" not in plan and "bucket" not in plan
+
+
 def test_grams_of_a_text_are_written_once(spark, tmp_path):
     """However many rows have a text, its trigrams are in the index once, and all its rows are found."""
     rows = spark.createDataFrame([(n, t) for n in range(300) for t in ("expected features", f"only {n % 2}", None)], "number long, message string")

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from threadloom.functions.text import named
 from threadloom.schemas import MAX_CHUNK
 
 #: What `str.strip` takes away, for the JVM.
@@ -55,6 +56,7 @@ def chunked(text: Column, split: bool = True, most: int = MAX_CHUNK) -> Column:
         return texts.map(lambda t: chunks_of(t, split, most) if isinstance(t, str) else [])
 
     body = F.regexp_replace(text, _BLANK_ENDS, "")
-    short = F.char_length(body) <= most if split else F.lit(True)
+    long = (F.char_length(text) > most) & (F.char_length(body) > most) if split else F.lit(False)
     none = F.array().cast("array<string>")
-    return F.when(text.isNull() | (body == ""), none).when(short, F.array(body)).otherwise(run(F.when(~short, text)))
+    whole = named(body, lambda b: F.when(b == "", none).otherwise(F.array(b)))
+    return F.when(text.isNull(), none).when(long, run(F.when(long, text))).otherwise(whole)

@@ -253,7 +253,7 @@ def definitive_path(candidate: Column) -> Column:
 
 
 def thread_number(*urls: Column) -> Column:
-    found = [F.nullif(F.regexp_extract(F.coalesce(u, F.lit("")), r"/(?:issues|pulls)/(\d+)", 1), F.lit("")) for u in urls]
+    found = [named(F.regexp_extract(F.coalesce(u, F.lit("")), r"/(?:issues|pulls)/(\d+)", 1), lambda n: F.nullif(n, F.lit(""))) for u in urls]
     return F.coalesce(*found, F.lit(None)).cast("long")
 
 

@@ -62,7 +62,7 @@ def backfill_resumed(spark: SparkSession, d: str) -> DataFrame:
     """The documents of a first fill whose first run ended after one list was staged, and whose second found a second walk of it."""
     folder = f"{shared_folder(spark)}/backfills/{uuid.uuid4().hex}"
     fill = passes.Backfill(Landing(spark, f"{folder}/index", 8), f"{folder}/landed", files_per_batch=4)
-    authority = spark.createDataFrame([("org/r0", "ann", "write")], "repo string, login string, permission string")
+    authority = spark.sql("select * from values ('org/r0', 'ann', 'write') as t(repo, login, permission)")
     heads = _walked(spark, d, "threads")
     heads.where("walk = 1").write.partitionBy("walk").json(f"{fill.landed}/threads")
     fill.walk("threads")

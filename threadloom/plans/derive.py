@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from threadloom import schemas as S
 from threadloom.functions import extract
 from threadloom.functions.chunking import chunked
-from threadloom.functions.text import content_hash, definitive_path, normalize, redact, timestamp, trust_tier
+from threadloom.functions.text import content_hash, definitive_path, normalize, redact, strip_hidden, timestamp, trust_tier
 from threadloom.sources.landed import numbered_by_url, payloads
 
 BOTS = ("dependabot", "github-actions", "codecov", "renovate")
@@ -63,19 +63,23 @@ def sources(raw: DataFrame) -> DataFrame:
         inline.select("repo", "number", *row("review_comment", F.col("p.id"), F.col("p.body"), *user, F.to_json(F.struct(*(F.col(f"p.{c}") for c in where))), redact(F.col("p.diff_hunk")), F.col("p.path"))),
     ]
     every = reduce(DataFrame.unionByName, parts)
-    return every.withColumn("markdown", redact(F.coalesce("markdown", F.lit("")))).where("trim(markdown) <> ''")
+    written = F.coalesce("markdown", F.lit(""))
+    shown = every.where(F.trim(strip_hidden(written)) != "")  # what is redacted leaves a text with its name, so this says it of redacted texts
+    return shown.withColumn("markdown", redact(written))
 
 
 def documents(texts: DataFrame, authority: DataFrame) -> DataFrame:
     """Chunks with their trust. `authority` (repo, login, permission) is a dimension; it is joined, and broadcast only if
-    the session finds it small."""
-    ranks = authority.select("repo", F.col("login").alias("author"), "permission")
-    rows = texts.join(ranks, ["repo", "author"], "left").withColumn("trust", trust_tier(F.col("author_is_bot"), F.col("association"), F.col("permission")))
+    the session finds it small. Texts are cut where they are, not where all texts of an author meet."""
     whole = F.col("source_type").isin("title", "review_comment")
     parts = F.when(whole, F.array(F.trim("markdown"))).otherwise(chunked(F.col("markdown")))
-    cut = rows.select("repo", "number", "source_type", "source_id", "author", "author_is_bot", "trust", "created_at", "metadata", F.posexplode(parts).alias("chunk_index", "body_markdown"))
+    cut = texts.select("repo", "number", "source_type", "source_id", "author", "author_is_bot", "association", "created_at", "metadata", F.posexplode(parts).alias("chunk_index", "body_markdown"))
     cut = cut.withColumn("body_text", normalize(F.col("body_markdown")))
-    return cut.withColumn("content_hash", content_hash(F.col("body_markdown"), F.col("metadata"), F.lit(S.CHUNKING_VERSION)))
+    cut = cut.withColumn("content_hash", content_hash(F.col("body_markdown"), F.col("metadata"), F.lit(S.CHUNKING_VERSION)))
+    ranks = authority.select("repo", F.col("login").alias("author"), "permission")
+    trust = trust_tier(F.col("author_is_bot"), F.col("association"), F.col("permission")).alias("trust")
+    rows = cut.join(ranks, ["repo", "author"], "left")
+    return rows.select("repo", "number", "source_type", "source_id", "author", "author_is_bot", trust, "created_at", "metadata", "chunk_index", "body_markdown", "body_text", "content_hash")
 
 
 def signals(texts: DataFrame, raw: DataFrame) -> dict[str, DataFrame]:

@@ -67,14 +67,15 @@ def indexed(raw: DataFrame, fetched: DataFrame, documents: DataFrame, authority:
     Only threads that the batch touches are derived again; their documents replace the stored ones, edited and deleted
     text goes into the history, and indexing a batch twice changes nothing. results (repo, ts, ok) say how the fetches
     went; the mark of a repository stops before its first failure and never goes back. stage may write what several results are computed
-    from, and read it back.
+    from, and read it back; a batch that was received before is not staged again.
     """
-    fetched = stage(received(fetched), "fetched")  # payloads are read once for all that asks for their threads
-    after = stage(staged(raw, fetched, whole), "raw")
+    if "number" not in fetched.columns:
+        fetched = stage(received(fetched), "fetched")  # payloads are read once for all that asks for their threads
     touched = fetched.select(*THREAD).where("number is not null").distinct()
-    mine = after.join(touched, THREAD, "left_semi").drop("number")
+    after = stage(staged(raw, fetched, whole).join(touched.withColumn("mine_", F.lit(True)), THREAD, "left"), "raw")
+    mine, after = after.where("mine_").drop("number", "mine_"), after.drop("mine_")
     texts = stage(derive.sources(mine), "texts")
-    wanted = stage(derive.documents(texts, authority), "wanted")
+    wanted = stage(derive.documents(texts, stage(authority, "authority")), "wanted")  # the session sees the size of what is written
     stored = documents.join(touched, THREAD, "left_semi")
     changes = store.change_set(stored, wanted, DOCUMENT, ["content_hash", "trust"])
     if results is None:

@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, partial
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from threadloom.plans import derive, index
+from threadloom.plans.views import ROWS_A_TASK
 from threadloom.schemas import RAW
 from threadloom.sources.bucketed import Bucketed
 
+#: Jobs of a batch that run at the same time: most are short and leave cores idle.
+AT_ONCE = 4
 MARKS = T.StructType().add("repo", "string").add("high_water", "timestamp")
 
 
@@ -29,6 +34,13 @@ def _shapes(spark: SparkSession) -> dict[str, T.StructType]:
     return found | {n: rows.schema for n, rows in derive.signals(texts, none).items()}
 
 
+def _together(spark: SparkSession, work: dict[str, Callable]) -> dict:
+    """What each piece of work returns; none needs another."""
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        begun = {name: pool.submit(inheritable_thread_target(spark)(f)) for name, f in work.items()}
+        return {name: f.result() for name, f in begun.items()}
+
+
 @dataclass(frozen=True)
 class Landing:
     """The relations of an index in one folder."""
@@ -57,19 +69,29 @@ class Landing:
             rows.write.parquet(f"{aside}/{name}")
             return self.spark.read.schema(rows.schema).parquet(f"{aside}/{name}")
 
-        fetched = index.placed(fetched).where("number is not null")
-        keys = fetched.select("repo", "number").distinct()
+        fetched = written(index.received(fetched.drop("number")), "fetched").where("number is not null")  # numbers are worked out once, not again to be filtered
+        keys = written(fetched.select("repo", "number").distinct(), "keys")
         raw, documents = at("raw"), at("documents")
         touched = raw.touched(keys)
-        found = index.indexed(raw.of(keys, touched).drop("number"), fetched.drop("number"), documents.of(keys, touched), authority, at("marks").read(), results, whole, stage=lambda rows, name: written(rows, f"on-the-way/{name}"))
+
+        def staged(rows: DataFrame, name: str) -> DataFrame:
+            if name == "texts":  # they come unevenly out of their kinds of payloads, and all that is made of them reads these files
+                parts = self.spark.read.parquet(f"{aside}/on-the-way/raw").count() // ROWS_A_TASK + 1
+                rows = rows.repartition(max(self.spark.sparkContext.defaultParallelism, parts), "repo", "number", "source_type", "source_id")
+            return written(rows, f"on-the-way/{name}")
+
+        found = index.indexed(raw.of(keys, touched).drop("number"), fetched, documents.of(keys, touched), authority, at("marks").read(), results, whole, stage=staged)
         when = fetched.groupBy("repo", "number").agg(F.max(F.coalesce("updated_at", "fetched_at")).alias("superseded_at"))
-        keys = written(keys, "keys")
-        changes, history, marks = written(found.changes, "changes"), written(found.history.join(when, ["repo", "number"]), "history"), written(found.marks, "marks")
         parts = {"raw": index.placed(found.staged), "documents": found.documents, "threads": found.threads} | found.signals
-        ready = {name: at(name).prepare(rows, keys, touched) for name, rows in parts.items()}
-        actions = {r["action"]: r["count"] for r in changes.groupBy("action").count().collect()}
-        at("history").append(history)  # first: a batch that is run again may add rows twice, which reading undoes, but loses none
-        for name, aside_ in ready.items():
-            at(name).install(aside_)
-        at("marks").replace(marks, marks)
-        return actions
+
+        def marked() -> str | None:
+            marks = written(found.marks, "marks")
+            return at("marks").prepare(marks, marks)
+
+        work = {name: partial(at(name).prepare, rows, keys, touched) for name, rows in parts.items()} | {"marks": marked}
+        work |= {"history": partial(written, found.history.join(when, ["repo", "number"]), "history"), "actions": found.changes.groupBy("action").count().collect}
+        ready = _together(self.spark, work)
+        at("history").append(ready["history"])  # first: a batch that is run again may add rows twice, which reading undoes, but loses none
+        _together(self.spark, {name: partial(at(name).install, ready[name]) for name in parts})
+        at("marks").install(ready["marks"])
+        return {r["action"]: r["count"] for r in ready["actions"]}

@@ -89,7 +89,7 @@ class Backfill:
             return spark.read.schema(schema).parquet(path)
         except Exception as e:
             if "PATH_NOT_FOUND" in str(e):
-                return spark.createDataFrame([], schema)
+                return store.nothing(spark, schema)
             raise
 
     def staged(self, name: str) -> DataFrame:

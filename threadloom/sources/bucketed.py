@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from threadloom.sources.store import nothing
+
 _BUCKET = (StructField("bucket", IntegerType()),)
 
 
@@ -36,7 +38,7 @@ class Bucketed:
             return self.spark.read.schema(StructType([*self.schema, *_BUCKET])).parquet(self.path)
         except Exception as e:
             if "PATH_NOT_FOUND" in str(e):
-                return self.spark.createDataFrame([], StructType([*self.schema, *_BUCKET]))
+                return nothing(self.spark, StructType([*self.schema, *_BUCKET]))
             raise
 
     def read(self) -> DataFrame:
@@ -58,9 +60,9 @@ class Bucketed:
             return None
         rest = self._stored().where(F.col("bucket").isin(touched) & F.col(self.key[0]).isNotNull()).drop("bucket").join(keys.select(*self.key).distinct(), list(self.key), "left_anti")
         new = rest.select(self.schema.names).unionByName(rows.select(self.schema.names)).withColumn("bucket", self.bucket())
-        none = self.spark.createDataFrame([(b,) for b in touched], "bucket int").select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema), "bucket")
+        none = self.spark.range(0, self.buckets, 1, 1).select(F.col("id").cast("int").alias("bucket")).where(F.col("bucket").isin(touched)).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema), "bucket")
         aside = f"{self.path.rstrip('/')}.aside/{uuid.uuid4().hex}"
-        new.unionByName(none).repartitionByRange("bucket", *self.key).sortWithinPartitions("bucket", *self.key).write.parquet(aside)
+        new.unionByName(none).hint("rebalance", "bucket").sortWithinPartitions("bucket", *self.key).write.parquet(aside)
         return aside
 
     def install(self, aside: str | None) -> None:

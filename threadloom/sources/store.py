@@ -8,6 +8,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -21,6 +22,11 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir")
 
 
+def nothing(spark: SparkSession, schema: StructType) -> DataFrame:
+    """No rows. Plans leave out what joins them; without the filter Python workers would be asked for them."""
+    return spark.createDataFrame([], schema).where(F.lit(False))
+
+
 def latest(raw: DataFrame, key: Sequence[str], at: Column) -> DataFrame:
     """The last version of each key (an upsert of everything staged)."""
     rest = [c for c in raw.columns if c not in key]
@@ -29,7 +35,8 @@ def latest(raw: DataFrame, key: Sequence[str], at: Column) -> DataFrame:
 
 def without_nul(payload: Column) -> Column:
     """A payload without NUL characters, escaped or not; an escaped backslash before u0000 is no escape of NUL."""
-    return F.regexp_replace(F.replace(payload, F.lit("\0"), F.lit("")), r"(?<!\\)((?:\\\\)*)\\u0000", "$1")
+    clean = F.replace(payload, F.lit("\0"), F.lit(""))
+    return F.when(F.contains(clean, F.lit(r"\u0000")), F.regexp_replace(clean, r"(?<!\\)((?:\\\\)*)\\u0000", "$1")).otherwise(clean)  # few have any to look for
 
 
 def pruned(raw: DataFrame, fetched: DataFrame, key: Sequence[str], types: Sequence[str], unread: Sequence[str] = ()) -> DataFrame:
