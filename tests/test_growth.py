@@ -5,6 +5,7 @@ from math import log
 
 from pyspark.sql import functions as F
 
+from threadloom.functions import text
 from threadloom.functions.chunking import chunked, chunks_of
 from threadloom.operators import evaluation, fulltext, provenance, segments, substrings, systems
 from threadloom.plans import derive, index, views
@@ -226,3 +227,47 @@ def test_words_of_errors_are_distinct_where_they_are(spark):
 
 def test_errors_are_distinct_where_they_are(spark):
     _dealt_once(spark, "extract_errors", 1)
+
+
+def test_a_batch_stages_only_what_it_may_change(spark, tmp_path):
+    """Payloads of other threads stay where they are, a comment that moved is replaced, one that is gone is not kept, and the newest version stands."""
+    head = lambda n, body: ("r", "issue", str(n), None, f'{{"number": {n}, "body": "{body}"}}')
+    note = lambda i, n, body: ("r", "issue_comment", i, None, f'{{"id": 1, "body": "{body}", "issue_url": "https://h/repos/r/issues/{n}"}}')
+    batch = lambda rows, day: spark.createDataFrame([(*r, datetime(2025, 1, day), datetime(2025, 1, day)) for r in rows], RAW)
+    raw = batch([*(head(n, "old") for n in range(1, 21)), note("a", 3, "gone"), note("b", 4, "moved"), note("c", 5, "stays"), note("d", 3, "newer"), ("r", "issue_comment", None, 3, '{"body": "no id"}')], 2)
+    fetched = batch([head(3, "new"), note("b", 3, "here"), note("d", 3, "older")], 3).unionByName(batch([head(7, "late")], 1))
+    fetched = fetched.withColumn("updated_at", F.when(F.col("object_id") == "d", F.lit(datetime(2025, 1, 1))).otherwise(F.col("updated_at")))
+
+    def stage(rows, name):
+        rows.write.parquet(f"{tmp_path}/{name}")
+        return spark.read.schema(rows.schema).parquet(f"{tmp_path}/{name}")
+
+    none = spark.createDataFrame([], RAW)
+    authority, marks = spark.createDataFrame([], "repo string, login string, permission string"), spark.createDataFrame([], "repo string, high_water timestamp")
+    found = index.indexed(raw, fetched, derive.documents(derive.sources(none), authority), authority, marks, stage=stage)
+    body = F.get_json_object("payload", "$.body")
+    want = [("3", "new"), ("7", "old"), ("b", "here"), ("d", "newer"), (None, "no id")]
+    assert sorted(map(str, map(tuple, spark.read.parquet(f"{tmp_path}/raw").select("object_id", body).collect()))) == sorted(map(str, want))
+    rest = [(str(n), "old") for n in range(1, 21) if n not in (3, 7)] + [("c", "stays")]
+    assert sorted(map(str, map(tuple, found.staged.select("object_id", body).collect()))) == sorted(map(str, want + rest))
+
+
+def test_payloads_are_parsed_once_for_their_texts(spark):
+    raw = spark.createDataFrame([("r", "pr", "1", None, '{"number": 1, "title": "t", "body": "\\u200b"}', None, None)], RAW)
+    assert [(r.source_type, r.markdown) for r in derive.sources(raw).collect()] == [("title", "t")]
+    plan = derive.sources(raw)._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("from_json" in line and "regexp_replace" in line for line in plan.splitlines() if "Filter" in line)
+
+
+def test_texts_without_a_sign_go_around_the_patterns(spark):
+    """What each pattern changes has a sign; the rest is the same text."""
+    keys = ["-----BEGIN PRIVATE KEY-----\nx\n-----END PRIVATE KEY-----", "ghp_" + "a" * 36, "hf_" + "a" * 34, "xoxb-" + "1" * 10, "A3TX" + "A" * 16, *(k + "A" * 16 for k in ("AKIA", "ASIA", "ABIA", "ACCA"))]
+    keys += ["AIza" + "a" * 35, "sk-ant-" + "a" * 20, "sk-" + "b" * 20, "eyJ" + "a" * 8 + "." + "b" * 8 + "." + "c" * 8, "http://u:p@h", "AK​IA" + "A" * 16, "a\x01b"]
+    marked = [" a", "a ", "a\r\nb", "a​b", "a<!-- b -->", "![a](b)", "[a](b)", "[](b)", "a \nb", "a\n\n\n\nb"]
+    plain = ["", "a b", "note 1\n\nnote 2", "[a] (b)", None]
+    rows = spark.createDataFrame([(t,) for t in [*keys, *marked, *plain]], "text string").select("text", text.redact(F.col("text")), text.normalize(F.col("text"))).collect()
+    redacted, normal = {r[0]: r[1] for r in rows}, {r[0]: r[2] for r in rows}
+    assert all(redacted[k] != k for k in keys) and all("REDACTED" in redacted[k] for k in keys[:-1]) and all(redacted[t] == t for t in plain)
+    assert all(normal[m] != m for m in marked) and all(normal[t] == t for t in plain)
+    plan = spark.range(1).select(text.redact(F.col("id").cast("string")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN" in plan

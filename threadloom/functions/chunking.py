@@ -55,8 +55,8 @@ def chunked(text: Column, split: bool = True, most: int = MAX_CHUNK) -> Column:
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: chunks_of(t, split, most) if isinstance(t, str) else [])
 
-    body = F.regexp_replace(text, _BLANK_ENDS, "")
+    ends, body = text.rlike(rf"^{_BLANK}|{_BLANK}\z"), F.regexp_replace(text, _BLANK_ENDS, "")
     long = (F.char_length(text) > most) & (F.char_length(body) > most) if split else F.lit(False)
     none = F.array().cast("array<string>")
-    whole = named(body, lambda b: F.when(b == "", none).otherwise(F.array(b)))
-    return F.when(text.isNull(), none).when(long, run(F.when(long, text))).otherwise(whole)
+    one = lambda b: F.when(b == "", none).otherwise(F.array(b))
+    return F.when(text.isNull(), none).when(long, run(F.when(long, text))).when(ends, named(body, one)).otherwise(one(text))

@@ -28,6 +28,9 @@ URL_CREDENTIALS = r"\b([a-zA-Z][a-zA-Z0-9+.\-]*)://([^\s:/@]+):([^\s/@]+)@"
 INVISIBLE = r"[\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{2064}\x{2066}-\x{2069}\x{feff}]"
 CONTROL = r"[\x{00}-\x{08}\x{0b}-\x{1f}\x{7f}-\x{9f}]"
 LINE_SEPARATORS = r"[\x{2028}\x{2029}]"
+HIDDEN = f"[{INVISIBLE[1:-1]}{CONTROL[1:-1]}{LINE_SEPARATORS[1:-1]}]"
+#: Every text that a pattern of SECRETS, or URL_CREDENTIALS, matches holds one of these.
+SIGNS = ("-----BEGIN", "_", "xox", "A3T", "AKIA", "ASIA", "ABIA", "ACCA", "AIza", "sk-", "eyJ", "://")
 ZERO_WIDTH = r"[\x{200b}-\x{200f}\x{2028}\x{2029}\x{feff}]"
 DELIMITER = r"(?i)<<<\s*/?\s*THREADLOOM[A-Z0-9_\- ]*>>>"
 PIPE_TOKEN = r"<\|([^|>\n]{1,48})\|>"
@@ -36,6 +39,8 @@ HTML_COMMENT = r"(?s)<!--.*?-->"
 IMAGE = r"!\[([^\]]*)\]\([^)]*\)"
 LINK_WITH_TEXT = r"\[([^\]]+)\]\(([^)]*)\)"
 LINK_WITHOUT_TEXT = r"\[\]\(([^)]*)\)"
+#: Every text that normalize() changes has a match of this.
+MARKED = r"(?U)^\s|\s\z|[\r\x{200b}-\x{200f}\x{2028}\x{2029}\x{feff}]|<!--|\]\(|[ \t]\n|\n\n\n"
 SOURCE_EXTENSIONS = (
     "py", "pyi", "pyx", "c", "h", "cc", "cpp", "cxx", "cu", "cuh", "js", "jsx", "ts", "tsx", "go", "rs", "java", "kt", "kts", "rb", "php", "swift", "m", "mm", "scala", "sh", "bash", "zsh", "sql",
     "yaml", "yml", "toml", "cfg", "ini", "json", "md", "rst", "txt", "lock", "mk", "make", "cmake", "dockerfile", "gradle", "proto", "graphql", "css", "scss", "html", "xml", "csv", "tsv", "ipynb",
@@ -73,12 +78,15 @@ def one_line(text: Column) -> Column:
 
 
 def strip_hidden(text: Column) -> Column:
-    return _replace(text, (INVISIBLE, ""), (CONTROL, ""), (LINE_SEPARATORS, ""))
+    return F.regexp_replace(text, HIDDEN, "")
 
 
 def redact(text: Column) -> Column:
+    """Only texts with a sign of something to replace, or with hidden characters that may break one up, go through the patterns."""
     clean = _replace(strip_hidden(text), *((p, f"[REDACTED:{n}]") for n, p in SECRETS))
-    return F.regexp_replace(clean, URL_CREDENTIALS, "$1://$2:[REDACTED:url-credentials]@")
+    clean = F.regexp_replace(clean, URL_CREDENTIALS, "$1://$2:[REDACTED:url-credentials]@")
+    asked = reduce(lambda a, b: a | b, (F.contains(text, F.lit(s)) for s in SIGNS)) | text.rlike(HIDDEN)
+    return F.when(asked, clean).otherwise(text)
 
 
 def redactions(text: Column) -> dict[str, Column]:
@@ -92,11 +100,11 @@ def redactions(text: Column) -> dict[str, Column]:
 
 
 def normalize(markdown: Column) -> Column:
-    """Markdown to the text that is searched: comments and targets go, code stays."""
+    """Markdown to the text that is searched: comments and targets go, code stays. Texts without any of it stay as they are."""
     text = _replace(
         markdown, (r"\r\n?", "\n"), (ZERO_WIDTH, ""), (HTML_COMMENT, ""), (IMAGE, "$1"), (LINK_WITH_TEXT, "$1"), (LINK_WITHOUT_TEXT, "$1"), (r"[ \t]+\n", "\n"), (r"\n{3,}", "\n\n")
     )
-    return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
+    return F.when(markdown.rlike(MARKED), F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")).otherwise(markdown)
 
 
 def scrub(text: Column) -> Column:
@@ -253,8 +261,8 @@ def definitive_path(candidate: Column) -> Column:
 
 
 def thread_number(*urls: Column) -> Column:
-    found = [named(F.regexp_extract(F.coalesce(u, F.lit("")), r"/(?:issues|pulls)/(\d+)", 1), lambda n: F.nullif(n, F.lit(""))) for u in urls]
-    return F.coalesce(*found, F.lit(None)).cast("long")
+    found = [F.regexp_extract(F.coalesce(u, F.lit("")), r"/(?:issues|pulls)/(\d+)", 1).try_cast("long") for u in urls]
+    return F.coalesce(*found, F.lit(None))
 
 
 def squash_number(summary: Column) -> Column:

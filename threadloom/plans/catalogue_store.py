@@ -218,7 +218,7 @@ union all select distinct l_orderkey, 'issue_comment', cast(l_orderkey * 10 + l_
 )
 def ingest_two_batches(spark: SparkSession, d: str) -> DataFrame:
     """The documents after two batches, the second of which edits some threads and lost some of their comments."""
-    none = spark.createDataFrame([], RAW)
+    none = store.nothing(spark, RAW)
     authority = spark.createDataFrame([("org/r", "ann", "write")], "repo string, login string, permission string")
     marks = spark.createDataFrame([], "repo string, high_water timestamp")
     folder = f"{store.shared_folder(spark)}/batches/{uuid.uuid4().hex}"
@@ -231,6 +231,6 @@ def ingest_two_batches(spark: SparkSession, d: str) -> DataFrame:
         return stage
 
     first = index.indexed(none, landed_batch(spark, d, 1), derive.documents(derive.sources(none), authority), authority, marks, stage=written("on-the-way-1"))
-    left = {name: written("left")(getattr(first, name), name) for name in ("staged", "documents", "marks")}  # written before the next batch reads it
-    second = index.indexed(left["staged"], landed_batch(spark, d, 2), left["documents"], authority, left["marks"], stage=written("on-the-way-2"))
+    # all that the first batch left is in the files that it was staged in
+    second = index.indexed(first.staged, landed_batch(spark, d, 2), first.documents, authority, written("left")(first.marks, "marks"), stage=written("on-the-way-2"))
     return second.documents.select("number", "source_type", "source_id", "body_text")

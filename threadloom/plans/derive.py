@@ -22,7 +22,7 @@ def _bot(user: str) -> Column:
 
 def threads(raw: DataFrame) -> DataFrame:
     """One row a thread. A merge time comes from the detail node, the thread itself or its pull request part, in this order."""
-    heads = payloads(raw.where(F.col("object_type").isin("issue", "pr")), "issue", S.THREAD_PAYLOAD).unionByName(payloads(raw, "pr", S.THREAD_PAYLOAD))
+    heads = payloads(raw, ("issue", "pr"), S.THREAD_PAYLOAD)
     details = payloads(raw, "pr_details", S.DETAIL_PAYLOAD).select("repo", F.col("p.number").alias("number"), "p.mergedAt", "p.mergedBy.login")
     rows = heads.select("repo", F.col("p.number").alias("number"), "p").join(details, ["repo", "number"], "left")
     return rows.select(
@@ -42,25 +42,27 @@ def adapted_reviews(raw: DataFrame) -> DataFrame:
 
 
 def sources(raw: DataFrame) -> DataFrame:
-    """Every text with where it came from, redacted and not yet cut: what signals are read from."""
-    heads = payloads(raw, "issue", S.THREAD_PAYLOAD).unionByName(payloads(raw, "pr", S.THREAD_PAYLOAD)).withColumn("number", F.col("p.number"))
+    """Every text with where it came from, redacted and not yet cut: what signals are read from. A payload is parsed once for all of its texts."""
+    heads = payloads(raw, ("issue", "pr"), S.THREAD_PAYLOAD).withColumn("number", F.col("p.number"))
     comments = numbered_by_url(payloads(raw, "issue_comment", S.COMMENT_PAYLOAD)).withColumn("number", F.col("thread_number"))
     inline = numbered_by_url(payloads(raw, "review_comment", S.REVIEW_COMMENT_PAYLOAD)).withColumn("number", F.col("thread_number"))
     reviews = adapted_reviews(raw)
     none = F.lit(None).cast("string")
 
     def row(kind: str, source_id: Column, body: Column, login: Column, bot: Column, association: Column, at: Column, metadata: Column, hunk: Column = none, path: Column = none):
-        return [F.lit(kind).alias("source_type"), source_id.cast("long").alias("source_id"), body.alias("markdown"), login.alias("author"), bot.alias("author_is_bot"), association.alias("association"), timestamp(at).alias("created_at"), metadata.alias("metadata"), hunk.alias("diff_hunk"), path.alias("path")]
+        return F.struct(F.lit(kind).alias("source_type"), source_id.cast("long").alias("source_id"), body.alias("markdown"), login.alias("author"), bot.alias("author_is_bot"), association.alias("association"), timestamp(at).alias("created_at"), metadata.alias("metadata"), hunk.alias("diff_hunk"), path.alias("path"))
+
+    def texts(rows: DataFrame, *each: Column) -> DataFrame:
+        return rows.select("repo", "number", F.inline(F.array(*each)))  # what is asked of a text is not asked of a payload parsed once more
 
     user = (F.col("p.user.login"), _bot("p.user"), F.col("p.author_association"), F.col("p.created_at"))
     where = ("diff_hunk", "in_reply_to_id", "line", "original_line", "path", "pull_request_review_id", "side", "start_line", "subject_type")
     review_bot = F.coalesce(F.col("type") == "Bot", F.lit(False))
     parts = [
-        heads.select("repo", "number", *row("title", F.col("number"), F.col("p.title"), *user, F.lit("{}"))),
-        heads.select("repo", "number", *row("body", F.col("number"), F.col("p.body"), *user, F.lit("{}"))),
-        comments.select("repo", "number", *row("issue_comment", F.col("p.id"), F.col("p.body"), *user, F.lit("{}"))),
-        reviews.select("repo", "number", *row("review", F.col("id"), F.col("body"), F.col("login"), review_bot, F.col("association"), F.col("submitted_at"), F.to_json(F.struct("state")))),
-        inline.select("repo", "number", *row("review_comment", F.col("p.id"), F.col("p.body"), *user, F.to_json(F.struct(*(F.col(f"p.{c}") for c in where))), redact(F.col("p.diff_hunk")), F.col("p.path"))),
+        texts(heads, *(row(c, F.col("number"), F.col(f"p.{c}"), *user, F.lit("{}")) for c in ("title", "body"))),
+        texts(comments, row("issue_comment", F.col("p.id"), F.col("p.body"), *user, F.lit("{}"))),
+        texts(reviews, row("review", F.col("id"), F.col("body"), F.col("login"), review_bot, F.col("association"), F.col("submitted_at"), F.to_json(F.struct("state")))),
+        texts(inline, row("review_comment", F.col("p.id"), F.col("p.body"), *user, F.to_json(F.struct(*(F.col(f"p.{c}") for c in where))), redact(F.col("p.diff_hunk")), F.col("p.path"))),
     ]
     every = reduce(DataFrame.unionByName, parts)
     written = F.coalesce("markdown", F.lit(""))
@@ -68,12 +70,18 @@ def sources(raw: DataFrame) -> DataFrame:
     return shown.withColumn("markdown", redact(written))
 
 
-def documents(texts: DataFrame, authority: DataFrame) -> DataFrame:
+def documents(texts: DataFrame, authority: DataFrame, stored: bool = False) -> DataFrame:
     """Chunks with their trust. `authority` (repo, login, permission) is a dimension; it is joined, and broadcast only if
-    the session finds it small. Texts are cut where they are, not where all texts of an author meet."""
+    the session finds it small. Texts are cut where they are, not where all texts of an author meet. stored: the texts cost little to read
+    twice, so that only long ones are sent to Python workers."""
     whole = F.col("source_type").isin("title", "review_comment")
-    parts = F.when(whole, F.array(F.trim("markdown"))).otherwise(chunked(F.col("markdown")))
-    cut = texts.select("repo", "number", "source_type", "source_id", "author", "author_is_bot", "association", "created_at", "metadata", F.posexplode(parts).alias("chunk_index", "body_markdown"))
+    long = ~whole & (F.char_length("markdown") > S.MAX_CHUNK)
+
+    def pieces(rows: DataFrame, split: bool) -> DataFrame:
+        parts = F.when(whole, F.array(F.trim("markdown"))).otherwise(chunked(F.col("markdown"), split))
+        return rows.select("repo", "number", "source_type", "source_id", "author", "author_is_bot", "association", "created_at", "metadata", F.posexplode(parts).alias("chunk_index", "body_markdown"))
+
+    cut = pieces(texts.where(~long), False).unionByName(pieces(texts.where(long), True)) if stored else pieces(texts, True)
     cut = cut.withColumn("body_text", normalize(F.col("body_markdown")))
     cut = cut.withColumn("content_hash", content_hash(F.col("body_markdown"), F.col("metadata"), F.lit(S.CHUNKING_VERSION)))
     ranks = authority.select("repo", F.col("login").alias("author"), "permission")

@@ -17,6 +17,7 @@ from threadloom.plans import derive, index
 from threadloom.plans.views import ROWS_A_TASK
 from threadloom.schemas import RAW
 from threadloom.sources.bucketed import Bucketed
+from threadloom.sources.store import nothing
 
 #: Jobs of a batch that run at the same time: most are short and leave cores idle.
 AT_ONCE = 4
@@ -75,12 +76,14 @@ class Landing:
         touched = raw.touched(keys)
 
         def staged(rows: DataFrame, name: str) -> DataFrame:
+            if name == "moved":  # only stored rows of the batch's own threads are given
+                return nothing(self.spark, rows.schema)
             if name == "texts":  # they come unevenly out of their kinds of payloads, and all that is made of them reads these files
                 parts = self.spark.read.parquet(f"{aside}/on-the-way/raw").count() // ROWS_A_TASK + 1
                 rows = rows.repartition(max(self.spark.sparkContext.defaultParallelism, parts), "repo", "number", "source_type", "source_id")
             return written(rows, f"on-the-way/{name}")
 
-        found = index.indexed(raw.of(keys, touched).drop("number"), fetched, documents.of(keys, touched), authority, at("marks").read(), results, whole, stage=staged)
+        found = index.indexed(raw.of(keys, touched), fetched, documents.of(keys, touched), authority, at("marks").read(), results, whole, stage=staged)
         when = fetched.groupBy("repo", "number").agg(F.max(F.coalesce("updated_at", "fetched_at")).alias("superseded_at"))
         parts = {"raw": index.placed(found.staged), "documents": found.documents, "threads": found.threads} | found.signals
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,9 +25,9 @@ def raw_stream(spark: SparkSession, path: str, files_per_batch: int = 100) -> Da
     return spark.readStream.schema(RAW).option("maxFilesPerTrigger", files_per_batch).json(path)
 
 
-def payloads(raw: DataFrame, kind: str, schema: StructType) -> DataFrame:
-    """The staged objects of one type, typed. What the schema does not name is dropped, mirror links among it."""
-    typed = raw.where(F.col("object_type") == kind).withColumn("p", F.from_json("payload", schema))
+def payloads(raw: DataFrame, kind: str | Sequence[str], schema: StructType) -> DataFrame:
+    """The staged objects of a type, or of several, typed. What the schema does not name is dropped, mirror links among it."""
+    typed = raw.where(F.col("object_type").isin(*([kind] if isinstance(kind, str) else kind))).withColumn("p", F.from_json("payload", schema))
     return typed.select("repo", "object_id", "thread_number", "fetched_at", "updated_at", "p")
 
 
