@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from threadloom.operators import systems
+from threadloom.operators import fulltext, systems
 
 
 def test_files_that_hold_a_term(spark):
@@ -42,3 +42,28 @@ def test_report(spark):
     }
     with pytest.raises(ValueError, match="bm25, not"):
         systems.report(results, relevant, examples, {"index": "cover"}, "bm25")
+
+
+def test_a_set_of_questions_reads_the_texts_for_its_own_terms(spark):
+    """Postings of asked terms are those of an index, with the totals of all documents; what is asked of them is not dealt a row a question."""
+    docs = spark.createDataFrame([(1, "a b a c"), (2, "c"), (3, ""), (4, None), (5, "b d")], "doc_id long, text string")
+    asked = spark.createDataFrame([("x", "a"), ("x", "b"), ("y", "b"), ("y", "none")], "question string, term string")
+    every = fulltext.postings(docs)
+    found = fulltext.postings(docs, only=asked.select("term").distinct())
+    shown = lambda rows: sorted(map(tuple, rows.select("doc_id", "term", "tf", "doc_len").collect()))
+    assert shown(found.where("term <> ''")) == shown(every.where("term in ('a', 'b')"))
+    total = fulltext.totals(found.where("term = ''"))
+    assert tuple(total.first()) == tuple(fulltext.totals(every).first())
+    ranked = systems.index_system(found, asked, total)
+    assert sorted(map(tuple, ranked.collect())) == sorted(map(tuple, systems.index_system(every, asked, fulltext.totals(every)).collect())) == [("x", 1, 1), ("x", 5, 2), ("y", 1, 2), ("y", 5, 1)]
+    assert "deal" not in ranked._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pieces_are_cut_once_for_terms_without_blanks(spark):
+    """Without terms of several words no second search is planned, and pieces too short for any term are left out."""
+    files = spark.createDataFrame([(1, "the cache is a mask"), (2, "xmaskx a"), (3, None)], "path long, content string")
+    seen = {}
+    found = systems.files_with(files, spark.createDataFrame([("mask",), ("cache",)], "term string"), stage=lambda rows, name: seen.setdefault(name, rows))
+    assert sorted(map(tuple, found.collect())) == [(1, "cache"), (1, "mask"), (2, "mask")]
+    assert sorted(r[0] for r in seen["pieces"].collect()) == ["cache", "mask", "xmaskx"]
+    assert "Union" not in found._jdf.queryExecution().optimizedPlan().toString()

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadloom.functions.text import cue_score
+from threadloom.functions.text import cue_score, named
 from threadloom.operators.filters import KEY
 
 #: Fixed value: what a reference to a precedent looks like; group 1 is the number.
@@ -40,19 +40,20 @@ def holders(documents: DataFrame, items: DataFrame, postings: DataFrame, words:
     """(question, item), distinct: the documents (item, text) that hold a passage of an item (question, text).
 
     A passage is `window` consecutive words, or the whole item if it is shorter. postings: (item, term), the words of the documents. A passage
-    meets only the documents that have its rarest word, which are then searched for it; texts of other documents are not cut.
+    meets only the documents that have its rarest word, which are then searched for it; texts of other documents are not cut, and a text is cut once
+    for all that is asked of it.
     """
+    spaced = lambda words: F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
     cut = items.select("question", words(F.col("text")).alias("words")).where("size(words) > 0").withColumn("size", F.least(F.size("words"), F.lit(window)))
     cut = cut.select("question", F.explode(F.transform(F.sequence(F.lit(1), F.size("words") - F.col("size") + 1), lambda i: F.slice("words", i, F.col("size")))).alias("window")).distinct()
     each = cut.select("question", "window", F.explode(F.array_distinct("window")).alias("term"))
     found = postings.select("item", "term").join(each.select("term").distinct(), "term", "left_semi")
     df = found.groupBy("term").agg(F.count("*").alias("df"))
     known = each.join(df, "term").groupBy("question", "window").agg(F.count("*").alias("n"), F.min_by("term", F.struct("df", "term")).alias("term"))
-    anchors = known.where(F.col("n") == F.size(F.array_distinct("window"))).groupBy("term", "question").agg(F.collect_list("window").alias("windows"))
+    anchors = known.where(F.col("n") == F.size(F.array_distinct("window"))).groupBy("term", "question").agg(F.collect_list(spaced(F.col("window"))).alias("windows"))
     met = found.join(anchors, "term").groupBy("item").agg(F.collect_list(F.struct("question", "windows")).alias("asked"))
-    spaced = lambda words: F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
-    read = documents.join(met, "item").select("item", spaced(words(F.col("text"))).alias("text"), "asked")
-    held = F.filter("asked", lambda a: F.exists(a["windows"], lambda w: F.contains(F.col("text"), spaced(w))))
+    read = documents.join(met, "item").select("item", words(F.col("text")).alias("words"), "asked")
+    held = named(spaced(F.col("words")), lambda text: F.filter("asked", lambda a: F.exists(a["windows"], lambda w: F.contains(text, w))))
     return read.select("item", F.explode(F.array_distinct(F.transform(held, lambda a: a["question"]))).alias("question")).select("question", "item").distinct()
 
 

@@ -54,11 +54,17 @@ def stemmed(terms: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield series.map(lambda w: known.get(w) or stem(w))
 
 
-def postings(documents: DataFrame, key: str = "doc_id", text: str = "text", stemming: bool = False, analyzer=words) -> DataFrame:
+def postings(documents: DataFrame, key: str = "doc_id", text: str = "text", stemming: bool = False, analyzer=words, only: DataFrame | None = None) -> DataFrame:
     """(key, term, tf, doc_len). With stemming, terms are stemmed once each, after counting. Texts are dealt by their key and not their words after
-    the cut: all counts of a key are in one place then."""
+    the cut: all counts of a key are in one place then. only: (term), distinct; other words are left out before they are counted, and each document with
+    words has a posting of the empty term besides."""
     cut = documents.select(key, text).repartition(key).select(key, analyzer(F.coalesce(F.col(text), F.lit(""))).alias("words_"))
     tokens = cut.select(key, F.size("words_").cast("long").alias("doc_len"), F.explode("words_").alias("term"))
+    if only is not None:
+        marked = F.explode(F.when(F.size("words_") > 0, F.concat("words_", F.array(F.lit("")))))
+        tokens = cut.select(key, F.size("words_").cast("long").alias("doc_len"), marked.alias("term"))
+        asked = only.select("term").unionByName(only.sparkSession.range(1).select(F.lit("").alias("term")))
+        tokens = tokens.join(F.broadcast(asked), "term", "left_semi")  # a row a term asked
     counted = tokens.groupBy(key, "term").agg(F.count("*").alias("tf"), F.any_value("doc_len").alias("doc_len"))
     if stemming:
         counted = counted.withColumn("term", stemmed("term")).groupBy(key, "term").agg(F.sum("tf").alias("tf"), F.any_value("doc_len").alias("doc_len"))

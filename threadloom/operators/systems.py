@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from threadloom.functions.text import error_literal
-from threadloom.operators.fulltext import DEALT
 from threadloom.operators.lookups import first_positions
 from threadloom.schemas import MAX_HITS
 
@@ -20,6 +19,12 @@ CUTOFFS = (5, 10)
 _GRAM = 3
 #: Sums of terms are compared with rounded scores: more than both may be off.
 _SLACK = 1e-5
+#: What may write a frame that is read several times, and reads it back.
+Stage = Callable[[DataFrame, str], DataFrame]
+
+
+def _kept(rows: DataFrame, name: str) -> DataFrame:
+    return rows
 
 
 def top(scored: DataFrame, most: int = MAX_HITS) -> DataFrame:
@@ -79,10 +84,9 @@ def index_system(postings: DataFrame, asked: DataFrame, total: DataFrame, key: s
     df = found.groupBy("term").agg(F.count("*").alias("df"))
     weights = asked.join(df, "term").join(total).select("question", "term", "mean_len", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
     part = F.col("idf") * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("doc_len") / F.col("mean_len")))
-    # a frequent term is no single task
-    weights = weights.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))))
-    found = found.withColumn("deal", F.pmod(F.xxhash64("item"), F.lit(DEALT)).cast("int"))
-    return top(found.join(weights, ["term", "deal"]).groupBy("question", "item").agg(F.round(F.sum(part), 6).alias("score")), most)
+    # what is dealt are the postings, by document, and not a row a question for each of them; weights are a row a question term
+    scored = found.repartition("item").join(F.broadcast(weights), "term").groupBy("question", "item").agg(F.round(F.sum(part), 6).alias("score"))
+    return top(scored, most)
 
 
 def of_terms(postings: DataFrame, asked: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -116,39 +120,44 @@ def _with_grams(files: DataFrame, terms: DataFrame, path: str = "path", content:
     wanted = asked.select("term", F.explode(F.array_distinct(of_term)).alias("gram"))
     none = F.array().cast("array<bigint>")
     of_file = F.array_distinct(F.concat(none, *(F.coalesce(_grams(F.col(content), s), none) for s in sizes)))
-    held = files.select(path, F.explode(of_file).alias("gram")).join(wanted.select("gram").distinct(), "gram", "left_semi")
+    held = files.select(path, F.explode(of_file).alias("gram")).join(F.broadcast(wanted.select("gram").distinct()), "gram", "left_semi")  # a row three characters of a term
     df = held.groupBy("gram").agg(F.count("*").alias("df"))
     rarest = wanted.join(df, "gram", "left").groupBy("term").agg(F.min_by("gram", F.struct(F.coalesce("df", F.lit(0)), "gram")).alias("gram"))
-    met = held.join(rarest, "gram").groupBy(path).agg(F.collect_set("term").alias("terms"))
+    met = held.join(F.broadcast(rarest), "gram").groupBy(path).agg(F.collect_set("term").alias("terms"))
     found = files.join(met, path).select(path, F.explode(F.filter("terms", lambda t: F.contains(F.col(content), t))).alias("term"))
     return found.distinct()
 
 
-def files_with(files: DataFrame, terms: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+def files_with(files: DataFrame, terms: DataFrame, path: str = "path", content: str = "content", stage: Stage = _kept) -> DataFrame:
     """(path, term) for each file that holds a term literally, case and all. terms: (term), neither null nor empty.
 
     Files are cut at blanks. A term's longest stretch without blanks lies in one such piece of a file, so the different pieces of all files are
-    searched for it once each, and only terms with blanks are looked for in whole files. Terms of blanks alone are looked for in every file.
+    searched for it once each, and only terms with blanks are looked for in whole files. Terms of blanks alone are looked for in every file. Pieces that are
+    shorter than every stretch hold none.
     """
     asked = terms.select("term").distinct()
     stretch = F.reduce(F.split("term", r"\s+"), F.lit(""), lambda best, s: F.when(F.char_length(s) > F.char_length(best), s).otherwise(best))
     asked = asked.withColumn("stretch", stretch)
-    pieces = files.select(path, F.explode(F.array_distinct(F.split(content, r"\s+"))).alias("piece"))
-    met = _with_grams(pieces.select("piece").distinct(), asked.where("stretch <> ''").select(F.col("stretch").alias("term")), "piece", "piece").withColumnRenamed("term", "stretch")
-    held = pieces.join(met.join(asked, "stretch").groupBy("piece").agg(F.collect_set("term").alias("terms")), "piece").select(path, F.explode("terms").alias("term")).distinct()
     blank = F.col("term").rlike(r"\s")
+    least, blanks = asked.agg(F.min(F.when(F.col("stretch") != "", F.char_length("stretch"))), F.bool_or(blank)).first()
+    pieces = files.select(path, F.explode(F.array_distinct(F.split(content, r"\s+"))).alias("piece")).where(F.char_length("piece") >= F.lit(least))
+    different = stage(pieces.select("piece").distinct(), "pieces")
+    met = stage(_with_grams(different, asked.where("stretch <> ''").select(F.col("stretch").alias("term")), "piece", "piece").withColumnRenamed("term", "stretch"), "met")
+    held = pieces.join(met.join(asked, "stretch").groupBy("piece").agg(F.collect_set("term").alias("terms")), "piece").select(path, F.explode("terms").alias("term")).distinct()
+    if not blanks:
+        return held
     spaced = held.where(blank).unionByName(files.select(path).crossJoin(asked.where("stretch = ''").select("term")))
     spaced = files.join(spaced.groupBy(path).agg(F.collect_set("term").alias("terms")), path).select(path, F.explode(F.filter("terms", lambda t: F.contains(F.col(content), t))).alias("term"))
     return held.where(~blank).unionByName(spaced).distinct()
 
 
-def grep_system(files: DataFrame, asked: DataFrame, threads_of: DataFrame, most: int = MAX_HITS) -> DataFrame:
+def grep_system(files: DataFrame, asked: DataFrame, threads_of: DataFrame, most: int = MAX_HITS, stage: Stage = _kept) -> DataFrame:
     """(question, item, rank): threads by how many matches of a question's terms lie in their files, each term once a file.
 
     files: (path, content); asked: (question, terms); threads_of: (path, item).
     """
     terms = asked.select("question", F.explode("terms").alias("term")).distinct()
-    weights = files_with(files, terms).join(terms, "term").groupBy("question", "path").agg(F.count("*").alias("weight"))
+    weights = files_with(files, terms, stage=stage).join(terms, "term").groupBy("question", "path").agg(F.count("*").alias("weight"))
     return top(weights.join(threads_of.select("path", "item").distinct(), "path").groupBy("question", "item").agg(F.sum("weight").alias("score")), most)
 
 
