@@ -271,3 +271,12 @@ def test_texts_without_a_sign_go_around_the_patterns(spark):
     assert all(normal[m] != m for m in marked) and all(normal[t] == t for t in plain)
     plan = spark.range(1).select(text.redact(F.col("id").cast("string")))._jdf.queryExecution().optimizedPlan().toString()
     assert "CASE WHEN" in plan
+
+
+def test_words_are_placed_in_the_row_of_their_document(spark):
+    """Nothing is grouped by word: places are those of brute force, rows of one key are one document, and documents without words have no row."""
+    rows = [(1, "b a b"), (1, "a"), (2, None), (3, " ,"), (4, "the a the"), (None, "z")]
+    found = segments.positional(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", stopwords=("the",))
+    assert sorted(map(str, map(tuple, found.select("doc_id", "term", "tf", "positions", "doc_len").collect()))) == sorted(map(str, [(1, "a", 2, [0, 1], 4), (1, "b", 2, [0, 2], 4), (4, "a", 1, [1], 1), (None, "z", 1, [0], 1)]))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("term" in line for line in plan.splitlines() if "Aggregate [" in line)

@@ -12,9 +12,11 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from zlib import crc32
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from threadloom.functions.text import named
 from threadloom.operators.fulltext import DEALT, stemmed, words
 
 BUCKETS = 64
@@ -25,22 +27,45 @@ def bucket_of(term: Column) -> Column:
     return (F.crc32(term.cast("binary")) % BUCKETS).cast("int")
 
 
+def placed(documents: DataFrame, key: str, text: str, facets: Sequence[str] = (), analyzer: Callable[[Column], Column] = words, stopwords: Sequence[str] = ()) -> DataFrame:
+    """(key, doc_len, facets..., entries): a row a key, with each of its terms and where it stands. A document without terms has no row.
+
+    Texts are dealt and not their words, and a document's words are sorted in its own row: nothing is grouped by word.
+    """
+    kept = lambda w: ~w.isin(*stopwords)
+    mine = documents.select(key, *facets, F.coalesce(F.col(text), F.lit("")).alias("text_")).repartition(key).groupBy(key)
+    mine = mine.agg(F.collect_list("text_").alias("texts_"), *(F.any_value(F.col(c)).alias(c) for c in facets))  # rows that share a key are one document
+    at = lambda t: F.transform(analyzer(t), lambda w, i: F.struct(w.alias("term"), i.alias("at")))
+    every = F.flatten(F.transform("texts_", at))
+    line = F.sort_array(F.filter(every, lambda x: kept(x["term"])) if stopwords else every)
+    first = lambda line: F.filter(F.sequence(F.lit(0), F.size(line) - 1), lambda i: (i == 0) | (F.get(line, i)["term"] != F.get(line, i - 1)["term"]))
+
+    def runs(line: Column) -> Column:
+        def run(starts: Column) -> Column:
+            end = lambda j: F.coalesce(F.get(starts, j + 1), F.size(line))
+            return F.transform(starts, lambda a, j: F.struct(F.get(line, a)["term"].alias("term"), F.transform(F.slice(line, a + 1, end(j) - a), lambda x: x["at"]).alias("positions")))
+
+        return F.when(F.size(line) > 0, F.struct(F.size(line).cast("long").alias("doc_len"), named(first(line), run).alias("entries")))
+
+    found = mine.select(key, *facets, F.explode(F.array(named(line, runs))).alias("d")).where("d is not null")
+    return found.select(key, "d.doc_len", *facets, "d.entries")
+
+
 def positional(documents: DataFrame, key: str, text: str, facets: Sequence[str] = (), analyzer: Callable[[Column], Column] = words, stopwords: Sequence[str] = (), stemming: bool = False) -> DataFrame:
     """(key, term, tf, positions, doc_len, facets...): where each term of a document stands.
 
     Positions are counted over all words; stopwords have no postings but keep their places, so that nearness means the same
     with and without them. A document without terms has no row. doc_len is the number of words that are kept.
     """
-    kept = lambda w: ~w.isin(*stopwords) if stopwords else F.lit(True)
-    # texts are dealt and not their words: all places of a word in a document are then together
-    cut = documents.select(key, *facets, text).repartition(key).select(key, *facets, analyzer(F.coalesce(F.col(text), F.lit(""))).alias("words_"))
-    cut = cut.withColumn("doc_len", F.size(F.filter("words_", kept)).cast("long"))
-    each = cut.select(key, "doc_len", *facets, F.posexplode("words_").alias("at_", "term")).where(kept(F.col("term")))
-    every = lambda: (F.any_value(F.col(c)).alias(c) for c in ("doc_len", *facets))
-    found = each.groupBy(key, "term").agg(F.collect_list("at_").alias("positions"), *every())
+    return _postings(placed(documents, key, text, facets, analyzer, stopwords), key, facets, stemming)
+
+
+def _postings(found: DataFrame, key: str, more: Sequence[str], stemming: bool) -> DataFrame:
+    each = found.select(key, "doc_len", *more, F.inline("entries"))
     if stemming:
-        found = found.withColumn("term", stemmed("term")).groupBy(key, "term").agg(F.flatten(F.collect_list("positions")).alias("positions"), *every())
-    return found.select(key, "term", F.size("positions").cast("long").alias("tf"), F.array_sort("positions").alias("positions"), "doc_len", *facets)
+        every = (F.any_value(F.col(c)).alias(c) for c in ("doc_len", *more))
+        each = each.withColumn("term", stemmed("term")).groupBy(key, "term").agg(F.array_sort(F.flatten(F.collect_list("positions"))).alias("positions"), *every)
+    return each.select(key, "term", F.size("positions").cast("long").alias("tf"), "positions", "doc_len", *more)
 
 
 @dataclass(frozen=True)
@@ -78,12 +103,11 @@ class Segments:
         writer = rows.write.mode("overwrite")
         (writer.partitionBy(by) if by else writer).parquet(f"{self.path.rstrip('/')}/{part}/segment={segment}")
 
-    def _commit(self, segment: int, postings: DataFrame, retired: DataFrame, replaces: Sequence[int] = ()) -> int:
-        """postings have an age: the segment that first wrote this version of the document. retired: (key, age, doc_len, terms) rows that no
-        longer count, of other segments."""
+    def _commit(self, segment: int, postings: DataFrame, documents: DataFrame, retired: DataFrame, replaces: Sequence[int] = ()) -> int:
+        """postings and documents (key, age, doc_len, terms) have an age: the segment that first wrote this version of the document. retired: such
+        rows of other segments that no longer count."""
         self._write(segment, "postings", postings.withColumn("term_bucket", bucket_of(F.col("term"))).repartition("term_bucket", F.pmod(F.xxhash64(self.key), F.lit(DEALT))).sortWithinPartitions("term_bucket", "term", self.key), "term_bucket")
-        own = self._read(f"postings/segment={segment}")
-        self._write(segment, "documents", own.groupBy(self.key).agg(F.any_value("age").alias("age"), F.any_value("doc_len").alias("doc_len"), F.collect_list("term").alias("terms")))
+        self._write(segment, "documents", documents.select(self.key, "age", "doc_len", "terms"))
         self._write(segment, "retired", retired.select(self.key, F.lit(segment).alias("by")))
         docs = self._read(f"documents/segment={segment}").select("doc_len", "terms", F.lit(1).cast("long").alias("sign"))
         if replaces:  # what is merged away takes its own differences with it
@@ -105,12 +129,21 @@ class Segments:
         totals = self._totals()
         segment = (totals.agg(F.max("segment")).first()[0] + 1) if there else 0
         gone = F.coalesce(gone, F.lit(False)) if gone is not None else F.lit(False)
-        found = positional(batch.where(~gone), self.key, text, facets, **analysis).withColumn("age", F.lit(segment))
+        stemming = analysis.pop("stemming", False)
+        cut = placed(batch.where(~gone), self.key, text, facets, **analysis).withColumn("age", F.lit(segment)).persist(StorageLevel.DISK_ONLY)  # texts are cut once for postings and documents
+        found = _postings(cut, self.key, (*facets, "age"), stemming)
+        if stemming:
+            known = found.groupBy(self.key).agg(F.any_value("age").alias("age"), F.any_value("doc_len").alias("doc_len"), F.collect_list("term").alias("terms"))
+        else:
+            known = cut.select(self.key, "age", "doc_len", F.col("entries.term").alias("terms"))
         if there:
             retired = self.alive("documents", there).join(batch.select(self.key).distinct(), self.key, "left_semi").select(self.key, "age", "doc_len", "terms")
         else:
-            retired = found.where("false").groupBy(self.key).agg(F.any_value("age").alias("age"), F.any_value("doc_len").alias("doc_len"), F.collect_list("term").alias("terms"))
-        return self._commit(segment, found, retired)
+            retired = known.where("false")
+        try:
+            return self._commit(segment, found, known, retired)
+        finally:
+            cut.unpersist()
 
     def merged(self, segments: Sequence[int] | None = None) -> int:
         """Rewrite the oldest segments (all, unless named) as one, without what was retired among them."""
@@ -120,8 +153,8 @@ class Segments:
             raise ValueError("only the oldest segments can be merged: younger ones retire their documents")
         new = self._totals().agg(F.max("segment")).first()[0] + 1
         kept = self.alive("postings", chosen, chosen).drop("segment", "term_bucket")
-        none = self.part("documents", chosen).where("false").select(self.key, "age", "doc_len", "terms")
-        return self._commit(new, kept, none, chosen)
+        known = self.alive("documents", chosen, chosen).select(self.key, "age", "doc_len", "terms")
+        return self._commit(new, kept, known, known.where("false"), chosen)
 
     # -- reading ------------------------------------------------------------------------------------------------------
 
