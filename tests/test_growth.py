@@ -280,3 +280,10 @@ def test_words_are_placed_in_the_row_of_their_document(spark):
     assert sorted(map(str, map(tuple, found.select("doc_id", "term", "tf", "positions", "doc_len").collect()))) == sorted(map(str, [(1, "a", 2, [0, 1], 4), (1, "b", 2, [0, 2], 4), (4, "a", 1, [1], 1), (None, "z", 1, [0], 1)]))
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert not any("term" in line for line in plan.splitlines() if "Aggregate [" in line)
+
+
+def test_files_of_histories_are_dealt_by_number_once(spark):
+    """The lines of a thread meet once: what is distinct, joined with its thread and listed from them is not dealt again; sets travel as digests."""
+    rows = QUERIES["brief_file_history"](spark, "/root/testdata/sf0.001")
+    plan = rows._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "REPARTITION_BY_NUM" in plan and "md5" in plan
